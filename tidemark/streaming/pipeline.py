@@ -1,0 +1,120 @@
+"""Streams from landed files or topics to tables, alerts and windows."""
+
+from __future__ import annotations
+
+import logging
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.geo import in_bbox
+from tidemark.operators.merge import MOTION, upsert_entities, with_event_ids
+from tidemark.operators.watch import watch_matches
+from tidemark.sources.feeds import Feed, conform, read
+from tidemark.sources.sinks import _exists, append_events
+
+log = logging.getLogger(__name__)
+
+
+def feed_stream(spark: SparkSession, feed: Feed, path: str, late: str = "1 hour") -> DataFrame:
+    """Landed files of a feed as a stream of conformed events with ids."""
+    events = with_event_ids(conform(read(spark, feed, path, stream=True), feed, F.current_timestamp()))
+    return events.withWatermark("event_time", late)
+
+
+def two_sinks(deliver: Callable[[DataFrame, int], None], store: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A micro-batch goes to both sinks; delivery does not depend on the store.
+
+    Each sink gets its try; the batch fails afterwards if one did, so that the stream
+    retries it. Both sinks are idempotent, so a retry repeats nothing.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        errors = []
+        batch.persist()
+        try:
+            for name, sink in (("deliver", deliver), ("store", store)):
+                try:
+                    sink(batch, epoch)
+                except Exception as error:  # noqa: BLE001 - reported below
+                    log.exception("%s failed in batch %s", name, epoch)
+                    errors.append((name, error))
+        finally:
+            batch.unpersist()
+        if errors:
+            raise RuntimeError(f"batch {epoch}: " + ", ".join(name for name, _ in errors)) from errors[0][1]
+
+    return run
+
+
+def store_events(path: str) -> Callable[[DataFrame, int], None]:
+    def sink(batch: DataFrame, epoch: int) -> None:
+        append_events(batch.sparkSession, batch, path)
+
+    return sink
+
+
+def merge_positions(state_path: str) -> Callable[[DataFrame, int], None]:
+    """Latest position per entity as versions of a table: state/epoch=N holds everything up to N.
+
+    A retried epoch rewrites its own version from the one before it, so it is idempotent.
+    """
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        target = f"{state_path}/epoch={epoch}"
+        previous = f"{state_path}/epoch={epoch - 1}"
+        rows = batch.withColumn("arrival", F.unix_micros("event_time"))
+        old = spark.read.parquet(previous) if _exists(spark, previous) else empty_state(spark)
+        upsert_entities(old, rows).write.mode("overwrite").parquet(target)
+
+    return sink
+
+
+def empty_state(spark: SparkSession) -> DataFrame:
+    motion = ", ".join(f"{c} double" for c in MOTION)
+    return spark.createDataFrame(
+        [],
+        "entity_type string, canonical_id_type string, canonical_id string, display_name string, "
+        f"properties map<string,string>, last_seen timestamp, position_time timestamp, {motion}",
+    )
+
+
+def alert_tail(events: DataFrame, types: list[str], box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Findings of some types, optionally in a box. A stream source hands over late rows too."""
+    rows = events.filter(F.col("event_type").isin(*types))
+    return rows if box is None else rows.filter(in_bbox(F.col("lat"), F.col("lng"), *box))
+
+
+def watch_stream(events: DataFrame, watchlists: DataFrame, late: str = "1 day") -> DataFrame:
+    """Stream of (list, event) matches, each once while the watermark remembers it."""
+    rows = events.withWatermark("event_time", late).withColumns(
+        {"event_layers": F.array("layer"), "match_id": F.concat_ws(":", "layer", F.col("event_id").cast("string"))}
+    )
+    hits = watch_matches(rows, watchlists)
+    return hits.select("watch_id", "match_id", "event_time", "severity", "distance_km").dropDuplicatesWithinWatermark(["watch_id", "match_id"])
+
+
+def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    return events.withWatermark("event_time", late).groupBy(F.window("event_time", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sliding_counts(events: DataFrame, width: str = "24 hours", slide: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    return events.withWatermark("event_time", late).groupBy(F.window("event_time", width, slide), "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.max("severity").alias("max_severity")
+    )
+
+
+def track_segments(track: DataFrame, gap: str = "6 hours", late: str = "2 hours") -> DataFrame:
+    """Track segments without a silence longer than the gap (works on streams and tables)."""
+    return track.withWatermark("time", late).groupBy(F.session_window("time", gap), "entity_id").agg(
+        F.count(F.lit(1)).alias("pings"), F.max("velocity_ms").alias("max_velocity")
+    )
+
+
+def start(stream: DataFrame, batch_sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, every: str = "30 seconds"):
+    writer = stream.writeStream.foreachBatch(batch_sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
