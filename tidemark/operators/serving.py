@@ -86,7 +86,7 @@ def lookup_entity(entities: DataFrame, entity_type: str, id_type: str, canonical
 
 def similar_vectors(rows: DataFrame, seed: Column, limit: int = 10, exclude: Column | None = None) -> DataFrame:
     """Exact nearest rows by cosine distance; the seed is one vector (a literal or a scalar)."""
-    near = rows.withColumn("distance", cosine_distance(F.col("embedding"), seed))
+    near = rows.withColumn("_seed", seed).withColumn("distance", cosine_distance(F.col("embedding"), F.col("_seed"))).drop("_seed")
     if exclude is not None:
         near = near.filter(F.col("id") != exclude)
     return newest(near.filter(F.col("distance").isNotNull()), [F.asc("distance"), F.asc("id")], limit)
