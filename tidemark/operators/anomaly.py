@@ -171,14 +171,17 @@ def _score_udf(spark, trees: DataFrame):
     return score
 
 
-def forest_scores(features: DataFrame, trees: DataFrame) -> DataFrame:
-    return features.withColumn("raw_score", _score_udf(features.sparkSession, trees)(*FEATURES))
+def forest_scorer(trees: DataFrame):
+    """Function that adds `raw_score` to feature rows; the forest is grown once, here."""
+    score = _score_udf(trees.sparkSession, trees)
+    return lambda features: features.withColumn("raw_score", score(*FEATURES))
 
 
 def forest_anomalies(current: DataFrame, history: DataFrame, trees: DataFrame, contamination: float = 0.05, min_sample: int = 5) -> DataFrame:
     """Buckets scored below the contamination quantile of the history; lower is stranger."""
-    offset = forest_scores(history, trees).agg(F.percentile_approx("raw_score", contamination, 10000).alias("o"))
-    scored = forest_scores(current.filter(F.col("count") >= min_sample), trees).withColumn(
+    score = forest_scorer(trees)
+    offset = score(history).agg(F.percentile_approx("raw_score", contamination, 10000).alias("o"))
+    scored = score(current.filter(F.col("count") >= min_sample)).withColumn(
         "iso_score", F.col("raw_score") - offset.scalar()
     )
     severity = clamp(

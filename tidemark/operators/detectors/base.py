@@ -110,4 +110,4 @@ def metres(distance: Column) -> Column:
 
 def text_of(value: Column, places: int) -> Column:
     """Fixed-point text, rounded half away from zero."""
-    return F.format_number(F.round(value, places), f"0.{'0' * places}" if places else "0")
+    return F.format_string(f"%.{places}f", F.round(value.cast("double"), places))

@@ -69,7 +69,8 @@ def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     eps2 = eps * eps
     placed = points.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
     sizes = placed.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    placed = placed.join(sizes, ["cx", "cy"])
+    # Every later step reads this table; without the cut each would repeat what leads to it.
+    placed = durable(placed.join(sizes, ["cx", "cy"]))
     dense = F.col("n") >= min_points
     sparse = placed.filter(~dense).select("id", "x", "y", "cx", "cy")
     # Neighbour counts of sparse points only.
@@ -77,8 +78,10 @@ def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
         F.col("id").alias("o_id"), F.col("x").alias("o_x"), F.col("y").alias("o_y"),
         F.col("cx").alias("n_cx"), F.col("cy").alias("n_cy"), "n", "first_id",
     )
-    near = _neighbours(sparse).join(around, ["n_cx", "n_cy"]).filter(
-        _distance2(F.col("x"), F.col("y"), F.col("o_x"), F.col("o_y")) <= eps2
+    near = durable(
+        _neighbours(sparse).join(around, ["n_cx", "n_cy"])
+        .filter(_distance2(F.col("x"), F.col("y"), F.col("o_x"), F.col("o_y")) <= eps2)
+        .select("id", "o_id")
     )
     cores_sparse = near.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_points).select("id")
     # Nodes: one per dense cell (its smallest id), one per sparse core point.
@@ -145,7 +148,7 @@ def _dense_links(dense: DataFrame, side: float, eps2: float, levels: tuple[int,
             pairs = todo.join(subs, ["first_id", *coarse]).join(
                 mirrored(subs).drop("n_cx", "n_cy"), ["dst", *["o_" + k for k in coarse]]
             )
-        pairs = pairs.filter(square(gap) <= eps2).withColumn("sure", square(far) <= eps2)
+        pairs = durable(pairs.filter(square(gap) <= eps2).withColumn("sure", square(far) <= eps2))
         cells = pairs.groupBy("first_id", "dst").agg(F.bool_or("sure").alias("linked"))
         found.append(cells.filter("linked").select(F.col("first_id").alias("src"), "dst"))
         todo = pairs.join(cells.filter("not linked").select("first_id", "dst"), ["first_id", "dst"]).select(

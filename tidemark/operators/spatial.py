@@ -83,8 +83,8 @@ def _salts_per_hot_cell(build: DataFrame, hot_cell: int) -> DataFrame:
     """Cells above the threshold. The threshold rises with the row count, so that the
     list never exceeds MAX_HOT_CELLS and may be broadcast."""
     counts = build.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    floor = counts.agg((F.sum("_n") / F.lit(MAX_HOT_CELLS)).alias("f")).scalar()
-    limit = F.greatest(F.lit(float(hot_cell)), F.coalesce(floor, F.lit(0.0)))
+    floor = build.agg(F.count(F.lit(1)) / F.lit(MAX_HOT_CELLS)).scalar()
+    limit = F.greatest(F.lit(float(hot_cell)), floor)
     return counts.filter(F.col("_n") > limit).select(
         "_cell", F.ceil(F.col("_n") / F.lit(hot_cell)).cast("int").alias("_salts")
     )
