@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.scoring import mapped
-from tidemark.functions.stats import clamp
+from tidemark.functions.stats import clamp, round_even
 from tidemark.sources.refdata import LAYER_PLATFORM, PLATFORM_BASELINE
 
 
@@ -64,7 +64,7 @@ def factors(e: Evidence) -> Column:
 def age_decay(age_hours: Column) -> Column:
     """Nothing in the first hour, then three linear pieces, flat after 72 h."""
     h = age_hours
-    return F.bround(
+    return round_even(
         F.when(h <= 1, 0.0)
         .when(h <= 6, 0.02 * (h - 1))
         .when(h <= 24, 0.10 + 0.01 * (h - 6))
@@ -75,7 +75,7 @@ def age_decay(age_hours: Column) -> Column:
 
 def score(factor_map: Column) -> Column:
     total = F.aggregate(F.map_values(factor_map), F.lit(0.0), lambda acc, v: acc + v)
-    return F.bround(clamp(total, 0.05, 0.98), 3)
+    return round_even(clamp(total, 0.05, 0.98), 3)
 
 
 def label(value: Column) -> Column:

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import round_even
+
 # Fixed value: name space of event ids; equal inputs must give equal ids everywhere.
 EVENT_NAMESPACE = "a4d92b16-1c4f-4e2c-8f3a-1f0e2c4d8b6a"
 
@@ -36,10 +38,10 @@ def content_hash(lat, lng, severity, kind, altitude_m) -> Column:
     return F.md5(
         F.concat_ws(
             "|",
-            F.format_string("%.4f", F.bround(lat, 4)),
-            F.format_string("%.4f", F.bround(lng, 4)),
+            F.format_string("%.4f", round_even(lat, 4)),
+            F.format_string("%.4f", round_even(lng, 4)),
             F.coalesce(severity.cast("string"), F.lit("")),
             F.coalesce(kind, F.lit("")),
-            F.coalesce(F.bround(altitude_m, -1).cast("bigint").cast("string"), F.lit("")),
+            F.coalesce(round_even(altitude_m, -1).cast("bigint").cast("string"), F.lit("")),
         )
     )

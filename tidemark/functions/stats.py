@@ -65,5 +65,11 @@ def linear_decay(age_hours: Column, zero_at: float = 6.0) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - age_hours / zero_at))
 
 
+def round_even(x: Column, places: int) -> Column:
+    """Half-even rounding of the binary value, as Python's round; bround rounds its decimal text."""
+    factor = float(10 ** abs(places))
+    return F.rint(x * factor) / factor if places >= 0 else F.rint(x / factor) * factor
+
+
 def clamp(x: Column, lo, hi) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geo import region_for
 from tidemark.functions.scoring import at_least
+from tidemark.functions.stats import round_even
 from tidemark.operators.detectors.base import hours
 
 
@@ -18,7 +19,7 @@ def bucket_stats(events: DataFrame) -> DataFrame:
         .groupBy(F.coalesce("layer", F.lit("unknown")).alias("layer"), region_for(F.col("lat"), F.col("lng")).alias("region"))
         .agg(
             F.count(F.lit(1)).alias("count"),
-            F.bround(F.avg(severity), 2).alias("avg_severity"),
+            round_even(F.avg(severity), 2).alias("avg_severity"),
             F.max(severity).alias("max_severity"),
             F.sum(severity).alias("sev_sum"),
         )
@@ -97,7 +98,7 @@ def dense_series(events: DataFrame, types: list[str], start: Column, window_hour
     # The axis is (types x buckets) constants of the request, not data.
     axis = spark.range(1).select(
         F.explode(F.array(*[F.lit(t) for t in types])).alias("event_type"), F.lit(0).alias("_")
-    ).select("event_type", F.explode(F.sequence(F.lit(0), F.lit(last))).cast("bigint").alias("slot"))
+    ).select("event_type", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")).alias("slot"))
     slot = F.floor((F.unix_micros("event_time") - F.unix_micros(start)) / (bucket_min * 60_000_000))
     counted = (
         events.filter((F.col("event_time") >= start) & F.col("event_type").isin(*types))

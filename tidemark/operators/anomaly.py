@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import region_for
-from tidemark.functions.stats import clamp, quantile_by_index
+from tidemark.functions.stats import clamp, quantile_by_index, round_even
 from tidemark.operators.latest import top_per_group
 
 FEATURES = ("count", "avg_severity", "max_severity", "p90_severity", "sum_severity", "hour_sin", "hour_cos")
@@ -23,10 +23,10 @@ def ewma_anomalies(stats: DataFrame, baselines: DataFrame, min_sample: int = 5,
     rows = stats.filter(F.col("count") >= min_sample).join(
         baselines.filter(F.col("n_cycles") >= min_cycles), ["layer", "region"]
     ).withColumns({"z": z, "std": std})
-    severity = clamp(F.bround(F.abs("z") + F.col("max_severity") / 2, 0).cast("int"), 3, 10)
+    severity = clamp(round_even(F.abs("z") + F.col("max_severity") / 2, 0).cast("int"), 3, 10)
     return rows.filter(F.abs("z") >= z_threshold).select(
-        "layer", "region", "count", F.bround("mean_count", 2).alias("baseline_mean"), F.bround("std", 2).alias("baseline_std"),
-        F.bround("z", 2).alias("z_score"), "max_severity", "avg_severity",
+        "layer", "region", "count", round_even(F.col("mean_count"), 2).alias("baseline_mean"), round_even(F.col("std"), 2).alias("baseline_std"),
+        round_even(F.col("z"), 2).alias("z_score"), "max_severity", "avg_severity",
         F.when(F.col("z") > 0, "spike").otherwise("dropout").alias("direction"),
         severity.alias("anomaly_severity"), F.lit("ewma").alias("method"),
     )
@@ -185,11 +185,11 @@ def forest_anomalies(current: DataFrame, history: DataFrame, trees: DataFrame, c
         "iso_score", F.col("raw_score") - offset.scalar()
     )
     severity = clamp(
-        F.bround(3 + F.abs(F.least(F.lit(0.0), F.col("iso_score"))) * 30 + F.col("max_severity") / 2, 0).cast("int"), 3, 10
+        round_even(3 + F.abs(F.least(F.lit(0.0), F.col("iso_score"))) * 30 + F.col("max_severity") / 2, 0).cast("int"), 3, 10
     )
     return scored.filter(F.col("iso_score") < 0).select(
-        "layer", "region", F.col("count").cast("bigint").alias("count"), F.bround("iso_score", 4).alias("iso_score"),
-        F.col("max_severity").cast("int").alias("max_severity"), F.bround("avg_severity", 2).alias("avg_severity"),
+        "layer", "region", F.col("count").cast("bigint").alias("count"), round_even(F.col("iso_score"), 4).alias("iso_score"),
+        F.col("max_severity").cast("int").alias("max_severity"), round_even(F.col("avg_severity"), 2).alias("avg_severity"),
         severity.alias("anomaly_severity"), F.lit("isolation_forest").alias("method"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import grid_index
-from tidemark.functions.stats import binomial_upper_tail
+from tidemark.functions.stats import binomial_upper_tail, round_even
 from tidemark.operators.latest import top_per_group
 from tidemark.sources.refdata import PAIR_RULES
 
@@ -41,7 +41,7 @@ def correlations(events: DataFrame, size_deg: float = 5.0, min_layers: int = 2,
     cells = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_set(F.when(F.col("layer") != "", F.col("layer")))).alias("layers"),
         F.count(F.lit(1)).alias("event_count"),
-        F.bround(F.avg("lat"), 3).alias("center_lat"), F.bround(F.avg("lng"), 3).alias("center_lng"),
+        round_even(F.avg("lat"), 3).alias("center_lat"), round_even(F.avg("lng"), 3).alias("center_lng"),
         F.max(severity).alias("max_severity"),
     ).filter(F.size("layers") >= min_layers)
     fired = cells.withColumn("rules_fired", _fired(F.col("layers")))
@@ -78,7 +78,7 @@ def firing_audit(
     rows = rows.withColumns({"lift": elevation, "p": p})
     flag = (F.col("today_firings") >= min_firings) & (F.col("lift") > elevation_threshold) & (F.col("p") < p_threshold)
     return rows.select(
-        "rule", "today_firings", "today_total", F.bround("rate", 6).alias("today_rate"), "history_firings", "history_total",
-        F.bround("base", 6).alias("baseline_rate"), F.bround("lift", 3).alias("elevation"), F.bround("p", 6).alias("p_value"),
+        "rule", "today_firings", "today_total", round_even(F.col("rate"), 6).alias("today_rate"), "history_firings", "history_total",
+        round_even(F.col("base"), 6).alias("baseline_rate"), round_even(F.col("lift"), 3).alias("elevation"), round_even(F.col("p"), 6).alias("p_value"),
         flag.alias("elevated"),
     )

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import exp_decay
+from tidemark.functions.stats import exp_decay, round_even
 from tidemark.operators.detectors.base import age_hours
 
 HISTORY_H, HORIZON_H, SEASON_H = 72, 48, 24
@@ -76,8 +76,8 @@ def hotspots(samples: DataFrame, as_of: Column, history_h: int = HISTORY_H, hori
     scored = recency_scores(samples, as_of, **recency).join(predicted, ["layer", "region"], "left")
     seasonal = F.col("f.total").isNotNull()
     return scored.select(
-        "layer", "region", F.bround(F.coalesce("f.total", "recency_score"), 3).alias("score"),
+        "layer", "region", round_even(F.coalesce("f.total", "recency_score"), 3).alias("score"),
         F.when(seasonal, "seasonal").otherwise("recency_weighted_fallback").alias("method"),
-        F.bround("f.peak", 3).alias("forecast_max"), F.bround("f.mean", 3).alias("forecast_mean"),
+        round_even(F.col("f.peak"), 3).alias("forecast_max"), round_even(F.col("f.mean"), 3).alias("forecast_mean"),
         "max_historical_severity", "evidence_count",
     ).orderBy(F.desc("score"), "layer", "region")

@@ -9,6 +9,16 @@ from pyspark.sql import DataFrame
 SETTING = "spark.checkpoint.dir"
 
 
+def shared_folder(spark) -> str:
+    """The shared folder for checkpoints and other intermediate files."""
+    folder = spark.conf.get(SETTING, None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} must name a shared folder")
+        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder the session names; survives the loss of executors.
 
@@ -17,10 +27,5 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get(SETTING, None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError(f"{SETTING} must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

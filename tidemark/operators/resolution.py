@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import round_even
 from tidemark.operators.names import similar_names
 
 RELATION = "probabilistic_alias"
@@ -82,7 +83,7 @@ def alias_edges(vessels: DataFrame, listed: DataFrame, as_of, min_probability: f
     scores = F.create_map(*[F.lit(x) for p, v in table.items() for x in ("".join(map(str, p)), v)])
     pattern = F.concat(*[F.col(c).cast("string") for c in LEVELS])
     return (
-        pairs.withColumn("confidence", F.bround(F.try_element_at(scores, pattern), 4))
+        pairs.withColumn("confidence", round_even(F.try_element_at(scores, pattern), 4))
         .filter(F.col("confidence") >= min_probability)
         .select(
             F.col("entity_id").alias("from_entity"), F.col("listed_id").alias("to_entity"), F.lit(RELATION).alias("relation_type"),

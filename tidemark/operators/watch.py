@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import EARTH_KM, haversine_km, in_bbox
+from tidemark.functions.stats import round_even
 from tidemark.operators.latest import top_per_group
 from tidemark.operators.spatial import cell_of, cells_within, radius_join
 from tidemark.sources.refdata import CATEGORIES, LEVEL_RANK
@@ -74,7 +75,7 @@ def watch_matches(events: DataFrame, watchlists: DataFrame) -> DataFrame:
         F.coalesce(F.col("severity"), F.lit(0)) >= F.col("min_severity")
     )
     return rows.join(lists, "_cell").filter(hit).filter(distance <= F.col("radius_km")).withColumn(
-        "distance_km", F.bround(distance, 1)
+        "distance_km", round_even(distance, 1)
     ).drop("_cell")
 
 
@@ -95,8 +96,8 @@ def watch_sources(events: DataFrame, anomalies: DataFrame | None = None, cluster
         out = out.unionByName(clusters.select(
             F.lit("correlation").alias("kind"), F.lit(2).alias("kind_order"),
             F.concat(
-                F.lit("correlation:"), F.array_join("layers", "+"), F.lit("@"), F.bround("center_lat", 1).cast("string"), F.lit(","),
-                F.bround("center_lng", 1).cast("string"),
+                F.lit("correlation:"), F.array_join("layers", "+"), F.lit("@"), round_even(F.col("center_lat"), 1).cast("string"), F.lit(","),
+                round_even(F.col("center_lng"), 1).cast("string"),
             ).alias("match_id"),
             F.col("layers").alias("event_layers"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"),
             F.col("severity").cast("int").alias("severity"), F.lit(None).cast("timestamp").alias("event_time"),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import in_bbox
+from tidemark.operators.lineage import shared_folder
 from tidemark.operators.merge import MOTION, upsert_entities, with_event_ids
 from tidemark.operators.watch import watch_matches
 from tidemark.sources.feeds import Feed, conform, read
@@ -118,3 +120,27 @@ def start(stream: DataFrame, batch_sink: Callable[[DataFrame, int], None], check
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(stream: DataFrame) -> DataFrame:
+    """Run a stream over everything that has landed, and read back what it wrote.
+
+    Files and progress go to the shared folder, so any executor can read them.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/drain-{uuid.uuid4().hex}"
+    # Custom state with timers and several variables needs this store; it also spills to disk.
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.format("parquet").option("checkpointLocation", folder + "/progress").option("path", folder + "/rows")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(stream.schema).parquet(folder + "/rows")

@@ -130,7 +130,13 @@ def baseline_stream(counts: DataFrame, alpha: float = 0.25) -> DataFrame:
 
 
 class Silence(StatefulProcessor):
-    """Fires when an entity has been silent for a number of hours of event time after moving."""
+    """Fires for each silence of a number of hours of event time that begins while moving.
+
+    A silence shows either as a gap between two pings or, if no ping follows, when the
+    watermark passes the timer. Either way it fires once, however the batches fall.
+    """
+
+    COLUMNS = ["entity_id", "last_seen", "lat", "lng", "velocity_ms"]
 
     def __init__(self, silent_hours: float, min_velocity: float) -> None:
         self.silent_ms, self.min_velocity = int(silent_hours * HOUR_MS), min_velocity
@@ -139,26 +145,30 @@ class Silence(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at_ms long, lat double, lng double, velocity double")
 
+    def _found(self, key, ping) -> list[tuple]:
+        at, lat, lng, velocity = ping
+        return [(key[0], pd.Timestamp(at, unit="ms"), lat, lng, velocity)] if velocity > self.min_velocity else []
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _rows(rows, ["at_ms", "ping_id"])
-        newest = pdf.iloc[-1]
-        known = self.last.get() if self.last.exists() else None
-        if known is None or newest["at_ms"] >= known[0]:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            at = int(newest["at_ms"])
-            self.last.update((at, float(newest["lat"]), float(newest["lng"]), float(newest["velocity_ms"])))
-            self.handle.registerTimer(at + self.silent_ms)
-        yield pd.DataFrame({"entity_id": [], "last_seen": [], "lat": [], "lng": [], "velocity_ms": []})
+        known = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for row in _rows(rows, ["at_ms", "ping_id"]).itertuples(index=False):
+            ping = (int(row.at_ms), float(row.lat), float(row.lng), float(row.velocity_ms))
+            if known is not None and ping[0] < known[0]:
+                continue
+            if known is not None and ping[0] - known[0] >= self.silent_ms:
+                out += self._found(key, known)
+            known = ping
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.last.update(known)
+        self.handle.registerTimer(known[0] + self.silent_ms)
+        yield pd.DataFrame(out, columns=self.COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        found = []
-        if self.last.exists():
-            at, lat, lng, velocity = self.last.get()
-            if velocity > self.min_velocity:
-                found.append((key[0], pd.Timestamp(at, unit="ms"), lat, lng, velocity))
-            self.last.clear()
-        yield pd.DataFrame(found, columns=["entity_id", "last_seen", "lat", "lng", "velocity_ms"])
+        out = self._found(key, tuple(self.last.get())) if self.last.exists() else []
+        self.last.clear()
+        yield pd.DataFrame(out, columns=self.COLUMNS)
 
     def close(self) -> None:
         pass
