@@ -148,27 +148,23 @@ def news_categories(categories: Column) -> Column:
     return F.coalesce(F.array_max(scores), F.lit(0))
 
 
-def police(text: Column) -> Column:
-    return T.keyword_tier(text, R.POLICE_TIERS, R.POLICE_DEFAULT)
+def police(low: Column) -> Column:
+    return T.keyword_tier(low, R.POLICE_TIERS, R.POLICE_DEFAULT)
 
 
-def citizen(text: Column) -> Column:
-    return T.keyword_tier(text, R.CITIZEN_TIERS, R.CITIZEN_DEFAULT)
+def citizen(low: Column) -> Column:
+    return T.keyword_tier(low, R.CITIZEN_TIERS, R.CITIZEN_DEFAULT)
 
 
-def post(text: Column) -> Column:
-    """Whole-word keywords: 6 with a grave one, 4 with any, else 1."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return (
-        F.when(low.rlike("\\b(" + "|".join(R.POST_GRAVE_KEYWORDS) + ")\\b"), 6)
-        .when(low.rlike("\\b(" + "|".join(R.POST_KEYWORDS) + ")\\b"), 4)
-        .otherwise(1)
-    )
+def post(low: Column) -> Column:
+    """Whole-word keywords of lower-cased text: 6 with a grave one, 4 with any, else 1."""
+    whole = lambda words: T.contains_any(low, words) & low.rlike("\\b(" + "|".join(words) + ")\\b")
+    return F.when(whole(R.POST_GRAVE_KEYWORDS), 6).when(whole(R.POST_KEYWORDS), 4).otherwise(1)
 
 
-def topic(title: Column) -> Column:
-    """Slug of the first topic, in list order, with a keyword in the title; null if none."""
-    return F.coalesce(*[F.when(T.contains_any(title, words), F.lit(slug)) for slug, words, *_ in R.TOPICS])
+def topic(low: Column) -> Column:
+    """Slug of the first topic, in list order, with a keyword in the lower-cased title; null if none."""
+    return F.coalesce(*[F.when(T.contains_any(low, words), F.lit(slug)) for slug, words, *_ in R.TOPICS])
 
 
 def suspicious_vessel(mmsi: Column, ship_type: Column, speed: Column, name: Column) -> Column:

@@ -41,25 +41,34 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(set_jaccard(tokens(a), tokens(b)), F.lit(1.0))
 
 
-def contains_any(text: Column, words: Sequence[str]) -> Column:
-    """Substring (not whole-word) test against a keyword list, as one regular expression."""
-    return F.lower(text).rlike("|".join(_quote(w) for w in words))
+def contains_any(low: Column, words: Sequence[str]) -> Column:
+    """Substring (not whole-word) test of lower-cased text against a keyword list.
 
+    A chain of byte searches; on long texts it is far cheaper than one regular expression.
+    """
+    hit = F.contains(low, F.lit(words[0]))
+    for word in words[1:]:
+        hit = hit | F.contains(low, F.lit(word))
+    return hit
 
-def keyword_tier(text: Column, tiers: Sequence[tuple[Sequence[str], float]], default) -> Column:
-    """Value of the first tier with a keyword in the text."""
+
+def keyword_tier(low: Column, tiers: Sequence[tuple[Sequence[str], float]], default) -> Column:
+    """Value of the first tier with a keyword in the lower-cased text."""
     expr = None
     for words, value in tiers:
-        hit = contains_any(text, words)
+        hit = contains_any(low, words)
         expr = F.when(hit, F.lit(value)) if expr is None else expr.when(hit, F.lit(value))
     return expr.otherwise(F.lit(default))
 
 
-def first_listed(text: Column, words: Sequence[str], whole_word: bool = False) -> Column:
-    """First word of the list, in list order, that occurs in the text; null if none does."""
-    edge = "\\b" if whole_word else ""
-    low = F.lower(text)
-    return F.coalesce(*[F.when(low.rlike(edge + _quote(w) + edge), F.lit(w)) for w in words])
+def first_listed(low: Column, words: Sequence[str], whole_word: bool = False) -> Column:
+    """First word of the list, in list order, that occurs in the lower-cased text; null if none does."""
+
+    def hit(word: str) -> Column:
+        found = F.contains(low, F.lit(word))
+        return found & low.rlike("\\b" + _quote(word) + "\\b") if whole_word else found
+
+    return F.coalesce(*[F.when(hit(w), F.lit(w)) for w in words])
 
 
 def _quote(word: str) -> str:

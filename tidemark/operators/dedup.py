@@ -10,9 +10,9 @@ order. Rows stream through the walk; its state holds the accepted rows of one wi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,28 +75,35 @@ class GreedyWindow:
 
     def judge(self, at: float, event_id: str, toks, lat: float, lng: float) -> tuple[str | None, float | None]:
         """(accepted row it duplicates, similarity), or (None, None) after accepting the row."""
-        self.rows = [r for r in self.rows if r[0] >= at - self.window_s]
+        start = at - self.window_s
+        if self.rows and self.rows[0][0] < start:
+            self.rows = [r for r in self.rows if r[0] >= start]
         mine = frozenset(toks)
+        least, most = len(mine) * self.threshold, len(mine) / self.threshold
+        placed = lat == lat and lng == lng
         for _, other, theirs, o_lat, o_lng in reversed(self.rows):
-            if not np.isnan([lat, lng, o_lat, o_lng]).any() and _km(lat, lng, o_lat, o_lng) > self.radius_km:
+            # Sizes too far apart cannot reach the threshold; most rows end here or at the sets.
+            if not least <= len(theirs) <= most:
                 continue
             similarity = _jaccard(mine, theirs)
-            if similarity >= self.threshold:
-                return other, similarity
+            if similarity < self.threshold:
+                continue
+            if placed and o_lat == o_lat and o_lng == o_lng and _km(lat, lng, o_lat, o_lng) > self.radius_km:
+                continue
+            return other, similarity
         self.rows.append((at, event_id, mine, lat, lng))
         return None, None
 
 
 def _jaccard(a: frozenset, b: frozenset) -> float:
-    if not a and not b:
-        return 1.0
-    return len(a & b) / len(a | b) if a and b else 0.0
+    shared = len(a & b)
+    return shared / (len(a) + len(b) - shared) if a or b else 1.0
 
 
 def _km(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
-    p1, p2 = np.radians(lat1), np.radians(lat2)
-    h = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lng2 - lng1) / 2) ** 2
-    return float(2 * 6371.0088 * np.arcsin(np.sqrt(min(1.0, h))))
+    p1, p2 = math.radians(lat1), math.radians(lat2)
+    h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(lng2 - lng1) / 2) ** 2
+    return 2 * 6371.0088 * math.asin(math.sqrt(min(1.0, h)))
 
 
 def near_duplicates(

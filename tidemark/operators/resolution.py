@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import round_even
+from tidemark.operators.lineage import durable
 from tidemark.operators.names import similar_names
 
 RELATION = "probabilistic_alias"
-NAME_FLOOR = 0.6
-LEVELS = {"imo_level": 3, "mmsi_level": 3, "name_level": 4}  # 0 is always "unknown or unlike"
+NAME_FLOOR = 0.75
+LEVELS = {"imo_level": 3, "mmsi_level": 3, "name_level": 3}  # 0 is always "unknown or unlike"
 
 
 def candidate_pairs(vessels: DataFrame, listed: DataFrame) -> DataFrame:
@@ -43,19 +44,19 @@ def candidate_pairs(vessels: DataFrame, listed: DataFrame) -> DataFrame:
     sim = F.coalesce("similarity", F.lit(0.0))
     return full.select(
         "entity_id", "listed_id", exact("imo", "listed_imo").alias("imo_level"), exact("mmsi", "listed_mmsi").alias("mmsi_level"),
-        F.when(sim >= 0.9, 3).when(sim >= 0.75, 2).when(sim >= NAME_FLOOR, 1).otherwise(0).alias("name_level"),
+        F.when(sim >= 0.9, 2).when(sim >= NAME_FLOOR, 1).otherwise(0).alias("name_level"),
     )
 
 
 def fit(pairs: DataFrame, rounds: int = 25) -> dict[tuple[int, ...], float]:
     """Match probability per agreement pattern, by expectation-maximisation over pattern counts."""
     names = list(LEVELS)
-    counted = pairs.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3*3*4 rows
+    counted = pairs.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3*3*3 rows
     patterns = list(itertools.product(*[range(k) for k in LEVELS.values()]))
     n = np.array([sum(r["n"] for r in counted if tuple(r[c] for c in names) == p) for p in patterns], dtype=float)
     # Starting point: agreement is likely among matches and rare among others.
-    m = [np.array(p) for p in ([0.1, 0.05, 0.85], [0.4, 0.2, 0.4], [0.1, 0.1, 0.2, 0.6])]
-    u = [np.array(p) for p in ([0.3, 0.69, 0.01], [0.5, 0.49, 0.01], [0.4, 0.4, 0.15, 0.05])]
+    m = [np.array(p) for p in ([0.1, 0.05, 0.85], [0.4, 0.2, 0.4], [0.15, 0.15, 0.7])]
+    u = [np.array(p) for p in ([0.3, 0.69, 0.01], [0.5, 0.49, 0.01], [0.5, 0.4, 0.1])]
     share = 0.1
     levels = np.array(patterns)
     for _ in range(rounds):
@@ -78,7 +79,7 @@ def fit(pairs: DataFrame, rounds: int = 25) -> dict[tuple[int, ...], float]:
 
 def alias_edges(vessels: DataFrame, listed: DataFrame, as_of, min_probability: float = 0.5) -> DataFrame:
     """Edges (from_entity, to_entity, relation_type, valid_from, confidence), ready for an idempotent insert."""
-    pairs = candidate_pairs(vessels, listed)
+    pairs = durable(candidate_pairs(vessels, listed))
     table = fit(pairs)
     scores = F.create_map(*[F.lit(x) for p, v in table.items() for x in ("".join(map(str, p)), v)])
     pattern = F.concat(*[F.col(c).cast("string") for c in LEVELS])

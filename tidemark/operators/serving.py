@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.geo import geodesic_m, in_bbox
+from tidemark.functions.geo import in_bbox
 from tidemark.functions.stats import cosine_distance
 from tidemark.functions.text import trigram_similarity
 from tidemark.operators.detectors.base import hours
 from tidemark.operators.latest import latest_by, newest, top_per_group
 from tidemark.operators.merge import union_first
+from tidemark.operators.spatial import radius_join
 from tidemark.sources.refdata import RARE_TIER1_TYPES, TEXT_EVENT_TYPES
 
 Box = tuple[float, float, float, float]
@@ -45,13 +46,11 @@ def entity_track(track: DataFrame, entity_id: str, as_of: Column, window_hours:
 
 
 def entity_events(current: DataFrame, events: DataFrame, entity_id: str, as_of: Column, radius_m: float = 50_000, window_hours: int = 24, limit: int = 100) -> DataFrame:
-    """Events near the latest position of one entity, which enters the plan as two scalars."""
-    one = current.filter(F.col("entity_id") == entity_id)
-    lat, lng = one.agg(F.max("lat")).scalar(), one.agg(F.max("lng")).scalar()
-    rows = events.filter(F.col("event_time") >= as_of - hours(window_hours)).withColumn(
-        "distance_m", geodesic_m(lat, lng, F.col("lat"), F.col("lng"))
-    )
-    return newest(rows.filter(F.col("distance_m") <= radius_m), [F.desc("event_time"), F.asc("id")], limit)
+    """Events near the latest position of one entity: a radius join with a single probing row."""
+    one = current.filter(F.col("entity_id") == entity_id).select(F.col("lat").alias("at_lat"), F.col("lng").alias("at_lng"))
+    rows = events.filter(F.col("event_time") >= as_of - hours(window_hours))
+    near = radius_join(one, rows, radius_m, ("at_lat", "at_lng"), ("lat", "lng"), hot_cell=None).drop("at_lat", "at_lng")
+    return newest(near, [F.desc("event_time"), F.asc("id")], limit)
 
 
 def membership(findings: DataFrame) -> DataFrame:

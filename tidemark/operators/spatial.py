@@ -41,29 +41,31 @@ def cell_of(lat: Column, lng: Column, size: float) -> Column:
     return row * _ROW + col
 
 
-def cells_within(lat: Column, lng: Column, radius_m: float | Column, size: float) -> Column:
-    """Distinct cells a circle touches, across the date line and around the poles."""
+def explode_cells(df: DataFrame, at: tuple[str, str], radius_m: float | Column, size: float) -> DataFrame:
+    """Each row once per cell (`_cell`) that its circle touches, across the date line and around the poles.
+
+    Two plain explodes, first over latitude rows and then over the columns of a row: both
+    compile into the surrounding stage, which nested array functions do not.
+    """
+    lat, lng = F.col(at[0]), F.col(at[1])
     radius = radius_m if isinstance(radius_m, Column) else F.lit(float(radius_m))
     delta = F.least(radius * (1.01 / 110_574.0), F.lit(180.0))  # degrees, widened for the ellipsoid
-    last_row = F.lit(int(math.floor(180 / size)))
-    rows = F.sequence(
-        F.greatest(F.lit(0), F.floor((lat - delta + 90) / size)).cast("bigint"),
-        F.least(last_row, F.floor((lat + delta + 90) / size)).cast("bigint"),
-    )
+    first = F.greatest(F.lit(0), F.floor((lat - delta + 90) / size)).cast("bigint")
+    last = F.least(F.lit(int(math.floor(180 / size))), F.floor((lat + delta + 90) / size)).cast("bigint")
     sin_half = F.sin(F.radians(F.least(delta, F.lit(90.0)))) / F.cos(F.radians(lat))
     polar = (F.abs(lat) + delta >= 89.9) | (sin_half >= 1)
     half = F.when(polar, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), sin_half))))
-
-    def in_row(row: Column) -> Column:
-        n = _columns_in_row(row, size)
-        west = F.floor((lng - half + 180) / 360 * n).cast("bigint")
-        east = F.floor((lng + half + 180) / 360 * n).cast("bigint")
-        whole = east - west + 1 >= n
-        span = F.sequence(F.when(whole, F.lit(0)).otherwise(west).cast("bigint"),
-                          F.when(whole, n - 1).otherwise(east).cast("bigint"))
-        return F.transform(span, lambda c: row * _ROW + F.pmod(c, n))
-
-    return F.flatten(F.transform(rows, in_row))
+    rows = df.withColumn("_half", half).withColumn("_row", F.explode(F.sequence(first, last)))
+    n = F.col("_n")
+    edge = lambda side: F.floor((lng + side * F.col("_half") + 180) / 360 * n).cast("bigint")
+    spans = rows.withColumn("_n", _columns_in_row(F.col("_row"), size)).withColumns({"_west": edge(-1), "_east": edge(1)})
+    whole = F.col("_east") - F.col("_west") + 1 >= n
+    columns = F.sequence(F.when(whole, F.lit(0)).otherwise(F.col("_west")), F.when(whole, n - 1).otherwise(F.col("_east")))
+    return (
+        spans.withColumn("_column", F.explode(columns))
+        .withColumn("_cell", F.col("_row") * _ROW + F.pmod(F.col("_column"), n))
+        .drop("_half", "_row", "_n", "_west", "_east", "_column")
+    )
 
 
 def _with_vector(df: DataFrame, at: tuple[str, str], name: str, ellipsoid: bool = True) -> DataFrame:
@@ -111,9 +113,7 @@ def radius_join(
     p_lat, p_lng = (F.col(c) for c in probe_at)
     b_lat, b_lng = (F.col(c) for c in build_at)
     build_cells = build.filter(b_lat.isNotNull() & b_lng.isNotNull()).withColumn("_cell", cell_of(b_lat, b_lng, size))
-    probe_cells = probe.filter(p_lat.isNotNull() & p_lng.isNotNull()).withColumn(
-        "_cell", F.explode(cells_within(p_lat, p_lng, radius_m, size))
-    )
+    probe_cells = explode_cells(probe.filter(p_lat.isNotNull() & p_lng.isNotNull()), probe_at, radius_m, size)
     keys = ["_cell"]
     if hot_cell:
         hot = F.broadcast(_salts_per_hot_cell(build_cells, hot_cell))
@@ -153,8 +153,7 @@ def within_of_places(points: DataFrame, places: DataFrame, radius_m: float, at=(
     """Points near fixed places: the places are exploded into cells, the points stay one row each."""
     size = cell_size_deg(radius_m)
     lat, lng = (F.col(c) for c in at)
-    p_lat, p_lng = (F.col(c) for c in place_at)
-    spread = places.withColumn("_cell", F.explode(cells_within(p_lat, p_lng, radius_m, size)))
+    spread = explode_cells(places, place_at, radius_m, size)
     cells = points.filter(lat.isNotNull() & lng.isNotNull()).withColumn("_cell", cell_of(lat, lng, size))
     pairs = _with_vector(cells, at, "u").join(_with_vector(spread, place_at, "v"), "_cell")
     return _close(pairs, "u", "v", radius_m).drop("_cell")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.geo import EARTH_KM, haversine_km, in_bbox
 from tidemark.functions.stats import round_even
 from tidemark.operators.latest import top_per_group
-from tidemark.operators.spatial import cell_of, cells_within, radius_join
+from tidemark.operators.spatial import cell_of, explode_cells, radius_join
 from tidemark.sources.refdata import CATEGORIES, LEVEL_RANK
 
 WATCH_CELL_DEG = 2.0
@@ -62,10 +62,7 @@ def subscription_join(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 def watch_matches(events: DataFrame, watchlists: DataFrame) -> DataFrame:
     """Event × watch list: layer, severity and circle. Circles are exploded into grid cells."""
-    lists = watchlists.filter("enabled").withColumn(
-        "_cell",
-        F.explode(cells_within(F.col("center_lat"), F.col("center_lng"), F.col("radius_km") * 1000, WATCH_CELL_DEG)),
-    )
+    lists = explode_cells(watchlists.filter("enabled"), ("center_lat", "center_lng"), F.col("radius_km") * 1000, WATCH_CELL_DEG)
     rows = events.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).withColumn(
         "_cell", cell_of(F.col("lat"), F.col("lng"), WATCH_CELL_DEG)
     )

@@ -438,11 +438,22 @@ def d15(t: Tables) -> DataFrame:
     return _port_arrivals(t).select("entity_id", "key", "event_subtype", "severity")
 
 
-@query("d16_fleet_cluster")
+_DBSCAN = """pt AS (SELECT entity_id AS id, radians(max(lng)) * 6378137.0 AS x, ln(tan(pi()/4 + radians(max(lat))/2)) * 6378137.0 AS y FROM under GROUP BY 1),
+  nb AS (SELECT a.id, b.id AS o FROM pt a JOIN pt b ON abs(a.x - b.x) <= 10000 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 1e8),
+  core AS (SELECT id FROM nb GROUP BY 1 HAVING count(*) >= 3),
+  reach AS (SELECT id AS src, id AS dst FROM core UNION SELECT r.src, nb.o FROM reach r JOIN nb ON nb.id = r.dst JOIN core ON core.id = nb.o),
+  label AS (SELECT src AS id, min(dst) AS cl FROM reach GROUP BY 1),
+  member AS (SELECT id, cl FROM label UNION ALL SELECT nb.id, min(l.cl) FROM nb JOIN label l ON l.id = nb.o WHERE nb.id NOT IN (SELECT id FROM core) GROUP BY 1),
+  width AS (SELECT m.cl, max(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))) AS d FROM member m JOIN member n ON n.cl = m.cl JOIN pt p ON p.id = m.id JOIN pt q ON q.id = n.id GROUP BY 1)"""
+
+
+@query("d16_fleet_cluster", LIVE, """
+    SELECT min(m.id) AS entity_id, CASE WHEN count(*) >= 6 THEN 'large_fleet' WHEN count(*) >= 4 THEN 'fleet' ELSE 'cluster' END AS event_subtype, count(*) AS cluster_size, round(any_value(w.d), 1) AS diameter_m
+    FROM member m JOIN width w ON w.cl = m.cl WHERE w.d <= 30000 GROUP BY m.cl HAVING count(*) >= 3""", "RECURSIVE " + ", ".join((MATCHED, _DBSCAN)))
 def d16(t: Tables) -> DataFrame:
     members = clusters.fleet_members(clusters.latest_matches(matches(t), t.as_of))
     found = clusters.fleet_clusters(members, t.as_of)
-    return found.select("entity_id", "event_subtype", "key", listed.prop("cluster_size").cast("bigint").alias("cluster_size"), listed.prop("diameter_m").cast("double").alias("diameter_m"))
+    return found.select("entity_id", "event_subtype", listed.prop("cluster_size").cast("bigint").alias("cluster_size"), listed.prop("diameter_m").cast("double").alias("diameter_m"))
 
 
 def _daily(t: Tables) -> DataFrame:
@@ -556,9 +567,9 @@ def d22(t: Tables) -> DataFrame:
 
 @query("d22_candidate_pairs", ("entity", "listed"), f"""
     SELECT entity_id, listed_id, CASE WHEN imo IS NULL OR listed_imo IS NULL THEN 0 WHEN imo = listed_imo THEN 2 ELSE 1 END AS imo_level,
-      CASE WHEN sim >= 0.9 THEN 3 WHEN sim >= 0.75 THEN 2 WHEN sim >= 0.6 THEN 1 ELSE 0 END AS name_level
+      CASE WHEN sim >= 0.9 THEN 2 WHEN sim >= 0.75 THEN 1 ELSE 0 END AS name_level
     FROM (SELECT e.entity_id, l.listed_id, e.imo, l.listed_imo, coalesce({jaccard_sql('e.g', 'l.g')}, 0) AS sim FROM (SELECT *, {trigrams_sql('upper(display_name)')} AS g FROM entity WHERE entity_type = 'vessel') e,
-      (SELECT *, {trigrams_sql('upper(listed_name)')} AS g FROM listed) l) WHERE sim >= 0.6 OR imo = listed_imo""")
+      (SELECT *, {trigrams_sql('upper(listed_name)')} AS g FROM listed) l) WHERE sim >= 0.75 OR imo = listed_imo""")
 def d22b(t: Tables) -> DataFrame:
     pairs = resolution.candidate_pairs(t.entity.filter(c("entity_type") == "vessel"), t.listed)
     return pairs.select("entity_id", "listed_id", "imo_level", "name_level")

@@ -247,8 +247,8 @@ _RX = lambda words: "|".join(words)
       CASE {' '.join(f"WHEN regexp_matches(t, '{_RX(w)}') THEN '{s}'" for s, w, *_ in R.TOPICS)} END AS topic
     FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
 def p2(t: Tables) -> DataFrame:
-    x = c("text")
-    return t.raw("documents").select(
+    x = c("low")
+    return t.raw("documents").select("doc_id", F.lower("text").alias("low")).select(
         "doc_id", S.police(x).alias("police"), S.citizen(x).alias("citizen"), S.post(x).alias("post"), S.topic(x).alias("topic")
     )
 

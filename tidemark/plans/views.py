@@ -125,9 +125,10 @@ def oracle(views: tuple[str, ...], body: str, extra: str = "") -> str:
     for v in views:
         visit(v)
     ctes = [f"{name} AS ({_fill(VIEWS[name][1], None)})" for name in order]
+    recursive = extra.startswith("RECURSIVE ")
     if extra:
-        ctes.append(extra)
-    return (f"WITH {', '.join(ctes)} " if ctes else "") + body
+        ctes.append(extra.removeprefix("RECURSIVE "))
+    return (f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} " if ctes else "") + body
 
 
 # Derived relations of the oracle only; the library computes them on the Spark side.

@@ -295,18 +295,18 @@ def feeds() -> dict[str, Feed]:
         layer="police_incidents", event_type="police_incident", kind="alert", schema="city string, itype string, addr string, iid string, lat double, lng double, ts string",
         external_id=F.substring(F.md5(F.concat_ws(":", F.coalesce("city", F.lit("unknown")), F.coalesce("iid", F.lit("0")))), 1, 16),
         lat=_c("lat"), lng=_c("lng"), keep=_placed(_c("lat"), _c("lng")) & _c("lat").between(-90, 90) & _c("lng").between(-180, 180),
-        time=T.parse_time(_c("ts")), severity=S.police(_incident), payload={"incident_type": _incident, "address": _c("addr"), "city": _c("city")},
+        time=T.parse_time(_c("ts")), severity=S.police(_c("low")), rows=lambda df: df.withColumn("low", F.lower(_incident)), payload={"incident_type": _incident, "address": _c("addr"), "city": _c("city")},
     )
     POSTS = Feed(
         layer="social_bluesky", event_type="bluesky_post", schema="did string, rkey string, text string, lat double, lng double, ts string", quality="unknown",
-        external_id=F.concat_ws(":", F.lit("bsky"), "did", "rkey"), lat=_c("lat"), lng=_c("lng"), time=T.parse_time(_c("ts")), severity=S.post(_c("text")),
-        subtype=T.first_listed(_c("text"), S.R.POST_SUBTYPES, whole_word=True), payload={"text": _c("text")},
+        external_id=F.concat_ws(":", F.lit("bsky"), "did", "rkey"), lat=_c("lat"), lng=_c("lng"), time=T.parse_time(_c("ts")), severity=S.post(_c("low")), rows=lambda df: df.withColumn("low", F.lower(F.coalesce("text", F.lit("")))),
+        subtype=T.first_listed(_c("low"), S.R.POST_SUBTYPES, whole_word=True), payload={"text": _c("text")},
     )
     _spot = T.coordinates_in(_c("text"))
     CITIZEN = Feed(
         layer="citizen_osint", event_type="citizen_post", kind="alert", schema="source string, uid string, text string, ts string",
         external_id=F.substring(F.md5(F.concat_ws(":", "source", "uid")), 1, 16), lat=_spot["lat"], lng=_spot["lng"], keep=_spot.isNotNull(),
-        time=T.parse_time(_c("ts")), severity=S.citizen(_c("text")), payload={"text": _c("text"), "platform": _c("source")},
+        time=T.parse_time(_c("ts")), severity=S.citizen(_c("low")), rows=lambda df: df.withColumn("low", F.lower("text")), payload={"text": _c("text"), "platform": _c("source")},
     )
 
     return {
