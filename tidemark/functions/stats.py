@@ -66,7 +66,7 @@ def linear_decay(age_hours: Column, zero_at: float = 6.0) -> Column:
 
 
 def round_even(x: Column, places: int) -> Column:
-    """Half-even rounding of the binary value, as Python's round; bround rounds its decimal text."""
+    """Half-even rounding of x * 10^places as a binary number; bround would round the decimal text of x."""
     factor = float(10 ** abs(places))
     return F.rint(x * factor) / factor if places >= 0 else F.rint(x / factor) * factor
 
