@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates, anomaly, dedup, embedding, forecast, merge, resolution, serving, watch
 from tidemark.sources import sinks
-from tidemark.streaming import pipeline, state
+from tidemark.streaming import flows, state
 
 NOW = datetime(2026, 5, 20, 12, 0, 0)
 
@@ -111,13 +111,13 @@ def landed(spark, tmp_path, df, name):
 
 def test_stream_equals_batch(spark, tmp_path, tables):
     rows = news(spark, duplicates_fixture(9, 120))
-    stream = {r["event_id"] for r in pipeline.drain(state.near_duplicates_stream(landed(spark, tmp_path, rows, "n"))).filter("duplicate_of is null").collect()}
+    stream = {r["event_id"] for r in flows.drain(state.near_duplicates_stream(landed(spark, tmp_path, rows, "n"))).filter("duplicate_of is null").collect()}
     batch = {r["event_id"] for r in dedup.near_duplicates(rows).filter("duplicate_of is null").collect()}
     assert stream == batch
     from tidemark.plans.join_queries import _daily
 
     daily = _daily(tables).withColumn("cycle", F.col("cycle").cast("bigint"))
-    got = pipeline.drain(state.baseline_stream(landed(spark, tmp_path, daily, "d"))).orderBy(F.desc("cycle"))
+    got = flows.drain(state.baseline_stream(landed(spark, tmp_path, daily, "d"))).orderBy(F.desc("cycle"))
     last = {(r["layer"], r["region"]): r for r in got.groupBy("layer", "region").agg(F.max_by(F.struct("mean_before", "cycles_before", "count"), "cycle").alias("x")).select("layer", "region", "x.*").collect()}
     fold = {(r["layer"], r["region"]): r for r in aggregates.ewma_baselines(daily).collect()}
     for key, row in fold.items():
@@ -131,7 +131,7 @@ def test_two_sinks_deliver_even_if_the_store_fails(spark):
     seen = []
     def broken(batch, epoch):
         raise OSError("disk")
-    run = pipeline.two_sinks(lambda b, e: seen.append(b.count()), broken)
+    run = flows.two_sinks(lambda b, e: seen.append(b.count()), broken)
     with pytest.raises(RuntimeError):
         run(spark.range(3), 0)
     assert seen == [3]

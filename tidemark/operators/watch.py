@@ -49,10 +49,10 @@ def subscription_join(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     A subscription is exploded into the types it names. One that names none takes every
     type of the events, which are few; so no nested loop is planned.
     """
-    types = events.select("event_type").distinct()
+    types = events.select("event_type").distinct().agg(F.collect_list("event_type")).scalar()
     empty = F.coalesce(F.size("categories"), F.lit(0)) == 0
     named = subscriptions.filter(~empty).withColumn("event_type", F.explode(F.array_distinct("categories")))
-    every = subscriptions.filter(empty).withColumn("_k", F.lit(1)).join(types.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    every = subscriptions.filter(empty).withColumn("_types", types).withColumn("event_type", F.explode("_types")).drop("_types")
     wanted = named.unionByName(every.select(*named.columns))
     mine = wanted.select(
         "event_type", *[F.col(c).alias("sub_" + c) for c in subscriptions.columns]

@@ -16,7 +16,7 @@ from tidemark.plans.views import Tables
 from tidemark.sources import lists
 from tidemark.sources import refdata as R
 from tidemark.sources.feeds import conform, feeds
-from tidemark.streaming import pipeline, state
+from tidemark.streaming import flows, state
 
 c = F.col
 
@@ -30,7 +30,7 @@ def landed(t: Tables, view: DataFrame) -> DataFrame:
     return t.spark.readStream.schema(view.schema).parquet(folder)
 
 
-@query("t1_feed_pipeline", ("geo",), """
+@query("t1_feed_stream", ("geo",), """
     SELECT CAST(event_id AS VARCHAR) AS external_id, CAST(CASE WHEN value / 60 >= 7.5 THEN 10 WHEN value / 60 >= 7 THEN 9 WHEN value / 60 >= 6 THEN 8 WHEN value / 60 >= 5.5 THEN 7 WHEN value / 60 >= 5 THEN 6
       WHEN value / 60 >= 4.5 THEN 5 WHEN value / 60 >= 4 THEN 4 WHEN value / 60 >= 3 THEN 2 ELSE 1 END AS INT) AS severity FROM geo WHERE NOT (lat = 0 AND lng = 0)""")
 def t1(t: Tables) -> DataFrame:
@@ -41,17 +41,17 @@ def t1(t: Tables) -> DataFrame:
     )
     geometry = F.struct(F.lit("Point").alias("type"), F.array("lng", "lat", F.lit(1.0)).alias("coordinates"))
     raw = t.geo.select(F.array(F.struct(c("event_id").cast("string").alias("id"), props.alias("properties"), geometry.alias("geometry"))).alias("features"))
-    events = pipeline.with_event_ids(conform(landed(t, raw), feeds()["quakes"], F.current_timestamp()))
+    events = flows.with_event_ids(conform(landed(t, raw), feeds()["quakes"], F.current_timestamp()))
     folder = shared_folder(t.spark) + "/t1-" + str(id(raw))
-    sink = pipeline.two_sinks(lambda batch, epoch: None, pipeline.store_events(folder + "/table"))
+    sink = flows.two_sinks(lambda batch, epoch: None, flows.store_events(folder + "/table"))
     for attempt in ("one", "two"):
-        pipeline.start(events, sink, f"{folder}/{attempt}", once=True).awaitTermination()
+        flows.start(events, sink, f"{folder}/{attempt}", once=True).awaitTermination()
     return t.spark.read.parquet(folder + "/table").select("external_id", "severity")
 
 
 @query("t2_changed_only_stream", ("geo",), CHANGES_SQL)
 def t2(t: Tables) -> DataFrame:
-    return pipeline.drain(state.changed_only_stream(landed(t, changes(t)))).select("id", "seq")
+    return flows.drain(state.changed_only_stream(landed(t, changes(t)))).select("id", "seq")
 
 
 @query("t3_latest_position_stream", ("track",), """
@@ -63,7 +63,7 @@ def t3(t: Tables) -> DataFrame:
         F.lit(0.0).alias("altitude_m"),
     )
     folder = shared_folder(t.spark) + "/t3-" + str(id(rows))
-    query_ = pipeline.start(landed(t, rows), pipeline.merge_positions(folder + "/state"), folder + "/progress", once=True)
+    query_ = flows.start(landed(t, rows), flows.merge_positions(folder + "/state"), folder + "/progress", once=True)
     query_.awaitTermination()
     last = query_.lastProgress["batchId"] if query_.lastProgress else 0
     return t.spark.read.parquet(f"{folder}/state/epoch={last}").select("canonical_id", "position_time", "velocity_ms")
@@ -72,12 +72,12 @@ def t3(t: Tables) -> DataFrame:
 @query("t4_alert_tail", ("finding",), "SELECT id FROM finding WHERE event_type IN ('port_call', 'usgs_quake') AND lat BETWEEN -40 AND 40 AND (lng >= 140 OR lng <= -120)")
 def t4(t: Tables) -> DataFrame:
     rows = landed(t, t.finding.select("id", "event_type", "event_time", "lat", "lng"))
-    return pipeline.drain(pipeline.alert_tail(rows, ["port_call", "usgs_quake"], (140.0, -40.0, -120.0, 40.0))).select("id")
+    return flows.drain(flows.alert_tail(rows, ["port_call", "usgs_quake"], (140.0, -40.0, -120.0, 40.0))).select("id")
 
 
 @query("t5_near_duplicates_stream")
 def t5(t: Tables) -> DataFrame:
-    return pipeline.drain(state.near_duplicates_stream(landed(t, t.news), window_minutes=24 * 60))
+    return flows.drain(state.near_duplicates_stream(landed(t, t.news), window_minutes=24 * 60))
 
 
 @query("t6_baseline_stream", ("geo",), f"""
@@ -87,13 +87,13 @@ def t6(t: Tables) -> DataFrame:
     daily = t.geo.withColumns({"region": region_for(c("lat"), c("lng")), "cycle": F.unix_date(F.to_date("event_time")).cast("bigint")}).groupBy(
         "layer", "region", "cycle"
     ).agg(F.count(F.lit(1)).alias("count"))
-    return pipeline.drain(state.baseline_stream(landed(t, daily))).select("layer", "region", "cycle", "count", "cycles_before")
+    return flows.drain(state.baseline_stream(landed(t, daily))).select("layer", "region", "cycle", "count", "cycles_before")
 
 
 @query("t7_watch_stream", ("geo",), "SELECT CAST(watch_id AS VARCHAR) AS watch_id, match_id FROM hit WHERE km <= radius", _WATCH)
 def t7(t: Tables) -> DataFrame:
     rows = landed(t, t.geo.select("event_id", "event_time", "layer", "lat", "lng", "severity"))
-    return pipeline.drain(pipeline.watch_stream(rows, watchlists(t), late="60 days")).select("watch_id", "match_id")
+    return flows.drain(flows.watch_stream(rows, watchlists(t), late="60 days")).select("watch_id", "match_id")
 
 
 @query("t8_silence_stream", ("track",), """
@@ -101,7 +101,7 @@ def t7(t: Tables) -> DataFrame:
     WHERE velocity_ms > 0.5 AND (floor(epoch_us(nxt) / 1000) - floor(epoch_us(time) / 1000) >= 21600000 OR (nxt IS NULL AND time + INTERVAL 6 HOUR <= latest - INTERVAL 10 MINUTE))""")
 def t8(t: Tables) -> DataFrame:
     rows = landed(t, t.track.select("entity_id", "time", "ping_id", "lat", "lng", "velocity_ms"))
-    found = pipeline.drain(state.silent_vessels_stream(rows))
+    found = flows.drain(state.silent_vessels_stream(rows))
     return found.select("entity_id", F.date_trunc("second", "last_seen").alias("last_seen"))
 
 

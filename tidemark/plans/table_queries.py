@@ -585,7 +585,7 @@ def t5(t: Tables) -> DataFrame:
 
 @query("t9_tumbling_windows", ("finding",), "SELECT time_bucket(INTERVAL 6 HOUR, event_time) AS start, event_type, count(*) AS n FROM finding GROUP BY 1, 2")
 def t9(t: Tables) -> DataFrame:
-    from tidemark.streaming.pipeline import tumbling_counts
+    from tidemark.streaming.flows import tumbling_counts
 
     return tumbling_counts(t.finding, "6 hours").select(c("window.start").alias("start"), "event_type", "n")
 
@@ -593,7 +593,7 @@ def t9(t: Tables) -> DataFrame:
 @query("t9_sliding_windows", ("finding",), """
     SELECT time_bucket(INTERVAL 6 HOUR, event_time) - k * INTERVAL 6 HOUR AS start, event_type, count(*) AS n, max(severity) AS max_severity FROM finding, range(0, 4) AS s(k) GROUP BY 1, 2""")
 def t9b(t: Tables) -> DataFrame:
-    from tidemark.streaming.pipeline import sliding_counts
+    from tidemark.streaming.flows import sliding_counts
 
     return sliding_counts(t.finding, "24 hours", "6 hours").select(c("window.start").alias("start"), "event_type", "n", "max_severity")
 
@@ -602,7 +602,7 @@ def t9b(t: Tables) -> DataFrame:
     SELECT entity_id, count(*) AS pings, min(time) AS start FROM (SELECT *, sum(new) OVER (PARTITION BY entity_id ORDER BY time) AS seg FROM (
       SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY entity_id ORDER BY time) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM track)) GROUP BY entity_id, seg""")
 def t9c(t: Tables) -> DataFrame:
-    from tidemark.streaming.pipeline import track_segments
+    from tidemark.streaming.flows import track_segments
 
     return track_segments(t.track).select("entity_id", "pings", c("session_window.start").alias("start"))
 
