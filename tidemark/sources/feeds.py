@@ -54,9 +54,13 @@ class Feed:
     first_id_wins: bool = False
 
 
-def read(spark: SparkSession, feed: Feed, path: str, stream: bool = False) -> DataFrame:
+def read(spark: SparkSession, feed: Feed, path: str, stream: bool = False, files_per_batch: int = 256) -> DataFrame:
+    """Rows of landed files. For streams the number of files bounds a micro-batch, and with it
+    what keyed state has to hold of one key at a time."""
     reader = (spark.readStream if stream else spark.read).schema(feed.schema).format(feed.format)
     options = {"multiLine": "true"} if feed.format == "json" else {}
+    if stream:
+        options["maxFilesPerTrigger"] = str(files_per_batch)
     return reader.options(**{**options, **feed.options}).load(path)
 
 
