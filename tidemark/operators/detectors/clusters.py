@@ -101,7 +101,7 @@ def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
         .join(cores.select(F.col("id").alias("o_id"), "cluster"), "o_id")
         .groupBy("id").agg(F.min("cluster").alias("cluster"))
     )
-    return points.join(cores.unionByName(border), "id", "left")
+    return placed.select(*points.columns).join(cores.unionByName(border), "id", "left")
 
 
 def _dense_links(dense: DataFrame, side: float, eps2: float, levels: tuple[int, ...] = (4, 32)) -> DataFrame:
@@ -217,7 +217,7 @@ def fleet_members(latest: DataFrame, radius_m: float = 10_000, min_vessels: int
     )
     labelled = durable(dbscan(points, radius_m, min_vessels).filter(F.col("cluster").isNotNull()))
     kept = _diameters(labelled.select("cluster", "x", "y"), radius_m * 3)
-    return labelled.join(kept, "cluster").drop("id", "x", "y")
+    return durable(labelled.join(kept, "cluster").drop("id", "x", "y"))
 
 
 NAMES_SHOWN = 5
