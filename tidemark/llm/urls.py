@@ -39,24 +39,18 @@ DEFAULT = "allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _after_scheme(url: Column) -> Column:
-    """What follows the first `://`; null without one."""
-    at = F.locate("://", url)
-    return F.when(at > 0, F.substring(url, at + F.lit(3), F.length(url)))
-
-
 def host_of(url: Column) -> Column:
-    return F.coalesce(F.translate(F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0), UPPER, LOWER), F.lit(""))
+    """What follows the first `://`; empty without one."""
+    return F.coalesce(F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def page_key(url: Column) -> Column:
-    """A url without its scheme and fragment, host in lower case: the same page for all of them."""
-    rest = F.regexp_extract(_after_scheme(url), r"(?s)^[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), rest))
+    """A url without its scheme and fragment, host in lower case: the same page for all of them. Empty without a host."""
+    return F.concat(host_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]+([^#]*)", 1))
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -92,6 +86,7 @@ def links(pages: DataFrame) -> DataFrame:
     tag = r"(?is)<(?:link\b[^>]*\brel\s*=\s*[\"']?canonical|meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh)\b[^>]*>"
     hinted = pages.filter(F.col("html").rlike(r"(?i)canonical|refresh") & F.col("url").isNotNull())
     tags = hinted.select("url", F.explode(F.regexp_extract_all("html", F.lit(tag), F.lit(0))).alias("tag"))
+    tags = durable(tags)
     href = _attribute(F.col("tag"), "href")
     after = F.btrim(F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is);\s*url\s*=\s*(.*)", 1))
     targets = tags.withColumn("to", F.when(F.col("tag").rlike(r"(?i)^<link"), href).otherwise(after))
@@ -124,7 +119,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     found = links(pages)
     if redirects is not None:
         found = found.unionByName(redirects.select(page_key(F.col("source")).alias("src"), page_key(F.col("target")).alias("dst")))
-    found = durable(found.filter("src <> dst").distinct())
+    found = durable(found.filter("src <> dst and src <> '' and dst <> ''").distinct())
     if not found.isEmpty():
         group = durable(connected_components(found))
         whole = group.unionByName(group.select(F.col("component").alias("node"), "component").distinct())
