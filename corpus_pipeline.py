@@ -1,13 +1,68 @@
-"""The corpus pipeline: toxicity, line dedup, near-duplicates, mixing, packing."""
+"""The corpus pipeline over `documents`: toxicity, line dedup, near-duplicates, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but
+the last return the columns of documents; rows carry their doc_id through, and a document
+that the mix takes several times is as many rows with its id.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import linededup, mixing, neardup, packing, toxicity
+from tidemark.operators.lineage import shared_folder
+
+#: No SQL: the models of toxicity, the signatures and the tokenizer are beyond it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that others keep; n_chars follows the text. No row goes."""
+    done = linededup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.without_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packing(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("near duplicates", one_of_each_group),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what each returns is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(spark, docs)
     return docs
+
+
+def stored(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs.write.parquet(path)
+    return spark.read.parquet(path)

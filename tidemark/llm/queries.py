@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linededup, mixing, neighbours, packing, quality, toxicity, urls
+from tidemark.llm import chat, linededup, mixing, neardup, neighbours, packing, pseudonyms, quality, toxicity, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,11 +23,14 @@ def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": _over("documents", linededup.line_dedup),
+    "op2_chat_format": _over("conversations", chat.chat_format),
     "op3_mixing": _over("documents", mixing.mixing),
     "op4_packing": _over("documents", packing.packing),
+    "op5_pseudonyms": _over("documents", pseudonyms.pseudonyms),
+    "op6_near_duplicates": _over("documents", neardup.near_duplicates),
     "op7_url_filter": _over("pages", urls.url_filter),
     "op8_neighbours": _over("embeddings", neighbours.neighbours),
     "op9_toxicity": toxicity_query,
     "op10_compression_bands": _over("documents", quality.compression_bands),
 }
-SQL: dict[str, str] = {"op1_line_dedup": linededup.ORACLE, "op7_url_filter": urls.ORACLE}
+SQL: dict[str, str] = {"op1_line_dedup": linededup.ORACLE, "op2_chat_format": chat.ORACLE, "op7_url_filter": urls.ORACLE}
