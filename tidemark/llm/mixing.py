@@ -69,9 +69,9 @@ def size_class(size: Column) -> Column:
 
 
 def with_copies(
-    docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: Sequence[float] = WEIGHTS, most: float = MOST, seed: int = 1,
+    docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: Sequence[float] = WEIGHTS, most: float = MOST, seed: int = 1, name: str = "mix",
 ) -> DataFrame:
-    """`docs` with size, source_size, target and copies, as fields of one struct column `mix`."""
+    """`docs` with size, source_size, target and copies, as fields of one struct column."""
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # clear of all helper names
     at = {c: F.col(own[c]) for c in (text_col, source_col, id_col)}
     text, source = at[text_col], at[source_col].cast("string")
@@ -92,7 +92,7 @@ def with_copies(
     sum_to = lambda n: F.floor(rate * n + offset).cast("long")
     place = F.col("ahead") + F.col("place")
     mix = F.struct("size", "source_size", "target", (sum_to(place) - sum_to(place - 1)).alias("copies"))
-    return placed.select(*[F.col(a).alias(c) for c, a in own.items() if c != "mix"], mix.alias("mix"))
+    return placed.select(*[F.col(a).alias(c) for c, a in own.items() if c != name], mix.alias(name))
 
 
 def mixing(docs: DataFrame) -> DataFrame:
@@ -103,5 +103,6 @@ def mixing(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it; copies keep all columns, the id included."""
-    times = F.array_repeat(F.lit(1), F.col("mix.copies").cast("int"))
-    return with_copies(docs, **options).withColumn("mix", F.explode(times)).drop("mix")
+    name = "mix" + "_" * max(map(len, docs.columns))  # longer than any column, so never one of them
+    times = F.array_repeat(F.lit(1), F.col(f"{name}.copies").cast("int"))
+    return with_copies(docs, name=name, **options).withColumn(name, F.explode(times)).drop(name)
