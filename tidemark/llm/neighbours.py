@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 K = 20
 FACTOR = 1.0
 LEAF = 256
-SHARD_ROWS = 2048
+SHARD_ROWS = 8192
 BLOCK = 512
 FOUND = "query_id long, vec_id long, score double"
 
