@@ -51,3 +51,58 @@ def test_cycle_isolates_failures_and_feeds_later_detectors(spark, tables, monkey
     assert state["loitering"].startswith("TypeError") and state["sanctions_match"] == state["multi_authority"] == "ok"
     totals = {r["detector"]: r["findings"] for r in cycle.totals(spark, inputs, state).collect()}
     assert totals["loitering"] == 0 and totals["multi_authority"] > 0
+
+
+def partition_filters(df, place):
+    """Those of the scans of one place."""
+    scans = [line for line in plan(df).splitlines() if "FileScan" in line and place in line]
+    return [line.split("PartitionFilters: [")[1].split("PushedFilters")[0] for line in scans]
+
+
+def test_time_bounds_prune_stored_days(spark, tables, tmp_path):
+    from tidemark.operators import aggregates, bounds, merge
+    from tidemark.operators.detectors import base, encounters, ports
+    from tidemark.sources import sinks
+
+    rows = tables.finding.drop("event_id", "last_seen", "members", "user_id").withColumn("event_ids", F.lit(None).cast("array<string>"))
+    path = str(tmp_path / "events")
+    sinks.append_events(spark, rows, path)
+    stored = spark.read.parquet(path)
+    as_of = F.lit(datetime(2024, 1, 20)).cast("timestamp")
+    start, box, batch = as_of - F.expr("INTERVAL 2 DAYS"), (-30.0, -30.0, 30.0, 30.0), rows.limit(20)
+    categories = spark.createDataFrame([("usgs_quake", "quakes", "high")], "event_type string, category_id string, level string")
+    subscribers = spark.createDataFrame([], "verified boolean, unsubscribed_at timestamp")
+    found = {
+        "insert_absent": merge.insert_absent(stored, batch), "insert_absent_by_id": merge.insert_absent_by_id(stored, batch, as_of),
+        "prior": base.not_found_before(batch, stored, start), "in_box": serving.events_in_box(stored, box, start, as_of),
+        "viewport": serving.viewport_events(stored, box, start, as_of), "partners": serving.partners(stored, tables.entity, "7", as_of),
+        "entity_events": serving.entity_events(tables.current, stored, "7", as_of), "alerts": serving.recent_alerts(stored, ["usgs_quake"], as_of),
+        "by_algorithm": serving.findings_by_algorithm(stored, "algo_1", as_of), "signals": serving.signals_today(stored, categories, as_of),
+        "dashboard": aggregates.dashboard(stored, subscribers, categories, as_of), "by_type": aggregates.counts_by_type(stored, as_of),
+        "buckets": aggregates.time_buckets(stored, categories, as_of), "series": aggregates.dense_series(stored, ["usgs_quake"], start),
+        "departures": ports.port_departures(tables.current, tables.ports, as_of, stored),
+        "proximity": encounters.event_proximity(tables.current, stored, as_of, longest_decay_min=5000),
+    }
+    for name, df in found.items():
+        filters = partition_filters(df, tmp_path.name)
+        assert filters and all(bounds.DATE in f for f in filters), (name, filters)
+    lo, hi = datetime(2024, 1, 18), datetime(2024, 1, 20)
+    want = rows.filter(F.col("event_time").between(F.lit(lo), F.lit(hi))).dropDuplicates(["id", "event_time"]).count()
+    assert sinks.read_events(spark, path, lo, hi).count() == want == bounds.since(stored, F.lit(lo), F.lit(hi)).count()
+
+
+def test_fleet_members_are_kept(spark):
+    """All members of a fleet are in its finding, and either finds it by any of them."""
+    from tidemark.operators.detectors import clusters
+
+    as_of = F.lit(datetime(2024, 1, 20)).cast("timestamp")
+    rows = [(f"v{k}", datetime(2024, 1, 20), "k", 10 + k * 0.001, 20.0, "A", f"ship {k}", str(k)) for k in range(9)]
+    latest = spark.createDataFrame(rows, "entity_id string, event_time timestamp, key string, lat double, lng double, authority string, name string, mmsi string")
+    found = clusters.fleet_clusters(clusters.fleet_members(latest), as_of)
+    row = found.first()
+    assert row.entity_ids == sorted(f"v{k}" for k in range(9))
+    named = found.withColumns({"id": F.lit("f1"), "event_time": as_of})
+    entities = spark.createDataFrame([(f"v{k}", f"ship {k}", "vessel", str(k)) for k in range(9)], "entity_id string, display_name string, entity_type string, canonical_id string")
+    partners = serving.partners(named, entities, "v7", as_of).first().partners
+    assert [p.member_id for p in partners] == sorted(f"v{k}" for k in range(9) if k != 7)
+    assert serving.membership(named).count() == 9

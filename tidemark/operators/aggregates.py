@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.bounds import since
 from tidemark.functions.geo import region_for
 from tidemark.functions.scoring import at_least
 from tidemark.functions.stats import round_even
@@ -29,9 +30,7 @@ def bucket_stats(events: DataFrame) -> DataFrame:
 def dashboard(events: DataFrame, subscriptions: DataFrame, categories: DataFrame, as_of: Column, window_hours: int = 24) -> DataFrame:
     """One row of conditional counts, from one pass over the events of the window."""
     levels = categories.select("event_type", "level")
-    recent = events.filter(F.col("event_time") >= as_of - hours(max(window_hours, 1))).join(
-        F.broadcast(levels), "event_type", "left"
-    )
+    recent = since(events, as_of - hours(max(window_hours, 1))).join(levels, "event_type", "left")
     inside = F.col("event_time") >= as_of - hours(window_hours)
     signal = inside & F.col("level").isNotNull()
     critical = inside & (F.col("level") == "critical")
@@ -48,7 +47,7 @@ def dashboard(events: DataFrame, subscriptions: DataFrame, categories: DataFrame
 
 
 def counts_by_type(events: DataFrame, as_of: Column, window_hours: int = 24, include_withdrawn: bool = False) -> DataFrame:
-    rows = events.filter(F.col("event_time") >= as_of - hours(window_hours))
+    rows = since(events, as_of - hours(window_hours))
     if not include_withdrawn:
         rows = rows.filter(~F.col("withdrawn"))
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("cnt"))
@@ -80,9 +79,9 @@ def time_buckets(events: DataFrame, categories: DataFrame, as_of: Column, window
     width = bucket_min * 60
     bucket = F.timestamp_seconds(F.floor(F.unix_seconds("event_time") / width) * width).alias("bucket")
     counts = (
-        events.filter(F.col("event_time") >= as_of - hours(window_hours))
+        since(events, as_of - hours(window_hours))
         .groupBy(bucket, "event_type").agg(F.count(F.lit(1)).alias("n"))
-        .join(F.broadcast(categories), "event_type")
+        .join(categories, "event_type")
     )
     level = lambda name: F.sum(F.when(F.col("level") == name, F.col("n")).otherwise(0)).alias(name)
     return counts.groupBy("bucket").agg(
@@ -101,7 +100,7 @@ def dense_series(events: DataFrame, types: list[str], start: Column, window_hour
     ).select("event_type", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")).alias("slot"))
     slot = F.floor((F.unix_micros("event_time") - F.unix_micros(start)) / (bucket_min * 60_000_000))
     counted = (
-        events.filter((F.col("event_time") >= start) & F.col("event_type").isin(*types))
+        since(events, start).filter(F.col("event_type").isin(*types))
         .groupBy("event_type", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     )
     at = F.timestamp_micros(F.unix_micros(start) + F.col("slot") * (bucket_min * 60_000_000))

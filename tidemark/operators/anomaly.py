@@ -115,20 +115,17 @@ def _expected_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def train_forest(features: DataFrame, trees: int = TREES, seed: int = 7) -> DataFrame:
-    """One tree per group, grown from a hash sample of at most SAMPLE rows.
+def train_forest(features: DataFrame, trees: int = TREES, seed: int = 7, sample: int = SAMPLE) -> DataFrame:
+    """One tree per group, grown from the `sample` rows of smallest hash for that tree.
 
-    Each row goes to just enough trees for every tree to find its sample, so the exchange
-    does not grow with rows times trees; tasks receive only the rows their tree keeps.
+    The size of its sample is part of how an isolation tree is defined. Each row is offered
+    to every tree, at any size of the table; a task passes on only the rows of smallest hash
+    per tree (WindowGroupLimit), so the exchange holds tasks x trees x sample rows at most.
     """
-    total = features.agg(F.count(F.lit(1))).scalar()
-    copies = F.least(F.lit(trees), F.ceil(F.lit(trees * SAMPLE * 2.0) / total)).cast("int")
-    spread = features.withColumn("_copies", copies).withColumn(
-        "_j", F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    ).withColumn("_h", F.xxhash64(*FEATURES, *[c for c in features.columns if c not in FEATURES], "_j", F.lit(seed)))
-    every = F.col("_copies") >= trees
-    tree = F.when(every, F.col("_j") - 1).otherwise(F.pmod("_h", F.lit(trees))).cast("int")
-    kept = top_per_group(spread.withColumn("tree", tree), ["tree"], [F.asc(F.xxhash64("_h"))], SAMPLE)
+    own = [c for c in features.columns if c not in FEATURES]
+    offered = features.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    order = F.xxhash64(*FEATURES, *own, "tree", F.lit(seed))
+    kept = top_per_group(offered, ["tree"], [F.asc(order)], sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(pdf["tree"].iloc[0])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.bounds import since
+
 FINDING_COLUMNS = (
     "event_type", "event_subtype", "event_time", "lat", "lng", "severity", "title", "description",
     "domain", "decay_half_life_min", "entity_id", "entity_ids", "event_ids", "key", "algorithm",
@@ -77,7 +79,7 @@ def finding(
 def not_found_before(
     found: DataFrame,
     prior: DataFrame | None,
-    since: Column,
+    start: Column,
     event_types: tuple[str, ...] | None = None,
     algorithm: str | None = None,
     ignore_withdrawn: bool = False,
@@ -88,7 +90,7 @@ def not_found_before(
     """
     if prior is None:
         return found
-    old = prior.filter(F.col("event_time") >= since)
+    old = since(prior, start)
     if event_types:
         old = old.filter(F.col("event_type").isin(*event_types))
     if algorithm:

@@ -9,11 +9,13 @@ their points (at most min_points - 1 each) with the neighbouring cells.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import mercator_x, mercator_y
+from tidemark.operators.bounds import since
 from tidemark.operators.detectors.base import finding, hours, not_found_before, text_of
 from tidemark.operators.detectors.listed import prop
 from tidemark.operators.latest import latest_by, top_per_group
@@ -41,6 +43,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     gathers more than its own neighbours' minimum. The driver reads one row per round.
     """
     link = durable(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u <> v").distinct())
+    if link.isEmpty():
+        return link.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     for _ in range(max_rounds):
         both = link.unionByName(link.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -67,7 +71,7 @@ def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     """
     side = eps / math.sqrt(2)
     eps2 = eps * eps
-    placed = points.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    placed = durable(points).withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
     sizes = placed.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
     # Every later step reads this table; without the cut each would repeat what leads to it.
     placed = durable(placed.join(sizes, ["cx", "cy"]))
@@ -114,6 +118,8 @@ def _dense_links(dense: DataFrame, side: float, eps2: float, levels: tuple[int,
     distinct positions.
     """
     spots = dense.select("cx", "cy", "first_id", "x", "y").distinct()
+    if spots.isEmpty():
+        return dense.select(F.col("first_id").alias("src"), F.col("first_id").alias("dst"))
     gap = lambda lo, hi, o_lo, o_hi: F.greatest(F.lit(0.0), F.col(o_lo) - F.col(hi), F.col(lo) - F.col(o_hi))
     far = lambda lo, hi, o_lo, o_hi: F.greatest(F.col(o_hi) - F.col(lo), F.col(hi) - F.col(o_lo))
 
@@ -156,6 +162,8 @@ def _dense_links(dense: DataFrame, side: float, eps2: float, levels: tuple[int,
         )
         table = table.select("cx", "cy", "first_id", "x", "y", *keys)
         coarse = keys
+        if todo.isEmpty():  # every pair of cells is decided
+            return reduce(DataFrame.unionByName, found)
     points = table.select("first_id", "x", "y", *coarse)
     touching = (
         todo.join(points, ["first_id", *coarse])
@@ -163,9 +171,7 @@ def _dense_links(dense: DataFrame, side: float, eps2: float, levels: tuple[int,
         .filter(_distance2(F.col("x"), F.col("y"), F.col("o_x"), F.col("o_y")) <= eps2)
         .select(F.col("first_id").alias("src"), "dst").distinct()
     )
-    for part in found:
-        touching = touching.unionByName(part)
-    return touching
+    return reduce(DataFrame.unionByName, found, touching)
 
 
 SWEEPS = 32
@@ -200,9 +206,8 @@ def _diameters(members: DataFrame, limit: float) -> DataFrame:
 
 
 def latest_matches(matches: DataFrame, as_of: Column, lookback_hours: int = 6) -> DataFrame:
-    recent = matches.filter(
-        (F.col("event_type") == "sanctioned_vessel_underway") & (F.col("event_time") >= as_of - hours(lookback_hours))
-        & F.col("lat").isNotNull() & F.col("entity_id").isNotNull()
+    recent = since(matches, as_of - hours(lookback_hours)).filter(
+        (F.col("event_type") == "sanctioned_vessel_underway") & F.col("lat").isNotNull() & F.col("entity_id").isNotNull()
     ).select(
         "entity_id", "event_time", "key", "lat", "lng", prop("sanctioning_authority").alias("authority"),
         prop("live_vessel_name").alias("name"), prop("mmsi").alias("mmsi"),
@@ -229,8 +234,10 @@ def fleet_clusters(
 ) -> DataFrame:
     """One finding per cluster of `fleet_members`.
 
-    A finding names the size, an order-free hash of the member set (so the same set is not
-    reported twice) and the first names; the whole membership is the member table itself.
+    A finding has all members (`entity_ids`) and their names, the size and an order-free
+    hash of the member set, so that the same set is not reported twice; the sentence shows
+    the first names. A fleet is as wide as three radii at most, which bounds the lists.
+    `serving.membership` makes the narrow (finding, member) table of them.
     """
     first = lambda c: F.min_by(c, "entity_id").alias(c)
     h = F.xxhash64("entity_id")
@@ -238,13 +245,10 @@ def fleet_clusters(
         F.count(F.lit(1)).alias("cluster_size"), F.min("entity_id").alias("entity_id"),
         first("lat"), first("lng"), first("name"), first("mmsi"),
         F.array_sort(F.collect_set("authority")).alias("authorities"),
+        F.array_sort(F.collect_set("entity_id")).alias("member_ids"), F.array_sort(F.collect_set("name")).alias("member_names"),
         F.bit_xor(h).alias("mix"), F.sum(h.cast("decimal(38,0)")).alias("total"),
     ).filter(F.col("cluster_size") >= min_vessels)
-    named = members.filter(F.col("name").isNotNull()).select("cluster", "name").distinct()
-    shown = top_per_group(named, ["cluster"], [F.asc("name")], NAMES_SHOWN).groupBy("cluster").agg(
-        F.array_sort(F.collect_list("name")).alias("first_names")
-    )
-    rows = groups.join(shown, "cluster", "left")
+    rows = groups
     n, km = F.col("cluster_size"), f"{radius_m / 1000:.1f}"
     several = F.size("authorities") >= 2
     found = finding(
@@ -261,15 +265,16 @@ def fleet_clusters(
         description=F.concat(
             F.lit("Detected "), n.cast("string"), F.lit(f" active sanctioned-vessel broadcasts within {km} km of "),
             F.coalesce("name", F.concat(F.lit("MMSI "), "mmsi")), F.lit(". Members: "),
-            F.coalesce(F.array_join("first_names", ", "), F.lit("")),
+            F.array_join(F.slice("member_names", 1, NAMES_SHOWN), ", "),
             F.when(n > NAMES_SHOWN, F.concat(F.lit(" and others, "), n.cast("string"), F.lit(" in all"))).otherwise(""),
             F.lit(". Authorities involved: "), F.array_join("authorities", ", "), F.lit("."),
         ),
+        entity_ids=F.col("member_ids"),
         key=F.concat_ws(":", n.cast("string"), F.hex("mix"), F.col("total").cast("string")),
         properties={
             "cluster": F.col("cluster"), "cluster_size": n, "radius_m": F.lit(radius_m),
             "diameter_m": F.round("diameter_m", 1), "lookback_hours": F.lit(lookback_hours),
-            "member_names": F.col("first_names"), "authorities": F.col("authorities"),
+            "member_entity_ids": F.col("member_ids"), "member_names": F.col("member_names"), "authorities": F.col("authorities"),
             "authority_count": F.size("authorities"), "multi_jurisdictional": several,
         },
     )

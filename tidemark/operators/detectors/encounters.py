@@ -9,7 +9,9 @@ from tidemark.functions.geo import within_m
 from tidemark.operators.detectors.base import (
     age_hours, finding, hours, metres, minutes, not_found_before, pair_key, text_of,
 )
+from tidemark.operators.bounds import since
 from tidemark.operators.latest import recent_max
+from tidemark.operators.lineage import durable
 from tidemark.operators.spatial import prefixed, radius_join, self_pairs
 
 # Types this library derives itself; they never feed event proximity.
@@ -28,16 +30,21 @@ def _named(prefix: str = "") -> Column:
 
 def event_proximity(
     current: DataFrame, events: DataFrame, as_of: Column, prior: DataFrame | None = None,
-    algorithm: str = "proximity", radius_m: float = 50_000, window_min: int = 60,
+    algorithm: str = "proximity", radius_m: float = 50_000, window_min: int = 60, longest_decay_min: int | None = None,
 ) -> DataFrame:
-    """Fresh entities near live events that were not themselves derived; no row cap."""
+    """Fresh entities near live events that were not themselves derived; no row cap.
+
+    `longest_decay_min` is the longest decay in `events`, if the caller keeps it with the
+    table; else one column of it is read to find it.
+    """
     entities = current.filter(
         (F.col("position_time") >= as_of - minutes(window_min)) & (F.col("entity_type") != "satellite")
     ).select("entity_id", "entity_type", "canonical_id", "display_name", "lat", "lng", "position_time")
     life = F.make_dt_interval(mins=F.coalesce("decay_half_life_min", F.lit(window_min)))
-    live = events.filter(
-        ~F.col("event_type").isin(*DERIVED_TYPES) & (F.col("event_time") >= as_of - life)
-    ).select(
+    # No event outlives the longest decay, which bounds the days to read.
+    longest = F.greatest(events.agg(F.coalesce(F.max("decay_half_life_min"), F.lit(0))).scalar(), F.lit(window_min))
+    recent = since(events, as_of - F.make_dt_interval(mins=longest if longest_decay_min is None else F.lit(max(longest_decay_min, window_min))))
+    live = recent.filter(~F.col("event_type").isin(*DERIVED_TYPES) & (F.col("event_time") >= as_of - life)).select(
         F.col("id").alias("source_id"), F.col("event_type").alias("source_type"), F.col("event_time").alias("source_time"),
         F.col("severity").alias("source_severity"), F.col("title").alias("source_title"),
         F.col("lat").alias("source_lat"), F.col("lng").alias("source_lng"),
@@ -127,6 +134,8 @@ def sustained_pairs(
         "entity_id", "time", "lat", "lng", bucket.alias("_bucket")
     )
     ids = pairs.select("a_entity_id", "b_entity_id").distinct()
+    met = ids.select(F.explode(F.array("a_entity_id", "b_entity_id")).alias("entity_id")).distinct()
+    pings = pings.join(met, "entity_id", "left_semi")  # only tracks of a pair are exploded
     first = prefixed(pings, "a_").withColumnRenamed("a__bucket", "_bucket")
     second = prefixed(pings.withColumn("_near", F.explode(F.array(*[F.col("_bucket") + k for k in (-1, 0, 1)]))), "b_").drop(
         "b__bucket"
@@ -166,8 +175,8 @@ def rendezvous(
     movers = slow_movers(current, as_of, ("vessel", "aircraft"), fresh_minutes, **speeds).join(
         recent_max(track, as_of - minutes(recent_minutes)), "entity_id", "left"
     ).filter(F.col("recent_max").isNull() | (F.col("recent_max") <= max_recent_velocity))
-    movers = movers.select("entity_id", "entity_type", "canonical_id", "display_name", "lat", "lng", "velocity_ms")
-    pairs = self_pairs(movers, "entity_id", radius_m)
+    movers = durable(movers.select("entity_id", "entity_type", "canonical_id", "display_name", "lat", "lng", "velocity_ms"))
+    pairs = durable(self_pairs(movers, "entity_id", radius_m))
     kept = sustained_pairs(
         pairs, track, as_of - minutes(track_minutes), radius_m, tolerance_s=tolerance_s, min_minutes=min_minutes
     )

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.bounds import since
 from tidemark.operators.detectors.base import (
     finding, hours, metres, minutes, not_found_before, pair_key, text_of,
 )
 from tidemark.operators.detectors.encounters import slow_movers, sustained_pairs
 from tidemark.operators.detectors.movement import dark_candidates
 from tidemark.operators.latest import latest_by
+from tidemark.operators.lineage import durable
 from tidemark.operators.names import flag_consistent, flag_of, match_listed
 from tidemark.operators.spatial import self_pairs
 
@@ -32,7 +34,7 @@ def sanctions_matches(
     vessels = current.filter(
         (F.col("entity_type") == "vessel") & (F.col("position_time") >= as_of - hours(fresh_hours))
     ).select(*OWN)
-    rows = match_listed(vessels, listed, threshold)
+    rows = match_listed(durable(vessels), listed, threshold)
     if identity_digits:
         fits = flag_consistent(flag_of(F.col("canonical_id"), identity_digits), F.col("regime"))
         rows = rows.filter((F.col("match_kind") == "imo") | fits)
@@ -72,9 +74,8 @@ def multi_authority(
 ) -> DataFrame:
     """Vessels that two or more authorities list, whatever position each match was seen at."""
     order = F.struct("event_time", "key")
-    recent = matches.filter(
-        (F.col("event_type") == "sanctioned_vessel_underway") & (F.col("event_time") >= as_of - hours(lookback_hours))
-        & F.col("entity_id").isNotNull() & F.col("lat").isNotNull()
+    recent = since(matches, as_of - hours(lookback_hours)).filter(
+        (F.col("event_type") == "sanctioned_vessel_underway") & F.col("entity_id").isNotNull() & F.col("lat").isNotNull()
     )
     rows = (
         recent.groupBy("entity_id")
@@ -127,7 +128,7 @@ def listed_and_dark(
     algorithm: str = "sanctioned_dark_vessel", threshold: float = 0.9, dedup_hours: float = 24, **limits,
 ) -> DataFrame:
     """Listed vessels that went silent while moving; the receiver-cohort rule does not apply."""
-    dark = dark_candidates(current, as_of, **limits).select(*OWN, "velocity_ms", "hours_dark")
+    dark = durable(dark_candidates(current, as_of, **limits).select(*OWN, "velocity_ms", "hours_dark"))
     rows = match_listed(dark, listed, threshold)
     by_imo = F.col("match_kind") == "imo"
     found = finding(
@@ -169,13 +170,13 @@ def listed_rendezvous(
 
     With `sustained`, the pair must also have stayed together according to the track.
     """
-    movers = slow_movers(current, as_of, ("vessel",), fresh_minutes, **speeds).select(*OWN, "velocity_ms")
+    movers = durable(slow_movers(current, as_of, ("vessel",), fresh_minutes, **speeds).select(*OWN, "velocity_ms"))
     flags = match_listed(movers.select("entity_id", "display_name", "imo"), listed, threshold).groupBy("entity_id").agg(
         F.max(F.struct("listed_id", "listed_name")).alias("hit")
     )
-    marked = movers.join(flags, "entity_id", "left").select(
+    marked = durable(movers.join(flags, "entity_id", "left").select(
         *movers.columns, F.col("hit.listed_id").alias("listed_id"), F.col("hit.listed_name").alias("listed_name")
-    )
+    ))
     pairs = self_pairs(
         marked, "entity_id", radius_m, condition=F.col("a_listed_id").isNotNull() | F.col("b_listed_id").isNotNull()
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import geodesic_m
+from tidemark.operators.bounds import since
 from tidemark.operators.detectors.base import finding, hours, metres, minutes, not_found_before, text_of
 from tidemark.operators.spatial import within_of_places
 
@@ -90,15 +91,14 @@ def port_departures(
     radius_m: float = 5000, fresh_minutes: float = 60, lookback_hours: float = 36,
 ) -> DataFrame:
     """Vessels that were in port recently, still broadcast, and are now outside the radius."""
-    was_in = prior.filter(
-        F.col("event_type").isin(*AT_PORT) & (F.col("event_time") >= as_of - hours(lookback_hours))
-        & F.col("entity_id").isNotNull()
-    ).groupBy("entity_id", F.col("key").alias("port_id")).agg(F.max("event_time").alias("last_at_port"))
+    recent = since(prior, as_of - hours(lookback_hours))
+    was_in = recent.filter(F.col("event_type").isin(*AT_PORT) & F.col("entity_id").isNotNull()).groupBy("entity_id", F.col("key").alias("port_id")).agg(F.max("event_time").alias("last_at_port"))
     fresh = current.filter((F.col("position_time") >= as_of - minutes(fresh_minutes)) & F.col("lat").isNotNull())
     distance = geodesic_m(F.col("lat"), F.col("lng"), F.col("port_lat"), F.col("port_lng"))
     rows = was_in.join(fresh, "entity_id").join(ports, "port_id").withColumn("distance_m", distance)
     left = rows.filter(F.col("distance_m") > radius_m)
-    logged = prior.filter(F.col("event_type") == "port_departure").groupBy(
+    # A departure before the look-back cannot be later than a visit within it.
+    logged = recent.filter(F.col("event_type") == "port_departure").groupBy(
         "entity_id", F.col("key").alias("port_id")
     ).agg(F.max("event_time").alias("last_departure"))
     new = left.join(logged, ["entity_id", "port_id"], "left").filter(

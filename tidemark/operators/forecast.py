@@ -35,7 +35,7 @@ def recency_scores(samples: DataFrame, as_of: Column, scale_h: float = 12.0, boo
     return samples.groupBy("layer", "region").agg(
         F.sum(F.col("severity") * weight).alias("recency_score"),
         F.max("severity").alias("max_historical_severity"),
-        F.least(F.lit(6), F.count(F.lit(1))).alias("evidence_count"),
+        F.count(F.lit(1)).alias("evidence_count"),
     )
 
 

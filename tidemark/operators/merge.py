@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import event_id
+from tidemark.operators.bounds import since
 from tidemark.operators.latest import latest_by
 
 
@@ -20,15 +21,13 @@ def insert_absent(existing: DataFrame, batch: DataFrame) -> DataFrame:
     keys = ["id", "event_time"]
     # The time range of the batch prunes the partitions of the table.
     span = batch.agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi"))
-    seen = existing.filter(
-        F.col("event_time").between(span.select("lo").scalar(), span.select("hi").scalar())
-    )
+    seen = since(existing, span.select("lo").scalar(), span.select("hi").scalar())
     return batch.dropDuplicates(keys).join(seen.select(*keys), keys, "left_anti")
 
 
 def insert_absent_by_id(existing: DataFrame, batch: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """The same by id only, looking back a month: for feeds whose time stamps drift."""
-    seen = existing.filter(F.col("event_time") >= as_of - F.make_interval(days=F.lit(days)))
+    seen = since(existing, as_of - F.make_interval(days=F.lit(days)))
     first = latest_by(batch, ["id"], ["event_time"])
     return first.select(*batch.columns).join(seen.select("id").distinct(), "id", "left_anti")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scoring import mapped
 from tidemark.functions.text import set_jaccard, trigrams
+from tidemark.operators.lineage import durable
 from tidemark.sources.refdata import CONVENIENCE_FLAGS, REGIME_FLAGS
 
 MIN_NAME = 4
@@ -39,7 +40,8 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     prepare = lambda df: df.select("name").distinct().withColumn("grams", trigrams(F.col("name"))).filter(
         F.size("grams") > 0
     )
-    a, b = prepare(left), prepare(right)
+    # Each side is read for its grams, their frequencies and the index; it is worked out once.
+    a, b = durable(prepare(left)), durable(prepare(right))
     frequency = (
         a.unionByName(b).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.geo import in_bbox
 from tidemark.functions.stats import cosine_distance
 from tidemark.functions.text import trigram_similarity
+from tidemark.operators.bounds import since
 from tidemark.operators.detectors.base import hours
 from tidemark.operators.latest import latest_by, newest, top_per_group
 from tidemark.operators.merge import union_first
@@ -18,9 +19,7 @@ Box = tuple[float, float, float, float]
 
 
 def _events_in(events: DataFrame, box: Box, start: Column, end: Column) -> DataFrame:
-    return events.filter(
-        F.col("event_time").between(start, end) & ~F.col("withdrawn") & in_bbox(F.col("lat"), F.col("lng"), *box)
-    )
+    return since(events, start, end).filter(~F.col("withdrawn") & in_bbox(F.col("lat"), F.col("lng"), *box))
 
 
 def viewport_entities(current: DataFrame, box: Box, start: Column, end: Column, types: list[str], limit: int = 1000) -> DataFrame:
@@ -48,7 +47,7 @@ def entity_track(track: DataFrame, entity_id: str, as_of: Column, window_hours:
 def entity_events(current: DataFrame, events: DataFrame, entity_id: str, as_of: Column, radius_m: float = 50_000, window_hours: int = 24, limit: int = 100) -> DataFrame:
     """Events near the latest position of one entity: a radius join with a single probing row."""
     one = current.filter(F.col("entity_id") == entity_id).select(F.col("lat").alias("at_lat"), F.col("lng").alias("at_lng"))
-    rows = events.filter(F.col("event_time") >= as_of - hours(window_hours))
+    rows = since(events, as_of - hours(window_hours))
     near = radius_join(one, rows, radius_m, ("at_lat", "at_lng"), ("lat", "lng"), hot_cell=None).drop("at_lat", "at_lng")
     return newest(near, [F.desc("event_time"), F.asc("id")], limit)
 
@@ -60,9 +59,7 @@ def membership(findings: DataFrame) -> DataFrame:
 
 def partners(findings: DataFrame, entities: DataFrame, entity_id: str, as_of: Column, window_hours: int = 24, types: list[str] | None = None, limit: int = 100) -> DataFrame:
     """Findings that contain an entity, each with its other members and their names."""
-    rows = findings.filter(
-        (F.col("event_time") >= as_of - hours(window_hours)) & F.array_contains("entity_ids", entity_id)
-    )
+    rows = since(findings, as_of - hours(window_hours)).filter(F.array_contains("entity_ids", entity_id))
     if types:
         rows = rows.filter(F.col("event_type").isin(*types))
     page = newest(rows, [F.desc("event_time"), F.asc("id")], limit)
@@ -92,9 +89,8 @@ def similar_vectors(rows: DataFrame, seed: Column, limit: int = 10, exclude: Col
 
 
 def similar_events(events: DataFrame, seed: Column, as_of: Column, within_days: int = 30, exclude: Column | None = None, limit: int = 10) -> DataFrame:
-    rows = events.filter(
-        F.col("event_type").isin(*TEXT_EVENT_TYPES) & F.col("embedding").isNotNull() & (F.col("event_time") >= as_of - hours(24 * within_days))
-    )
+    recent = since(events, as_of - hours(24 * within_days))
+    rows = recent.filter(F.col("event_type").isin(*TEXT_EVENT_TYPES) & F.col("embedding").isNotNull())
     return similar_vectors(rows, seed, limit, exclude)
 
 
@@ -115,9 +111,7 @@ def approximate_neighbours(rows: DataFrame, seed: list[float], limit: int = 10,
 
 def signals_today(events: DataFrame, categories: DataFrame, as_of: Column, window_hours: int = 24, per_category: int = 10) -> DataFrame:
     """Newest findings per category with the category's true count."""
-    rows = events.filter((F.col("event_time") >= as_of - hours(window_hours)) & ~F.col("withdrawn")).join(
-        F.broadcast(categories), "event_type"
-    )
+    rows = since(events, as_of - hours(window_hours)).filter(~F.col("withdrawn")).join(categories, "event_type")
     counts = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("category_count"))
     return top_per_group(rows, ["event_type"], [F.desc("event_time"), F.asc("id")], per_category).join(counts, "event_type")
 
@@ -149,7 +143,7 @@ def top_anomalies(anomalies: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def recent_alerts(events: DataFrame, types: list[str], as_of: Column, window_hours: int = 6, limit: int = 200) -> DataFrame:
-    rows = events.filter((F.col("event_time") >= as_of - hours(window_hours)) & F.col("event_type").isin(*types))
+    rows = since(events, as_of - hours(window_hours)).filter(F.col("event_type").isin(*types))
     return newest(rows, [F.desc("event_time"), F.asc("id")], limit)
 
 
@@ -159,7 +153,7 @@ def latest_per_subtype(events: DataFrame, event_type: str, limit: int = 2000) ->
 
 
 def findings_by_algorithm(findings: DataFrame, algorithm: str, as_of: Column, window_hours: int = 24, limit: int = 100) -> DataFrame:
-    rows = findings.filter((F.col("event_time") >= as_of - hours(window_hours)) & (F.col("algorithm") == algorithm))
+    rows = since(findings, as_of - hours(window_hours)).filter(F.col("algorithm") == algorithm)
     return newest(rows, [F.desc("event_time"), F.asc("id")], limit)
 
 

@@ -17,7 +17,7 @@ from tidemark.functions.geo import EARTH_KM, arc_m, chord, chord_limit, geodesic
 
 _ROW = 1_000_000  # cell key = row * _ROW + column
 HOT_CELL = 20_000  # points per cell and salt
-MAX_HOT_CELLS = 10_000  # bound of the broadcast list of salted cells
+MAX_HOT_CELLS = 10_000  # longest list of salted cells that is broadcast
 
 
 def cell_size_deg(radius_m: float) -> float:
@@ -81,15 +81,18 @@ def _close(pairs: DataFrame, u: str, v: str, radius_m: float, ellipsoid: bool =
     return pairs.filter(near).withColumn("distance_m", distance).drop(*[f"_{n}{i}" for n in (u, v) for i in range(3)])
 
 
-def _salts_per_hot_cell(build: DataFrame, hot_cell: int) -> DataFrame:
-    """Cells above the threshold. The threshold rises with the row count, so that the
-    list never exceeds MAX_HOT_CELLS and may be broadcast."""
+def _salts_per_hot_cell(build: DataFrame, hot_cell: int) -> DataFrame | None:
+    """(_cell, _salts) of the cells above the threshold, None if there is none.
+
+    Cells are counted when the join is built. A list of up to MAX_HOT_CELLS becomes a local
+    table, which is broadcast; a longer one stays distributed and is joined by the cell.
+    """
     counts = build.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    floor = build.agg(F.count(F.lit(1)) / F.lit(MAX_HOT_CELLS)).scalar()
-    limit = F.greatest(F.lit(float(hot_cell)), floor)
-    return counts.filter(F.col("_n") > limit).select(
-        "_cell", F.ceil(F.col("_n") / F.lit(hot_cell)).cast("int").alias("_salts")
-    )
+    hot = counts.filter(F.col("_n") > hot_cell).select("_cell", F.ceil(F.col("_n") / F.lit(hot_cell)).cast("int").alias("_salts"))
+    few = hot.limit(MAX_HOT_CELLS + 1).collect()
+    if not few:
+        return None
+    return hot if len(few) > MAX_HOT_CELLS else build.sparkSession.createDataFrame(few, hot.schema)
 
 
 def radius_join(
@@ -115,8 +118,8 @@ def radius_join(
     build_cells = build.filter(b_lat.isNotNull() & b_lng.isNotNull()).withColumn("_cell", cell_of(b_lat, b_lng, size))
     probe_cells = explode_cells(probe.filter(p_lat.isNotNull() & p_lng.isNotNull()), probe_at, radius_m, size)
     keys = ["_cell"]
-    if hot_cell:
-        hot = F.broadcast(_salts_per_hot_cell(build_cells, hot_cell))
+    hot = _salts_per_hot_cell(build_cells, hot_cell) if hot_cell else None
+    if hot is not None:
         row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in build.columns])
         build_cells = build_cells.join(hot, "_cell", "left").withColumn(
             "_salt", F.pmod(row_hash, F.coalesce(F.col("_salts"), F.lit(1))).cast("int")

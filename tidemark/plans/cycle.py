@@ -39,8 +39,11 @@ class Inputs:
 
 
 def _fleet(i: Inputs, **o) -> DataFrame:
-    rows = clusters.latest_matches(i.with_new("sanctions_match"), i.as_of)
-    return clusters.fleet_clusters(clusters.fleet_members(rows), i.as_of, i.events, **o)
+    """The options reach every step that they concern."""
+    own = lambda *names: {k: o[k] for k in names if k in o}
+    rows = clusters.latest_matches(i.with_new("sanctions_match"), i.as_of, **own("lookback_hours"))
+    members = clusters.fleet_members(rows, **own("radius_m", "min_vessels"))
+    return clusters.fleet_clusters(members, i.as_of, i.events, **o)
 
 
 # Name -> function; the order matters: what a detector reads comes before it.

@@ -448,12 +448,13 @@ _DBSCAN = """pt AS (SELECT entity_id AS id, radians(max(lng)) * 6378137.0 AS x,
 
 
 @query("d16_fleet_cluster", LIVE, """
-    SELECT min(m.id) AS entity_id, CASE WHEN count(*) >= 6 THEN 'large_fleet' WHEN count(*) >= 4 THEN 'fleet' ELSE 'cluster' END AS event_subtype, count(*) AS cluster_size, round(any_value(w.d), 1) AS diameter_m
+    SELECT min(m.id) AS entity_id, string_agg(m.id, '|' ORDER BY m.id) AS members, CASE WHEN count(*) >= 6 THEN 'large_fleet' WHEN count(*) >= 4 THEN 'fleet' ELSE 'cluster' END AS event_subtype, count(*) AS cluster_size, round(any_value(w.d), 1) AS diameter_m
     FROM member m JOIN width w ON w.cl = m.cl WHERE w.d <= 30000 GROUP BY m.cl HAVING count(*) >= 3""", "RECURSIVE " + ", ".join((MATCHED, _DBSCAN)))
 def d16(t: Tables) -> DataFrame:
     members = clusters.fleet_members(clusters.latest_matches(matches(t), t.as_of))
     found = clusters.fleet_clusters(members, t.as_of)
-    return found.select("entity_id", "event_subtype", listed.prop("cluster_size").cast("bigint").alias("cluster_size"), listed.prop("diameter_m").cast("double").alias("diameter_m"))
+    ids = F.array_join("entity_ids", "|").alias("members")
+    return found.select("entity_id", ids, "event_subtype", listed.prop("cluster_size").cast("bigint").alias("cluster_size"), listed.prop("diameter_m").cast("double").alias("diameter_m"))
 
 
 def _daily(t: Tables) -> DataFrame:

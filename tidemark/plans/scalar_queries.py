@@ -484,11 +484,10 @@ def r1(t: Tables) -> DataFrame:
 
 @query("r5_buoy_lines", ("geo",), """
     SELECT station_id, event_time, wave_height_m, wind_dir, severity FROM (
-      SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY event_time DESC) AS rn FROM (
         SELECT entity_id AS station_id, date_trunc('minute', event_time) AS event_time, CASE WHEN event_id % 6 = 0 THEN NULL ELSE round(value / 40, 1) END AS wave_height_m,
           CAST(event_id % 360 AS INT) AS wind_dir, CASE WHEN event_id % 6 = 0 THEN 1 ELSE CASE WHEN round(value/40, 1) >= 10 THEN 10 WHEN round(value/40, 1) >= 6 THEN 8 WHEN round(value/40, 1) >= 4 THEN 6
             WHEN round(value/40, 1) >= 3 THEN 5 WHEN round(value/40, 1) >= 2 THEN 3 WHEN round(value/40, 1) >= 1 THEN 2 ELSE 1 END END AS severity
-        FROM geo WHERE event_id % 10 <> 0)) WHERE rn <= 10""")
+        FROM geo WHERE event_id % 10 <> 0)""")
 def r5(t: Tables) -> DataFrame:
     i = c("event_id")
     wave = F.when(i % 6 == 0, "MM").otherwise(F.format_string("%.1f", F.round(c("value") / 40, 1)))

@@ -361,8 +361,12 @@ BUOY_MEASURES = (
 BUOY_WHOLE = ("wind_dir", "dom_period_sec", "avg_period_sec", "wave_dir")
 
 
-def buoy_observations(lines: DataFrame, per_station: int = 10) -> DataFrame:
-    """Observation lines (`station_id`, `value`); 'MM' is missing and short lines are tolerated."""
+def buoy_observations(lines: DataFrame, per_file: int | None = None) -> DataFrame:
+    """Observation lines (`station_id`, `value`); 'MM' is missing and short lines are tolerated.
+
+    All observations are kept. With `per_file` the newest so many of each station and landed
+    file (`file`) are, which is what one poll of the feed takes over.
+    """
     parts = F.split(F.trim("value"), "\\s+")
     when = F.try_make_timestamp(*[F.get(parts, F.lit(i)).try_cast("int") for i in range(5)], F.lit(0))
 
@@ -371,10 +375,11 @@ def buoy_observations(lines: DataFrame, per_station: int = 10) -> DataFrame:
         return (value.cast("int") if name in BUOY_WHOLE else value).alias(name)
 
     rows = lines.filter(~F.trim("value").startswith("#") & (F.size(parts) >= 5)).select(
-        "station_id", when.alias("event_time"), *[measure(i, n) for i, n in enumerate(BUOY_MEASURES)]
+        "station_id", *(["file"] if per_file is not None else []), when.alias("event_time"), *[measure(i, n) for i, n in enumerate(BUOY_MEASURES)]
     ).filter(_c("event_time").isNotNull())
-    newest = top_per_group(rows, ["station_id"], [F.desc("event_time")], per_station).drop("rank")
-    return newest.withColumn("severity", S.at_least(_c("wave_height_m"), "wave_height"))
+    if per_file is not None:
+        rows = top_per_group(rows, ["station_id", "file"], [F.desc("event_time")], per_file).drop("rank")
+    return rows.drop("file").withColumn("severity", S.at_least(_c("wave_height_m"), "wave_height"))
 
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"

@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.bounds import DATE, since
 from tidemark.operators.detectors.base import hours
 from tidemark.operators.latest import latest_by, newest
 from tidemark.operators.merge import insert_absent
 from tidemark.operators.records import authority, facts
 from tidemark.sources.refdata import CATEGORIES, LEVEL_RANK
 
-DATE = "event_date"
-
-
 def append_events(spark: SparkSession, batch: DataFrame, path: str) -> None:
     """Insert what the table lacks, by (id, event_time). Running a batch again adds nothing."""
-    fresh = batch if not _exists(spark, path) else insert_absent(spark.read.parquet(path).select(*batch.columns), batch)
+    fresh = batch if not _exists(spark, path) else insert_absent(spark.read.parquet(path).select(*batch.columns, DATE), batch)
     dated = fresh.dropDuplicates(["id", "event_time"]).withColumn(DATE, F.to_date("event_time"))
     # The hint lets adaptive execution split a busy day and merge small ones.
     dated.hint("rebalance", DATE, "event_type").write.mode("append").partitionBy(DATE, "event_type").parquet(path)
@@ -29,9 +27,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_events(spark: SparkSession, path: str, start, end) -> DataFrame:
     """Events of a time range; the partition predicate is derived from the bounds."""
-    rows = spark.read.parquet(path)
-    day = F.col(DATE).between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
-    return rows.filter(day & F.col("event_time").between(F.lit(start), F.lit(end)))
+    return since(spark.read.parquet(path), F.lit(start), F.lit(end))
 
 
 def retained(rows: DataFrame, time: str, as_of: Column, days: int) -> DataFrame:
