@@ -15,6 +15,7 @@ from tidemark.operators.latest import latest_by
 from tidemark.operators.lineage import durable
 from tidemark.operators.names import flag_consistent, flag_of, match_listed
 from tidemark.operators.spatial import self_pairs
+from tidemark.sources.refdata import IDENTITY_DIGITS
 
 OWN = ["entity_id", "canonical_id", "display_name", "imo", "lat", "lng", "position_time"]
 DEFAULT_AUTHORITY = "US Treasury OFAC"
@@ -28,9 +29,12 @@ def prop(name: str) -> Column:
 def sanctions_matches(
     current: DataFrame, listed: DataFrame, as_of: Column, prior: DataFrame | None = None,
     algorithm: str = "sanctions_match", threshold: float = 0.9, fresh_hours: float = 24,
-    dedup_hours: float = 30 * 24, identity_digits: dict[int, str] | None = None,
+    dedup_hours: float = 30 * 24, identity_digits: dict[int, str] | None = IDENTITY_DIGITS,
 ) -> DataFrame:
-    """Live vessels that match a list entry; name matches need a flag that fits the regime."""
+    """Live vessels that match a list entry; name matches need a flag that fits the regime.
+
+    `identity_digits` maps the first three digits of an identity to a flag; None leaves the rule out.
+    """
     vessels = current.filter(
         (F.col("entity_type") == "vessel") & (F.col("position_time") >= as_of - hours(fresh_hours))
     ).select(*OWN)

@@ -88,7 +88,7 @@ def match_listed(vessels: DataFrame, listed: DataFrame, threshold: float = 0.9)
 def flag_of(mmsi: Column, identity_digits: DataFrame | dict[int, str]) -> Column:
     """ISO country of a nine-digit vessel identity, from its first three digits.
 
-    The assignment table is a parameter: the public list has about 290 entries and changes.
+    The assignment table is a parameter, as the public list changes.
     """
     number = mmsi.try_cast("bigint")
     digits = F.when(number.between(100_000_000, 999_999_999), F.floor(number / 1_000_000).cast("int"))

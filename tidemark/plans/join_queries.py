@@ -404,6 +404,21 @@ def d11(t: Tables) -> DataFrame:
     return matches(t).select("entity_id", "key", "event_subtype", "severity", listed.prop("sanctioning_authority").alias("authority"))
 
 
+_DEFAULT_FLAG = """CASE WHEN m IN (351, 352, 353, 354, 355, 356, 357, 370, 371, 372, 373, 636, 637, 538, 215, 229, 248, 249, 256, 417, 477, 563, 564, 565) THEN 'any'
+      WHEN m IN (273, 272) THEN 'ru' WHEN m = 422 THEN 'ir' WHEN m = 445 THEN 'kp'
+      WHEN m IN (205, 211, 218, 219, 220, 224, 225, 226, 227, 228, 230, 232, 233, 234, 235, 237, 239, 240, 241, 244, 245, 246, 247, 257, 258, 259, 261, 265, 266, 269, 271, 275, 276, 277, 316,
+        323, 345, 366, 367, 368, 369, 403, 408, 412, 413, 414, 416, 419, 431, 432, 440, 441, 468, 470, 471, 503, 525, 533, 548, 567, 574, 601, 622, 701, 710, 730, 775) THEN 'other' END"""
+
+
+@query("d11_default_flag_rule", LIVE, f"""
+    SELECT entity_id, listed_id AS key, match_kind FROM (SELECT *, {_DEFAULT_FLAG} AS f FROM (SELECT *, CAST(floor(CAST(canonical_id AS BIGINT) / 1000000) AS BIGINT) AS m FROM matched))
+    WHERE match_kind = 'imo' OR f IS NULL OR f = 'any' OR CASE regime WHEN 'RUSSIA' THEN f = 'ru' WHEN 'IRAN' THEN f = 'ir' WHEN 'DPRK' THEN f = 'kp' ELSE true END
+      OR regime IS NULL""", MATCHED)
+def d11_default(t: Tables) -> DataFrame:
+    found = listed.sanctions_matches(t.current, t.listed, t.as_of, fresh_hours=14 * 24)
+    return found.select("entity_id", "key", listed.prop("match_kind").alias("match_kind"))
+
+
 @query("d12_multi_authority", LIVE, """
     SELECT entity_id, string_agg(DISTINCT a, '|' ORDER BY a) AS key, CASE WHEN count(DISTINCT a) >= 3 THEN 'tri_listed' ELSE 'dual_listed' END AS event_subtype, bool_or(match_kind = 'imo') AS any_imo
     FROM (SELECT *, coalesce(authority, 'US Treasury OFAC') AS a FROM under) GROUP BY 1 HAVING count(DISTINCT a) >= 2""", MATCHED)
