@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
 
 SETTING = "spark.checkpoint.dir"
+_LOCAL: dict[str, str | None] = {}
 
 
 def shared_folder(spark) -> str:
-    """The shared folder for checkpoints and other intermediate files."""
+    """The shared folder for checkpoints and other intermediate files.
+
+    A local session without the setting gets one temporary folder, which goes when Python ends.
+    """
     folder = spark.conf.get(SETTING, None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"{SETTING} must name a shared folder")
-        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, None)
+        if folder is None:
+            folder = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder the session names; survives the loss of executors.
 
-    Only a local session without that setting gets a folder of its own.
+    With `spark.cleaner.referenceTracking.cleanCheckpoints` on, as a long-running session
+    should have it, Spark removes the files when the DataFrame is gone.
     """
     spark = df.sparkSession
     context = spark.sparkContext

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,14 @@ from tidemark.sources.feeds import conform, feeds
 from tidemark.streaming import flows, state
 
 c = F.col
+FILES_PER_TRIGGER = 1000  # of a replay: more files wait for the next micro-batch
 
 
 def landed(t: Tables, view: DataFrame) -> DataFrame:
     """A view's rows as a stream: written to the shared folder once and read as landed files."""
-    import uuid
-
     folder = f"{shared_folder(t.spark)}/landed-{uuid.uuid4().hex}"
     view.write.parquet(folder)
-    return t.spark.readStream.schema(view.schema).parquet(folder)
+    return t.spark.readStream.schema(view.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(folder)
 
 
 @query("t1_feed_stream", ("geo",), """
@@ -42,7 +43,7 @@ def t1(t: Tables) -> DataFrame:
     geometry = F.struct(F.lit("Point").alias("type"), F.array("lng", "lat", F.lit(1.0)).alias("coordinates"))
     raw = t.geo.select(F.array(F.struct(c("event_id").cast("string").alias("id"), props.alias("properties"), geometry.alias("geometry"))).alias("features"))
     events = flows.with_event_ids(conform(landed(t, raw), feeds()["quakes"], F.current_timestamp()))
-    folder = shared_folder(t.spark) + "/t1-" + str(id(raw))
+    folder = f"{shared_folder(t.spark)}/t1-{uuid.uuid4().hex}"
     sink = flows.two_sinks(lambda batch, epoch: None, flows.store_events(folder + "/table"))
     for attempt in ("one", "two"):
         flows.start(events, sink, f"{folder}/{attempt}", once=True).awaitTermination()
@@ -62,7 +63,7 @@ def t3(t: Tables) -> DataFrame:
         F.create_map(F.lit("a"), F.lit("b")).alias("properties"), c("time").alias("event_time"), c("time").alias("position_time"), "lat", "lng", "velocity_ms", "heading_deg",
         F.lit(0.0).alias("altitude_m"),
     )
-    folder = shared_folder(t.spark) + "/t3-" + str(id(rows))
+    folder = f"{shared_folder(t.spark)}/t3-{uuid.uuid4().hex}"
     query_ = flows.start(landed(t, rows), flows.merge_positions(folder + "/state"), folder + "/progress", once=True)
     query_.awaitTermination()
     last = query_.lastProgress["batchId"] if query_.lastProgress else 0
@@ -80,14 +81,24 @@ def t5(t: Tables) -> DataFrame:
     return flows.drain(state.near_duplicates_stream(landed(t, t.news), window_minutes=24 * 60))
 
 
-@query("t6_baseline_stream", ("geo",), f"""
-    SELECT layer, region, day AS cycle, n AS count, CAST(row_number() OVER (PARTITION BY layer, region ORDER BY day) - 1 AS INT) AS cycles_before FROM (
-      SELECT layer, {region_sql()} AS region, CAST(date_diff('day', DATE '1970-01-01', CAST(event_time AS DATE)) AS BIGINT) AS day, count(*) AS n FROM geo GROUP BY 1, 2, 3)""")
+_EWMA = f"""RECURSIVE daily AS (SELECT *, row_number() OVER (PARTITION BY layer, region ORDER BY day) AS k FROM (
+      SELECT layer, {region_sql()} AS region, CAST(date_diff('day', DATE '1970-01-01', CAST(event_time AS DATE)) AS BIGINT) AS day, CAST(count(*) AS DOUBLE) AS n FROM geo GROUP BY 1, 2, 3)),
+    base AS (
+      SELECT layer, region, day, n, k, CAST(NULL AS DOUBLE) AS mean_before, CAST(NULL AS DOUBLE) AS std_before, n AS mean, 1.0::DOUBLE AS std FROM daily WHERE k = 1
+      UNION ALL
+      SELECT layer, region, day, n, k, m, s, 0.75 * m + 0.25 * n, greatest(1.0, sqrt(0.75 * s * s + 0.25 * pow(n - (0.75 * m + 0.25 * n), 2)))
+      FROM (SELECT d.*, b.mean AS m, b.std AS s FROM daily d JOIN base b ON b.layer = d.layer AND b.region = d.region AND b.k + 1 = d.k))"""
+
+
+@query("t6_baseline_stream", ("geo",), """
+    SELECT layer, region, day AS cycle, CAST(n AS BIGINT) AS count, round(mean_before, 6) AS mean_before, round(std_before, 6) AS std_before, CAST(k - 1 AS INT) AS cycles_before FROM base""", _EWMA)
 def t6(t: Tables) -> DataFrame:
     daily = t.geo.withColumns({"region": region_for(c("lat"), c("lng")), "cycle": F.unix_date(F.to_date("event_time")).cast("bigint")}).groupBy(
         "layer", "region", "cycle"
     ).agg(F.count(F.lit(1)).alias("count"))
-    return flows.drain(state.baseline_stream(landed(t, daily))).select("layer", "region", "cycle", "count", "cycles_before")
+    return flows.drain(state.baseline_stream(landed(t, daily))).select(
+        "layer", "region", "cycle", "count", F.round("mean_before", 6).alias("mean_before"), F.round("std_before", 6).alias("std_before"), "cycles_before"
+    )
 
 
 @query("t7_watch_stream", ("geo",), "SELECT CAST(watch_id AS VARCHAR) AS watch_id, match_id FROM hit WHERE km <= radius", _WATCH)

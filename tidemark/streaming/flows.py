@@ -61,6 +61,8 @@ def merge_positions(state_path: str) -> Callable[[DataFrame, int], None]:
     """Latest position per entity as versions of a table: state/epoch=N holds everything up to N.
 
     A retried epoch rewrites its own version from the one before it, so it is idempotent.
+    Only the last two versions are kept; if the one before is missing the epoch fails, as
+    going on without it would lose every entity.
     """
 
     def sink(batch: DataFrame, epoch: int) -> None:
@@ -68,8 +70,12 @@ def merge_positions(state_path: str) -> Callable[[DataFrame, int], None]:
         target = f"{state_path}/epoch={epoch}"
         previous = f"{state_path}/epoch={epoch - 1}"
         rows = batch.withColumn("arrival", F.unix_micros("event_time"))
-        old = spark.read.parquet(previous) if _exists(spark, previous) else empty_state(spark)
+        if epoch and not _exists(spark, previous):
+            raise RuntimeError(f"the version before epoch {epoch} is missing: {previous}")
+        old = spark.read.parquet(previous) if epoch else empty_state(spark)
         upsert_entities(old, rows).write.mode("overwrite").parquet(target)
+        stale = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/epoch={epoch - 2}")
+        stale.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stale, True)
 
     return sink
 
