@@ -12,10 +12,11 @@ with the length of the text, so a signature costs a hash per shingle and a const
 Texts equal in their words are one text from the start. Texts that agree in a band meet in a
 bucket. A pair is linked if the overlap of its multisets is at least the threshold, which is
 tested on the shingles themselves. Within a bucket not all pairs are formed: first one
-member, another one in each bucket, is compared with the rest and the links are joined to
-components; then only pairs of different components are left to compare, the members outside
-a bucket's largest component with all others. Every pair of a bucket is so either compared
-or known to be in one class. A text at the threshold misses all bands with a chance of
+member, the one that meets most texts, is compared with the rest and the links are joined to
+components; then only pairs of different components are left, the members outside a bucket's
+largest component with all others. Of these, pairs that cannot overlap enough, given how
+either differs from the first member, are passed over. Every pair of a bucket is so either
+compared, ruled out exactly, or known to be in one class. A text at the threshold misses all bands with a chance of
 (1 - 0.8 ** 5) ** 32, 4 in a million.
 
 Signatures are stored once; the joins carry ids and, for texts in buckets, shingle hashes.
@@ -44,6 +45,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 SIMILARITY = 0.8
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+WORDS = 8  # 64-bit words of the bitmaps that bound overlaps
 _BLOCK = 1 << 17  # points made at a time
 NO_ID = -(1 << 63)
 
@@ -194,13 +196,40 @@ def multisets(rows: DataFrame) -> DataFrame:
     return rows.select("text_id", "text").mapInArrow(run, "text_id long, n long, items array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) whose multisets overlap enough."""
+def _bitmap(items: Column, word: int) -> Column:
+    """One of WORDS 64-bit words of a bitmap of the items."""
+    own = F.filter(items, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WORDS - 1)) == word)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) distinct with both multisets."""
     side = lambda k: sets.select(F.col("text_id").alias(k), F.col("items").alias(f"items_{k}"))
-    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    return pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+
+
+def _enough(similarity: float) -> Column:
     shared = F.size(F.array_intersect("items_a", "items_b"))
-    whole = F.size("items_a") + F.size("items_b")
-    return both.filter(shared * (1 + similarity) >= similarity * whole - 1e-9).select("a", "b")
+    return shared * (1 + similarity) >= similarity * (F.size("items_a") + F.size("items_b")) - 1e-9
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) whose multisets overlap enough."""
+    return _common(pairs, sets).filter(_enough(similarity)).select("a", "b")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pivots a with members b: whether they are linked, and how b differs from a.
+
+    `gone` and `more` are bitmaps of what b lacks of a and has beyond it, `slack` how many
+    items of the latter share a bit with another. For members x, y of one pivot p they bound
+    the overlap from above: |p| - bits(gone_x | gone_y) + bits(more_x & more_y) + slack.
+    """
+    both = _common(pairs, sets).withColumns({"lost": F.array_except("items_a", "items_b"), "won": F.array_except("items_b", "items_a")})
+    bits = {f"{name}{w}": _bitmap(F.col(of), w) for name, of in (("gone", "lost"), ("more", "won")) for w in range(WORDS)}
+    out = both.select("a", "b", _enough(similarity).alias("linked"), F.size("items_a").alias("pivot_n"), F.size("won").alias("won"), *[v.alias(k) for k, v in bits.items()])
+    used = sum((F.bit_count(f"more{w}") for w in range(WORDS)), F.lit(0))
+    return out.withColumn("slack", F.col("won") - used).drop("won")
 
 
 def _near_in_size(a: Column, b: Column, similarity: float) -> Column:
@@ -219,29 +248,43 @@ def text_classes(texts: DataFrame, rows: DataFrame, similarity: float) -> DataFr
     `texts` has (text_id, n, bands, _id, _mark), the last two naming a row of `rows` with the text.
     """
     bucket = texts.select("text_id", "n", F.explode("bands").alias("bucket"))
-    shared = bucket.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("members"), F.min_by(F.struct(F.col("text_id").alias("pivot"), F.col("n").alias("pivot_n")), F.xxhash64("bucket", "text_id")).alias("p"),
-    ).filter("members > 1").select("bucket", "p.pivot", "p.pivot_n")
-    bucket = durable(bucket.join(shared, "bucket"))
+    sizes = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    bucket = durable(bucket.join(sizes, "bucket"))
     if bucket.isEmpty():
         return texts.select("text_id", F.col("text_id").alias("component")).limit(0)
+    # The member with the largest buckets is nearest to the middle of a group of copies.
+    score = bucket.groupBy("text_id").agg(F.sum("members").alias("score"))
+    best = F.max_by(F.col("text_id"), F.struct("score", F.xxhash64("text_id")))
+    pivots = bucket.join(score, "text_id").groupBy("bucket").agg(best.alias("pivot"))
+    bucket = durable(bucket.drop("members").join(pivots, "bucket"))
     meeting = bucket.select("text_id").distinct().join(texts, "text_id").select("text_id", "_id", "_mark")
     sets = durable(multisets(rows.join(meeting, ["_id", "_mark"])))
-    first = bucket.filter((F.col("text_id") != F.col("pivot")) & _near_in_size(F.col("n"), F.col("pivot_n"), similarity))
-    links = durable(verified(first.select(F.least("text_id", "pivot").alias("a"), F.greatest("text_id", "pivot").alias("b")), sets, similarity))
+    first = bucket.filter(F.col("text_id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("text_id").alias("b"), "n").distinct()
+    of_pivot = texts.select(F.col("text_id").alias("a"), F.col("n").alias("pivot_n"))
+    first = first.join(of_pivot, "a").filter(_near_in_size(F.col("n"), F.col("pivot_n"), similarity))
+    known = durable(compared(first, sets, similarity))
+    links = known.filter("linked").select("a", "b")
     group = components(links)
-    marked = bucket.select("bucket", "text_id", "n").join(group, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
+    marked = bucket.join(group, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
     mixed = marked.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    open_rows = durable(marked.join(mixed, "bucket"))
-    sizes = open_rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    outside = open_rows.join(main, "bucket").filter("component <> main")
-    left = outside.select("bucket", F.col("text_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "main")
-    right = open_rows.select("bucket", F.col("text_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
+    # A pivot has met all its bucket; of the others those in different components are left.
+    loose = marked.join(mixed, "bucket").filter(F.col("text_id") != F.col("pivot"))
+    facts = known.withColumnsRenamed({"a": "pivot", "b": "text_id"}).drop("linked")
+    loose = durable(loose.join(facts, ["pivot", "text_id"], "left"))
+    shares = loose.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = shares.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    outside = loose.join(main, "bucket").filter("component <> main")
+    carried = ["text_id", "n", "component", "slack", *[f"{k}{w}" for k in ("gone", "more") for w in range(WORDS)]]
+    left = outside.select("bucket", "main", "pivot_n", *[F.col(c).alias("x_" + c) for c in carried])
+    right = loose.select("bucket", *[F.col(c).alias("y_" + c) for c in carried])
     # A pair of two outside members is met from both sides; one of them is enough.
-    once = (F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))
-    rest = left.join(right, "bucket").filter((F.col("cx") != F.col("cy")) & once & _near_in_size(F.col("nx"), F.col("ny"), similarity))
-    more = durable(verified(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), sets, similarity))
+    once = (F.col("y_component") == F.col("main")) | (F.col("x_text_id") < F.col("y_text_id"))
+    bits = lambda k, op: sum((F.bit_count(getattr(F.col(f"x_{k}{w}"), op)(F.col(f"y_{k}{w}"))) for w in range(WORDS)), F.lit(0))
+    most = F.col("pivot_n") - bits("gone", "bitwiseOR") + bits("more", "bitwiseAND") + F.least("x_slack", "y_slack")
+    possible = F.coalesce(most * (1 + similarity) >= similarity * (F.col("x_n") + F.col("y_n")) - 1e-9, F.lit(True))
+    near = _near_in_size(F.col("x_n"), F.col("y_n"), similarity)
+    rest = left.join(right, "bucket").filter((F.col("x_component") != F.col("y_component")) & once & near & possible)
+    more = durable(verified(rest.select(F.least("x_text_id", "y_text_id").alias("a"), F.greatest("x_text_id", "y_text_id").alias("b")), sets, similarity))
     if more.isEmpty():
         return group
     return components(links.unionByName(more))
