@@ -183,3 +183,12 @@ def military_aircraft(callsign: Column, icao24: Column, flags: Column) -> Column
 
 def aircraft(is_emergency: Column, is_military: Column, on_ground: Column) -> Column:
     return F.when(is_emergency, 10).when(is_military & on_ground, 4).when(is_military, 7).otherwise(1)
+
+
+# Stations and telescopes that stand out among satellites.
+NOTABLE_SATELLITES = ("iss", "tiangong", "hubble")
+
+
+def satellite(name: Column) -> Column:
+    """`name` in lower case."""
+    return F.when(name.rlike("|".join(NOTABLE_SATELLITES)), 5).otherwise(1)

@@ -551,3 +551,46 @@ def r9(t: Tables) -> DataFrame:
         F.lit(None).cast("double").alias("baro_altitude"), F.lit(1000.0).alias("geo_altitude"), (c("ping_id") % 3).alias("feed_rank"), c("ping_id").alias("seq"),
     )
     return feed_module.aircraft_positions(raw).select("icao24", "ping_id", "military", "severity")
+
+
+@query("r8_social_posts", (), """
+    SELECT CAST(doc_id AS VARCHAR) AS rkey, CASE WHEN doc_id % 3 = 0 THEN 'explosion' ELSE 'war' END AS event_subtype FROM documents WHERE doc_id % 3 <> 2 AND doc_id % 4 <> 3""")
+def r8_posts(t: Tables) -> DataFrame:
+    """Posts without a keyword, or without a place, are left out."""
+    i = c("doc_id")
+    text = F.when(i % 3 == 0, "An Explosion, heard downtown").when(i % 3 == 1, "talk of WAR again").otherwise("warm weather")
+    raw = t.raw("documents").select(
+        F.lit("d").alias("did"), i.cast("string").alias("rkey"), text.alias("text"), F.when(i % 4 != 3, (i % 90).cast("double")).alias("lat"), (i % 170).cast("double").alias("lng"), F.lit("2024-01-05T00:00:00Z").alias("ts"),
+    )
+    rows = feed_module.conform(raw, feed_module.feeds()["posts"], t.as_of)
+    return rows.select(F.substring_index("external_id", ":", -1).alias("rkey"), "event_subtype")
+
+
+@query("r9_satellite_positions", ("entity",), """
+    SELECT canonical_id AS external_id, CASE WHEN user_id % 4 = 0 THEN 5 ELSE 1 END AS severity, CAST(400 + user_id % 7 AS DOUBLE) * 1000 AS altitude_m, 7500.0::DOUBLE AS velocity_ms FROM entity WHERE user_id % 6 <> 5""")
+def r9_satellites(t: Tables) -> DataFrame:
+    u = c("user_id")
+    raw = t.entity.select(
+        c("canonical_id").alias("norad"), F.when(u % 8 == 0, "ISS (ZARYA)").when(u % 8 == 4, "Hubble").otherwise("SAT").alias("name"), F.lit("g").alias("group"),
+        F.when(u % 6 != 5, (u % 80).cast("double")).alias("lat"), (u % 170).cast("double").alias("lng"), (u % 7 + 400).cast("double").alias("alt_km"), F.lit(7.5).alias("vel_km_s"),
+    )
+    return feed_module.conform(raw, feed_module.feeds()["satellites"], t.as_of).select("external_id", "severity", "altitude_m", "velocity_ms")
+
+
+@query("r10_reference_layer", (), """
+    SELECT s_name AS name, CAST(s_suppkey % 160 - 80 AS DOUBLE) AS lat, CAST(s_suppkey * 7 % 340 - 170 AS DOUBLE) AS lng, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier WHERE s_suppkey % 9 <> 4""")
+def r10(t: Tables) -> DataFrame:
+    """Points of interest written as GeoJSON files, one document each, and read back."""
+    import uuid
+
+    from tidemark.operators.lineage import shared_folder
+
+    i = c("s_suppkey")
+    place = F.array((i * 7 % 340 - 170).cast("double"), (i % 160 - 80).cast("double"))
+    geometry = F.when(i % 9 != 4, F.struct(F.lit("Point").alias("type"), place.alias("coordinates")))
+    props = F.struct(c("s_name").alias("name"), c("s_nationkey").cast("string").alias("nation"))
+    features = t.raw("supplier").groupBy((i % 8).alias("part")).agg(F.collect_list(F.struct(props.alias("properties"), geometry.alias("geometry"))).alias("features"))
+    folder = f"{shared_folder(t.spark)}/layer-{uuid.uuid4().hex}"
+    features.repartition(8, "part").select("part", F.to_json(F.struct("features")).alias("value")).write.partitionBy("part").text(folder)
+    layer = feed_module.reference_layer(t.spark, folder)
+    return layer.select("name", "lat", "lng", c("properties")["nation"].alias("nation"))

@@ -357,9 +357,9 @@ def u2(t: Tables) -> DataFrame:
 
 
 @query("u3_first_feed_wins", ("geo",), """
-    SELECT entity_id, feed_rank, count(*) AS n FROM (SELECT DISTINCT entity_id, min(CASE layer WHEN 'error' THEN 0 WHEN 'view' THEN 1 ELSE 2 END) OVER (PARTITION BY entity_id) AS feed_rank FROM geo WHERE layer IN ('error', 'view', 'click') AND value > 100) GROUP BY 1, 2""")
+    SELECT entity_id, feed_rank, count(*) AS n FROM (SELECT DISTINCT entity_id, min(CASE layer WHEN 'error' THEN 0 WHEN 'view' THEN 1 ELSE 2 END) OVER (PARTITION BY entity_id) AS feed_rank FROM geo WHERE layer IN ('error', 'view', 'click')) GROUP BY 1, 2""")
 def u3(t: Tables) -> DataFrame:
-    feeds = [t.geo.filter((c("layer") == x) & (c("value") > 100)) for x in ("error", "view", "click")]
+    feeds = [t.geo.filter(c("layer") == x) for x in ("error", "view", "click")]
     return merge.first_feed_wins(feeds, "entity_id").groupBy("entity_id", "feed_rank").agg(F.count(F.lit(1)).alias("n"))
 
 

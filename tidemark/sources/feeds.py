@@ -305,6 +305,13 @@ def feeds() -> dict[str, Feed]:
         layer="social_bluesky", event_type="bluesky_post", schema="did string, rkey string, text string, lat double, lng double, ts string", quality="unknown",
         external_id=F.concat_ws(":", F.lit("bsky"), "did", "rkey"), lat=_c("lat"), lng=_c("lng"), time=T.parse_time(_c("ts")), severity=S.post(_c("low")), rows=lambda df: df.withColumn("low", F.lower(F.coalesce("text", F.lit("")))),
         subtype=T.first_listed(_c("low"), S.R.POST_SUBTYPES, whole_word=True), payload={"text": _c("text")},
+        keep=T.first_listed(_c("low"), S.R.POST_KEYWORDS, whole_word=True).isNotNull() & _c("lat").isNotNull() & _c("lng").isNotNull(),
+    )
+    _sat_name = F.lower(F.coalesce("name", F.lit("")))
+    SATELLITES = Feed(
+        layer="satellites", event_type="satellite_position", kind="position", schema="norad string, name string, `group` string, lat double, lng double, alt_km double, vel_km_s double",
+        external_id=F.trim("norad"), lat=_c("lat"), lng=_c("lng"), keep=_c("lat").isNotNull() & _c("lng").isNotNull(), severity=S.satellite(_sat_name),
+        altitude_m=_c("alt_km") * 1000, velocity=_c("vel_km_s") * 1000, payload={"norad": _c("norad"), "name": _c("name"), "group": _c("group")},
     )
     _spot = T.coordinates_in(_c("text"))
     CITIZEN = Feed(
@@ -317,7 +324,7 @@ def feeds() -> dict[str, Feed]:
         "quakes": QUAKES, "quakes_b": QUAKES_B, "fires": FIRES, "natural": NATURAL, "alerts": ALERTS, "space": SPACE, "space_alerts": SPACE_ALERTS,
         "near_objects": NEAR_OBJECTS, "metar": METAR, "air": AIR, "storms": STORMS, "volcanoes": VOLCANOES, "disasters": DISASTERS,
         "declarations": DECLARATIONS, "vulnerabilities": VULNERABILITIES, "filings": FILINGS, "stories": STORIES, "news": NEWS, "forecasts": FORECASTS,
-        "airports": AIRPORTS, "macro": MACRO, "incidents": INCIDENTS, "posts": POSTS, "citizen": CITIZEN,
+        "airports": AIRPORTS, "macro": MACRO, "incidents": INCIDENTS, "posts": POSTS, "citizen": CITIZEN, "satellites": SATELLITES,
     }
 
 
