@@ -45,7 +45,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 SIMILARITY = 0.8
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-WORDS = 8  # 64-bit words of the bitmaps that bound overlaps
+WORDS = 16  # 64-bit words of the bitmaps that bound overlaps
 _BLOCK = 1 << 17  # points made at a time
 NO_ID = -(1 << 63)
 
@@ -259,9 +259,8 @@ def text_classes(texts: DataFrame, rows: DataFrame, similarity: float) -> DataFr
     bucket = durable(bucket.drop("members").join(pivots, "bucket"))
     meeting = bucket.select("text_id").distinct().join(texts, "text_id").select("text_id", "_id", "_mark")
     sets = durable(multisets(rows.join(meeting, ["_id", "_mark"])))
-    first = bucket.filter(F.col("text_id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("text_id").alias("b"), "n").distinct()
-    of_pivot = texts.select(F.col("text_id").alias("a"), F.col("n").alias("pivot_n"))
-    first = first.join(of_pivot, "a").filter(_near_in_size(F.col("n"), F.col("pivot_n"), similarity))
+    # All members, also those of quite another size: how they differ from the pivot rules out most other pairs.
+    first = bucket.filter(F.col("text_id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("text_id").alias("b"))
     known = durable(compared(first, sets, similarity))
     links = known.filter("linked").select("a", "b")
     group = components(links)
