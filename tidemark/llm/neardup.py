@@ -45,7 +45,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 SIMILARITY = 0.8
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-WORDS = 16  # 64-bit words of the bitmaps that bound overlaps
+WORDS = 8  # 64-bit words of the bitmaps that bound overlaps
 _BLOCK = 1 << 17  # points made at a time
 NO_ID = -(1 << 63)
 
@@ -196,12 +196,6 @@ def multisets(rows: DataFrame) -> DataFrame:
     return rows.select("text_id", "text").mapInArrow(run, "text_id long, n long, items array<long>")
 
 
-def _bitmap(items: Column, word: int) -> Column:
-    """One of WORDS 64-bit words of a bitmap of the items."""
-    own = F.filter(items, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WORDS - 1)) == word)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-
-
 def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) distinct with both multisets."""
     side = lambda k: sets.select(F.col("text_id").alias(k), F.col("items").alias(f"items_{k}"))
@@ -225,11 +219,30 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     items of the latter share a bit with another. For members x, y of one pivot p they bound
     the overlap from above: |p| - bits(gone_x | gone_y) + bits(more_x & more_y) + slack.
     """
-    both = _common(pairs, sets).withColumns({"lost": F.array_except("items_a", "items_b"), "won": F.array_except("items_b", "items_a")})
-    bits = {f"{name}{w}": _bitmap(F.col(of), w) for name, of in (("gone", "lost"), ("more", "won")) for w in range(WORDS)}
-    out = both.select("a", "b", _enough(similarity).alias("linked"), F.size("items_a").alias("pivot_n"), F.size("won").alias("won"), *[v.alias(k) for k, v in bits.items()])
-    used = sum((F.bit_count(f"more{w}") for w in range(WORDS)), F.lit(0))
-    return out.withColumn("slack", F.col("won") - used).drop("won")
+    names = [f"{k}{w}" for k in ("gone", "more") for w in range(WORDS)]
+    schema = ", ".join(["a long", "b long", "linked boolean", "pivot_n long", "slack long", *[f"{n} long" for n in names]])
+
+    def bitmap(items: np.ndarray) -> np.ndarray:
+        words = np.zeros(WORDS, np.uint64)
+        np.bitwise_or.at(words, ((items >> np.uint64(6)) & np.uint64(WORDS - 1)).astype(np.int64), np.uint64(1) << (items & np.uint64(63)))
+        return words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [(np.asarray(c.offsets), c.values.to_numpy().view(np.uint64)) for c in (batch.column(2), batch.column(3))]
+            linked, numbers, bits = [], [], []
+            for i in range(len(batch)):
+                own, other = (v[o[i] : o[i + 1]] for o, v in sides)
+                lost, won = own[~np.isin(own, other, assume_unique=True)], other[~np.isin(other, own, assume_unique=True)]
+                linked.append((len(own) - len(lost)) * (1 + similarity) >= similarity * (len(own) + len(other)) - 1e-9)
+                more = bitmap(won)
+                numbers.append((len(own), len(won) - int(np.bitwise_count(more).sum())))
+                bits.append(np.concatenate([bitmap(lost), more]))
+            columns = [*np.array(numbers, np.int64).reshape(-1, 2).T, *np.array(bits, np.uint64).reshape(-1, 2 * WORDS).view(np.int64).T]
+            arrays = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), *[pa.array(np.ascontiguousarray(c)) for c in columns]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "linked", "pivot_n", "slack", *names])
+
+    return _common(pairs, sets).select("a", "b", "items_a", "items_b").mapInArrow(run, schema)
 
 
 def _near_in_size(a: Column, b: Column, similarity: float) -> Column:
