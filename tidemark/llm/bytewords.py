@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20  # work arrays take some fifty times as much
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
     """A 64-bit hash of each byte range, the same wherever the range lies; `fold` takes A-Z as a-z."""
-    up, down = _powers(max(1 << 22, 1 << int(len(data)).bit_length()))
+    up, down = _powers(max(CHUNK_BYTES, 1 << int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_FOLDED if fold else _BYTE)[data] * up[: len(data)], out=total[1:])
     own = (total[ends] - total[starts]) * down[starts]
