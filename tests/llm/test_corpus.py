@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -412,6 +413,24 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in rows if not r.toxic) / len(rows) < 0.01
 
 
+def test_toxicity_of_all_languages(spark):
+    """Held-out recall by language: a stem that begins a word is longer than four bytes."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.toxicity(docs, labels).filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang, least in (("en", 0.85), ("de", 0.85), ("fr", 0.85), ("es", 0.6)):
+        toxic = [r for r in rows if r.lang == lang and r.toxic]
+        assert sum(r.predicted for r in toxic) >= least * len(toxic) > 0
+    assert sum(r.predicted for r in rows if not r.toxic) <= 0.01 * len(rows)
+
+
+def test_toxicity_of_unseen_sequences(spark):
+    """Exact keys: words that no label speaks of say nothing, whatever else the model holds."""
+    model = spark.createDataFrame([(int(g), 9.0) for g in toxicity.steps(pa.array([b"scum"]))[0]], "g long, ratio double")
+    docs = spark.createDataFrame([(" ".join(f"{k:x}g" for k in range(20_000)),), ("Scum!",), (None,)], "text string")
+    assert [(bytes(r.word), r.ratio) for r in toxicity.marked_words(docs, model).collect()] == [(b"scum", 45.0)]
+
+
 def test_sequences():
     code, of = toxicity.sequences(np.frombuffer(b"ab, 1d", np.uint8), np.array([0, 4, 4, 6]))
     assert of.tolist() == [0, 3, 3, 5]
