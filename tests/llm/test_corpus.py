@@ -245,6 +245,18 @@ def test_pseudonyms(spark, documents, odd):
     assert pseudonyms.pseudonyms(empty(odd)).count() == 0
 
 
+def test_pseudonyms_of_every_form():
+    """A secret after a colon needs no digit near it; upper-case words after an account number are not part of it."""
+    work, back = pseudonyms.Pseudonyms("k"), pseudonyms.Pseudonyms("k", inverse=True)
+    new = [work.replace(t)[0].split()[-1] for t in ("password: correcthorsebattery", "7 password: correcthorsebattery")]
+    assert new[0] == new[1] != "correcthorsebattery"
+    for number, rest in (("ES91 2100 0418 4502 0005 1332", " BIC X"), ("BE68 5390 0754 7034", " EUR"), ("BE68539007547034", " EUR and"), ("GB82 WEST 1234 5698 7654 32", " OR")):
+        text, spans = work.replace(number + rest)
+        assert spans == [("iban", 0, len(number))] and text.endswith(rest) and text[:4] != number[:4]
+        assert pseudonyms.mod97(text[: len(number)].replace(" ", "")) == 1 and back.replace(text)[0] == number + rest
+    assert [k for k, _, _ in work.replace("AB12 4539 1488 0343 6467")[1]] == ["card"]
+
+
 # near-duplicates
 
 

@@ -7,7 +7,7 @@ walked until the result is valid again. Equal values get equal pseudonyms in all
 whatever their separators, different values get different ones, and who holds the key can
 go back (up to leading zeros of dates). Numbers that fail validation are ordinary text and stay.
 
-It is one pass without a shuffle; only the surroundings of a digit, `@` or `=` are searched.
+It is one pass without a shuffle; only the surroundings of a digit, `@`, `=` or `:` are searched.
 
 Cases: a null text stays null and an empty one empty; texts are searched whole; repeated
 rows are treated alike; an empty table gives no row; other columns are carried along.
@@ -46,7 +46,13 @@ FORMS = re.compile(
 )
 DATES = ("iso", "date", "long1", "long2")
 KINDS = ("email", "secret", "iban", *DATES, "ip", "ssn", "phone", "card", "digits")
-_HINT = re.compile(r"[@=\d]")
+_HINT = re.compile(r"[@=:\d]")
+#: Lengths of account numbers by country; of others the longest valid one is taken.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22,
+    "GI": 23, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15,
+    "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26, "UA": 29,
+}
 _NEAR = 80  # code points around a hint that are searched, to the next white space
 
 
@@ -179,6 +185,13 @@ class Pseudonyms:
         new = iter(f"{plain[:2]}{98 - mod97(plain[:2] + '00' + body):02d}{body}")
         return "".join(c if c == " " else next(new) for c in s)
 
+    def iban_end(self, s: str) -> int:
+        """Where the account number ends in what has its form: at a group's border, best at the length of its country; else 0."""
+        ends = [len(s), *[k for k in range(len(s) - 1, 0, -1) if s[k] == " "]]
+        ends.sort(key=lambda k: len(s[:k].replace(" ", "")) != IBAN_LENGTH.get(s[:2]))
+        valid = lambda plain: 15 <= len(plain) <= 34 and mod97(plain) == 1
+        return next((k for k in ends if valid(s[:k].replace(" ", ""))), 0)
+
     def ip(self, s: str) -> str | None:
         parts = [int(p) for p in s.split(".")]
         if max(parts) > 255:
@@ -238,9 +251,14 @@ class Pseudonyms:
         """(new text, spans (kind, start, end) of the values in the old one)."""
         spans, parts, at = [], [], 0
         for first, last in windows(text):
-            for m in FORMS.finditer(text, first, last):
+            while m := FORMS.search(text, first, last):
                 kind = next(k for k in KINDS if m.group(k) is not None)
                 a, b = m.span("value" if kind == "secret" else kind)
+                first = m.end()
+                if kind == "iban":
+                    # Upper-case words after it have the form of its groups; what it leaves is searched again.
+                    end = self.iban_end(text[a:b])
+                    b = first = a + (end or (text[a:b].find(" ") + 1) or b - a)
                 old = text[a:b]
                 new = self._letters("secret", old) if kind == "secret" else getattr(self, kind)(old)
                 if new is not None:
