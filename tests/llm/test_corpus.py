@@ -488,6 +488,23 @@ def test_compression_bands(spark):
 # queries and the pipeline
 
 
+def test_compression_of_the_rest():
+    """Junk after the first 4096 bytes of a text under 8192 is a chunk of its own."""
+    import base64
+    import random
+
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(150)]
+    prose = " ".join(rng.choice(vocabulary) for _ in range(2000))
+    junk = base64.b64encode(rng.randbytes(3000)).decode()
+    texts = [(prose[:4100] + junk[:3900]).encode(), prose[:8000].encode(), (prose[:4096] + junk[:300]).encode(), prose[:300].encode(), b""]
+    offsets = np.cumsum([0, *map(len, texts)])
+    ratio = quality.ratios(np.frombuffer(b"".join(texts), np.uint8), offsets, quality.CHUNK, quality.LEVEL)
+    assert ratio[0, 0] >= 1.45 and ratio[0, 1] >= 1.35 > ratio[0, 3]
+    assert np.isnan(ratio[2:, 3]).all()
+    assert quality.within(np.diff(offsets), ratio, quality.BANDS).tolist()[:3] == [False, True, True]
+
+
 def test_queries_are_registered(spark):
     import __spark_entry__
 

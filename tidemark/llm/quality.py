@@ -3,7 +3,8 @@
 Two ratios (bytes before over bytes after) are taken: of the whole text, and of each fixed
 chunk of it. A text is kept if both lie within the limits of its length band. Repetition
 over long distances shows in the whole, a repetitive or a random passage inside a long text
-in its worst chunks. Short texts compress badly by nature, so bands start lower there.
+in its worst chunks. Short texts compress badly by nature, so bands start lower there; the rest
+after the last whole chunk is a chunk too, within the limits of its own length.
 
 Cases: a null or empty text has no word and fails the base rules; texts are taken whole;
 rows repeat as they come; other columns of the input are not read.
@@ -42,6 +43,7 @@ BANDS = (
     Band(None, 1.50, 5.5, 1.35, 4.5),
 )
 CHUNK = 4096
+LEAST_REST = 512  # a shorter rest belongs to the chunk before it
 LEVEL = 3
 
 _SYMBOL = np.zeros(256, bool)
@@ -90,31 +92,39 @@ def repeated_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def ratios(data: np.ndarray, offsets: np.ndarray, chunk: int, level: int) -> np.ndarray:
-    """Rows (whole, least chunk, largest chunk) of each text; 1 for an empty one.
+    """Rows (whole, least chunk, largest chunk, rest) of each text; 1 for an empty one.
 
-    Chunks are `chunk` bytes long; a shorter rest belongs to the chunk before it.
+    Chunks are `chunk` bytes long; a rest under LEAST_REST belongs to the chunk before it, a longer
+    one is a chunk of its own (no number where there is none). A text of one chunk is that chunk.
     """
     press = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
     view = memoryview(np.ascontiguousarray(data)).cast("B") if len(data) else memoryview(b"")
-    out = np.ones((len(offsets) - 1, 3))
+    out = np.ones((len(offsets) - 1, 4))
+    out[:, 3] = np.nan
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         if a == b:
             continue
-        out[i] = (b - a) / len(press.compress(view[a:b]))
-        n = (b - a) // chunk
-        if n > 1:
-            cuts = [a + k * chunk for k in range(n)] + [b]
+        out[i, :3] = (b - a) / len(press.compress(view[a:b]))
+        n, rest = divmod(b - a, chunk)
+        own = n > 0 and rest >= LEAST_REST
+        if n > 1 or own:
+            cuts = [a + k * chunk for k in range(n)] + [b - rest if own else b]
             parts = [(y - x) / len(press.compress(view[x:y])) for x, y in zip(cuts, cuts[1:], strict=False)]
-            out[i, 1:] = min(parts), max(parts)
+            out[i, 1:3] = min(parts), max(parts)
+        if own:
+            out[i, 3] = rest / len(press.compress(view[b - rest : b]))
     return out
 
 
-def within(length: np.ndarray, ratio: np.ndarray, bands: Sequence[Band]) -> np.ndarray:
-    """Whether all three ratios lie inside the limits of the text's length."""
+def within(length: np.ndarray, ratio: np.ndarray, bands: Sequence[Band], chunk: int = CHUNK) -> np.ndarray:
+    """Whether the ratios lie inside the limits of the text's length, and a rest's inside those of its own."""
     edges = np.array([b.upto for b in bands if b.upto is not None])
-    limit = np.array([b[1:] for b in bands])[np.searchsorted(edges, length, "left")]
+    limits = np.array([b[1:] for b in bands])
+    limit = limits[np.searchsorted(edges, length, "left")]
     whole = (ratio[:, 0] >= limit[:, 0]) & (ratio[:, 0] <= limit[:, 1])
-    return whole & (ratio[:, 1] >= limit[:, 2]) & (ratio[:, 2] <= limit[:, 3])
+    limit_of_rest = limits[np.searchsorted(edges, length % chunk, "left")]
+    rest = np.isnan(ratio[:, 3]) | (ratio[:, 3] >= limit_of_rest[:, 2]) & (ratio[:, 3] <= limit_of_rest[:, 3])
+    return whole & (ratio[:, 1] >= limit[:, 2]) & (ratio[:, 2] <= limit[:, 3]) & rest
 
 
 def compression_bands(
@@ -131,10 +141,10 @@ def compression_bands(
                 again = repeated_words(B.range_hashes(data, starts, ends, fold=False), of)
                 failed = (n_words < least_words) | (again > most_repeated * n_words)
                 ratio = ratios(data, offsets, chunk, level)
-                kept = ~failed & within(np.diff(offsets), ratio, bands)
+                kept = ~failed & within(np.diff(offsets), ratio, bands, chunk)
                 chars = B.per_text(~B.SPACE[data] & ((data & 0xC0) != 0x80), offsets)
                 symbols = B.per_text(_SYMBOL[data], offsets)
-                columns = [n_words, chars, symbols, repeated_lines(data, offsets), again, failed, kept, *ratio.T]
+                columns = [n_words, chars, symbols, repeated_lines(data, offsets), again, failed, kept, ratio[:, 0], np.fmin(ratio[:, 1], ratio[:, 3]), np.fmax(ratio[:, 2], ratio[:, 3])]
                 yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, columns)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
