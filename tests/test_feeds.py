@@ -138,3 +138,19 @@ def test_licence_gate(spark):
     feeds = spark.createDataFrame([("ok", ["a"]), ("both", ["a", "b"]), ("nc", ["c"]), ("none", []), ("new", ["z"])], "feed string, source_ids array<string>")
     assert {r["feed"]: r["reason"] for r in licence.gate(feeds, reg).collect()} == {"ok": None, "both": "disabled", "nc": "not_commercial", "none": "no_source_id", "new": "not_registered"}
     assert {r["feed"]: r["reason"] for r in licence.gate(feeds, reg, strict=False).collect()}["nc"] is None
+
+
+def test_reference_layer_in_documents_of_bounded_size(spark, monkeypatch):
+    import types
+
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import scalar_queries
+
+    rows = spark.range(1, 20_001).select(F.col("id").alias("s_suppkey"), F.col("id").cast("string").alias("s_name"), (F.col("id") % 25).alias("s_nationkey"))
+    written, read = [], scalar_queries.feed_module.reference_layer
+    monkeypatch.setattr(scalar_queries.feed_module, "reference_layer", lambda session, folder: written.append(folder) or read(session, folder))
+    got = scalar_queries.r10(types.SimpleNamespace(spark=spark, raw=lambda name: rows))
+    assert {r.name for r in got.collect()} == {str(k) for k in range(1, 20_001) if k % 9 != 4}
+    sizes = spark.read.json(written[0]).select(F.size("features").alias("n")).collect()
+    assert max(r.n for r in sizes) <= 1000 and sum(r.n for r in sizes) == 20_000

@@ -580,7 +580,7 @@ def r9_satellites(t: Tables) -> DataFrame:
 @query("r10_reference_layer", (), """
     SELECT s_name AS name, CAST(s_suppkey % 160 - 80 AS DOUBLE) AS lat, CAST(s_suppkey * 7 % 340 - 170 AS DOUBLE) AS lng, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier WHERE s_suppkey % 9 <> 4""")
 def r10(t: Tables) -> DataFrame:
-    """Points of interest written as GeoJSON files, one document each, and read back."""
+    """Points of interest written as GeoJSON files, one document for every thousand keys, and read back."""
     import uuid
 
     from tidemark.operators.lineage import shared_folder
@@ -589,8 +589,8 @@ def r10(t: Tables) -> DataFrame:
     place = F.array((i * 7 % 340 - 170).cast("double"), (i % 160 - 80).cast("double"))
     geometry = F.when(i % 9 != 4, F.struct(F.lit("Point").alias("type"), place.alias("coordinates")))
     props = F.struct(c("s_name").alias("name"), c("s_nationkey").cast("string").alias("nation"))
-    features = t.raw("supplier").groupBy((i % 8).alias("part")).agg(F.collect_list(F.struct(props.alias("properties"), geometry.alias("geometry"))).alias("features"))
+    features = t.raw("supplier").groupBy(F.floor(i / 1000).alias("part")).agg(F.collect_list(F.struct(props.alias("properties"), geometry.alias("geometry"))).alias("features"))
     folder = f"{shared_folder(t.spark)}/layer-{uuid.uuid4().hex}"
-    features.repartition(8, "part").select("part", F.to_json(F.struct("features")).alias("value")).write.partitionBy("part").text(folder)
+    features.select("part", F.to_json(F.struct("features")).alias("value")).write.partitionBy("part").text(folder)
     layer = feed_module.reference_layer(t.spark, folder)
     return layer.select("name", "lat", "lng", c("properties")["nation"].alias("nation"))
