@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, linededup, mixing, neardup, neighbours, packing, pseudonyms, quality, toxicity, urls
+from tidemark.llm import chat, linededup, mixing, neardup, neighbours, ngramjoin, packing, pseudonyms, quality, toxicity, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,5 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": _over("embeddings", neighbours.neighbours),
     "op9_toxicity": toxicity_query,
     "op10_compression_bands": _over("documents", quality.compression_bands),
+    "op11_ngram_join": _over("documents", ngramjoin.jaccard_components),
+}
+SQL: dict[str, str] = {
+    "op1_line_dedup": linededup.ORACLE, "op2_chat_format": chat.ORACLE, "op7_url_filter": urls.ORACLE, "op11_ngram_join": ngramjoin.ORACLE,
 }
-SQL: dict[str, str] = {"op1_line_dedup": linededup.ORACLE, "op2_chat_format": chat.ORACLE, "op7_url_filter": urls.ORACLE}
