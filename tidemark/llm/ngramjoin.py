@@ -133,7 +133,7 @@ def parity(items: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> np.nda
 
 def _identity(items: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
     total = np.zeros(len(items) + 1, np.uint64)
-    np.cumsum(B.mix(items + np.uint64(seed) * _GOLDEN), out=total[1:])
+    np.cumsum(B.mix(items ^ B.mix(np.array([seed], np.uint64))), out=total[1:])
     return B.mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
