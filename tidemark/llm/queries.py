@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, linededup, mixing, neardup, neighbours, ngramjoin, packing, pseudonyms, quality, repair, toxicity, urls
+from tidemark.llm import chat, linededup, mixing, neardup, neighbours, ngramjoin, packing, phrases, pseudonyms, quality, repair, toxicity, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,8 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_compression_bands": _over("documents", quality.compression_bands),
     "op11_ngram_join": _over("documents", ngramjoin.jaccard_components),
     "op12_conversation_repair": _over("conversations", repair.damaged_and_repaired),
+    "op13_phrases": _over("documents", phrases.collocations),
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": linededup.ORACLE, "op2_chat_format": chat.ORACLE, "op7_url_filter": urls.ORACLE, "op11_ngram_join": ngramjoin.ORACLE,
-    "op12_conversation_repair": repair.ORACLE,
+    "op12_conversation_repair": repair.ORACLE, "op13_phrases": phrases.ORACLE,
 }
