@@ -103,6 +103,35 @@ def test_rejected_rows_do_not_represent(spark):
     assert [(c["event_id"], c["duplicate_count"]) for c in counts] == [("1", 1)]
 
 
+@pytest.mark.parametrize("block_rows", [15, 60])
+def test_blocks_of_a_long_chain_end_as_one_walk(spark, block_rows):
+    """One text holds a third of all rows over two days; blocks are walked side by side until their pasts agree."""
+    import random
+
+    rng = random.Random(block_rows)
+    rows = duplicates_fixture(3, 120) + [(f"h{k:03}", rng.randint(0, 3000), "alpha beta gamma delta epsilon zeta eta", *rng.choice([(10.0, 20.0), (10.3, 20.0), (None, None)])) for k in range(250)]
+    got = {r["event_id"]: r["duplicate_of"] for r in dedup.near_duplicates(news(spark, rows), block_rows=block_rows).collect()}
+    want = greedy(rows)
+    assert {k for k, v in got.items() if v is None} == {k for k, v in want.items() if v is None}
+    assert len(got) == len(rows)
+    steady = [(f"s{k:03}", 7 * k, "one two three four", None, None) for k in range(300)]  # no two walks ever meet by themselves
+    got = {r["event_id"]: r["duplicate_of"] for r in dedup.near_duplicates(news(spark, steady), block_rows=40).collect()}
+    assert got == greedy(steady)
+
+
+def test_news_filter_over_epochs(spark, tmp_path):
+    rows = sorted(duplicates_fixture(11, 150), key=lambda r: r[1])
+    cuts = [[r for r in rows if a <= r[1] < a + 150] for a in range(0, 601, 150)]
+    sink = flows.filter_news(str(tmp_path / "news"))
+    for epoch, part in enumerate(cuts):
+        sink(news(spark, part), epoch)
+    sink(news(spark, cuts[-1]), len(cuts) - 1)  # a retried epoch changes nothing
+    sink(news(spark, []), len(cuts))
+    got = {r["event_id"]: r["duplicate_of"] for r in spark.read.parquet(str(tmp_path / "news/verdicts")).collect()}
+    want = greedy(rows)
+    assert len(got) == len(rows) and {k for k, v in got.items() if v is None} == {k for k, v in want.items() if v is None}
+
+
 def landed(spark, tmp_path, df, name):
     path = str(tmp_path / name)
     df.write.parquet(path)

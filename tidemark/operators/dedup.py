@@ -6,12 +6,19 @@ each other through a chain of similar texts without a gap longer than the window
 are first grouped by similarity (distinct token sets only, prefix-filtered equi-join, then
 connected components), each group is cut at long gaps, and only such a chain is walked in
 order. Rows stream through the walk; its state holds the accepted rows of one window.
+
+A long chain is cut into blocks of time, which are walked side by side in rounds. All a block
+needs of the past are the accepted rows of the window before it. The first round assumes none;
+each further one walks the blocks again whose real past turned out different, until none is.
+After round k the first k blocks are surely those of the single walk, and as a rule all are
+after two or three, since walks from different pasts soon accept the same rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,8 +26,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import set_jaccard, tokens
 from tidemark.operators.detectors.clusters import connected_components
+from tidemark.operators.lineage import dealt, durable
 
-RESULT = "event_id string, duplicate_of string, similarity double"
+VERDICT = "chain string, block long, event_id string, duplicate_of string, similarity double"
+BLOCK_ROWS = 100_000
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
@@ -94,6 +103,10 @@ class GreedyWindow:
         self.rows.append((at, event_id, mine, lat, lng))
         return None, None
 
+    def admit(self, at: float, event_id: str, toks, lat: float, lng: float) -> None:
+        """Take a row that was accepted before."""
+        self.rows.append((at, event_id, frozenset(toks), lat, lng))
+
 
 def _jaccard(a: frozenset, b: frozenset) -> float:
     shared = len(a & b)
@@ -106,39 +119,83 @@ def _km(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
     return 2 * 6371.0088 * math.asin(math.sqrt(min(1.0, h)))
 
 
+def _judge(rows: DataFrame, limits: tuple[float, float, float]) -> DataFrame:
+    """Verdicts (VERDICT) of the rows of each block that are not known as accepted, which only count as past."""
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, state = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if (row.chain, row.block) != block:
+                    block, state = (row.chain, row.block), GreedyWindow(*limits)
+                lat, lng = (float("nan") if v is None else float(v) for v in (row.lat, row.lng))
+                if row.known:
+                    state.admit(row.at, row.event_id, row.toks, lat, lng)
+                else:
+                    out.append((row.chain, row.block, row.event_id, *state.judge(row.at, row.event_id, row.toks, lat, lng)))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in VERDICT.split(", ")])
+
+    columns = ["chain", "block", "at", "event_id", "toks", "lat", "lng", "known"]
+    return dealt(rows.select(*columns), ["chain", "block"], "at", "event_id").mapInPandas(judge, VERDICT)
+
+
+def _in_blocks(walk: DataFrame, window_s: float, block_rows: int) -> DataFrame:
+    """Adds `block` and `next_at`, the time at which the next one begins; a block is two windows long at least."""
+    whole = walk.groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last")).filter(F.col("n") > block_rows)
+    length = F.greatest(F.lit(2.0 * window_s), (F.col("last") - F.col("first")) * block_rows / F.col("n"))
+    cut = walk.join(whole.select("chain", "first", length.alias("length")), "chain", "left")
+    block = F.coalesce(F.floor((F.col("at") - F.col("first")) / F.col("length")), F.lit(0)).cast("long")
+    return cut.withColumn("block", block).withColumn("next_at", F.col("first") + (F.col("block") + 1) * F.col("length")).drop("first", "length")
+
+
+def _walked(walk: DataFrame, limits: tuple[float, float, float], block_rows: int) -> DataFrame:
+    """(event_id, duplicate_of, similarity) as one walk through every chain gives them."""
+    walk = durable(_in_blocks(walk, limits[0], block_rows))
+    verdicts = durable(_judge(walk, limits))
+    if walk.filter("block > 0").isEmpty():
+        return verdicts.select("event_id", "duplicate_of", "similarity")
+    border = walk.filter(F.col("at") >= F.col("next_at") - limits[0])
+    past = None
+    key = ["chain", "block"]
+    while True:
+        rejected = verdicts.filter("duplicate_of is not null").select(*key, "event_id")
+        now = border.join(rejected, [*key, "event_id"], "left_anti").withColumns({"block": F.col("block") + 1, "known": F.lit(True)})
+        now = durable(now.join(walk.select(*key).distinct(), key, "left_semi"))
+        signs = now.select(*key, "event_id", F.lit(1).alias("sign"))
+        if past is not None:
+            signs = signs.unionByName(past.select(*key, "event_id", F.lit(-1).alias("sign")))
+        changed = durable(signs.groupBy(*key, "event_id").agg(F.sum("sign").alias("s")).filter("s <> 0").select(*key).distinct())
+        if changed.isEmpty():
+            return verdicts.select("event_id", "duplicate_of", "similarity")
+        again = walk.unionByName(now).join(changed, key, "left_semi")
+        verdicts = durable(verdicts.join(changed, key, "left_anti").unionByName(_judge(again, limits)))
+        past = now
+
+
 def near_duplicates(
-    events: DataFrame, window_minutes: float = 60, threshold: float = 0.85, radius_km: float = 50
+    events: DataFrame, window_minutes: float = 60, threshold: float = 0.85, radius_km: float = 50, accepted: DataFrame | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(event_id, duplicate_of, similarity) for every event; accepted ones have null in the last two.
 
     Of rows equal in text, place and time only the first can be accepted, so the others join
-    its verdict afterwards and the walk sees each such spot once.
+    its verdict afterwards and the walk sees each such spot once. `accepted` are earlier events,
+    with the columns of `events`, that were accepted before and only count as past.
     """
     spot = ["chain", "timestamp", "toks", "lat", "lng"]
-    rows = chains(events, window_minutes, threshold)
-    leaders = rows.groupBy(*spot).agg(F.min("event_id").alias("leader"))
-    walk = leaders.withColumn("at", F.unix_micros("timestamp") / 1e6).select("chain", "at", F.col("leader").alias("event_id"), "toks", "lat", "lng")
-    ordered = walk.repartition("chain").sortWithinPartitions("chain", "at", "event_id")
-    window_s = window_minutes * 60
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain, state = None, None
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                if row.chain != chain:
-                    chain, state = row.chain, GreedyWindow(window_s, threshold, radius_km)
-                lat, lng = (float("nan") if v is None else float(v) for v in (row.lat, row.lng))
-                out.append((row.event_id, *state.judge(row.at, row.event_id, row.toks, lat, lng)))
-            yield pd.DataFrame(out, columns=["event_id", "duplicate_of", "similarity"])
-
-    verdicts = ordered.mapInPandas(judge, RESULT)
-    same = [rows[c].eqNullSafe(leaders[c]) for c in spot]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    members = rows.join(leaders, on).select(rows["event_id"], leaders["leader"])
-    return members.join(verdicts.withColumnRenamed("event_id", "leader"), "leader").select(
+    used = ["event_id", "subcategory", "timestamp", "title", "actor1_name", "actor2_name", "lat", "lng"]
+    both = events.select(*used, F.lit(False).alias("known"))
+    if accepted is not None:
+        both = both.unionByName(accepted.select(*used, F.lit(True).alias("known")))
+    rows = durable(chains(both, window_minutes, threshold).select(*spot, "event_id", "known"))
+    known_first = F.struct(~F.col("known"), "event_id")
+    leaders = durable(rows.groupBy(*spot).agg(F.min_by("event_id", known_first).alias("leader"), F.max("known").alias("known")))
+    walk = leaders.select("chain", (F.unix_micros("timestamp") / 1e6).alias("at"), F.col("leader").alias("event_id"), "toks", "lat", "lng", "known")
+    verdicts = _walked(walk, (window_minutes * 60, threshold, radius_km), block_rows)
+    own = leaders.select("leader", *[F.col(c).alias(f"l_{c}") for c in spot])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in spot])
+    members = rows.filter(~F.col("known")).join(own, same).select("event_id", "leader")
+    return members.join(verdicts.withColumnRenamed("event_id", "leader"), "leader", "left").select(
         "event_id",
         F.when(F.col("event_id") == F.col("leader"), F.col("duplicate_of")).otherwise(F.coalesce("duplicate_of", "leader")).alias("duplicate_of"),
         F.when(F.col("event_id") == F.col("leader"), F.col("similarity")).otherwise(F.coalesce("similarity", F.lit(1.0))).alias("similarity"),

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 _LOCAL: dict[str, str | None] = {}
@@ -39,3 +40,12 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """Rows with equal keys in one task, sorted by keys and `order`, for functions that read a task as a stream.
+
+    Dealt by a hash of the keys, not the keys: Spark drops a repartition that repeats how a join
+    below has dealt its rows, and may then turn that join into one that deals nothing.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)

@@ -13,7 +13,7 @@ from tidemark.plans.cycle import Inputs, run_cycle, totals
 from tidemark.plans.join_queries import _WATCH, FRESH_MIN, watchlists
 from tidemark.plans.registry import query
 from tidemark.plans.scalar_queries import region_sql
-from tidemark.plans.table_queries import CHANGES_SQL, changes
+from tidemark.plans.table_queries import CHANGES_SQL, T5_ROWS, T5_SQL, changes
 from tidemark.plans.views import Tables
 from tidemark.sources import lists
 from tidemark.sources import refdata as R
@@ -81,6 +81,13 @@ def t5(t: Tables) -> DataFrame:
     return flows.drain(state.near_duplicates_stream(landed(t, t.news), window_minutes=24 * 60))
 
 
+@query("t5_filtered_news_stream", ("news",), T5_ROWS, T5_SQL)
+def t5_filtered(t: Tables) -> DataFrame:
+    folder = f"{shared_folder(t.spark)}/t5-{uuid.uuid4().hex}"
+    flows.start(landed(t, t.news.drop("flags")), flows.filter_news(folder, 24 * 60), folder + "/progress", once=True).awaitTermination()
+    return t.spark.read.parquet(folder + "/verdicts").select("event_id", "duplicate_of", F.round("similarity", 6).alias("similarity"))
+
+
 _EWMA = f"""RECURSIVE daily AS (SELECT *, row_number() OVER (PARTITION BY layer, region ORDER BY day) AS k FROM (
       SELECT layer, {region_sql()} AS region, CAST(date_diff('day', DATE '1970-01-01', CAST(event_time AS DATE)) AS BIGINT) AS day, CAST(count(*) AS DOUBLE) AS n FROM geo GROUP BY 1, 2, 3)),
     base AS (

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import in_bbox
-from tidemark.operators.lineage import shared_folder
+from tidemark.operators.dedup import near_duplicates
+from tidemark.operators.lineage import durable, shared_folder
 from tidemark.operators.merge import MOTION, upsert_entities, with_event_ids
 from tidemark.operators.watch import watch_matches
 from tidemark.sources.feeds import Feed, conform, read
@@ -80,6 +81,36 @@ def merge_positions(state_path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
+NEWS = "event_id string, subcategory string, timestamp timestamp, title string, actor1_name string, actor2_name string, lat double, lng double"
+
+
+def filter_news(folder: str, window_minutes: float = 60, threshold: float = 0.85, radius_km: float = 50) -> Callable[[DataFrame, int], None]:
+    """Sink for news: verdicts (event_id, duplicate_of, similarity) of each micro-batch in folder/verdicts.
+
+    A batch is judged as a table against the accepted events of the window before it, so its
+    work spreads over tasks by chain and block of time and no key holds a subcategory. Accepted
+    events are kept by epoch and day, of which only the days of the window are read; a retried
+    epoch reads earlier epochs only and rewrites its own files.
+    """
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        kept = f"{folder}/accepted"
+        columns = [x.split()[0] for x in NEWS.split(", ")]
+        rows = durable(batch.select(*columns).filter(F.col("event_id").isNotNull()))
+        first = rows.agg(F.min("timestamp").alias("t")).first()["t"]
+        past = None
+        if _exists(spark, kept) and first is not None:
+            start = F.lit(first) - F.make_dt_interval(mins=F.lit(window_minutes).cast("int") + 1)
+            past = spark.read.schema(NEWS + ", epoch int, day date").parquet(kept).filter((F.col("epoch") < epoch) & (F.col("day") >= start.cast("date")) & (F.col("timestamp") >= start))
+        verdicts = durable(near_duplicates(rows, window_minutes, threshold, radius_km, past))
+        news = rows.join(verdicts.filter("duplicate_of is null").select("event_id"), "event_id", "left_semi").withColumn("day", F.to_date("timestamp"))
+        news.write.mode("overwrite").partitionBy("day").parquet(f"{kept}/epoch={epoch}")
+        verdicts.write.mode("overwrite").parquet(f"{folder}/verdicts/epoch={epoch}")
+
+    return sink
+
+
 def empty_state(spark: SparkSession) -> DataFrame:
     motion = ", ".join(f"{c} double" for c in MOTION)
     return spark.createDataFrame(
@@ -127,7 +158,6 @@ def start(stream: DataFrame, batch_sink: Callable[[DataFrame, int], None], check
 
 
 
-
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
