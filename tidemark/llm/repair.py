@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.lineage import durable
+from tidemark.operators.lineage import dealt, durable
 
 SPACES = " \t\n\x0b\x0c\r"
 SEGMENT = 256
@@ -237,17 +237,16 @@ def ordered(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
         every = plain(rows, F.lit(0).cast("long"))
     else:
         order = ["_none", "_conv", "_dated", "_turn", "role", "text"]
-        dealt = rows.join(long, ["_none", "_conv"], "left_semi").repartitionByRange(*order).sortWithinPartitions(*order)
-        dealt = durable(dealt.select(*[x.split()[0] for x in ROW.split(", ")]).mapInArrow(_flag_repeats, ROW).withColumn("_at", F.monotonically_increasing_id()))
-        dealt = dealt.withColumn("_seg", F.floor(F.col("_at") / segment).cast("long"))
-        costs = dealt.select("_none", "_conv", "_seg", "_at", "role", "fault").groupBy("_none", "_conv", "_seg")
+        ranged = rows.join(long, ["_none", "_conv"], "left_semi").repartitionByRange(*order).sortWithinPartitions(*order)
+        ranged = durable(ranged.select(*[x.split()[0] for x in ROW.split(", ")]).mapInArrow(_flag_repeats, ROW).withColumn("_at", F.monotonically_increasing_id()))
+        ranged = ranged.withColumn("_seg", F.floor(F.col("_at") / segment).cast("long"))
+        costs = ranged.select("_none", "_conv", "_seg", "_at", "role", "fault").groupBy("_none", "_conv", "_seg")
         costs = costs.applyInArrow(_segment_costs, "_none boolean, _conv long, _seg long, costs array<long>")
-        back = costs.repartition("_none", "_conv").sortWithinPartitions("_none", "_conv", F.desc("_seg"))
-        ends = back.mapInArrow(_segment_ends, "_none boolean, _conv long, _seg long, end array<long>")
+        ends = dealt(costs, ["_none", "_conv"], F.desc("_seg")).mapInArrow(_segment_ends, "_none boolean, _conv long, _seg long, end array<long>")
         heads = ends.withColumns({"_kind": F.lit(0), "_dated": F.lit(False), "_turn": F.lit(0).cast("long"), "role": F.lit(""), "text": F.lit(""), "fault": F.lit(0)})
         short = plain(rows.join(long, ["_none", "_conv"], "left_anti"), F.lit(0).cast("long"))
-        every = short.unionByName(plain(dealt, F.col("_seg")).drop("_at")).unionByName(heads)
-    return every.repartition("_none", "_conv").sortWithinPartitions(*ORDER)
+        every = short.unionByName(plain(ranged, F.col("_seg")).drop("_at")).unionByName(heads)
+    return dealt(every, ORDER[:2], *ORDER[2:])
 
 
 # the walk
