@@ -156,6 +156,31 @@ def test_stream_equals_batch(spark, tmp_path, tables):
             assert 0.75 * before["mean_before"] + 0.25 * before["count"] == pytest.approx(row["mean_count"])
 
 
+def test_values_in_force_equal_a_plain_search(spark):
+    """An entity with a third of all events and history; values without end, without length, at the very ends."""
+    import random
+
+    rng = random.Random(8)
+    at = lambda s: NOW + timedelta(seconds=s)
+    history, moments = [], []
+    for k in range(600):
+        entity = "hot" if k % 3 == 0 else f"e{k % 20}"
+        start = rng.choice([0, 256, 1000, 1024, rng.randint(0, 10**6), rng.randint(0, 10**6)])
+        stop = rng.choice([None, start, start + 1, start + 256, start + rng.randint(0, 10**5)])
+        history.append((entity, rng.choice("ab"), f"v{k}", at(start), None if stop is None else at(stop), k))
+        moments.append((entity, k, at(rng.choice([0, 256, 999, 1024, rng.randint(0, 10**6)]))))
+    got = merge.valid_at_events(
+        spark.createDataFrame(moments, "entity_id string, event_id long, event_time timestamp"),
+        spark.createDataFrame(history + [("hot", "a", "x", None, None, 999)], "entity_id string, attribute_name string, attribute_value string, valid_from timestamp, valid_to timestamp, attribute_id long"),
+    ).collect()
+    want = {}
+    for entity, event, moment in moments:
+        for e, name, value, start, stop, i in history:
+            if e == entity and start <= moment and (stop is None or stop > moment):
+                want[event, name] = max(want.get((event, name), (NOW - timedelta(days=1), -1, "")), (start, i, value))
+    assert {(r["event_id"], r["attribute_name"]): r["attribute_value"] for r in got} == {k: v[2] for k, v in want.items()}
+
+
 def test_two_sinks_deliver_even_if_the_store_fails(spark):
     seen = []
     def broken(batch, epoch):

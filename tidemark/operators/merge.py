@@ -137,20 +137,56 @@ def valid_at(attributes: DataFrame, at: Column) -> DataFrame:
     return latest_by(live, ["entity_id", "attribute_name"], ["valid_from", "attribute_id"])
 
 
+UNIT_S = 256  # seconds of the finest cell of the interval index
+LEVELS = 25  # a cell of level k is 2 ** k units long; together they span the years 1834 to 2106
+_ORIGIN_US = 1_000_000 << 32
+
+
+def _unit(at: Column) -> Column:
+    unit = F.floor((F.unix_micros(at.cast("timestamp")) + _ORIGIN_US) / F.lit(UNIT_S * 1_000_000)).cast("long")
+    return F.when(at.isNotNull(), F.least(F.greatest(unit, F.lit(0).cast("long")), F.lit(1 << LEVELS)))
+
+
+def interval_cells(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """`intervals` once for every aligned cell (`level`, `cell`) that makes up its inside, and for the units at its ends (level -1).
+
+    An interval [start, end) without end lasts for ever. Its whole units fall into O(log n) cells
+    of lengths 2 ** level, none of which overlap; only the units at its ends are covered in part.
+    """
+    first, last = _unit(F.col(start)), F.coalesce(_unit(F.col(end)), F.lit(1 << LEVELS))
+    inside = F.expr(f"""
+        flatten(transform(sequence(0, {LEVELS}), k -> filter(array(
+          if(shiftright(_a + shiftleft(1L, k) - 1, k) < shiftright(_b, k) and shiftright(_a + shiftleft(1L, k) - 1, k) % 2 = 1,
+             struct(k as level, shiftright(_a + shiftleft(1L, k) - 1, k) as cell), null),
+          if(shiftright(_a + shiftleft(1L, k) - 1, k) < shiftright(_b, k) and shiftright(_b, k) % 2 = 1,
+             struct(k as level, shiftright(_b, k) - 1 as cell), null)), x -> x is not null)))""")
+    ends = F.transform(F.array_distinct(F.filter(F.array(first, F.when(F.col(end).isNotNull(), last)), lambda x: x.isNotNull())), lambda x: F.struct(F.lit(-1).alias("level"), x.alias("cell")))
+    cells = F.explode(F.concat(inside, ends))
+    return intervals.withColumns({"_a": first + 1, "_b": last}).withColumn("_c", cells).withColumns({"level": F.col("_c.level"), "cell": F.col("_c.cell")}).drop("_a", "_b", "_c")
+
+
 def valid_at_events(events: DataFrame, attributes: DataFrame) -> DataFrame:
-    """The attribute values in force at each event of the same entity.
+    """The attribute values in force at each event of the same entity; of overlapping ones the latest start wins.
 
-    An equi-join on the entity with the interval as a filter, reduced by `max_by` before
-    the shuffle; the side that grows is the events, and AQE splits a skewed entity of it.
+    Intervals are cut into aligned cells of time, and an event probes the one cell of each length
+    that holds it: an equi-join on (entity, level, cell), in which an entity with much history
+    and many events is many keys. All intervals of a cell cover the whole of it, so only their
+    winner is kept: an event meets a row per attribute and level, however long the history. In
+    the units at the ends of intervals the moments themselves are compared.
     """
+    history = attributes.filter(F.col("valid_from").isNotNull()).select("entity_id", "attribute_name", "attribute_value", "valid_from", "valid_to", "attribute_id")
+    cells = interval_cells(history, "valid_from", "valid_to")
+    winner = F.max_by(F.struct("attribute_value", "valid_from", "valid_to", "attribute_id"), F.struct("valid_from", "attribute_id")).alias("w")
+    key = ["entity_id", "attribute_name", "level", "cell"]
+    inner = cells.filter("level >= 0").groupBy(*key).agg(winner).select(*key, "w.*")
+    index = inner.unionByName(cells.filter("level < 0").select(*inner.columns))
     rows = events.select("entity_id", "event_id", "event_time")
-    history = attributes.select(
-        "entity_id", "attribute_name", "attribute_value", "valid_from", "valid_to", "attribute_id"
-    )
+    # Only lengths that occur are probed.
+    levels = cells.select(F.array_sort(F.collect_set("level"))).scalar()
+    probes = rows.withColumn("level", F.explode(levels)).withColumn("_u", _unit(F.col("event_time")))
+    probes = probes.withColumn("cell", F.when(F.col("level") < 0, F.col("_u")).otherwise(F.expr("shiftright(_u, greatest(level, 0))"))).drop("_u")
     at = F.col("event_time")
-    live = rows.join(history, "entity_id").filter(
-        (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))
-    )
+    live = probes.join(index, ["entity_id", "level", "cell"]).filter((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
     return live.groupBy("event_id", "entity_id", "attribute_name").agg(
         F.max_by("attribute_value", F.struct("valid_from", "attribute_id")).alias("attribute_value")
     )

@@ -119,16 +119,16 @@ def j8(t: Tables) -> DataFrame:
 
 
 def attributes(t: Tables) -> DataFrame:
-    """Attribute history per user: every seventh event starts a value that holds for five days, or for ever."""
+    """Attribute history per user: every event starts a value that holds for five days, or for ever."""
     i = c("event_id")
-    return t.geo.filter(i % 7 == 0).select(
+    return t.geo.select(
         "entity_id", F.concat(F.lit("a"), (i % 2).cast("string")).alias("attribute_name"), c("layer").alias("attribute_value"), c("event_time").alias("valid_from"),
         F.when(i % 3 != 0, c("event_time") + F.make_dt_interval(days=F.lit(5))).alias("valid_to"), i.alias("attribute_id"),
     )
 
 
 ATTR_SQL = """attr AS (SELECT entity_id, 'a' || CAST(event_id % 2 AS VARCHAR) AS attribute_name, layer AS attribute_value, event_time AS valid_from,
-    CASE WHEN event_id % 3 <> 0 THEN event_time + INTERVAL 5 DAY END AS valid_to, event_id AS attribute_id FROM geo WHERE event_id % 7 = 0)"""
+    CASE WHEN event_id % 3 <> 0 THEN event_time + INTERVAL 5 DAY END AS valid_to, event_id AS attribute_id FROM geo)"""
 
 
 @query("j9_valid_at_join", ("geo",), """

@@ -580,20 +580,20 @@ def q12(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ batch twins of streams
 _NEWS_TEXT = "concat_ws(' ', nullif(title, ''), nullif(actor1_name, ''), nullif(actor2_name, ''), nullif(subcategory, ''))"
 #: The greedy walk itself, row by row in each subcategory; the list holds what one window accepted.
-T5_SQL = f"""RECURSIVE toks AS (SELECT *, epoch_us(timestamp) / 1e6 AS at, list_sort(list_distinct(list_filter(string_split_regex(lower({_NEWS_TEXT}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> ''))) AS w FROM news),
-    spots AS (SELECT subcategory, w, at, lat, lng, min(event_id) AS leader FROM toks GROUP BY ALL),
-    line AS (SELECT *, row_number() OVER (PARTITION BY subcategory ORDER BY at, leader) AS k FROM spots),
+T5_SQL = f"""RECURSIVE toks AS (SELECT *, epoch_us(timestamp) / 1e6 AS sec, list_sort(list_distinct(list_filter(string_split_regex(lower({_NEWS_TEXT}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> ''))) AS w FROM news),
+    spots AS (SELECT subcategory, w, sec, lat, lng, min(event_id) AS leader FROM toks GROUP BY ALL),
+    line AS (SELECT *, row_number() OVER (PARTITION BY subcategory ORDER BY sec, leader) AS k FROM spots),
     walk AS (
-      SELECT subcategory, k, leader, CAST(NULL AS VARCHAR) AS duplicate_of, CAST(NULL AS DOUBLE) AS similarity, [{{'at': at, 'id': leader, 'w': w, 'lat': lat, 'lng': lng}}] AS held FROM line WHERE k = 1
+      SELECT subcategory, k, leader, CAST(NULL AS VARCHAR) AS duplicate_of, CAST(NULL AS DOUBLE) AS similarity, [{{'sec': sec, 'id': leader, 'w': w, 'lat': lat, 'lng': lng}}] AS held FROM line WHERE k = 1
       UNION ALL
       SELECT subcategory, k, leader, hit.id, {jaccard_sql("w", "hit.w")},
-        CASE WHEN hit IS NULL THEN list_append(live, {{'at': at, 'id': leader, 'w': w, 'lat': lat, 'lng': lng}}) ELSE live END
+        CASE WHEN hit IS NULL THEN list_append(live, {{'sec': sec, 'id': leader, 'w': w, 'lat': lat, 'lng': lng}}) ELSE live END
       FROM (SELECT *, list_filter(live, lambda h: {jaccard_sql("w", "h.w")} >= 0.85 AND coalesce({haversine_sql("lat", "lng", "h.lat", "h.lng")} <= 50, true))[-1] AS hit
-        FROM (SELECT l.*, list_filter(p.held, lambda h: h.at >= l.at - 86400) AS live FROM line l JOIN walk p ON p.subcategory = l.subcategory AND p.k + 1 = l.k)))"""
+        FROM (SELECT l.*, list_filter(p.held, lambda h: h.sec >= l.sec - 86400) AS live FROM line l JOIN walk p ON p.subcategory = l.subcategory AND p.k + 1 = l.k)))"""
 T5_ROWS = """
     SELECT event_id, CASE WHEN event_id = leader THEN duplicate_of ELSE coalesce(duplicate_of, leader) END AS duplicate_of,
       round(CASE WHEN event_id = leader THEN similarity ELSE coalesce(similarity, 1.0) END, 6) AS similarity
-    FROM toks JOIN spots USING (subcategory, w, at, lat, lng) JOIN walk USING (subcategory, leader)"""
+    FROM toks JOIN spots USING (subcategory, w, sec, lat, lng) JOIN walk USING (subcategory, leader)"""
 
 
 @query("t5_near_duplicates", ("news",), T5_ROWS, T5_SQL)
