@@ -61,7 +61,7 @@ def partition_filters(df, place):
 
 def test_time_bounds_prune_stored_days(spark, tables, tmp_path):
     from tidemark.operators import aggregates, bounds, merge
-    from tidemark.operators.detectors import base, encounters, ports
+    from tidemark.operators.detectors import base, encounters, listed, ports
     from tidemark.sources import sinks
 
     rows = tables.finding.drop("event_id", "last_seen", "members", "user_id").withColumn("event_ids", F.lit(None).cast("array<string>"))
@@ -82,6 +82,8 @@ def test_time_bounds_prune_stored_days(spark, tables, tmp_path):
         "buckets": aggregates.time_buckets(stored, categories, as_of), "series": aggregates.dense_series(stored, ["usgs_quake"], start),
         "departures": ports.port_departures(tables.current, tables.ports, as_of, stored),
         "proximity": encounters.event_proximity(tables.current, stored, as_of, longest_decay_min=5000),
+        "snapshot": sinks.snapshot(stored, as_of), "feed": sinks.feed_items(stored, as_of), "situation": aggregates.situation_facts(stored, as_of),
+        "listed_arrivals": listed.listed_port_arrivals(stored, as_of),
     }
     for name, df in found.items():
         filters = partition_filters(df, tmp_path.name)
@@ -106,3 +108,69 @@ def test_fleet_members_are_kept(spark):
     partners = serving.partners(named, entities, "v7", as_of).first().partners
     assert [p.member_id for p in partners] == sorted(f"v{k}" for k in range(9) if k != 7)
     assert serving.membership(named).count() == 9
+
+
+def scanned(df):
+    """Rows that the scans of an executed plan put out."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_boxes_reach_the_scan(spark, tables, tmp_path):
+    """A table laid out by place: the box becomes key ranges, of which the scan reads little more than the box."""
+    import random
+
+    from tidemark.operators import bounds
+    from tidemark.sources import sinks
+
+    rng = random.Random(1)
+    crowd = lambda k: (rng.gauss(1.3, 0.05), rng.gauss(103.8, 0.05)) if k % 3 == 0 else (rng.uniform(-90, 90), rng.uniform(-180, 180))
+    rows = [(str(k), datetime(2024, 1, 1 + k % 2, k % 24), False, *crowd(k)) for k in range(30_000)] + [("x", datetime(2024, 1, 1), False, None, 3.0)]
+    events = spark.createDataFrame(rows, "id string, event_time timestamp, withdrawn boolean, lat double, lng double")
+    path = str(tmp_path / "placed")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        sinks.write_by_place(events, path)
+        stored = spark.read.parquet(path)
+        for box in ((-10.0, -10.0, 10.0, 10.0), (170.0, -20.0, -175.0, 20.0), (103.0, 1.0, 104.5, 2.0), (-180.0, -90.0, 180.0, 90.0)):
+            got, want = bounds.within(stored, box), bounds.within(events, box)
+            assert {r.id for r in got.select("id").collect()} == {r.id for r in want.select("id").collect()}
+        few = bounds.within(stored, (20.0, 20.0, 40.0, 40.0)).select("id", "lat", "lng")
+        text = plan(few)
+        assert "PushedFilters: [" in text and "Or(And(Gre" in text.split("PushedFilters: [")[1]
+        assert scanned(few) < 0.2 * len(rows)
+        assert len(list((tmp_path / "placed").glob("event_date=2024-01-01/*.parquet"))) > 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    for _ in range(200):
+        lat, lng = rng.uniform(-90, 90), rng.uniform(-180, 180)
+        box = (lng - rng.random() * 9, lat - rng.random() * 9, lng + rng.random() * 9, lat + rng.random() * 9)
+        ranges = bounds.box_ranges(box)
+        key = 0
+        x, y = (min(max(int((v - lo) / span * 4096), 0), 4095) for v, lo, span in ((lng, -180, 360), (lat, -90, 180)))
+        for b in range(12):
+            key |= (x >> b & 1) << 2 * b | (y >> b & 1) << 2 * b + 1
+        assert any(lo <= key <= hi for lo, hi in ranges) and 1 <= len(ranges) <= bounds.RANGES
+
+
+def test_partners_from_one_bucket(spark, tables, tmp_path):
+    """A member with a third of all findings and one with few: one bucket is read, and the rows are those of the array scan."""
+    from tidemark.sources import sinks
+
+    rows = [(f"f{k}", datetime(2024, 1, 1 + k % 20), "t" if k % 2 else "u", ["hot", f"m{k % 50}"] if k % 3 == 0 else [f"m{k % 50}", f"m{k % 7}", f"m{k % 50}"]) for k in range(900)]
+    findings = spark.createDataFrame([*rows, ("none", datetime(2024, 1, 5), "t", None)], "id string, event_time timestamp, event_type string, entity_ids array<string>")
+    entities = spark.createDataFrame([(f"m{k}", f"ship {k % 9}", "vessel", str(k)) for k in range(40)], "entity_id string, display_name string, entity_type string, canonical_id string")
+    sinks.write_membership(findings, "membership_test", str(tmp_path / "members"), 16)
+    table = spark.table("membership_test")
+    as_of = F.lit(datetime(2024, 1, 20)).cast("timestamp")
+    try:
+        for member in ("hot", "m3", "nobody"):
+            got = serving.partners_of(table, entities, member, as_of, 24 * 9, ["t"], limit=40)
+            want = serving.partners(findings, entities, member, as_of, 24 * 9, ["t"], limit=40)
+            assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+        assert "SelectedBucketsCount: 1 out of 16" in plan(got)
+    finally:
+        spark.sql("DROP TABLE membership_test")

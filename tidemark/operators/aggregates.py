@@ -192,7 +192,7 @@ def shadow_matrix(judged: DataFrame) -> DataFrame:
 
 def situation_facts(events: DataFrame, as_of: Column, window_hours: int = 24) -> DataFrame:
     """Per event type: count, highest severity and its title, longest darkness and loitering."""
-    rows = events.filter((F.col("event_time") >= as_of - hours(window_hours)) & ~F.col("withdrawn"))
+    rows = since(events, as_of - hours(window_hours)).filter(~F.col("withdrawn"))
     number = lambda key: F.get_json_object("properties", f"$.{key}").try_cast("double")
     return rows.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"),

@@ -234,16 +234,14 @@ def listed_port_arrivals(
     arrival_minutes: float = 60, match_minutes: float = 24 * 60, dedup_hours: float = 24,
 ) -> DataFrame:
     """Recent arrivals and calls of vessels whose latest list match is recent."""
-    arrivals = events.filter(
-        F.col("event_type").isin("port_arrival", "port_call") & (F.col("event_time") >= as_of - minutes(arrival_minutes))
-        & F.col("entity_id").isNotNull()
+    arrivals = since(events, as_of - minutes(arrival_minutes)).filter(
+        F.col("event_type").isin("port_arrival", "port_call") & F.col("entity_id").isNotNull()
     ).select(
         "entity_id", "event_time", "lat", "lng", F.col("event_type").alias("arrival_kind"), F.col("key").alias("port_id"),
         *[prop(k).alias(k) for k in ("port_name", "port_country", "port_kind")],
     )
-    hits = events.filter(
-        (F.col("event_type") == "sanctioned_vessel_underway") & (F.col("event_time") >= as_of - minutes(match_minutes))
-        & F.col("entity_id").isNotNull()
+    hits = since(events, as_of - minutes(match_minutes)).filter(
+        (F.col("event_type") == "sanctioned_vessel_underway") & F.col("entity_id").isNotNull()
     )
     fields = ("live_vessel_name", "mmsi", "sanctioning_authority", "match_regime", "match_kind", "sanctioned_imo", "live_imo")
     latest = latest_by(

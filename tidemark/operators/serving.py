@@ -8,18 +8,16 @@ from pyspark.sql import functions as F
 from tidemark.functions.geo import in_bbox
 from tidemark.functions.stats import cosine_distance
 from tidemark.functions.text import trigram_similarity
-from tidemark.operators.bounds import since
+from tidemark.operators.bounds import Box, since, within
 from tidemark.operators.detectors.base import hours
 from tidemark.operators.latest import latest_by, newest, top_per_group
 from tidemark.operators.merge import union_first
 from tidemark.operators.spatial import radius_join
 from tidemark.sources.refdata import RARE_TIER1_TYPES, TEXT_EVENT_TYPES
 
-Box = tuple[float, float, float, float]
-
 
 def _events_in(events: DataFrame, box: Box, start: Column, end: Column) -> DataFrame:
-    return since(events, start, end).filter(~F.col("withdrawn") & in_bbox(F.col("lat"), F.col("lng"), *box))
+    return within(since(events, start, end).filter(~F.col("withdrawn")), box)
 
 
 def viewport_entities(current: DataFrame, box: Box, start: Column, end: Column, types: list[str], limit: int = 1000) -> DataFrame:
@@ -60,6 +58,16 @@ def membership(findings: DataFrame) -> DataFrame:
 def partners(findings: DataFrame, entities: DataFrame, entity_id: str, as_of: Column, window_hours: int = 24, types: list[str] | None = None, limit: int = 100) -> DataFrame:
     """Findings that contain an entity, each with its other members and their names."""
     rows = since(findings, as_of - hours(window_hours)).filter(F.array_contains("entity_ids", entity_id))
+    return _with_partners(rows, entities, entity_id, types, limit)
+
+
+def partners_of(membership: DataFrame, entities: DataFrame, entity_id: str, as_of: Column, window_hours: int = 24, types: list[str] | None = None, limit: int = 100) -> DataFrame:
+    """The same from the table that `sinks.write_membership` keeps: one bucket is read, and in it the row groups of the member."""
+    rows = membership.filter((F.col("member_id") == entity_id) & (F.col("event_time") >= as_of - hours(window_hours)))
+    return _with_partners(rows.drop("member_id"), entities, entity_id, types, limit)
+
+
+def _with_partners(rows: DataFrame, entities: DataFrame, entity_id: str, types: list[str] | None, limit: int) -> DataFrame:
     if types:
         rows = rows.filter(F.col("event_type").isin(*types))
     page = newest(rows, [F.desc("event_time"), F.asc("id")], limit)

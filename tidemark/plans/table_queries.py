@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -471,6 +473,18 @@ def q1b(t: Tables) -> DataFrame:
     return serving.viewport_events(t.finding, BOX, t.as_of - hours(240), t.as_of, limit=100).select("id", "event_type")
 
 
+def by_place(t: Tables) -> DataFrame:
+    """Findings as a table laid out by day and place."""
+    return t.spark.read.parquet(t.stored("finding-by-place", lambda path: sinks.write_by_place(t.finding, path)))
+
+
+@query("q1_viewport_events_by_place", ("finding",), f"""
+    SELECT id, event_type FROM v WHERE id IN (SELECT id FROM v ORDER BY event_time DESC, id LIMIT 100) OR id IN (SELECT id FROM v WHERE event_type = 'sanctioned_vessel_underway' ORDER BY event_time DESC, id LIMIT 1000)
+      OR id IN (SELECT id FROM v WHERE event_type IN ({_RARE}) ORDER BY event_time DESC, id LIMIT 500)""", _VIEWPORT)
+def q1c(t: Tables) -> DataFrame:
+    return serving.viewport_events(by_place(t), BOX, t.as_of - hours(240), t.as_of, limit=100).select("id", "event_type")
+
+
 @query("q2_entity_track", ("track",), f"SELECT ping_id, time FROM track WHERE entity_id = '7' AND time >= {MAX_TS} - INTERVAL 480 HOUR ORDER BY time DESC, ping_id DESC LIMIT 5000")
 def q2(t: Tables) -> DataFrame:
     return serving.entity_track(t.track, "7", t.as_of, 480).select("ping_id", "time")
@@ -492,6 +506,22 @@ def q3(t: Tables) -> DataFrame:
     return rows.filter(c("partners").isNotNull()).select("id", text.alias("partners"))
 
 
+def membership(t: Tables) -> DataFrame:
+    """The table of members that the partner queries read."""
+    name = "membership_" + hashlib.md5(f"{t.spark.sparkContext.applicationId} {t.folder}".encode()).hexdigest()
+    t.stored("membership", lambda path: sinks.write_membership(t.finding, name, path))
+    return t.spark.table(name)
+
+
+@query("q3_partner_index", ("finding", "entity"), f"""
+    SELECT f.id, string_agg(coalesce(e.display_name, '-') || '/' || f.m, ',' ORDER BY e.display_name NULLS LAST, f.m) AS partners FROM (SELECT id, unnest(string_split(members, '|')) AS m FROM (
+      SELECT * FROM finding WHERE list_contains(string_split(members, '|'), '11') AND {SINCE(720)} ORDER BY event_time DESC, id LIMIT 100)) f LEFT JOIN entity e ON e.entity_id = f.m WHERE f.m <> '11' GROUP BY 1""")
+def q3b(t: Tables) -> DataFrame:
+    rows = serving.partners_of(membership(t), t.entity, "11", t.as_of, 720)
+    text = F.array_join(F.transform("partners", lambda p: F.concat_ws("/", F.coalesce(p["display_name"], F.lit("-")), p["member_id"])), ",")
+    return rows.filter(c("partners").isNotNull()).select("id", text.alias("partners"))
+
+
 @query("q4_similar_events", (), f"""
     SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, {_DIST} AS d FROM (SELECT vec_id, embedding AS a, (SELECT embedding FROM embeddings WHERE vec_id = 5) AS b FROM embeddings)
       WHERE vec_id <> 5 AND vec_id % 2 = 0 AND vec_id % 31 <= 20) ORDER BY d, vec_id LIMIT 10""")

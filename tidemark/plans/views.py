@@ -6,11 +6,14 @@ these views. Text in braces marks what differs between engines.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import shared_folder
 from tidemark.sources.refdata import CATEGORIES, PORTS
 
 TABLES = (
@@ -166,12 +169,25 @@ def jaccard_sql(a: str, b: str) -> str:
     return f"(len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))))"
 
 
+#: What a session has stored already, by (application, folder, name): tables that are kept at write time.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
     """The views of one data folder as DataFrames."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def stored(self, name: str, write: Callable[[str], None]) -> str:
+        """The place of a derived table in the shared folder; `write` puts it there at a session's first use."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+            write(path)
+            _STORED[key] = path
+        return _STORED[key]
+
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
 

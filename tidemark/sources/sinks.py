@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.bounds import DATE, since
+from tidemark.operators.bounds import DATE, PLACE, place_key, since
 from tidemark.operators.detectors.base import hours
 from tidemark.operators.latest import latest_by, newest
 from tidemark.operators.merge import insert_absent
@@ -25,6 +25,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def write_by_place(events: DataFrame, path: str) -> None:
+    """Events by day and, inside a day, in the order of a space-filling curve.
+
+    Rows are dealt by ranges of (day, place), so a day with a third of all events is many tasks
+    and files, and a harbour is a narrow stretch of one or a few of them. `bounds.within` reads it.
+    """
+    placed = events.withColumns({DATE: F.to_date("event_time"), PLACE: place_key(F.col("lat"), F.col("lng"))})
+    placed.repartitionByRange(DATE, PLACE, F.xxhash64("id")).sortWithinPartitions(DATE, PLACE).write.mode("overwrite").partitionBy(DATE).parquet(path)
+
+
+def write_membership(findings: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """Findings once per member, in buckets by member, sorted by member and time: the index behind `serving.partners_of`.
+
+    A row holds what the partner query returns, so reading one member opens one bucket and
+    no other table. `buckets` is to grow with the table; a bucket is a file or a few.
+    """
+    rows = findings.withColumn("member_id", F.explode(F.array_distinct("entity_ids")))
+    dealt = rows.repartition(buckets, "member_id")
+    dealt.write.mode("overwrite").bucketBy(buckets, "member_id").sortBy("member_id", "event_time").option("path", path).saveAsTable(table)
+
+
 def read_events(spark: SparkSession, path: str, start, end) -> DataFrame:
     """Events of a time range; the partition predicate is derived from the bounds."""
     return since(spark.read.parquet(path), F.lit(start), F.lit(end))
@@ -63,7 +84,7 @@ def snapshot(events: DataFrame, as_of: Column, window_hours: int = 24, floor: st
     """The newest findings at or above a level, as 21 text columns; null cells are written empty."""
     wanted = [t for _, t, level in CATEGORIES if LEVEL_RANK[level] >= LEVEL_RANK[floor]]
     of_type = lambda i: F.create_map(*[F.lit(x) for c in CATEGORIES for x in (c[1], c[i])])
-    rows = events.filter((F.col("event_time") >= as_of - hours(window_hours)) & F.col("event_type").isin(*wanted))
+    rows = since(events, as_of - hours(window_hours)).filter(F.col("event_type").isin(*wanted))
     page = newest(rows, [F.desc("event_time"), F.asc("id")], limit).withColumns({"f": facts(), "a": authority()})
     fact = lambda *keys: F.coalesce(*[F.try_element_at("f", F.lit(k)) for k in keys])
     names = F.from_json(F.when(F.col("event_type") == "shadow_fleet_cluster", fact("members")), "array<string>")
@@ -87,7 +108,7 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def feed_items(events: DataFrame, as_of: Column, window_hours: int = 24, floor: str = "high", limit: int = 50) -> DataFrame:
     """The same selection as items of a JSON or RSS feed."""
     wanted = [t for _, t, level in CATEGORIES if LEVEL_RANK[level] >= LEVEL_RANK[floor]]
-    rows = events.filter((F.col("event_time") >= as_of - hours(window_hours)) & F.col("event_type").isin(*wanted))
+    rows = since(events, as_of - hours(window_hours)).filter(F.col("event_type").isin(*wanted))
     page = newest(rows, [F.desc("event_time"), F.asc("id")], limit)
     return page.select(
         F.col("id").alias("guid"), "title", "description", F.date_format("event_time", "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("pubDate"),
