@@ -181,6 +181,54 @@ def test_values_in_force_equal_a_plain_search(spark):
     assert {(r["event_id"], r["attribute_name"]): r["attribute_value"] for r in got} == {k: v[2] for k, v in want.items()}
 
 
+def moves(spark, rows):
+    """rows: id, hours, state"""
+    return spark.createDataFrame(
+        [(i, NOW + timedelta(hours=h), n, float(s), 0.0, 1, "k", 0.0) for n, (i, h, s) in enumerate(rows)],
+        "id string, event_time timestamp, seq long, lat double, lng double, severity int, kind string, altitude_m double",
+    )
+
+
+def test_changes_in_order_of_event_time(spark, tmp_path):
+    """Late rows take their place, and ids that fall silent leave the state."""
+    path = str(tmp_path / "moves")
+    rows = [("a", 0, 1), ("a", 3, 2), ("b", 0, 5), ("hot", 0, 1)] + [("hot", 1 + k / 10, k // 5) for k in range(30)]
+    moves(spark, rows).coalesce(1).write.parquet(path)
+    late = [("a", 2, 1), ("a", 4, 2), ("b", 9, 5)]  # at 2 h "a" is still as it was: not a change
+    moves(spark, [("z", 0, 0)] * 100 + late).filter("id <> 'z'").coalesce(1).write.mode("append").parquet(path)
+    moves(spark, [("z", 0, 0)] * 200 + [("b", 200, 5), ("end", 400, 0)]).filter("id <> 'z'").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(moves(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = sorted((r["id"], r["seq"]) for r in flows.drain(state.changed_only_stream(stream, late="4 hours", idle_days=2)).filter("id <> 'end'").collect())
+    want = sorted([("a", 0), ("a", 1), ("b", 2), ("b", 200)] + [("hot", 3), ("hot", 4)] + [("hot", 4 + k) for k in range(5, 30, 5)])
+    assert got == want
+
+
+def test_positions_as_a_log(spark, tmp_path):
+    """An epoch writes what it touched; bases fold the log; a retry and a late reader see the same."""
+    path = str(tmp_path / "positions")
+    import random
+
+    rng = random.Random(4)
+    schema = "entity_type string, canonical_id_type string, canonical_id string, display_name string, properties map<string,string>, event_time timestamp, position_time timestamp, lat double, lng double, velocity_ms double, heading_deg double, altitude_m double"
+    sink, whole, every = flows.merge_positions(path, buckets=4, compact_every=3), flows.empty_state(spark), []
+    for epoch in range(8):
+        ids = range(60) if epoch == 0 else rng.sample(range(60), 4)
+        rows = [("vessel", "mmsi", str(i), rng.choice([None, f"n{epoch}"]), {f"k{epoch % 2}": str(epoch)}, NOW + timedelta(minutes=epoch), NOW + timedelta(minutes=rng.randint(-30, 30)), float(epoch), 1.0, 2.0, 3.0, 4.0) for i in ids]
+        batch = spark.createDataFrame(rows if epoch != 5 else [], schema)
+        sink(batch, epoch)
+        if epoch in (2, 4):
+            sink(batch, epoch)
+        whole = spark.createDataFrame(merge.upsert_entities(whole, batch.withColumn("arrival", F.unix_micros("event_time"))).select(*whole.columns).collect(), whole.schema)
+        if epoch:
+            assert sum(1 for _ in (tmp_path / f"positions/log/epoch={epoch}").glob("bucket=*/*.parquet")) <= 4
+            assert spark.read.schema(flows.POSITIONS).parquet(f"{path}/log/epoch={epoch}").count() == (0 if epoch == 5 else 4)
+    show = lambda df: sorted(str(r.asDict()) for r in df.select(*whole.columns).collect())
+    assert show(flows.positions(spark, path)) == show(whole)
+    assert [e for e in flows._epochs(spark, f"{path}/base", "upto")] == [2, 5] and min(flows._epochs(spark, f"{path}/log", "epoch")) == 3
+    with pytest.raises(RuntimeError):
+        flows.merge_positions(path)(batch, 11)
+
+
 def test_two_sinks_deliver_even_if_the_store_fails(spark):
     seen = []
     def broken(batch, epoch):

@@ -21,6 +21,8 @@ from tidemark.sources.feeds import conform, feeds
 from tidemark.streaming import flows, state
 
 c = F.col
+END = "end of replay"
+r6 = lambda name: F.round(name, 6).alias(name)
 FILES_PER_TRIGGER = 1000  # of a replay: more files wait for the next micro-batch
 
 
@@ -52,11 +54,17 @@ def t1(t: Tables) -> DataFrame:
 
 @query("t2_changed_only_stream", ("geo",), CHANGES_SQL)
 def t2(t: Tables) -> DataFrame:
-    return flows.drain(state.changed_only_stream(landed(t, changes(t)))).select("id", "seq")
+    """A replay as one stream; an event of a later day than all others closes it, so that the watermark passes them."""
+    rows = changes(t)
+    last = rows.agg(F.max("event_time").alias("event_time")).select(
+        *[(F.lit(END) if f.name == "id" else c("event_time") + F.make_dt_interval(days=F.lit(2)) if f.name == "event_time" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]
+    )
+    found = flows.drain(state.changed_only_stream(landed(t, rows.unionByName(last)), late="1 hour", idle_days=90))
+    return found.filter(c("id") != END).select("id", "seq")
 
 
 @query("t3_latest_position_stream", ("track",), """
-    SELECT entity_id AS canonical_id, max(time) AS position_time, arg_max(velocity_ms, time) AS velocity_ms FROM track GROUP BY 1""")
+    SELECT entity_id AS canonical_id, max(time) AS position_time, round(arg_max(lat, time), 6) AS lat, round(arg_max(lng, time), 6) AS lng, arg_max(velocity_ms, time) AS velocity_ms FROM track GROUP BY 1""")
 def t3(t: Tables) -> DataFrame:
     rows = t.track.select(
         F.lit("vessel").alias("entity_type"), F.lit("mmsi").alias("canonical_id_type"), c("entity_id").alias("canonical_id"), F.lit(None).cast("string").alias("display_name"),
@@ -64,10 +72,8 @@ def t3(t: Tables) -> DataFrame:
         F.lit(0.0).alias("altitude_m"),
     )
     folder = f"{shared_folder(t.spark)}/t3-{uuid.uuid4().hex}"
-    query_ = flows.start(landed(t, rows), flows.merge_positions(folder + "/state"), folder + "/progress", once=True)
-    query_.awaitTermination()
-    last = query_.lastProgress["batchId"] if query_.lastProgress else 0
-    return t.spark.read.parquet(f"{folder}/state/epoch={last}").select("canonical_id", "position_time", "velocity_ms")
+    flows.start(landed(t, rows), flows.merge_positions(folder + "/state"), folder + "/progress", once=True).awaitTermination()
+    return flows.positions(t.spark, folder + "/state").select("canonical_id", "position_time", r6("lat"), r6("lng"), "velocity_ms")
 
 
 @query("t4_alert_tail", ("finding",), "SELECT id FROM finding WHERE event_type IN ('port_call', 'usgs_quake') AND lat BETWEEN -40 AND 40 AND (lng >= 140 OR lng <= -120)")

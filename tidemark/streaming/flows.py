@@ -58,29 +58,82 @@ def store_events(path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
-def merge_positions(state_path: str) -> Callable[[DataFrame, int], None]:
-    """Latest position per entity as versions of a table: state/epoch=N holds everything up to N.
+POSITION_KEYS = ["entity_type", "canonical_id_type", "canonical_id"]
+POSITIONS = (
+    "entity_type string, canonical_id_type string, canonical_id string, display_name string, properties map<string,string>, last_seen timestamp, "
+    "position_time timestamp, " + ", ".join(f"{c} double" for c in MOTION)
+)
 
-    A retried epoch rewrites its own version from the one before it, so it is idempotent.
-    Only the last two versions are kept; if the one before is missing the epoch fails, as
-    going on without it would lose every entity.
+
+def _epochs(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The finished versions in a folder: those that a writer marked as complete."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))
+    return sorted(int(n.split("=")[1]) for n in found if n.startswith(name + "=") and done(n))
+
+
+def positions(spark: SparkSession, path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """Latest state per entity of a table that `merge_positions` keeps, as of the epochs before `before`.
+
+    The newest compacted base and the deltas after it; of an entity's rows the one of the
+    latest epoch counts. `buckets` are those to open.
     """
+    bases = [e for e in _epochs(spark, f"{path}/base", "upto") if before is None or e < before]
+    base = bases[-1] if bases else -1
+    deltas = [e for e in _epochs(spark, f"{path}/log", "epoch") if e > base and (before is None or e < before)]
+    parts = [(f"{path}/base/upto={base}", base)] * bool(bases) + [(f"{path}/log/epoch={e}", e) for e in deltas]
+    rows = empty_state(spark).withColumns({"bucket": F.lit(0), "_epoch": F.lit(-1)})
+    for place, epoch in parts:
+        part = spark.read.schema(POSITIONS + ", bucket int").parquet(place).withColumn("_epoch", F.lit(epoch))
+        rows = rows.unionByName(part if buckets is None else part.filter(F.col("bucket").isin(*buckets)))
+    rest = [c for c in rows.columns if c not in (*POSITION_KEYS, "_epoch", "bucket")]
+    latest = rows.groupBy("bucket", *POSITION_KEYS).agg(F.max_by(F.struct(*rest), "_epoch").alias("_s"))
+    return latest.select(*POSITION_KEYS, "_s.*", "bucket")
+
+
+def merge_positions(path: str, buckets: int = 64, compact_every: int = 50) -> Callable[[DataFrame, int], None]:
+    """Latest position per entity as a log: log/epoch=N holds only the entities that epoch N touched.
+
+    An epoch opens the buckets of its entities, merges those, and writes their new rows, so what
+    it writes follows the batch and not the table. Every `compact_every` epochs all that came
+    before is written as one base, and what the base before it replaced goes. A retried epoch
+    reads earlier epochs only and rewrites its own files, so it is idempotent; if the epoch
+    before is missing it fails, as going on without it would lose entities.
+    """
+    home = F.pmod(F.xxhash64(*POSITION_KEYS), F.lit(buckets)).cast("int")
 
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        target = f"{state_path}/epoch={epoch}"
-        previous = f"{state_path}/epoch={epoch - 1}"
-        rows = batch.withColumn("arrival", F.unix_micros("event_time"))
-        if epoch and not _exists(spark, previous):
-            raise RuntimeError(f"the version before epoch {epoch} is missing: {previous}")
-        old = spark.read.parquet(previous) if epoch else empty_state(spark)
-        upsert_entities(old, rows).write.mode("overwrite").parquet(target)
-        stale = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/epoch={epoch - 2}")
-        stale.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stale, True)
+        done = [*_epochs(spark, f"{path}/base", "upto"), *_epochs(spark, f"{path}/log", "epoch")]
+        if epoch and epoch - 1 not in done and not any(e >= epoch for e in done):
+            raise RuntimeError(f"the version before epoch {epoch} is missing: {path}")
+        rows = durable(batch.withColumn("arrival", F.unix_micros("event_time")).withColumn("bucket", home))
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # `buckets` at most
+        old = positions(spark, path, epoch, touched).join(rows.select(*POSITION_KEYS).distinct(), POSITION_KEYS, "left_semi")
+        new = upsert_entities(old.drop("bucket"), rows).withColumn("bucket", home)
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/log/epoch={epoch}")
+        if epoch and epoch % compact_every == 0:
+            compact_positions(spark, path, epoch - 1)
 
     return sink
 
 
+def compact_positions(spark: SparkSession, path: str, upto: int) -> None:
+    """Write everything up to an epoch as one base. Readers that began before keep their files: only what an older base replaced goes."""
+    older = [e for e in _epochs(spark, f"{path}/base", "upto") if e < upto]
+    positions(spark, path, upto + 1).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/base/upto={upto}")
+    gone = [f"{path}/base/upto={e}" for e in older[:-1]]
+    if older:
+        gone += [f"{path}/log/epoch={e}" for e in _epochs(spark, f"{path}/log", "epoch") if e <= older[-1]]
+    for place in gone:
+        old = spark._jvm.org.apache.hadoop.fs.Path(place)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 NEWS = "event_id string, subcategory string, timestamp timestamp, title string, actor1_name string, actor2_name string, lat double, lng double"
 
 
@@ -112,12 +165,7 @@ def filter_news(folder: str, window_minutes: float = 60, threshold: float = 0.85
 
 
 def empty_state(spark: SparkSession) -> DataFrame:
-    motion = ", ".join(f"{c} double" for c in MOTION)
-    return spark.createDataFrame(
-        [],
-        "entity_type string, canonical_id_type string, canonical_id string, display_name string, "
-        f"properties map<string,string>, last_seen timestamp, position_time timestamp, {motion}",
-    )
+    return spark.createDataFrame([], POSITIONS)
 
 
 def alert_tail(events: DataFrame, types: list[str], box: tuple[float, float, float, float] | None = None) -> DataFrame:

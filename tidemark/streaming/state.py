@@ -22,30 +22,68 @@ def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 class ChangeOnly(StatefulProcessor):
-    """Emits an event when its coarse state differs from the last one of the id."""
+    """Emits an event when its coarse state differs from the last one of the id, in order of event time.
+
+    Rows wait in a buffer until the watermark has passed them, so one that comes late, but within
+    the bound, takes its place before it is compared. An id that has been silent for `idle_ms`
+    leaves the state altogether; its next event counts as new.
+    """
+
+    COLUMNS = ["id", "event_time", "seq", "severity"]
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "hash string")
+        self.handle = handle
+        self.last = handle.getValueState("last", "hash string, at_ms long")
+        self.waiting = handle.getListState("waiting", "at_us long, seq long, severity int, state_hash string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.last.get()[0] if self.last.exists() else None
-        pdf = _rows(rows, ["event_time", "seq"])
-        before = pdf["state_hash"].shift(1)
-        before.iloc[0] = known
-        self.last.update((str(pdf["state_hash"].iloc[-1]),))
-        yield pdf[pdf["state_hash"] != before][["id", "event_time", "seq", "severity"]]
+        first = None
+        for pdf in rows:
+            part = list(zip(pdf["at_us"].tolist(), pdf["seq"].tolist(), pdf["severity"].tolist(), pdf["state_hash"].tolist(), strict=True))
+            self.waiting.appendList(part)
+            first = min([r[0] for r in part] + ([] if first is None else [first]))
+        if first is not None:
+            # One timer more for a row that is due before the others; when one fires, all that is due goes.
+            self.handle.registerTimer(first // 1000)
+        yield pd.DataFrame([], columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        ready, later = [r for r in held if r[0] // 1000 <= now], [r for r in held if r[0] // 1000 > now]
+        known = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for at_us, seq, severity, state_hash in ready:
+            if known is None or known[0] != state_hash or at_us // 1000 - known[1] >= self.idle_ms:
+                out.append((key[0], pd.Timestamp(at_us, unit="us"), seq, severity))
+            known = (state_hash, at_us // 1000)
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0] // 1000)
+        elif self.waiting.exists():
+            self.waiting.clear()
+        if known is not None and known[1] + self.idle_ms <= now and not later:
+            self.last.clear()
+        elif known is not None:
+            self.last.update(known)
+            if not later:
+                self.handle.registerTimer(known[1] + self.idle_ms)
+        yield pd.DataFrame(out, columns=self.COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def changed_only_stream(events: DataFrame) -> DataFrame:
-    """State per id is one hash, so its size follows the number of live ids."""
+def changed_only_stream(events: DataFrame, late: str = "10 minutes", idle_days: float = 7) -> DataFrame:
+    """State per id is one hash and the rows of the last `late`; ids leave it after `idle_days` of silence."""
     state = content_hash(F.col("lat"), F.col("lng"), F.col("severity"), F.col("kind"), F.col("altitude_m"))
-    rows = events.withColumn("state_hash", state).select("id", "event_time", "seq", "severity", "state_hash")
-    return rows.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=ChangeOnly(), outputStructType=StructType.fromDDL("id string, event_time timestamp, seq long, severity int"),
-        outputMode="Append", timeMode="None",
+    rows = events.withWatermark("event_time", late).withColumns({"state_hash": state, "at_us": F.unix_micros(F.col("event_time").cast("timestamp")), "severity": F.coalesce("severity", F.lit(0)).cast("int")})
+    return rows.select("id", "event_time", "at_us", F.coalesce("seq", F.lit(0).cast("long")).alias("seq"), "severity", "state_hash").groupBy("id").transformWithStateInPandas(
+        statefulProcessor=ChangeOnly(int(idle_days * 24 * HOUR_MS)), outputStructType=StructType.fromDDL("id string, event_time timestamp, seq long, severity int"),
+        outputMode="Append", timeMode="EventTime",
     )
 
 
