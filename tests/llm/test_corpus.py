@@ -485,6 +485,49 @@ def test_compression_bands(spark):
     assert got[1].kept and not got[2].kept and not got[3].kept
 
 
+def plain_ratios(text, chunk=quality.CHUNK):
+    """(whole, least, most) with one compressor call per piece."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=quality.LEVEL, write_checksum=False, write_content_size=False)
+    ratio = lambda b: len(b) / len(press.compress(b))
+    data = (text or "").encode()
+    if not data:
+        return 1.0, 1.0, 1.0
+    pieces = [data[k : k + chunk] for k in range(0, len(data), chunk)]
+    if len(pieces) > 1 and len(pieces[-1]) < quality.LEAST_REST:
+        pieces[-2:] = [pieces[-2] + pieces[-1]]
+    found = [ratio(p) for p in pieces] if len(pieces) > 1 else [ratio(data)]
+    return ratio(data), min(found), max(found)
+
+
+def test_bands_equal_a_plain_loop_and_decide(spark):
+    """`kept` by hand from the same limits; on held-out labels the bands reject poor texts and hardly any good one."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    limits = quality.fit_limits(docs, labels)
+    assert len(limits) >= 10
+    text = {r.doc_id: r.text for r in docs.join(labels, "doc_id", "left_semi").collect()}
+    good = {r.doc_id: r.quality == 1 for r in labels.collect()}
+    found = [r for r in quality.compression_bands(docs.join(labels, "doc_id", "left_semi"), limits=limits).collect() if not r.base_failed]
+    for r in found[::3]:
+        whole, low, high = plain_ratios(text[r.doc_id])
+        assert (r.ratio, r.chunk_min, r.chunk_max) == pytest.approx((whole, low, high))
+        four = limits.get(math.floor(2 * math.log2(len(text[r.doc_id].encode()))))
+        assert four is None or r.kept == (four[0] <= whole <= four[1] and four[2] <= low and high <= four[3])
+    held = [r for r in found if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    caught, wrong = (sum(not r.kept for r in held if good[r.doc_id] == side) for side in (False, True))
+    poor = sum(not good[r.doc_id] for r in held)
+    assert caught >= 0.95 * (caught + wrong) and caught >= 0.55 * poor > 20
+
+
+def test_bands_without_labels(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    same = lambda df: collections.Counter(map(tuple, df.collect()))
+    assert quality.fit_limits(odd, none) == {} and same(quality.quality_bands(odd, none)) == same(quality.compression_bands(odd))
+    some = spark.createDataFrame([(8, 1, 0), (8, None, 0), (None, 1, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
+    assert quality.quality_bands(odd, some).count() == len(ODD) and quality.quality_bands(empty(odd), some).count() == 0
+
+
 # queries and the pipeline
 
 

@@ -3,8 +3,13 @@
 Two ratios (bytes before over bytes after) are taken: of the whole text, and of each fixed
 chunk of it. A text is kept if both lie within the limits of its length band. Repetition
 over long distances shows in the whole, a repetitive or a random passage inside a long text
-in its worst chunks. Short texts compress badly by nature, so bands start lower there; the rest
-after the last whole chunk is a chunk too, within the limits of its own length.
+in its worst chunks; the rest after the last whole chunk is a chunk too.
+
+Ratios grow with length, so limits are set for each half octave of it. They are fitted on all
+texts labelled good (outside the held-out fold) that pass the base rules: the mean ratio of the
+band plus `MOST` or less `LEAST` standard deviations, for chunks one more. Spark averages, the
+driver gets a row per band. A band with fewer than `ENOUGH` such texts, or all if there are no
+labels, has the wide limits of `BANDS`, in which a rest keeps to the limits of its own length.
 
 Cases: a null or empty text has no word and fails the base rules; texts are taken whole;
 rows repeat as they come; other columns of the input are not read.
@@ -19,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm import bytewords as B
 
@@ -42,6 +48,9 @@ BANDS = (
     Band(65536, 1.50, 4.5, 1.35, 4.0),
     Band(None, 1.50, 5.5, 1.35, 4.5),
 )
+#: A text of n bytes is in band floor(STEPS * log2(n)).
+STEPS, ENOUGH = 2, 20
+MOST, LEAST = 3.5, 6.0
 CHUNK = 4096
 LEAST_REST = 512  # a shorter rest belongs to the chunk before it
 LEVEL = 3
@@ -50,8 +59,9 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, ratio double, chunk_min double, chunk_max double"
+    "base_failed boolean, kept boolean, ratio double, chunk_min double, chunk_max double, n_bytes long"
 )
+Limits = dict[int, tuple[float, float, float, float]]
 
 
 def repeated_words(hashes: np.ndarray, offsets: np.ndarray, size: int = 3) -> np.ndarray:
@@ -127,9 +137,38 @@ def within(length: np.ndarray, ratio: np.ndarray, bands: Sequence[Band], chunk:
     return whole & (ratio[:, 1] >= limit[:, 2]) & (ratio[:, 2] <= limit[:, 3]) & rest
 
 
+def fitted_within(length: np.ndarray, ratio: np.ndarray, limits: Limits, bands: Sequence[Band], chunk: int = CHUNK) -> np.ndarray:
+    """Whether the ratios lie inside the fitted limits (whole, whole, chunk, chunk) of the text's band, or inside `bands` where there are none."""
+    inside = within(length, ratio, bands, chunk)
+    if limits:
+        band = np.floor(STEPS * np.log2(np.maximum(length, 1))).astype(np.int64)
+        limit = np.full((max(64 * STEPS, int(band.max(initial=0)) + 1), 4), np.nan)
+        for k, four in limits.items():
+            limit[k] = four
+        limit = limit[band]
+        low, high = np.fmin(ratio[:, 1], ratio[:, 3]), np.fmax(ratio[:, 2], ratio[:, 3])
+        fitted = (ratio[:, 0] >= limit[:, 0]) & (ratio[:, 0] <= limit[:, 1]) & (low >= limit[:, 2]) & (high <= limit[:, 3])
+        inside = np.where(np.isnan(limit[:, 0]), inside, fitted)
+    return inside
+
+
+def fit_limits(docs: DataFrame, labels: DataFrame, most: float = MOST, least: float = LEAST, **options) -> Limits:
+    """Limits by band from the documents labelled as good outside the held-out fold; all of them are used."""
+    usable = (F.col("quality") == 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).filter(usable).select("doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, "doc_id")
+    band = F.floor(STEPS * F.log2("n_bytes")).cast("long").alias("band")
+    stats = [f(c).alias(f"{n}_{c}") for c in ("ratio", "chunk_min", "chunk_max") for f, n in ((F.avg, "m"), (F.stddev_pop, "d"))]
+    rows = compression_bands(texts, **options).filter("not base_failed").groupBy(band).agg(F.count(F.lit(1)).alias("n"), *stats).filter(F.col("n") >= ENOUGH).collect()
+    return {
+        r.band: (r.m_ratio - least * r.d_ratio, r.m_ratio + most * r.d_ratio, r.m_chunk_min - (least + 1) * r.d_chunk_min, r.m_chunk_max + (most + 1) * r.d_chunk_max)
+        for r in rows
+    }
+
+
 def compression_bands(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Sequence[Band] = BANDS, chunk: int = CHUNK, level: int = LEVEL,
-    least_words: int = 50, most_repeated: float = 0.5,
+    least_words: int = 50, most_repeated: float = 0.5, limits: Limits | None = None,
 ) -> DataFrame:
     """One row per row of `docs`: base counts, ratios and the verdict. A single pass without a shuffle."""
 
@@ -141,11 +180,16 @@ def compression_bands(
                 again = repeated_words(B.range_hashes(data, starts, ends, fold=False), of)
                 failed = (n_words < least_words) | (again > most_repeated * n_words)
                 ratio = ratios(data, offsets, chunk, level)
-                kept = ~failed & within(np.diff(offsets), ratio, bands, chunk)
+                kept = ~failed & fitted_within(np.diff(offsets), ratio, limits or {}, bands, chunk)
                 chars = B.per_text(~B.SPACE[data] & ((data & 0xC0) != 0x80), offsets)
                 symbols = B.per_text(_SYMBOL[data], offsets)
-                columns = [n_words, chars, symbols, repeated_lines(data, offsets), again, failed, kept, ratio[:, 0], np.fmin(ratio[:, 1], ratio[:, 3]), np.fmax(ratio[:, 2], ratio[:, 3])]
+                columns = [n_words, chars, symbols, repeated_lines(data, offsets), again, failed, kept, ratio[:, 0], np.fmin(ratio[:, 1], ratio[:, 3]), np.fmax(ratio[:, 2], ratio[:, 3]), np.diff(offsets)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, columns)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return picked.mapInArrow(score, SCHEMA)
+
+
+def quality_bands(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Counts, ratios and verdict of every row of `docs`, within limits fitted on the labelled ones."""
+    return compression_bands(docs, limits=fit_limits(docs, labels))

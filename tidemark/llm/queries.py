@@ -21,6 +21,10 @@ def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def quality_query(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_bands(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": _over("documents", linededup.line_dedup),
     "op2_chat_format": _over("conversations", chat.chat_format),
@@ -31,7 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filter": _over("pages", urls.url_filter),
     "op8_neighbours": _over("embeddings", neighbours.neighbours),
     "op9_toxicity": toxicity_query,
-    "op10_compression_bands": _over("documents", quality.compression_bands),
+    "op10_compression_bands": quality_query,
     "op11_ngram_join": _over("documents", ngramjoin.jaccard_components),
     "op12_conversation_repair": _over("conversations", repair.damaged_and_repaired),
     "op13_phrases": _over("documents", phrases.collocations),
