@@ -68,6 +68,20 @@ def size_class(size: Column) -> Column:
     return F.when(size < 32, size).otherwise(power * 16 + F.floor(size / F.pow(F.lit(2.0), power - 4)).cast("long"))
 
 
+UNIT = 1 << 30
+
+
+def copies_at(place: Column, rate: Column, offset: Column) -> Column:
+    """Whole numbers that the prefix sum of `rate` passes at a place (from 1), begun at `offset` of UNIT parts.
+
+    The rate's whole part goes to every row; only the rest, in UNIT parts, is summed, and in
+    whole numbers of any size, so no row is taken more often than the rate rounded up.
+    """
+    part = F.floor((rate - F.floor(rate)) * float(UNIT)).cast("long")
+    sum_to = lambda n: part * F.shiftright(n, 30) + F.shiftright(part * n.bitwiseAND(F.lit(UNIT - 1).cast("long")) + offset, 30)
+    return F.floor(rate).cast("long") + sum_to(place) - sum_to(place - 1)
+
+
 def with_copies(
     docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: Sequence[float] = WEIGHTS, most: float = MOST, seed: int = 1, name: str = "mix",
 ) -> DataFrame:
@@ -88,10 +102,9 @@ def with_copies(
     within = Window.partitionBy(*keys).orderBy("size", "spread", at[id_col], "mark")
     placed = rows.withColumn("place", F.row_number().over(within)).join(group, keys)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "none", "source"), F.lit(1 << 30)) / float(1 << 30)
-    sum_to = lambda n: F.floor(rate * n + offset).cast("long")
-    place = F.col("ahead") + F.col("place")
-    mix = F.struct("size", "source_size", "target", (sum_to(place) - sum_to(place - 1)).alias("copies"))
+    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "none", "source"), F.lit(UNIT))
+    copies = copies_at((F.col("ahead") + F.col("place")).cast("long"), rate, offset)
+    mix = F.struct("size", "source_size", "target", copies.alias("copies"))
     return placed.select(*[F.col(a).alias(c) for c, a in own.items() if c != name], mix.alias(name))
 
 
