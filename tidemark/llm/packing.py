@@ -187,7 +187,8 @@ def pack_documents(
         made = 0
         steps: dict[int, list[int]] = {}  # size -> [tokens in the open group, its number]
         groups = 0
-        held: dict[int, tuple[int | None, np.ndarray]] = {}
+        # Document -> (id, the ids that are not yet packed, how many went before them, all its tokens).
+        held: dict[int, tuple[int | None, np.ndarray, int, int]] = {}
         fresh: list[tuple[int, int, int]] = []
         rows: list[tuple] = []
         number = waiting = 0
@@ -201,9 +202,9 @@ def pack_documents(
             step[0] += size
             offset = 0
             for d, start, n in pieces:
-                doc_id, ids = held[d]
-                crc = zlib.crc32(ids[start : start + n])
-                rows.append((doc_id, start, n, crc, len(ids), first + made, offset, size, first + step[1]))
+                doc_id, ids, gone, total = held[d]
+                crc = zlib.crc32(ids[start - gone : start - gone + n])
+                rows.append((doc_id, start, n, crc, total, first + made, offset, size, first + step[1]))
                 offset += n
             made += 1
 
@@ -218,11 +219,12 @@ def pack_documents(
                 ids, offsets = encode(*texts)
                 for doc_id, a, b in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     own = np.append(ids[a:b], np.uint32(end)).astype("<u4")
-                    held[number] = (doc_id, own)
+                    held[number] = (doc_id, own, 0, len(own))
                     whole = len(own) // window * window
                     for start in range(0, whole, window):
                         emit(window, [(number, start, window)])
                     if len(own) > whole:
+                        held[number] = (doc_id, own[whole:].copy(), whole, len(own))
                         fresh.append((number, whole, len(own) - whole))
                         waiting += len(own) - whole
                     else:
