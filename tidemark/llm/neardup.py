@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytewords as B
-from tidemark.operators.detectors.clusters import connected_components
+from tidemark.llm.graph import connected_components
 from tidemark.operators.lineage import durable
 
 SHINGLE = 5
@@ -251,8 +251,7 @@ def _near_in_size(a: Column, b: Column, similarity: float) -> Column:
 
 def components(links: DataFrame) -> DataFrame:
     """(text_id, component) of the linked texts."""
-    found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return durable(found.select(F.col("node").alias("text_id"), "component").unionByName(found.select(F.col("component").alias("text_id"), "component").distinct()))
+    return connected_components(links).withColumnRenamed("node", "text_id")
 
 
 def text_classes(texts: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -313,7 +312,9 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     sketch = durable(signed(rows, bands, per_band))
     named = F.min(F.struct("_id", "_mark", "n", "bands"))
     texts = sketch.filter("n > 0").groupBy("text_id", "check").agg(named.alias("r")).select("text_id", "r.*")
-    classes = text_classes(texts, rows, similarity)
+    # A row stands for its text once, however often it is repeated in full.
+    repeated = sketch.groupBy("_id", "_mark").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").limit(1)
+    classes = text_classes(texts, rows if repeated.isEmpty() else rows.dropDuplicates(["_id", "_mark"]), similarity)
     placed = texts.select("text_id", "_id").join(classes, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
     # A class with a null id only keeps it; otherwise the smallest id that is none counts.
     true_id = F.min(F.when(F.col("_id") != NO_ID, F.col("_id")))

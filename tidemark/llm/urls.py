@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.detectors.clusters import connected_components
+from tidemark.llm.graph import connected_components
 from tidemark.operators.lineage import durable
 
 #: (verdict, host, path)
@@ -121,8 +121,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
         found = found.unionByName(redirects.select(page_key(F.col("source")).alias("src"), page_key(F.col("target")).alias("dst")))
     found = durable(found.filter("src <> dst and src <> '' and dst <> ''").distinct())
     if not found.isEmpty():
-        group = durable(connected_components(found))
-        whole = group.unionByName(group.select(F.col("component").alias("node"), "component").distinct())
+        whole = connected_components(found, "src", "dst")
         as_url = F.concat(F.lit("x://"), F.col("node"))
         members = whole.withColumns({"host": host_of(as_url), "path": path_of(as_url)})
         judged = members.join(fitting_rules(members, rules), ["host", "path"])
