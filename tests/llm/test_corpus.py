@@ -293,6 +293,43 @@ def brute_classes(rows, similarity=0.8):
     return out.values()
 
 
+def test_no_row_beyond_the_rate_rounded_up(spark):
+    """Places in the millions and offsets next to one: sums in floating point took a row four times at a rate of three."""
+    from fractions import Fraction
+
+    rates, offsets = (3.0, 2.9999999, 0.37, 1.0, 0.0, 2.5), (0, 1, 2**29, 2**30 - 1)
+    rows = [(n, rate, offset) for rate in rates for offset in offsets for n in (1, 2, 2_796_203, 2_796_204, 10**9, 2**33 + 5)]
+    df = spark.createDataFrame(rows, "n long, rate double, offset long").withColumn("copies", mixing.copies_at(F.col("n"), F.col("rate"), F.col("offset")))
+    for r in df.collect():
+        part = Fraction(math.floor((r.rate % 1) * 2**30), 2**30)
+        upto = lambda k, part=part, r=r: math.floor(part * k + Fraction(r.offset, 2**30))
+        assert r.copies == math.floor(r.rate) + upto(r.n) - upto(r.n - 1) <= math.ceil(r.rate)
+
+
+def test_near_copies_of_rows_repeated_in_full(spark):
+    text = [f"w{k}" for k in range(80)]
+    near = [*text[:79], "end"]
+    rows = [(1, " ".join(text))] * 300 + [(None, " ".join(near))] * 300 + [(2, "other words of their own are here")] * 3
+    got = collections.Counter((r.doc_id, r.class_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, 1): 300, (None, 1): 300, (2, 2): 3}
+    assert neardup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
+
+
+def test_only_rests_are_held(spark):
+    """Long documents with a rest of one token each: the ids of their whole windows are not kept."""
+    rows = [(k, "cat " * 4096 * (1 + k % 3)) for k in range(40)] + [(100, "cat " * 4095)]
+    pieces = packing.packing(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    of = collections.defaultdict(list)
+    for r in pieces:
+        of[r.doc_id].append(r)
+    for k, text in rows:
+        n = len(text.split()) + 1
+        own = sorted(of[k], key=lambda r: r.start)
+        assert {r.doc_tokens for r in own} == {n} and [r.start for r in own] == list(np.cumsum([0] + [r.length for r in own[:-1]])) and sum(r.length for r in own) == n
+    single = {r.ids_crc32 for r in pieces if r.length == 1}
+    assert single == {zlib.crc32(np.array([1], "<u4"))}
+
+
 def test_near_duplicates(spark, documents, odd):
     for rows, df in (([(d["doc_id"], d["text"]) for d in documents], read(spark, "documents")), (ODD, odd)):
         want = collections.Counter()
