@@ -64,3 +64,42 @@ def test_many_points_in_one_cell_are_salted(spark):
     df = spark.range(600).select(F.col("id"), F.lit(1.0).alias("lat"), (F.lit(100.0) + F.col("id") * 1e-6).alias("lng"))
     got = spatial.self_pairs(df, "id", 1000.0, hot_cell=50)
     assert got.count() == 600 * 599 // 2
+
+
+@pytest.mark.parametrize("most", [25, 10**6])
+def test_shapes_meet_points_on_leaves(spark, most):
+    """A harbour with a third of all points; circles over poles and the date line, boxes, whole worlds: each pair once."""
+    import random
+
+    from tidemark.functions.geo import EARTH_KM, haversine_km
+    from tidemark.operators import watch
+
+    rng = random.Random(most)
+    at = lambda k: (1.25 + rng.random() / 500, 103.8) if k % 3 == 0 else (rng.uniform(-90, 90), rng.uniform(-180, 180)) if k % 5 else (rng.choice([-90.0, 0.0, 90.0]), rng.choice([-180.0, 180.0, 0.0]))
+    points = spark.createDataFrame([(f"e{k}", ["l"], 5, *at(k)) for k in range(900)], "id string, event_layers array<string>, severity int, lat double, lng double")
+    circles = [("pole", 88.0, 10.0, 900.0), ("line", 0.0, 179.9, 1500.0), ("west", 0.0, -179.9, 1500.0), ("east", 3.0, -170.0, 1113.0), ("harbour", 1.3, 103.9, 30.0), ("world", 0.0, 0.0, 30_000.0), ("dot", 0.0, 0.0, 0.0)]
+    lists = spark.createDataFrame([(n, [], *xyz, 0, True) for n, *xyz in circles], "watch_id string, layers array<string>, center_lat double, center_lng double, radius_km double, min_severity int, enabled boolean")
+    got = sorted((r.watch_id, r.id) for r in watch.watch_matches(points, lists, most).collect())
+    every = points.join(lists, haversine_km(F.col("center_lat"), F.col("center_lng"), F.col("lat"), F.col("lng"), EARTH_KM) <= F.col("radius_km"))
+    assert got == sorted((r.watch_id, r.id) for r in every.collect())
+
+
+def test_subscriptions_meet_events_on_leaves(spark):
+    import random
+
+    from tidemark.operators import watch
+
+    rng = random.Random(2)
+    at = lambda k: (None, None) if k % 11 == 0 else (1.25, 103.8) if k % 3 == 0 else (rng.uniform(-90, 90), rng.uniform(-180, 180))
+    events = spark.createDataFrame([(f"e{k}", rng.choice("tu"), "x", 0.5, float(k % 10), *at(k)) for k in range(600)], "id string, event_type string, event_subtype string, confidence double, severity double, lat double, lng double")
+    subs = []
+    for k in range(40):
+        west = rng.uniform(-180, 180)
+        east = west + rng.choice([2.0, 90.0])
+        subs.append((f"s{k}", [["t"], ["t", "u"], []][k % 3], [], 0.2, float(k % 4), ["bbox", "circle", "global"][k % 4 % 3], west, -60.0, east - 360 if east > 180 else east, 70.0, rng.uniform(-80, 80), rng.uniform(-180, 180), 4000.0))
+    names = "sub_id string, categories array<string>, subcategories array<string>, min_confidence double, min_severity double, area string, west double, south double, east double, north double, center_lat double, center_lng double, radius_km double"
+    table = spark.createDataFrame(subs, names)
+    got = sorted((r.sub_sub_id, r.id) for r in watch.subscription_join(events, table, most=20).collect())
+    mine = table.select(*[F.col(c).alias("sub_" + c) for c in table.columns])
+    want = sorted((r.sub_sub_id, r.id) for r in events.join(mine, watch.subscription_matches("", "sub_")).collect())
+    assert got == want and len(got) > 100

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geo import EARTH_KM, haversine_km, in_bbox
 from tidemark.functions.stats import round_even
+from tidemark.operators import leaves
 from tidemark.operators.latest import top_per_group
 from tidemark.operators.spatial import cell_of, explode_cells, radius_join
 from tidemark.sources.refdata import CATEGORIES, LEVEL_RANK
@@ -43,11 +44,24 @@ def subscription_matches(event: str = "", sub: str = "") -> Column:
     )
 
 
-def subscription_join(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Events × subscriptions as an equi-join on event type, then the remaining predicate.
+def _leaf_join(points: DataFrame, shapes: DataFrame, boxes: Column, most: int, more: list[str] | None = None) -> DataFrame:
+    """Points with the shapes whose boxes hold their leaf; `more` are further columns to join on."""
+    nodes, ends = leaves.tree(points, "lat", "lng", most)
+    salt_by = F.xxhash64(*[F.col(f"`{c}`") for c in points.columns if points.schema[c].dataType.typeName() != "map"])
+    boxed = shapes.withColumn("_box", F.explode(boxes)).select(*shapes.columns, "_box.*")
+    cut = leaves.shape_leaves(boxed, nodes, ends)
+    met = leaves.point_leaves(points, "lat", "lng", ends, salt_by).join(cut, [*leaves.LEAF, *(more or [])])
+    # A shape across the date line has two boxes, which may share a leaf: a point meets it by the one that holds it.
+    return met.filter(F.col("lng").between(F.col("_west"), F.col("_east"))).drop(*leaves.LEAF, "_west", "_south", "_east", "_north")
 
-    A subscription is exploded into the types it names. One that names none takes every
-    type of the events, which are few; so no nested loop is planned.
+
+def subscription_join(events: DataFrame, subscriptions: DataFrame, most: int = leaves.MOST) -> DataFrame:
+    """Events × subscriptions as an equi-join on event type and leaf of place, then the remaining predicate.
+
+    A subscription is exploded into the types it names and its area into leaves, which are
+    small where events are dense, so neither a common type nor a busy harbour is one key. One
+    that names no type takes every type of the events, which are few; one without area takes
+    every leaf. Events without place meet all subscriptions of their type.
     """
     types = events.select("event_type").distinct().agg(F.collect_list("event_type")).scalar()
     empty = F.coalesce(F.size("categories"), F.lit(0)) == 0
@@ -57,23 +71,39 @@ def subscription_join(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     mine = wanted.select(
         "event_type", *[F.col(c).alias("sub_" + c) for c in subscriptions.columns]
     )
-    return events.join(mine, "event_type").filter(subscription_matches("", "sub_"))
+    s = lambda c: F.col("sub_" + c)
+    world = leaves.boxes_of(F.lit(-180.0), F.lit(-90.0), F.lit(180.0), F.lit(90.0))
+    boxes = (
+        F.when((s("area") == "bbox") & s("west").isNotNull(), leaves.boxes_of(s("west"), s("south"), s("east"), s("north")))
+        .when((s("area") == "circle") & s("radius_km").isNotNull(), leaves.circle_box(s("center_lat"), s("center_lng"), s("radius_km")))
+        .otherwise(world)
+    )
+    placed = events.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    loose = events.filter(F.col("lat").isNull() | F.col("lng").isNull())
+    near = _leaf_join(placed, mine, boxes, most, ["event_type"])
+    found = near.select(*events.columns, *[c for c in mine.columns if c != "event_type"])
+    rest = loose.join(mine, "event_type").select(*found.columns)
+    return found.unionByName(rest).filter(subscription_matches("", "sub_"))
 
 
-def watch_matches(events: DataFrame, watchlists: DataFrame) -> DataFrame:
-    """Event × watch list: layer, severity and circle. Circles are exploded into grid cells."""
-    lists = explode_cells(watchlists.filter("enabled"), ("center_lat", "center_lng"), F.col("radius_km") * 1000, WATCH_CELL_DEG)
-    rows = events.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).withColumn(
-        "_cell", cell_of(F.col("lat"), F.col("lng"), WATCH_CELL_DEG)
-    )
+def watch_matches(events: DataFrame, watchlists: DataFrame, most: int = leaves.MOST) -> DataFrame:
+    """Event × watch list: layer, severity and circle.
+
+    On tables circles are cut into leaves that follow the density of events; a stream, whose
+    events are not known beforehand, joins on fixed cells.
+    """
     distance = haversine_km(F.col("center_lat"), F.col("center_lng"), F.col("lat"), F.col("lng"), EARTH_KM)
     any_layer = F.coalesce(F.size("layers"), F.lit(0)) == 0
     hit = (any_layer | F.arrays_overlap("layers", "event_layers")) & (
         F.coalesce(F.col("severity"), F.lit(0)) >= F.col("min_severity")
     )
-    return rows.join(lists, "_cell").filter(hit).filter(distance <= F.col("radius_km")).withColumn(
-        "distance_km", round_even(distance, 1)
-    ).drop("_cell")
+    rows = events.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    if events.isStreaming:
+        lists = explode_cells(watchlists.filter("enabled"), ("center_lat", "center_lng"), F.col("radius_km") * 1000, WATCH_CELL_DEG)
+        met = rows.withColumn("_cell", cell_of(F.col("lat"), F.col("lng"), WATCH_CELL_DEG)).join(lists, "_cell").drop("_cell")
+    else:
+        met = _leaf_join(rows, watchlists.filter("enabled"), leaves.circle_box(F.col("center_lat"), F.col("center_lng"), F.col("radius_km")), most)
+    return met.filter(hit).filter(distance <= F.col("radius_km")).withColumn("distance_km", round_even(distance, 1))
 
 
 def watch_sources(events: DataFrame, anomalies: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:

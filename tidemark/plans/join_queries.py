@@ -193,15 +193,17 @@ def j11(t: Tables) -> DataFrame:
 
 _SAMPLES = geodesic_sql(
     "(SELECT a.entity_id AS a_id, b.entity_id AS b_id, a.time AS ta, a.lat AS a_lat, a.lng AS a_lng, b.lat AS b_lat, b.lng AS b_lng FROM track a JOIN track b ON a.entity_id < b.entity_id "
-    "AND floor(a.user_id / 10) = floor(b.user_id / 10) AND abs(epoch_us(a.time) - epoch_us(b.time)) <= 14400000000)", "a_lat", "a_lng", "b_lat", "b_lng")
+    "AND abs(epoch_us(a.time) - epoch_us(b.time)) <= 14400000000)", "a_lat", "a_lng", "b_lat", "b_lng")
 
 
 @query("j12_sustained_pairs", CUR, f"""
     SELECT a_id, b_id, count(*) AS samples, round((epoch_us(max(ta)) - epoch_us(min(ta))) / 6e7, 3) AS span_minutes FROM {_SAMPLES} WHERE distance_m <= 2000
     GROUP BY 1, 2 HAVING count(*) >= 2 AND epoch_us(max(ta)) - epoch_us(min(ta)) >= 1200000000""")
 def j12(t: Tables) -> DataFrame:
-    ids = t.entity.select("entity_id", F.floor(c("user_id") / 10).alias("g"))
-    pairs = spatial.prefixed(ids, "a_").join(spatial.prefixed(ids, "b_"), (c("a_g") == c("b_g")) & (c("a_entity_id") < c("b_entity_id")))
+    # Candidates are all pairs that were ever close, at whatever time.
+    pings = t.track.select("ping_id", "entity_id", "lat", "lng")
+    close = spatial.self_pairs(pings, "ping_id", 2000)
+    pairs = close.filter(c("a_entity_id") != c("b_entity_id")).select(F.least("a_entity_id", "b_entity_id").alias("a_entity_id"), F.greatest("a_entity_id", "b_entity_id").alias("b_entity_id")).distinct()
     kept = encounters.sustained_pairs(pairs, t.track, F.lit("1970-01-01").cast("timestamp"), 2000, tolerance_s=14_400)
     return kept.select(c("a_entity_id").alias("a_id"), c("b_entity_id").alias("b_id"), "samples", r("span_minutes").alias("span_minutes"))
 

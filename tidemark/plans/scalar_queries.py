@@ -343,23 +343,29 @@ def p7(t: Tables) -> DataFrame:
 
 
 def subscriptions(t: Tables) -> DataFrame:
-    """Subscriptions derived from customers: one in forty, of four area types."""
+    """Subscriptions of all customers: boxes, some across the date line, circles, and one in fifty of the whole world."""
     i = c("c_custkey")
     types = F.array(F.lit("usgs_quake"), F.lit("port_call"))
-    return t.raw("customer").filter(i % 40 == 0).select(
-        i.cast("string").alias("sub_id"), F.when(i % 80 == 0, types).otherwise(F.array(F.lit("nasa_firms"))).alias("categories"),
-        F.array().cast("array<string>").alias("subcategories"), F.lit(0.2).alias("min_confidence"), (i % 9).cast("double").alias("min_severity"),
-        F.when(i % 120 == 0, "bbox").when(i % 120 == 40, "circle").otherwise("global").alias("area"), F.lit(150.0).alias("west"), F.lit(-40.0).alias("south"),
-        F.lit(-120.0).alias("east"), F.lit(50.0).alias("north"), F.lit(10.0).alias("center_lat"), F.lit(20.0).alias("center_lng"), F.lit(3000.0).alias("radius_km"),
+    west, south = (i * 13 % 360 - 180).cast("double"), (i * 7 % 150 - 80).cast("double")
+    return t.raw("customer").select(
+        i.cast("string").alias("sub_id"), F.when(i % 2 == 0, types).otherwise(F.array(F.lit("nasa_firms"))).alias("categories"),
+        F.array().cast("array<string>").alias("subcategories"), F.lit(0.2).alias("min_confidence"), F.when(i % 50 == 0, 9.0).otherwise((i % 9).cast("double")).alias("min_severity"),
+        F.when(i % 50 == 0, "global").when(i % 3 == 0, "circle").otherwise("bbox").alias("area"), west.alias("west"), south.alias("south"),
+        F.when(west + 20 > 180, west - 340).otherwise(west + 20).alias("east"), (south + 15).alias("north"), (i % 120 - 60).cast("double").alias("center_lat"),
+        (i * 11 % 360 - 180).cast("double").alias("center_lng"), (i % 5 * 200 + 300).cast("double").alias("radius_km"),
     )
 
 
+_WEST = "CAST(s.c_custkey * 13 % 360 - 180 AS DOUBLE)"
+
+
 @query("p8_subscription_predicate", ("finding",), f"""
-    SELECT s.c_custkey AS sub, f.id FROM customer s JOIN finding f ON s.c_custkey % 40 = 0
-      AND (CASE WHEN s.c_custkey % 80 = 0 THEN f.event_type IN ('usgs_quake', 'port_call') ELSE f.event_type = 'nasa_firms' END)
-      AND f.confidence >= 0.2 AND f.severity >= s.c_custkey % 9
-      AND (f.lat IS NULL OR CASE WHEN s.c_custkey % 120 = 0 THEN (f.lng >= 150 OR f.lng <= -120) AND f.lat BETWEEN -40 AND 50
-        WHEN s.c_custkey % 120 = 40 THEN {haversine_sql('10.0', '20.0', 'f.lat', 'f.lng')} <= 3000 ELSE true END)""")
+    SELECT s.c_custkey AS sub, f.id FROM customer s JOIN finding f ON
+      CASE WHEN s.c_custkey % 2 = 0 THEN f.event_type IN ('usgs_quake', 'port_call') ELSE f.event_type = 'nasa_firms' END
+      AND f.confidence >= 0.2 AND f.severity >= CASE WHEN s.c_custkey % 50 = 0 THEN 9 ELSE s.c_custkey % 9 END
+      AND (f.lat IS NULL OR CASE WHEN s.c_custkey % 50 = 0 THEN true
+        WHEN s.c_custkey % 3 = 0 THEN {haversine_sql('CAST(s.c_custkey % 120 - 60 AS DOUBLE)', 'CAST(s.c_custkey * 11 % 360 - 180 AS DOUBLE)', 'f.lat', 'f.lng')} <= s.c_custkey % 5 * 200 + 300
+        ELSE f.lat BETWEEN s.c_custkey * 7 % 150 - 80 AND s.c_custkey * 7 % 150 - 65 AND CASE WHEN {_WEST} + 20 > 180 THEN f.lng >= {_WEST} OR f.lng <= {_WEST} - 340 ELSE f.lng BETWEEN {_WEST} AND {_WEST} + 20 END END)""")
 def p8(t: Tables) -> DataFrame:
     return subscription_join(t.finding, subscriptions(t)).select(c("sub_sub_id").cast("bigint").alias("sub"), "id")
 

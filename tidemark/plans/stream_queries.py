@@ -137,7 +137,7 @@ def t10(t: Tables) -> DataFrame:
         "military_flights": fresh, "zone_intrusions": fresh, "rendezvous": fresh, "listed_rendezvous": fresh, "sanctions_match": {"fresh_hours": 14 * 24},
         "loitering": {"lookback_hours": 240, "active_hours": 48},
     }
-    events = t.finding.drop("event_id", "last_seen", "members", "user_id").filter(c("event_type").isin("nasa_firms", "usgs_quake", "newsdata")).withColumn("event_ids", F.lit(None).cast("array<string>"))
+    events = t.finding.drop("event_id", "last_seen", "members", "user_id").withColumn("event_ids", F.lit(None).cast("array<string>"))
     inputs = Inputs(t.current, t.track, events, t.ports, R.zones_df(t.spark), t.listed, t.as_of, options)
     return totals(t.spark, inputs, run_cycle(inputs))
 
