@@ -174,3 +174,25 @@ def test_partners_from_one_bucket(spark, tables, tmp_path):
         assert "SelectedBucketsCount: 1 out of 16" in plan(got)
     finally:
         spark.sql("DROP TABLE membership_test")
+
+
+@pytest.mark.parametrize("lacking", ["folders", "zstandard"])
+def test_the_rest_stands_without_the_corpus_operators(tmp_path, lacking):
+    """In a copy without them, or without a package that only they need, all other queries are registered."""
+    import shutil
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+    if lacking == "folders":
+        for name in ("tidemark/llm", "tests/llm"):
+            shutil.rmtree(copy / name)
+        (copy / "corpus_pipeline.py").unlink()
+    hide = "import sys; sys.modules['zstandard'] = None; " if lacking == "zstandard" else ""
+    code = hide + "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q), sum(n.startswith('op') for n in q))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True)
+    rest = [n for n in queries() if not n.startswith("op") and n != "pipeline"]
+    assert said.stdout.split() == [str(len(rest)), "0"] and ("left out" in said.stderr) == (lacking == "zstandard")
