@@ -104,8 +104,31 @@ def test_sketches_bound_the_difference():
         assert shared or N.most_apart(n, n, 90) == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, graph.FEW])
+def test_components(spark, few):
     pairs = [(5, 4), (4, 3), (9, 9), (7, 7), (7, 8), (None, 1), (3, 2), (5, 2), *[(100, 200 + k) for k in range(300)], *[(1000 + k, 1001 + k) for k in range(70)]]
-    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(pairs, "a long, b long"), few=few).collect()}
     assert got == {2: 2, 3: 2, 4: 2, 5: 2, 9: 9, 7: 7, 8: 7, 100: 100, **{200 + k: 100 for k in range(300)}, **{1000 + k: 1000 for k in range(71)}}
-    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
+
+
+def test_components_of_random_links(spark):
+    """Union-find by hand, one task, and rounds of joins."""
+    rng = random.Random(6)
+    pairs = [(rng.randrange(900), rng.randrange(900)) for _ in range(600)]
+    root = list(range(900))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        lo, hi = sorted((find(a), find(b)))
+        root[hi] = lo
+    want = {i: find(i) for p in pairs for i in p}
+    df = spark.createDataFrame(pairs, "a long, b long")
+    for few in (0, graph.FEW):
+        assert {r.node: r.component for r in graph.connected_components(df, few=few).collect()} == want
+    named = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in pairs], "a string, b string")
+    assert {r.node: r.component for r in graph.connected_components(named).collect()} == {f"n{k:03}": f"n{v:03}" for k, v in want.items()}

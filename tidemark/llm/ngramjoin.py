@@ -17,11 +17,13 @@ of elements in which the sets differ. Sketches serve twice:
 * Filter. A sketch of 1,024 bits, the same for all sizes, rules out most pairs that met and
   differ too much. What is left is verified on the sets themselves.
 
-Equal sets are one node from the start. Members of a bucket are first compared with one pivot,
-for three pivots one after another, and linked ones are joined to components each time; only
-buckets whose members are still in different components go on. In what remains, members
-outside a bucket's largest component meet the members of other components, each pair tested on
-its sketches inside the join. So copies are never expanded to pairs, and no link is lost.
+Equal sets are one node from the start. A bucket has a pivot, and each set is first compared
+with one of the pivots it meets, three times over with other pivots; linked ones are joined to
+components each time, and only buckets whose members are still in different ones go on. In what
+remains, members outside a bucket's largest component meet the members of other components, each
+pair tested on its sketches inside the join. Of the pairs that pass, each such member's nearest is
+verified first, then its nearest few, then all that are still in different components. So
+copies are never expanded to pairs, and no link is lost.
 Sets are recomputed from the texts for the members of pairs alone, by a sieve of fixed size.
 
 Cases: null and empty texts, and those of white space, have no shingle and link with nothing;
@@ -37,7 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytewords as B
@@ -50,6 +52,7 @@ PERCENT = 90
 WORDS = 16  # 64-bit words of the sketch that all pairs are tested on
 THIN = 4  # elements of a block below which its key takes in half of the next
 PIVOTS = 3
+NEAREST = (1, 8, None)  # candidates of a set that are verified at a time; None: all that are left
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,11 +178,11 @@ def sets_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.join(wanted, "row", "left_semi").select("set_id", "items")
 
 
-def _near(a_n: Column, b_n: Column, a_sketch: Column, b_sketch: Column, percent: int) -> Column:
-    """Whether two sketches allow a link of sets of these sizes."""
+def _near(a_n: Column, b_n: Column, a_sketch: list[Column], b_sketch: list[Column], percent: int) -> tuple[Column, Column]:
+    """(whether two sketches allow a link of sets of these sizes, their Hamming distance)."""
     most = (a_n + b_n) * (100 - percent)
     apart = sum((F.bit_count(a_sketch[w].bitwiseXOR(b_sketch[w])) for w in range(WORDS)), F.lit(0))
-    return (F.abs(a_n - b_n) * (100 + percent) <= most) & (apart * (100 + percent) <= most)
+    return (F.abs(a_n - b_n) * (100 + percent) <= most) & (apart * (100 + percent) <= most), apart
 
 
 class _Verifier:
@@ -192,7 +195,8 @@ class _Verifier:
         """The distinct (a, b) whose sketches allow a link."""
         side = lambda k: self.nodes.select(F.col("set_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
         met = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-        return met.filter(_near(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), self.percent)).select("a", "b")
+        sketch = lambda k: [F.get(f"sketch_{k}", F.lit(w)) for w in range(WORDS)]
+        return met.filter(_near(F.col("n_a"), F.col("n_b"), sketch("a"), sketch("b"), self.percent)[0]).select("a", "b")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         pairs = durable(pairs)
@@ -211,42 +215,69 @@ def set_classes(nodes: DataFrame, rows: DataFrame, size: int, percent: int) -> D
     check = _Verifier(nodes, rows, size, percent)
     bucket = nodes.select("set_id", F.explode("keys").alias("key"))
     shared = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
-    bucket = durable(bucket.join(shared, "key"))
+    bucket = durable(bucket.join(shared, "key")).withColumn("component", F.col("set_id"))
     links = group = None
-    for turn in range(PIVOTS + 1):
-        if group is not None:
-            labelled = bucket.drop("component").join(group, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-            mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-            bucket = durable(labelled.join(mixed, "key"))
-        else:
-            bucket = bucket.withColumn("component", F.col("set_id"))
-        if bucket.isEmpty():
-            break
-        if turn < PIVOTS:
-            pivot = bucket.groupBy("key").agg(F.min_by("set_id", F.xxhash64("set_id", F.lit(turn))).alias("pivot"), F.min_by("component", F.xxhash64("set_id", F.lit(turn))).alias("own"))
-            met = bucket.join(pivot, "key").filter("own <> component").select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"))
-            found = check.linked(check.close(met))
-        else:
-            found = check.linked(_outside(bucket, nodes, percent))
+
+    def joined(found: DataFrame) -> DataFrame:
+        nonlocal links, group
         links = found if links is None else links.unionByName(found)
         group = connected_components(links).withColumnRenamed("node", "set_id")
+        return group
+
+    for turn in range(PIVOTS):
+        if bucket.isEmpty():
+            break
+        found = check.linked(check.close(_with_pivots(bucket, turn)))
+        if group is None or not found.isEmpty():
+            bucket = durable(_still_mixed(bucket, joined(found)))
     if group is None:
         return nodes.select("set_id", F.col("set_id").alias("component")).limit(0)
+    left = _candidates(bucket, nodes, percent)
+    for most in NEAREST:
+        if left.isEmpty():
+            break
+        of = lambda k: group.select(F.col("set_id").alias(k), F.col("component").alias(f"of_{k}"))
+        apart = F.coalesce("of_x", "x") != F.coalesce("of_y", "y")
+        left = durable(left.join(of("x"), "x", "left").join(of("y"), "y", "left").filter(apart).select("x", "y", "apart"))
+        best = Window.partitionBy("x").orderBy("apart", "y")
+        picked = left if most is None else durable(left.withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= most).drop("_nth"))
+        found = check.linked(picked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if not found.isEmpty():
+            joined(found)
+        if most is not None:
+            left = left.join(picked, ["x", "y"], "left_anti")
     return group
 
 
-def _outside(bucket: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that meet in a bucket and whose sketches allow a link."""
+def _still_mixed(bucket: DataFrame, group: DataFrame) -> DataFrame:
+    """The buckets with members of several components, under the names that these have now."""
+    labelled = bucket.drop("component").join(group, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    return labelled.join(mixed, "key")
+
+
+def _with_pivots(bucket: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each set with one pivot of another component."""
+    order = F.xxhash64("set_id", F.lit(turn))
+    pivot = bucket.groupBy("key").agg(F.min_by("set_id", order).alias("pivot"), F.min_by("component", order).alias("own"))
+    met = bucket.join(pivot, "key").filter("own <> component").groupBy("set_id", "pivot").agg(F.count(F.lit(1)).alias("k"))
+    # Of the pivots that a member meets, the one met in most buckets is the likeliest to be linked.
+    rank = F.shiftleft("k", 32) + F.xxhash64("pivot").bitwiseAND(F.lit(0xFFFFFFFF))
+    met = met.groupBy("set_id").agg(F.max_by("pivot", rank).alias("pivot"))
+    return met.select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"))
+
+
+def _candidates(bucket: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(x, y, apart): sets x outside the largest component of a bucket, the sets y of its other components that their sketches allow a link to, and the sketches' distance."""
     size = bucket.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = size.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    full = bucket.join(main, "key").join(nodes.select("set_id", "n", "sketch"), "set_id")
-    side = lambda rows, k: rows.select("key", "main", *[F.col(c).alias(f"{c}_{k}") for c in ("set_id", "component", "n", "sketch")])
-    left, right = side(full.filter("component <> main"), "a"), side(full, "b").drop("main")
-    # A pair of two outside members is met from both sides; one of them is enough.
-    once = (F.col("component_b") == F.col("main")) | (F.col("set_id_a") < F.col("set_id_b"))
-    near = _near(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), percent)
-    met = left.join(right, "key").filter((F.col("component_a") != F.col("component_b")) & once & near)
-    return met.select(F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b")).distinct()
+    main = size.groupBy("key").agg(F.max_by("component", F.shiftleft("c", 32) + F.xxhash64("component").bitwiseAND(F.lit(0xFFFFFFFF))).alias("main"))
+    words = [F.get("sketch", F.lit(w)).alias(f"s{w}") for w in range(WORDS)]
+    full = durable(bucket.join(main, "key").join(nodes.select("set_id", "n", *words), "set_id"))
+    side = lambda rows, k: rows.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("set_id", "component", "n", *[f"s{w}" for w in range(WORDS)])])
+    sketch = lambda k: [F.col(f"s{w}_{k}") for w in range(WORDS)]
+    near, apart = _near(F.col("n_x"), F.col("n_y"), sketch("x"), sketch("y"), percent)
+    met = side(full.filter("component <> main"), "x").join(side(full, "y"), "key").filter((F.col("component_x") != F.col("component_y")) & near)
+    return durable(met.select(F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y"), apart.alias("apart")).distinct())
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
