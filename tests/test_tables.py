@@ -288,6 +288,28 @@ def test_backfill_takes_an_encoder(spark):
     assert [(r["id"], r["embedding"]) for r in got] == [(1, [1.0, 1.0, 1.0])]
 
 
+def test_vectors_in_lists(spark, tmp_path):
+    """Every vector is in a list; few lists find nearly all neighbours of clustered vectors, all lists find all; a third of them share one direction."""
+    from tidemark.operators import vectors
+
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(25, 16))
+    data = [(k, [float(x) for x in (middles[0] if k % 3 == 0 else middles[k % 25]) + 0.25 * rng.normal(size=16)]) for k in range(3000)]
+    rows = spark.createDataFrame([*data, (9001, None), (9002, [0.0] * 16), (9003, [float("nan")] + [1.0] * 15)], "id long, embedding array<double>")
+    path = str(tmp_path / "vectors")
+    vectors.write_lists(rows, path, lists=20, sample=1000)
+    assert spark.read.parquet(path + "/lists").count() == 3000
+    found = 0
+    for k in range(0, 40, 2):
+        exact = [r.id for r in serving.similar_vectors(rows.filter("id < 9000"), F.array(*map(F.lit, data[k][1])), 10, F.lit(k)).collect()]
+        assert [r.id for r in vectors.from_lists(spark, path, data[k][1], 10, None, k).collect()] == exact
+        near = vectors.from_lists(spark, path, data[k][1], 10, 3, k)
+        found += len({r.id for r in near.collect()} & set(exact))
+    assert found >= 0.9 * 200
+    text = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in text and "list#" in text.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_approximate_neighbours(spark, tables):
     rows = tables.raw("embeddings").withColumn("id", F.col("vec_id"))
     seed = rows.orderBy("vec_id").first()["embedding"]

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates, anomaly, corrections, dedup, latest, merge, serving
+from tidemark.operators import aggregates, anomaly, corrections, dedup, latest, merge, serving, vectors
 from tidemark.operators.detectors.base import hours
 from tidemark.plans.join_queries import CAT_SQL, MAX_TS, _DIGEST, _daily, digest_rows
 from tidemark.plans.registry import query
@@ -298,6 +298,26 @@ _SEARCH = f"""SELECT listed_id, CASE WHEN sim >= 0.4 THEN 'name_fuzzy' ELSE 'nam
     ORDER BY sim DESC, listed_name, listed_id LIMIT 200"""
 
 
+def vector_lists(t: Tables) -> str:
+    return t.stored("vectors", lambda path: vectors.write_lists(t.raw("embeddings").select(c("vec_id").alias("id"), "embedding"), path, 16))
+
+
+def _by_lists(t: Tables, probes: int | None) -> DataFrame:
+    seed = t.raw("embeddings").filter(c("vec_id") == 3).agg(F.min_by("embedding", "vec_id")).first()[0]
+    return vectors.from_lists(t.spark, vector_lists(t), list(seed), 20, probes, 3).select(c("id").alias("vec_id"), r("distance").alias("distance"))
+
+
+@query("w9_vector_lists_exact", (), f"""
+    SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, {_DIST} AS d FROM (SELECT vec_id, embedding AS a, (SELECT embedding FROM embeddings WHERE vec_id = 3) AS b FROM embeddings) WHERE vec_id <> 3) ORDER BY d, vec_id LIMIT 20""")
+def w9_lists_exact(t: Tables) -> DataFrame:
+    return _by_lists(t, None)
+
+
+@query("w9_vector_lists")
+def w9_lists(t: Tables) -> DataFrame:
+    return _by_lists(t, 8)
+
+
 @query("w10_search_ranking", ("listed",), _SEARCH)
 def w10(t: Tables) -> DataFrame:
     return serving.search_listed(t.listed, "red plate", 200).select("listed_id", "match_kind", r("similarity").alias("similarity"))
