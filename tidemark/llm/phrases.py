@@ -14,9 +14,11 @@ parts inside, until a pass brings no failure. The sample decides how many passes
 what is found.
 
 The proposal is a sieve of hashes of fixed size, sent to all tasks; a phrase that passes it by
-chance is one more exact count. Counts are kept by the phrase itself: tasks count within some
-megabytes of text, Spark combines before it shuffles, and a phrase in every document is a row per
-task. Nothing else reaches the driver but a row for each pass.
+chance is one more count. These passes count by 64-bit hash, of which only few bytes are shuffled
+for a phrase; a hash is as frequent as all its phrases together, so none is lost. At the end one
+pass more counts the phrases of the frequent hashes by their own words, which is exact. Tasks
+count within some megabytes of text, Spark combines before it shuffles, and a phrase in every
+document is a row per task. Nothing but the sieves and a number for each pass reaches the driver.
 
 A candidate is scored by its weakest cut; candidates inside a longer one that is nearly as frequent
 go; the best of each language stay, by a window that each task applies to its own rows first.
@@ -100,54 +102,72 @@ def _language_hash(lang: pa.Array) -> np.ndarray:
     return B.range_hashes(data[of[0] : of[-1]], of[:-1] - of[0], of[1:] - of[0], fold=False)
 
 
-COUNTS = "lang string, words int, phrase string, h long, f long"
+class _Runs:
+    """The runs of words of some texts: hashes by length, and their languages."""
 
+    def __init__(self, part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, longest: int) -> None:
+        self.lower, self.starts, self.ends, piece = pieces(data, offsets)
+        self.languages = part.column("lang").dictionary_encode()
+        self.language = self.languages.indices.to_numpy()[np.searchsorted(offsets, self.starts, "right") - 1]
+        # The language is part of a word's hash, so that of every run and of the sieves.
+        own = B.mix(_language_hash(self.languages.dictionary))[self.language] if len(self.starts) else np.zeros(0, np.uint64)
+        self.by_length = runs(B.mix(B.range_hashes(self.lower, self.starts, self.ends, fold=False) ^ own), piece, longest)
 
-def counted(docs: DataFrame, levels: tuple[int, ...], now: np.ndarray | None, before: np.ndarray | None = None) -> DataFrame:
-    """(lang, words, phrase, h, f) of (lang, text): runs of the given numbers of words whose parts, one word shorter, are in the sieve `now`.
-
-    Single words all count. With `before`, runs whose parts were in that sieve already are left out.
-    """
-    sent = [None if s is None else docs.sparkSession.sparkContext.broadcast(s) for s in (now, before)]
-
-    def admitted(run: list, k: int, bits: np.ndarray) -> np.ndarray:
-        """Which runs of k words have both parts in the sieve."""
-        inside = passes(bits, run[k - 2][0])
+    def admitted(self, k: int, bits: np.ndarray) -> np.ndarray:
+        """Which runs of k words have both parts, one word shorter, in the sieve."""
+        inside = passes(bits, self.by_length[k - 2][0])
         both = inside.copy()
         both[:-1] &= inside[1:]
         return both
 
+    def phrases(self, at: np.ndarray, k: int) -> pa.Array:
+        return _phrases(self.lower, self.starts, self.ends, at, k)
+
+
+def hashed_counts(docs: DataFrame, levels: tuple[int, ...], now: np.ndarray | None, before: np.ndarray | None = None) -> DataFrame:
+    """(words, h, f) of (lang, text): runs of the given numbers of words whose parts, one word shorter, are in the sieve `now`.
+
+    Single words all count. With `before`, runs whose parts were in that sieve already are left
+    out. Only hashes are shuffled; where two phrases share one, their counts come as one.
+    """
+    sent = [None if s is None else docs.sparkSession.sparkContext.broadcast(s) for s in (now, before)]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in B.chunks(batch, "text", CHUNK):
-                lower, starts, ends, piece = pieces(data, offsets)
-                if not len(starts):
-                    continue
-                lang = part.column("lang").dictionary_encode()
-                text = np.searchsorted(offsets, starts, "right") - 1
-                own = lang.indices.to_numpy()[text]
-                # The language is part of a word's hash, so that of every run and of the sieves.
-                hashes = B.mix(B.range_hashes(lower, starts, ends, fold=False) ^ B.mix(_language_hash(lang.dictionary))[own])
-                run = runs(hashes, piece, max(levels))
+            for texts in B.chunks(batch, "text", CHUNK):
+                found = _Runs(*texts, max(levels))
                 for k in levels:
-                    h, use = run[k - 1]
+                    h, use = found.by_length[k - 1]
                     if k > 1:
-                        use = use & admitted(run, k, sent[0].value)
+                        use = use & found.admitted(k, sent[0].value)
                         if before is not None:
-                            use &= ~admitted(run, k, sent[1].value)
-                    where = np.flatnonzero(use)
-                    some, first, times = np.unique(h[where], return_index=True, return_counts=True)
+                            use &= ~found.admitted(k, sent[1].value)
+                    some, times = np.unique(h[use], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.view(np.int64)), pa.array(times.astype(np.int64))], names=["words", "h", "f"])
+
+    return docs.select("lang", "text").mapInArrow(count, "words int, h long, f long").groupBy("words", "h").agg(F.sum("f").alias("f"))
+
+
+def exact_counts(docs: DataFrame, hashes: DataFrame, longest: int) -> DataFrame:
+    """(lang, words, phrase, f) of the phrases whose hash is in `hashes`, and of some that its sieve lets through; a row of 0 words is a language's total."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieve(hashes.select("h")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        put = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["lang", "words", "phrase", "f"])
+        for batch in batches:
+            for part, *text in B.chunks(batch, "text", CHUNK):
+                found = _Runs(part, *text, longest)
+                names = found.languages.dictionary.cast(pa.string())
+                total = np.bincount(found.language, minlength=len(names)).astype(np.int64)
+                yield put(names, np.zeros(len(names), np.int32), pa.array([""] * len(names)), total)
+                for k, (h, use) in enumerate(found.by_length, 1):
+                    where = np.flatnonzero(use & passes(sent.value, h))
+                    _, first, times = np.unique(h[where], return_index=True, return_counts=True)
                     at = where[first]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            lang.dictionary.take(pa.array(own[at])).cast(pa.string()), pa.array(np.full(len(at), k, np.int32)), _phrases(lower, starts, ends, at, k),
-                            pa.array(some.view(np.int64)), pa.array(times.astype(np.int64)),
-                        ],
-                        names=["lang", "words", "phrase", "h", "f"],
-                    )
+                    yield put(names.take(pa.array(found.language[at])), np.full(len(at), k, np.int32), found.phrases(at, k), times.astype(np.int64))
 
-    parts = docs.select("lang", "text").mapInArrow(count, COUNTS)
-    return parts.groupBy("lang", "words", "phrase").agg(F.first("h").alias("h"), F.sum("f").alias("f"))
+    parts = docs.select("lang", "text").mapInArrow(count, "lang string, words int, phrase string, f long")
+    return parts.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
 
 def proposed(docs: DataFrame, longest: int, sample: int, least: int) -> DataFrame:
@@ -155,38 +175,32 @@ def proposed(docs: DataFrame, longest: int, sample: int, least: int) -> DataFram
     some = durable(docs.sample(False, 1.0 / sample, seed=7))
     found = None
     for k in range(1, longest):
-        level = counted(some, (k,), None if found is None else sieve(found)).filter(F.col("f") >= least).select("h")
+        level = hashed_counts(some, (k,), None if found is None else sieve(found)).filter(F.col("f") >= least).select("h")
         found = durable(level if found is None else found.unionByName(level))
     return found
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: int = SAMPLE, sample_least: int = SAMPLE_LEAST, passed: list | None = None) -> tuple[DataFrame, DataFrame]:
-    """((lang, words, phrase, h, f) of every phrase found at least `least` times, (lang, n) words of each language).
+    """((lang, words, phrase, f) of every phrase found at least `least` times, (lang, n) words of each language).
 
     `docs` has (lang, text). The border's failures of each pass are appended to `passed`.
     """
     inside = proposed(docs, longest, sample, sample_least)
-    now, before = sieve(inside), None
-    totals, every = None, None
+    now, before, every = sieve(inside), None, None
     while True:
         levels = tuple(range(1 if before is None else 2, longest + 1))
-        counts = counted(docs, levels, now, before)
-        if before is None:
-            # Words are summed in the same pass; rows of rare phrases are not written.
-            counts = durable(counts.filter(f"f >= {least} or words = 1"))
-            totals = durable(counts.filter("words = 1").groupBy("lang").agg(F.sum("f").alias("n")))
-            counts = counts.filter(F.col("f") >= least)
-        else:
-            counts = durable(counts.filter(F.col("f") >= least))
+        counts = durable(hashed_counts(docs, levels, now, before).filter(F.col("f") >= least))
         every = counts if every is None else every.unionByName(counts)
         missed = durable(counts.filter(F.col("words") < longest).select("h").join(inside.select("h"), "h", "left_anti"))
         failures = missed.count()
         if passed is not None:
             passed.append(failures)
         if not failures:
-            return every, totals
+            break
         inside = durable(inside.unionByName(missed))
         now, before = sieve(inside), now
+    counts = durable(exact_counts(docs, every, longest).filter((F.col("f") >= least) | (F.col("words") == 0)))
+    return counts.filter("words > 0"), counts.filter("words = 0").select("lang", F.col("f").alias("n"))
 
 
 def _cut(words: Column, first: Column, n: Column) -> Column:
