@@ -672,3 +672,25 @@ def test_pipeline_stages(spark):
     assert set(after) <= set(before)
     pieces = packing.packing(docs)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).agg(F.sum("length")).first() == pieces.agg(F.sum("length")).first()
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_pipeline_on_odd_rows(spark, odd, tmp_path, rows):
+    """The whole run on nulls, empty and long texts, repeated rows, clashing names, and on no row at all."""
+    import os
+
+    import corpus_pipeline
+    from tidemark.operators.lineage import shared_folder
+
+    folder = str(tmp_path)
+    (odd if rows else empty(odd)).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(8, 1, 0), (9, 0, 0), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    before = {x for x in os.listdir(shared_folder(spark)) if x.startswith("pipeline-")}
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert len({x for x in os.listdir(shared_folder(spark)) if x.startswith("pipeline-")} - before) == 1
+    assert {r.doc_id for r in pieces} <= {i for i, _ in rows} and bool(pieces) == bool(rows)
+    held = collections.Counter()
+    for r in pieces:
+        held[r.sequence_id] += r.length
+        assert 0 < r.length <= r.doc_tokens
+    assert all(n <= 2048 for n in held.values())
