@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but
 the last return the columns of documents; rows carry their doc_id through, and a document
 that the mix takes several times is as many rows with its id.
+
+Cases: a null or empty text has the score of no evidence, is one empty line, has no duplicate,
+size 0, and packs to its end token; a null source is a source of its own, a null doc_id is a
+document; of rows repeated in full near-duplicates keep one (of texts without words, all); other
+columns pass through, whatever their names; an empty table gives no piece. What a stage wrote
+is removed once the next has written its own.
 """
 
 from __future__ import annotations
@@ -54,15 +60,27 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what each returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(spark, docs)
+            path = _written(spark, docs)
+            if before is not None:
+                _remove(spark, before)
+            docs, before = spark.read.parquet(path), path
     return docs
 
 
 def stored(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    return spark.read.parquet(_written(spark, docs))
+
+
+def _written(spark: SparkSession, docs: DataFrame) -> str:
     path = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs.write.parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
