@@ -599,11 +599,12 @@ def plain_ratios(text, chunk=quality.CHUNK):
 def test_bands_equal_a_plain_loop_and_decide(spark):
     """`kept` by hand from the same limits; on held-out labels the bands reject poor texts and hardly any good one."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    limits = quality.fit_limits(docs, labels)
+    scored = quality.compression_bands(docs.join(labels, "doc_id", "left_semi"))
+    limits = quality.fit_limits(scored, labels)
     assert len(limits) >= 10
     text = {r.doc_id: r.text for r in docs.join(labels, "doc_id", "left_semi").collect()}
     good = {r.doc_id: r.quality == 1 for r in labels.collect()}
-    found = [r for r in quality.compression_bands(docs.join(labels, "doc_id", "left_semi"), limits=limits).collect() if not r.base_failed]
+    found = [r for r in quality.with_limits(scored, limits).collect() if not r.base_failed]
     for r in found[::3]:
         whole, low, high = plain_ratios(text[r.doc_id])
         assert (r.ratio, r.chunk_min, r.chunk_max) == pytest.approx((whole, low, high))
@@ -618,7 +619,7 @@ def test_bands_equal_a_plain_loop_and_decide(spark):
 def test_bands_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     same = lambda df: collections.Counter(map(tuple, df.collect()))
-    assert quality.fit_limits(odd, none) == {} and same(quality.quality_bands(odd, none)) == same(quality.compression_bands(odd))
+    assert quality.fit_limits(quality.compression_bands(odd), none) == {} and same(quality.quality_bands(odd, none)) == same(quality.compression_bands(odd))
     some = spark.createDataFrame([(8, 1, 0), (8, None, 0), (None, 1, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
     assert quality.quality_bands(odd, some).count() == len(ODD) and quality.quality_bands(empty(odd), some).count() == 0
 

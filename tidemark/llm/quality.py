@@ -23,10 +23,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytewords as B
+from tidemark.operators.lineage import durable
 
 
 class Band(NamedTuple):
@@ -137,38 +138,37 @@ def within(length: np.ndarray, ratio: np.ndarray, bands: Sequence[Band], chunk:
     return whole & (ratio[:, 1] >= limit[:, 2]) & (ratio[:, 2] <= limit[:, 3]) & rest
 
 
-def fitted_within(length: np.ndarray, ratio: np.ndarray, limits: Limits, bands: Sequence[Band], chunk: int = CHUNK) -> np.ndarray:
-    """Whether the ratios lie inside the fitted limits (whole, whole, chunk, chunk) of the text's band, or inside `bands` where there are none."""
-    inside = within(length, ratio, bands, chunk)
-    if limits:
-        band = np.floor(STEPS * np.log2(np.maximum(length, 1))).astype(np.int64)
-        limit = np.full((max(64 * STEPS, int(band.max(initial=0)) + 1), 4), np.nan)
-        for k, four in limits.items():
-            limit[k] = four
-        limit = limit[band]
-        low, high = np.fmin(ratio[:, 1], ratio[:, 3]), np.fmax(ratio[:, 2], ratio[:, 3])
-        fitted = (ratio[:, 0] >= limit[:, 0]) & (ratio[:, 0] <= limit[:, 1]) & (low >= limit[:, 2]) & (high <= limit[:, 3])
-        inside = np.where(np.isnan(limit[:, 0]), inside, fitted)
-    return inside
-
-
-def fit_limits(docs: DataFrame, labels: DataFrame, most: float = MOST, least: float = LEAST, **options) -> Limits:
-    """Limits by band from the documents labelled as good outside the held-out fold; all of them are used."""
+def fit_limits(scored: DataFrame, labels: DataFrame, most: float = MOST, least: float = LEAST) -> Limits:
+    """Limits by band from the rows of `compression_bands` labelled as good outside the held-out fold; all of them are used."""
     usable = (F.col("quality") == 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).filter(usable).select("doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, "doc_id")
-    band = F.floor(STEPS * F.log2("n_bytes")).cast("long").alias("band")
     stats = [f(c).alias(f"{n}_{c}") for c in ("ratio", "chunk_min", "chunk_max") for f, n in ((F.avg, "m"), (F.stddev_pop, "d"))]
-    rows = compression_bands(texts, **options).filter("not base_failed").groupBy(band).agg(F.count(F.lit(1)).alias("n"), *stats).filter(F.col("n") >= ENOUGH).collect()
+    passed = scored.filter("not base_failed").select("doc_id", "ratio", "chunk_min", "chunk_max", band_of("n_bytes").alias("band"))
+    rows = passed.join(good, "doc_id").groupBy("band").agg(F.count(F.lit(1)).alias("n"), *stats).filter(F.col("n") >= ENOUGH).collect()
     return {
         r.band: (r.m_ratio - least * r.d_ratio, r.m_ratio + most * r.d_ratio, r.m_chunk_min - (least + 1) * r.d_chunk_min, r.m_chunk_max + (most + 1) * r.d_chunk_max)
         for r in rows
     }
 
 
+def band_of(n_bytes: str) -> Column:
+    return F.floor(STEPS * F.log2(n_bytes)).cast("long")
+
+
+def with_limits(scored: DataFrame, limits: Limits) -> DataFrame:
+    """The rows of `compression_bands` with the verdict of the fitted limits (whole, whole, chunk, chunk), where the text's band has some."""
+    if not limits:
+        return scored
+    names = ("_a", "_b", "_c", "_d")
+    table = scored.sparkSession.createDataFrame([(k, *four) for k, four in limits.items()], "_band long, " + ", ".join(f"{n} double" for n in names))
+    inside = F.col("ratio").between(F.col("_a"), F.col("_b")) & (F.col("chunk_min") >= F.col("_c")) & (F.col("chunk_max") <= F.col("_d"))
+    judged = scored.withColumn("_band", band_of("n_bytes")).join(table, "_band", "left")
+    return judged.withColumn("kept", F.when(F.col("_a").isNull(), F.col("kept")).otherwise(~F.col("base_failed") & inside)).select(*scored.columns)
+
+
 def compression_bands(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Sequence[Band] = BANDS, chunk: int = CHUNK, level: int = LEVEL,
-    least_words: int = 50, most_repeated: float = 0.5, limits: Limits | None = None,
+    least_words: int = 50, most_repeated: float = 0.5,
 ) -> DataFrame:
     """One row per row of `docs`: base counts, ratios and the verdict. A single pass without a shuffle."""
 
@@ -180,7 +180,7 @@ def compression_bands(
                 again = repeated_words(B.range_hashes(data, starts, ends, fold=False), of)
                 failed = (n_words < least_words) | (again > most_repeated * n_words)
                 ratio = ratios(data, offsets, chunk, level)
-                kept = ~failed & fitted_within(np.diff(offsets), ratio, limits or {}, bands, chunk)
+                kept = ~failed & within(np.diff(offsets), ratio, bands, chunk)
                 chars = B.per_text(~B.SPACE[data] & ((data & 0xC0) != 0x80), offsets)
                 symbols = B.per_text(_SYMBOL[data], offsets)
                 columns = [n_words, chars, symbols, repeated_lines(data, offsets), again, failed, kept, ratio[:, 0], np.fmin(ratio[:, 1], ratio[:, 3]), np.fmax(ratio[:, 2], ratio[:, 3]), np.diff(offsets)]
@@ -191,5 +191,6 @@ def compression_bands(
 
 
 def quality_bands(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Counts, ratios and verdict of every row of `docs`, within limits fitted on the labelled ones."""
-    return compression_bands(docs, limits=fit_limits(docs, labels))
+    """Counts, ratios and verdict of every row of `docs`, within limits fitted on the labelled ones. Texts are compressed once and never shuffled."""
+    scored = durable(compression_bands(docs))
+    return with_limits(scored, fit_limits(scored, labels))
