@@ -55,7 +55,8 @@ def point_leaves(points: DataFrame, lat: str, lng: str, leaves: DataFrame, salt_
 def shape_leaves(shapes: DataFrame, nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """Shapes once for every leaf and salt that their box (`_west`, `_south`, `_east`, `_north`, none across the date line) touches."""
     steps = {"_x0": _step(F.col("_west"), -180.0, 360.0), "_x1": _step(F.col("_east"), -180.0, 360.0), "_y0": _step(F.col("_south"), -90.0, 180.0), "_y1": _step(F.col("_north"), -90.0, 180.0)}
-    front = shapes.withColumns(steps).withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
+    # The root is worked out from columns: by a literal the first join would have no key, and be a nested loop.
+    front = shapes.withColumns(steps).withColumns({"x": _at(0, F.col("_x0")), "y": _at(0, F.col("_y0"))})
     out = None
     for level in LEVELS:
         here = leaves.filter(F.col("level") == level).drop("level")
