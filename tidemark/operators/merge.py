@@ -186,7 +186,8 @@ def valid_at_events(events: DataFrame, attributes: DataFrame) -> DataFrame:
     probes = rows.withColumn("level", F.explode(levels)).withColumn("_u", _unit(F.col("event_time")))
     probes = probes.withColumn("cell", F.when(F.col("level") < 0, F.col("_u")).otherwise(F.expr("shiftright(_u, greatest(level, 0))"))).drop("_u")
     at = F.col("event_time")
-    live = probes.join(index, ["entity_id", "level", "cell"]).filter((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
+    # Both sides are many times what they are read from, which is what the optimizer judges them by: neither is ever to be broadcast.
+    live = probes.hint("merge").join(index, ["entity_id", "level", "cell"]).filter((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
     return live.groupBy("event_id", "entity_id", "attribute_name").agg(
         F.max_by("attribute_value", F.struct("valid_from", "attribute_id")).alias("attribute_value")
     )
