@@ -1,9 +1,31 @@
 """Work that must not grow faster than the input: what meets in joins, and what is sent to all."""
 
+from pyspark.sql import functions as F
+
 from __spark_entry__ import queries
 from tests.conftest import DATA
+from tidemark.operators import watch
 
 
 def test_values_in_force_are_not_broadcast(spark):
     text = queries()["j9_valid_at_join"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange HashedRelation" not in text
+
+
+def test_grading_meets_each_pair_of_positions_once(spark, monkeypatch):
+    met, plain = [], watch.radius_join
+
+    def join(probe, build, *rest, **more):
+        found = plain(probe, build, *rest, **more)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(watch, "radius_join", join)
+    due = F.lit("2024-01-01").cast("timestamp")
+    asked = spark.range(40).select(F.col("id").cast("string").alias("prediction_id"), (F.col("id") % 2 * 40.0).alias("lat"), F.lit(10.0).alias("lng"), F.when(F.col("id") < 38, "quake").otherwise("cyber").alias("category"), F.lit("pending").alias("status"), due.alias("due_at"))
+    quakes = spark.range(30).select(F.col("id").alias("quake_id"), (F.col("id") % 7).cast("double").alias("magnitude"), F.concat(F.lit("p"), "id").alias("place"), (F.col("id") % 3 * 40.0).alias("lat"), F.lit(11.0).alias("lng"))
+    rows = {r["prediction_id"]: r for r in watch.grade_predictions(asked, quakes, quakes.limit(0), due).collect()}
+    assert len(rows) == 40 and met == [2]
+    assert (rows["0"]["outcome"], rows["0"]["evidence_count"], rows["0"]["place"]) == ("win", 10, "p6")
+    assert (rows["1"]["evidence_count"], rows["1"]["magnitude"], rows["1"]["place"]) == (10, 6.0, "p13")
+    assert rows["38"]["outcome"] == "unresolved" and rows["38"]["evidence_count"] == 0

@@ -169,20 +169,23 @@ def grade_predictions(predictions: DataFrame, quakes: DataFrame, articles: DataF
     seismic = category.contains("earth") | category.contains("seismic") | category.contains("quake") | (category == "natural")
     conflict = category.contains("conflict") | category.contains("political") | category.contains("war")
     due = predictions.filter((F.col("due_at") <= as_of) & (F.col("status") == "pending"))
-    near = radius_join(
-        due.filter(seismic).select("prediction_id", "lat", "lng"),
-        quakes.select(F.col("quake_id"), "magnitude", "place", F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng")),
-        radius_km * 1000, ("lat", "lng"), ("q_lat", "q_lng"), metric="haversine",
-    ).filter(F.col("distance_m") < radius_km * 1000)
-    best = F.max_by(F.struct("magnitude", "place", "distance_m"), F.struct(F.coalesce("magnitude", F.lit(0.0)), (-F.col("quake_id"))))
-    evidence = near.groupBy("prediction_id").agg(F.count(F.lit(1)).alias("evidence_count"), best.alias("b"))
+    # Many predictions and quakes share a position: counts and the best quake are found once for each pair of positions.
+    asked = due.filter(seismic).select(F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng")).distinct()
+    order = F.struct(F.coalesce("magnitude", F.lit(0.0)).alias("m"), (-F.col("quake_id")).alias("first"))
+    spots = quakes.groupBy(F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng")).agg(
+        F.count(F.lit(1)).alias("weight"), F.max(order).alias("order"), F.max_by(F.struct("magnitude", "place"), order).alias("quake")
+    )
+    near = radius_join(asked, spots, radius_km * 1000, ("p_lat", "p_lng"), ("q_lat", "q_lng"), metric="haversine").filter(F.col("distance_m") < radius_km * 1000)
+    best = F.max_by(F.struct("quake.magnitude", "quake.place", "distance_m"), "order")
+    found = near.groupBy("p_lat", "p_lng").agg(F.sum("weight").alias("evidence_count"), best.alias("b"))
     any_article = articles.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
     outcome = (
         F.when(seismic, F.when(F.col("evidence_count") > 0, "win").otherwise("loss"))
         .when(conflict, F.when(any_article, "unresolved").otherwise("loss"))
         .otherwise("unresolved")
     )
-    return due.join(evidence, "prediction_id", "left").select(
+    evidence = due.join(found, seismic & (F.col("lat") == F.col("p_lat")) & (F.col("lng") == F.col("p_lng")), "left")
+    return evidence.select(
         "prediction_id", outcome.alias("outcome"), F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"),
         F.col("b.magnitude").alias("magnitude"), F.round(F.col("b.distance_m") / 1000, 0).alias("distance_km"), F.col("b.place").alias("place"),
     )
