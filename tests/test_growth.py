@@ -1,10 +1,14 @@
 """Work that must not grow faster than the input: what meets in joins, and what is sent to all."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from tests.conftest import DATA
-from tidemark.operators import watch
+from tidemark.functions.text import trigrams
+from tidemark.operators import names, watch
 
 
 def test_values_in_force_are_not_broadcast(spark):
@@ -29,3 +33,29 @@ def test_grading_meets_each_pair_of_positions_once(spark, monkeypatch):
     assert (rows["0"]["outcome"], rows["0"]["evidence_count"], rows["0"]["place"]) == ("win", 10, "p6")
     assert (rows["1"]["evidence_count"], rows["1"]["magnitude"], rows["1"]["place"]) == (10, 6.0, "p13")
     assert rows["38"]["outcome"] == "unresolved" and rows["38"]["evidence_count"] == 0
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.75, 0.9])
+def test_similar_names_equal_all_pairs(spark, threshold):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("ABC1") for _ in range(rnd.randint(1, 9)))
+    pool = [" ".join(word() for _ in range(rnd.randint(1, 6))) for _ in range(60)]
+    # The second half differs from the first by a letter here and there.
+    pool += [n[:k] + rnd.choice("ABC 1") + n[k + 1 :] for n in pool for k in (rnd.randrange(len(n)),)] + ["A", "B", "AB"]
+    rows = spark.createDataFrame([(n,) for n in pool], "name string")
+    grams = {r["name"]: frozenset(r["g"]) for r in rows.distinct().select("name", trigrams(F.col("name")).alias("g")).collect()}
+    want = {(a, b) for a in grams for b in grams if grams[a] and grams[b] and _jaccard(grams[a], grams[b]) >= threshold - 1e-12}
+    assert {(r["left_name"], r["right_name"]) for r in names.similar_names(rows, rows, threshold).collect()} == want
+
+
+def test_names_that_share_words_seldom_meet(spark):
+    rows = spark.range(3000).select(F.concat_ws(" ", F.lit("LARGE RING"), (F.col("id") + 100_000).cast("string")).alias("name")).withColumn("grams", trigrams(F.col("name")))
+    frequency = rows.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
+    index = names._indexed(rows, frequency, 0.9)
+    key = index.columns[-1] if "gram" in index.columns else "key"
+    pairs = index.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0]
+    assert pairs < 3000 * 100
