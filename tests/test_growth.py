@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from tests.conftest import DATA
 from tidemark.functions.text import trigrams
-from tidemark.operators import names, watch
+from tidemark.operators import dedup, names, watch
 
 
 def test_values_in_force_are_not_broadcast(spark):
@@ -59,3 +59,33 @@ def test_names_that_share_words_seldom_meet(spark):
     key = index.columns[-1] if "gram" in index.columns else "key"
     pairs = index.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0]
     assert pairs < 3000 * 100
+
+
+def test_a_window_compares_with_what_is_near(monkeypatch):
+    calls, plain = [], dedup._km
+    monkeypatch.setattr(dedup, "_km", lambda *at: calls.append(1) or plain(*at))
+    rnd = random.Random(3)
+    window = dedup.GreedyWindow(1e9, 0.85, 50)
+    for i in range(2000):
+        window.judge(i, str(i), ["a", "b"], rnd.uniform(-80, 80), rnd.uniform(-180, 180))
+    assert 0 < len(window.rows) <= 2000 and len(calls) < 2000 * 5
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_a_window_equals_a_search_of_all_rows(seed):
+    rnd, nan = random.Random(seed), float("nan")
+    threshold, radius, width = rnd.choice([0.5, 0.85]), rnd.choice([0.1, 50, 5000]), rnd.choice([50, 500])
+    window, held, at = dedup.GreedyWindow(width, threshold, radius), [], 0.0
+    for i in range(600):
+        at += rnd.random() * 2
+        toks = frozenset(t for t in "abcdefg" if rnd.random() < 0.6)
+        lat, lng = (nan, nan) if rnd.random() < 0.1 else (rnd.choice([rnd.gauss(0, 1), 89.9, -90]), rnd.choice([180, -180, 179.99, rnd.gauss(0, 1)]))
+        want = (None, None)
+        for t, other, theirs, o_lat, o_lng in reversed(held):
+            s = dedup._jaccard(toks, theirs)
+            if t >= at - width and s >= threshold and (lat != lat or o_lat != o_lat or dedup._km(lat, lng, o_lat, o_lng) <= radius):
+                want = (other, s)
+                break
+        if want == (None, None):
+            held.append((at, str(i), toks, lat, lng))
+        assert window.judge(at, str(i), toks, lat, lng) == want

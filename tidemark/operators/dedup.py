@@ -17,6 +17,7 @@ after two or three, since walks from different pasts soon accept the same rows.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
@@ -76,36 +77,118 @@ def chains(events: DataFrame, window_minutes: float, threshold: float) -> DataFr
 
 
 class GreedyWindow:
-    """Accepted rows of the current window; decides one row at a time."""
+    """Accepted rows of the current window; decides one row at a time.
+
+    Rows are kept by token set and, under it, by cell of a grid as wide as the radius. A row is
+    compared with the similar sets, found once a set on the tokens of their prefixes, and with the
+    rows in the cells that its circle touches; there are few, as accepted rows of one set lie apart.
+    """
 
     def __init__(self, window_s: float, threshold: float, radius_km: float) -> None:
         self.window_s, self.threshold, self.radius_km = window_s, threshold, radius_km
-        self.rows: list[tuple[float, str, frozenset, float, float]] = []
+        self.delta = min(180.0, radius_km / 111.0)  # degrees, a little wide
+        self.size = min(30.0, max(self.delta, 1e-3))
+        self.queue: deque[tuple] = deque()  # (at, event_id, set, lat, lng, place), as accepted
+        self.at_place: dict[tuple, deque] = {}  # (set, cell) -> (number, at, event_id, lat, lng)
+        self.of_set: dict[frozenset, deque] = {}  # all of a set's, in the same form
+        self.by_token: dict[str, set] = {}
+        self.similar: dict[frozenset, list] = {}  # what is known of the sets asked for since the accepted ones changed
+        self.number = 0
+
+    @property
+    def rows(self) -> list[tuple[float, str, frozenset, float, float]]:
+        return [r[:5] for r in self.queue]
+
+    @rows.setter
+    def rows(self, rows) -> None:
+        self.__init__(self.window_s, self.threshold, self.radius_km)
+        for r in rows:
+            self._add(*r)
+
+    def _columns(self, row: int) -> int:
+        south = row * self.size - 90
+        nearest = 0.0 if south < 0 < south + self.size else min(abs(south), abs(south + self.size), 90.0)
+        return max(1, int(360 * math.cos(math.radians(nearest)) // self.size))
+
+    def _cell(self, lat: float, lng: float) -> tuple[int, int]:
+        row = math.floor((lat + 90) / self.size)
+        n = self._columns(row)
+        return row, math.floor((lng + 180) / 360 * n) % n
+
+    def _cells(self, lat: float, lng: float) -> Iterator[tuple[int, int]]:
+        sin_half = math.sin(math.radians(min(self.delta, 90.0))) / max(math.cos(math.radians(lat)), 1e-9)
+        half = 180.0 if abs(lat) + self.delta >= 89.9 or sin_half >= 1 else math.degrees(math.asin(sin_half))
+        for row in range(math.floor((lat - self.delta + 90) / self.size), math.floor((lat + self.delta + 90) / self.size) + 1):
+            n = self._columns(row)
+            west, east = (math.floor((lng + side * half + 180) / 360 * n) for side in (-1, 1))
+            for column in range(west, min(east, west + n - 1) + 1):
+                yield row, column % n
+
+    def _prefix(self, toks: frozenset) -> list[str]:
+        return sorted(toks)[: len(toks) - math.ceil(len(toks) * self.threshold - 1e-9) + 1] or [""]
+
+    def _add(self, at: float, event_id: str, toks: frozenset, lat: float, lng: float) -> None:
+        place = (toks, self._cell(lat, lng) if lat == lat and lng == lng else None)
+        self.number += 1
+        row = (self.number, at, event_id, lat, lng)
+        if toks not in self.of_set:
+            self.of_set[toks] = deque()
+            for t in self._prefix(toks):
+                self.by_token.setdefault(t, set()).add(toks)
+            self.similar = {}
+        self.of_set[toks].append(row)
+        self.at_place.setdefault(place, deque()).append(row)
+        self.queue.append((at, event_id, toks, lat, lng, place))
+
+    def _expire(self, start: float) -> None:
+        while self.queue and self.queue[0][0] < start:
+            place = self.queue.popleft()[5]
+            toks = place[0]
+            for table, key in ((self.at_place, place), (self.of_set, toks)):
+                table[key].popleft()
+                if not table[key]:
+                    del table[key]
+            if toks not in self.of_set:
+                for t in self._prefix(toks):
+                    self.by_token[t].discard(toks)
+                    if not self.by_token[t]:
+                        del self.by_token[t]
+                self.similar = {}
+
+    def _sets(self, mine: frozenset) -> list[tuple[frozenset, float]]:
+        """The sets of accepted rows that are similar to one."""
+        if mine not in self.similar:
+            met = set().union(*(self.by_token.get(t, ()) for t in self._prefix(mine)))
+            least, most = len(mine) * self.threshold, len(mine) / self.threshold
+            found = [(other, _jaccard(mine, other)) for other in met if least <= len(other) <= most]
+            self.similar[mine] = [(other, s) for other, s in found if s >= self.threshold]
+        return self.similar[mine]
 
     def judge(self, at: float, event_id: str, toks, lat: float, lng: float) -> tuple[str | None, float | None]:
-        """(accepted row it duplicates, similarity), or (None, None) after accepting the row."""
+        """(accepted row it duplicates, similarity), or (None, None) after accepting the row; of several the one accepted last."""
         start = at - self.window_s
-        if self.rows and self.rows[0][0] < start:
-            self.rows = [r for r in self.rows if r[0] >= start]
+        self._expire(start)
         mine = frozenset(toks)
-        least, most = len(mine) * self.threshold, len(mine) / self.threshold
         placed = lat == lat and lng == lng
-        for _, other, theirs, o_lat, o_lng in reversed(self.rows):
-            # Sizes too far apart cannot reach the threshold; most rows end here or at the sets.
-            if not least <= len(theirs) <= most:
-                continue
-            similarity = _jaccard(mine, theirs)
-            if similarity < self.threshold:
-                continue
-            if placed and o_lat == o_lat and o_lng == o_lng and _km(lat, lng, o_lat, o_lng) > self.radius_km:
-                continue
-            return other, similarity
-        self.rows.append((at, event_id, mine, lat, lng))
+        best = None
+        cells = [None, *self._cells(lat, lng)] if placed else []
+        for other, similarity in self._sets(mine):
+            for rows in (self.at_place.get((other, cell), ()) for cell in cells) if placed else (self.of_set[other],):
+                for row in reversed(rows):
+                    if best is not None and row[0] < best[0]:
+                        break
+                    near = not placed or row[3] != row[3] or row[4] != row[4] or _km(lat, lng, row[3], row[4]) <= self.radius_km
+                    if row[1] >= start and near:
+                        best = (row[0], row[2], similarity)
+                        break
+        if best is not None:
+            return best[1:]
+        self._add(at, event_id, mine, lat, lng)
         return None, None
 
     def admit(self, at: float, event_id: str, toks, lat: float, lng: float) -> None:
         """Take a row that was accepted before."""
-        self.rows.append((at, event_id, frozenset(toks), lat, lng))
+        self._add(at, event_id, frozenset(toks), lat, lng)
 
 
 def _jaccard(a: frozenset, b: frozenset) -> float:
