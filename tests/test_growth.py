@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from tests.conftest import DATA
+from tidemark.functions.geo import within_m
 from tidemark.functions.text import trigrams
-from tidemark.operators import dedup, names, watch
+from tidemark.operators import dedup, names, spatial, watch
+from tidemark.operators.detectors import encounters
 
 
 def test_values_in_force_are_not_broadcast(spark):
@@ -89,3 +91,26 @@ def test_a_window_equals_a_search_of_all_rows(seed):
         if want == (None, None):
             held.append((at, str(i), toks, lat, lng))
         assert window.judge(at, str(i), toks, lat, lng) == want
+
+
+def test_tracks_meet_by_place_and_time(spark, monkeypatch):
+    """Equal to all pairs of pings; and no pair of pings at other times is formed, as candidates by place alone would be."""
+    rnd = random.Random(3)
+    pings = [(str(rnd.randrange(12)), rnd.randrange(40_000), rnd.choice([10.0, 179.999, 89.999]), rnd.choice([179.999, -179.999, 20.0]), rnd.uniform(-0.012, 0.012)) for _ in range(700)]
+    pings = [(i, s, min(90.0, lat + d), lng + d / 2) for i, s, lat, lng, d in pings if lat < 91] + [("0", 5, None, 1.0), ("1", 5, 1.0, None)]
+    track = spark.createDataFrame(pings, "entity_id string, s long, lat double, lng double").select("entity_id", F.timestamp_seconds("s").alias("time"), "lat", "lng")
+    a, b = (track.select(*[F.col(c).alias(side + c) for c in track.columns]) for side in ("a_", "b_"))
+    near = (F.abs(F.unix_seconds("a_time") - F.unix_seconds("b_time")) <= 60) & within_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"), 1000)
+    span = (F.unix_seconds(F.max("a_time")) - F.unix_seconds(F.min("a_time"))) / 60
+    want = a.join(b, (F.col("a_entity_id") < F.col("b_entity_id")) & near).groupBy("a_entity_id", "b_entity_id").agg(F.count(F.lit(1)).alias("n"), span.alias("m")).filter("n >= 2 and m >= 20")
+    want = {(r[0], r[1], r[2], round(r[3], 6)) for r in want.collect()}
+    start = F.lit(0).cast("timestamp")
+    for frame, hot in ((256, 20_000), (2, 5)):
+        monkeypatch.setattr(encounters, "FRAME", frame)
+        monkeypatch.setattr(encounters, "salted", lambda x, y, by, hot=hot: spatial.salted(x, y, by, hot))
+        assert {(r[0], r[1], r[2], round(r[3], 6)) for r in encounters.sustained_pairs(track, start, 1000).collect()} == want
+    assert len(want) > 5
+    few = {r[:2] for r in encounters.sustained_pairs(track, start, 1000, track.filter("entity_id < '4'").select("entity_id")).select("a_entity_id", "b_entity_id").collect()}
+    assert few == {w[:2] for w in want if w[0] < "4" and w[1] < "4"}
+    monkeypatch.setattr(spatial, "self_pairs", lambda *rest, **more: pytest.fail("pings of all times meet"))
+    queries()["j12_sustained_pairs"](spark, DATA)

@@ -9,7 +9,7 @@ from tidemark.operators.bounds import since
 from tidemark.operators.detectors.base import (
     finding, hours, metres, minutes, not_found_before, pair_key, text_of,
 )
-from tidemark.operators.detectors.encounters import slow_movers, sustained_pairs
+from tidemark.operators.detectors.encounters import entities_of, slow_movers, sustained_pairs
 from tidemark.operators.detectors.movement import dark_candidates
 from tidemark.operators.latest import latest_by
 from tidemark.operators.lineage import durable
@@ -185,7 +185,7 @@ def listed_rendezvous(
         marked, "entity_id", radius_m, condition=F.col("a_listed_id").isNotNull() | F.col("b_listed_id").isNotNull()
     )
     if sustained:
-        kept = sustained_pairs(pairs, track, as_of - minutes(90), radius_m)
+        kept = sustained_pairs(track, as_of - minutes(90), radius_m, entities_of(pairs))
         pairs = pairs.join(kept, ["a_entity_id", "b_entity_id"], "left_semi")
     a, b = F.col("a_listed_id").isNotNull(), F.col("b_listed_id").isNotNull()
     d = F.col("distance_m")
