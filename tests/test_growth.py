@@ -9,7 +9,7 @@ from __spark_entry__ import queries
 from tests.conftest import DATA
 from tidemark.functions.geo import within_m
 from tidemark.functions.text import trigrams
-from tidemark.operators import dedup, names, spatial, watch
+from tidemark.operators import dedup, names, serving, spatial, watch
 from tidemark.operators.detectors import encounters
 
 
@@ -114,3 +114,14 @@ def test_tracks_meet_by_place_and_time(spark, monkeypatch):
     assert few == {w[:2] for w in want if w[0] < "4" and w[1] < "4"}
     monkeypatch.setattr(spatial, "self_pairs", lambda *rest, **more: pytest.fail("pings of all times meet"))
     queries()["j12_sustained_pairs"](spark, DATA)
+
+
+@pytest.mark.parametrize("text", ["red plate", "Red", "a b1", "rød plate", "--"])
+def test_search_makes_grams_of_few_names(spark, monkeypatch, text):
+    rnd = random.Random(8)
+    pool = [" ".join(rnd.choice(["RED", "plate", "plat", "A", "b1", "Größe", "İst", "late", "redplate", "x"]) for _ in range(rnd.randint(1, 4))) for _ in range(200)] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(pool)), "listed_id long, listed_name string").withColumn("listed_imo", F.lit(None).cast("string"))
+    found = lambda: {(r["listed_id"], r["match_kind"], r["similarity"]) for r in serving.search_listed(rows, text, 1000).collect()}
+    got, refused = found(), rows.filter(~serving._may_reach(F.col("listed_name"), text, 0.4)).count()
+    monkeypatch.setattr(serving, "_may_reach", lambda *rest: F.lit(True))
+    assert got == found() and (refused > 50 or text in ("a b1", "rød plate", "--"))

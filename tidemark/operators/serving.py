@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,14 +127,28 @@ def signals_today(events: DataFrame, categories: DataFrame, as_of: Column, windo
     return top_per_group(rows, ["event_type"], [F.desc("event_time"), F.asc("id")], per_category).join(counts, "event_type")
 
 
+def _may_reach(name: Column, text: str, floor: float) -> Column:
+    """False only where the similarity is below the floor: too few letters of the text's grams occur in the name.
+
+    Plain byte searches, so that grams are made of few names; a text beyond ASCII refuses none.
+    """
+    grams = {f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", text.lower()) for i in range(len(w) + 1)}
+    if not text.isascii() or not grams:
+        return F.lit(True)
+    low = F.lower(F.upper(name))
+    shared = sum((F.contains(low, F.lit(g.strip())).cast("int") for g in sorted(grams)), F.lit(0))
+    return F.coalesce(shared >= math.ceil(floor * len(grams) - 1e-9), F.lit(False))
+
+
 def search_listed(listed: DataFrame, query: str, limit: int = 50, floor: float = 0.4) -> DataFrame:
     """Listed entries by IMO, similar name or part of the name, best first."""
     text = query.strip()
     imo = F.lit(text) if text.isdigit() and len(text) >= 6 else F.lit(None).cast("string")
     name = F.col("listed_name")
-    similarity = F.when(name.isNotNull(), trigram_similarity(F.upper(name), F.lit(text.upper()))).otherwise(0.0)
     same_imo = F.coalesce(F.col("listed_imo") == imo, F.lit(False))
     within = F.coalesce(F.contains(F.lower(name), F.lit(text.lower())), F.lit(False))
+    may_hit = same_imo | within | _may_reach(name, text, floor)
+    similarity = F.when(name.isNotNull() & may_hit, trigram_similarity(F.upper(name), F.lit(text.upper()))).otherwise(0.0)
     rows = listed.withColumn("similarity", similarity)
     fuzzy = F.col("similarity") >= floor
     kind = F.when(same_imo, "imo_match").when(fuzzy, "name_fuzzy").when(within, "name_substring")
