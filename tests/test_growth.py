@@ -11,6 +11,7 @@ from tidemark.functions.geo import within_m
 from tidemark.functions.text import trigrams
 from tidemark.operators import dedup, names, serving, spatial, watch
 from tidemark.operators.detectors import encounters
+from tidemark.streaming import flows
 
 
 def test_values_in_force_are_not_broadcast(spark):
@@ -125,3 +126,17 @@ def test_search_makes_grams_of_few_names(spark, monkeypatch, text):
     got, refused = found(), rows.filter(~serving._may_reach(F.col("listed_name"), text, 0.4)).count()
     monkeypatch.setattr(serving, "_may_reach", lambda *rest: F.lit(True))
     assert got == found() and (refused > 50 or text in ("a b1", "rød plate", "--"))
+
+
+def test_watch_stream_keeps_events_and_not_matches(spark, tmp_path):
+    lists = [(w, [], 10.0, 20.0 + k, 300.0, 0, True) for w in range(50) for k in range(1 + w % 2)]
+    watchlists = spark.createDataFrame(lists, "watch_id long, layers array<string>, center_lat double, center_lng double, radius_km double, min_severity int, enabled boolean")
+    schema = "event_id long, event_time timestamp, layer string, lat double, lng double, severity int"
+    events = spark.range(20).selectExpr("id % 10 AS event_id", "timestamp'2024-01-01' AS event_time", "'news' AS layer", "10.0D AS lat", "20.0D + 4 * (id % 10 % 2) AS lng", "3 AS severity")
+    events.union(events).repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = flows.watch_stream(stream, watchlists).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.select("watch_id", "match_id").distinct().count() == 50 * 5
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) == 10

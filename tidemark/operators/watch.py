@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import EARTH_KM, haversine_km, in_bbox
@@ -92,18 +92,26 @@ def watch_matches(events: DataFrame, watchlists: DataFrame, most: int = leaves.M
     On tables circles are cut into leaves that follow the density of events; a stream, whose
     events are not known beforehand, joins on fixed cells.
     """
-    distance = haversine_km(F.col("center_lat"), F.col("center_lng"), F.col("lat"), F.col("lng"), EARTH_KM)
-    any_layer = F.coalesce(F.size("layers"), F.lit(0)) == 0
-    hit = (any_layer | F.arrays_overlap("layers", "event_layers")) & (
-        F.coalesce(F.col("severity"), F.lit(0)) >= F.col("min_severity")
+    any_layer = lambda layers: F.coalesce(F.size(layers), F.lit(0)) == 0
+    distance = lambda w: haversine_km(w("center_lat"), w("center_lng"), F.col("lat"), F.col("lng"), EARTH_KM)
+    hit = lambda w: (
+        (any_layer(w("layers")) | F.arrays_overlap(w("layers"), F.col("event_layers"))) & (F.coalesce(F.col("severity"), F.lit(0)) >= w("min_severity"))
+        & (distance(w) <= w("radius_km"))
     )
     rows = events.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    lists = watchlists.filter("enabled")
     if events.isStreaming:
-        lists = explode_cells(watchlists.filter("enabled"), ("center_lat", "center_lng"), F.col("radius_km") * 1000, WATCH_CELL_DEG)
-        met = rows.withColumn("_cell", cell_of(F.col("lat"), F.col("lng"), WATCH_CELL_DEG)).join(lists, "_cell").drop("_cell")
+        # The circles of a list in one row for each: those before it go along, so that none repeats a match.
+        circle = F.struct("layers", "center_lat", "center_lng", "radius_km", "min_severity")
+        listed = Window.partitionBy("watch_id").orderBy("center_lat", "center_lng", "radius_km", "min_severity", "layers").rowsBetween(Window.unboundedPreceding, -1)
+        lists = lists.withColumn("_before", F.collect_list(circle).over(listed))
+        cells = explode_cells(lists, ("center_lat", "center_lng"), F.col("radius_km") * 1000, WATCH_CELL_DEG)
+        met = rows.withColumn("_cell", cell_of(F.col("lat"), F.col("lng"), WATCH_CELL_DEG)).join(cells, "_cell").drop("_cell")
+        repeats = (F.size("_before") > 0) & F.exists("_before", lambda w: F.coalesce(hit(lambda name: w[name]), F.lit(False)))
+        met = met.filter(hit(F.col)).filter(~repeats).drop("_before")
     else:
-        met = _leaf_join(rows, watchlists.filter("enabled"), leaves.circle_box(F.col("center_lat"), F.col("center_lng"), F.col("radius_km")), most)
-    return met.filter(hit).filter(distance <= F.col("radius_km")).withColumn("distance_km", round_even(distance, 1))
+        met = _leaf_join(rows, lists, leaves.circle_box(F.col("center_lat"), F.col("center_lng"), F.col("radius_km")), most).filter(hit(F.col))
+    return met.withColumn("distance_km", round_even(distance(F.col), 1))
 
 
 def watch_sources(events: DataFrame, anomalies: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:

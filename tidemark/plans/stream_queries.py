@@ -117,7 +117,7 @@ def t6(t: Tables) -> DataFrame:
 @query("t7_watch_stream", ("geo",), "SELECT CAST(watch_id AS VARCHAR) AS watch_id, match_id FROM hit WHERE km <= radius", _WATCH)
 def t7(t: Tables) -> DataFrame:
     rows = landed(t, t.geo.select("event_id", "event_time", "layer", "lat", "lng", "severity"))
-    return flows.drain(flows.watch_stream(rows, watchlists(t), late="60 days")).select("watch_id", "match_id")
+    return flows.drain(flows.watch_stream(rows, watchlists(t), late="60 days").select("watch_id", "match_id"))
 
 
 @query("t8_silence_stream", ("track",), """

@@ -175,12 +175,16 @@ def alert_tail(events: DataFrame, types: list[str], box: tuple[float, float, flo
 
 
 def watch_stream(events: DataFrame, watchlists: DataFrame, late: str = "1 day") -> DataFrame:
-    """Stream of (list, event) matches, each once while the watermark remembers it."""
+    """Stream of (list, event) matches: each once while the watermark remembers the event.
+
+    Repeats are dropped before lists are met, so the state follows the events and not their
+    matches, of which an event has many. A report that comes again with another place or severity
+    is one of its own. A list of several circles gives a match by the first that holds the event.
+    """
     rows = events.withWatermark("event_time", late).withColumns(
         {"event_layers": F.array("layer"), "match_id": F.concat_ws(":", "layer", F.col("event_id").cast("string"))}
-    )
-    hits = watch_matches(rows, watchlists)
-    return hits.select("watch_id", "match_id", "event_time", "severity", "distance_km").dropDuplicatesWithinWatermark(["watch_id", "match_id"])
+    ).dropDuplicatesWithinWatermark(["match_id", "lat", "lng", "severity"])
+    return watch_matches(rows, watchlists).select("watch_id", "match_id", "event_time", "severity", "distance_km")
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
