@@ -104,6 +104,23 @@ def test_chat(spark):
     assert chat.linked(df.limit(0), schemas).count() == 0
 
 
+def test_chat_checks_calls_by_declared_tools(spark):
+    import json
+
+    call = lambda i, name, arguments: {"id": i, "type": "function", "function": {"name": name, "arguments": json.dumps(arguments)}}
+    add = {"name": "add", "parameters": {"type": "object", "properties": {"x": {"type": "integer"}, "y": {"type": "number"}}, "required": ["x"]}}
+    tools = json.dumps({"tools": [{"type": "function", "function": add}, {"name": "now"}]})
+    asked = lambda: json.dumps({"tool_calls": [call("a", "add", {"x": 1}), call("b", "add", {"y": 1}), call("c", "add", {"x": "1"}), call("d", "now", {}), call("e", "now", {"x": 1}), call("f", "other", {})]})
+    other = json.dumps({"tools": [{"name": "add", "parameters": {"properties": {"x": {"type": "string"}}}}, {"name": "add", "parameters": {"properties": {"x": {"type": "integer"}}}}]})
+    rows = [(1, 0, "system", tools), (1, 1, "assistant", asked()), (2, 0, "user", tools), (2, 1, "assistant", asked()), (None, 0, "system", other), (None, 1, "assistant", asked()), (3, 0, "system", "{"), (3, 1, "assistant", asked())]
+    got = chat.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).filter("kind = 'call'").collect()
+    valid = lambda conv: {r.call_id: r.valid for r in got if r.conv_id == conv}
+    assert valid(1) == {"a": True, "b": False, "c": False, "d": True, "e": False, "f": False}
+    assert valid(2) == valid(3) == dict.fromkeys("abcdef")
+    assert valid(None) == {"a": True, "b": False, "c": True, "d": False, "e": False, "f": False}
+    assert {json.loads(r.json)["name"] for r in got} == {"add", "now", "other"}
+
+
 # mixing
 
 

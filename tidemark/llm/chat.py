@@ -5,8 +5,11 @@ Messages are rows (conv_id, turn, role, text). An assistant text may be a JSON o
 `tool_call_id` and `content`. Calls and results meet in an equi-join on (conversation,
 identifier, occurrence), the n-th result of an identifier with its n-th call. A call comes
 after the calls it names in `after`: its level is one more than theirs, found in rounds of
-joins, one per level, and none if no call names another. Arguments are checked against
-(tool, parameter, type, required) rows. JSON is canonical: keys in order, no blanks.
+joins, one per level, and none if no call names another. Name and arguments may also stand in
+`function`. Arguments are checked against (tool, parameter, type, required) rows; the query takes
+those that a conversation declares: a system text may be a JSON object with `tools`, a list of
+{name, parameters} or {function: {name, parameters}}, `parameters` being a JSON schema.
+JSON is canonical: keys in order, no blanks.
 
 The result has one row per event (message, call, result), with the columns to sort by; no
 conversation is ever gathered, so one with a third of all turns is no different from others.
@@ -17,7 +20,8 @@ Cases: null conv_id, turn, role or text stay null (a null text is written as nul
 that are not such JSON are plain messages; a call without identifier or result and a result
 without call are kept with that status; a call in a cycle, or after an unknown one, gets
 level null and sorts last in its turn; unknown tools and arguments that are no object are
-invalid; repeated rows give repeated events; an empty table gives no row; other columns are
+invalid; calls of a conversation that declares no tools are neither valid nor invalid (null); a
+parameter declared with several types may have any; repeated rows give repeated events; an empty table gives no row; other columns are
 not read.
 """
 
@@ -28,7 +32,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.lineage import durable
 
-CALLS = "content string, tool_calls array<struct<id string, name string, arguments string, after array<string>>>"
+CALLS = "content string, tool_calls array<struct<id string, name string, arguments string, after array<string>, function struct<name string, arguments string>>>"
+DECLARED = "tools array<struct<name string, parameters string, function struct<name string, parameters string>>>"
+PARAMETERS = "properties map<string, struct<type string>>, required array<string>"
 RESULT = "tool_call_id string, content string"
 #: Types of schema rows, and the beginning of the type names that fit them.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DECIMAL|DOUBLE|FLOAT", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
@@ -77,20 +83,45 @@ def levels(calls: DataFrame) -> DataFrame:
     return waiting.join(done, ["conv_id", "call_id"], "left")
 
 
+def declared(messages: DataFrame) -> DataFrame:
+    """(conv_id, tool, parameter, type, required) of the tools in system texts; a tool without parameters has one row, its parameter null."""
+    system = messages.filter((F.col("role") == "system") & F.col("text").rlike(r"^\s*\{")).select("conv_id", F.from_json("text", DECLARED).alias("d"))
+    tools = system.select("conv_id", F.explode("d.tools").alias("t")).select(
+        "conv_id", F.coalesce("t.name", "t.function.name").alias("tool"), F.from_json(F.coalesce("t.parameters", "t.function.parameters"), PARAMETERS).alias("p")
+    ).filter("tool is not null")
+    needed = F.coalesce("p.required", F.array().cast("array<string>"))
+    named = F.array_union(F.coalesce(F.map_keys("p.properties"), F.array().cast("array<string>")), needed)
+    each = tools.withColumns({"needed": needed, "parameter": F.explode_outer(named)})
+    return each.select("conv_id", "tool", "parameter", F.try_element_at("p.properties", F.col("parameter"))["type"].alias("type"), F.array_contains("needed", F.col("parameter")).alias("required"))
+
+
 def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """`calls` with `valid`: the tool is known, required parameters are there, all given ones are known and of their type."""
+    """`calls` with `valid`: the tool is known, required parameters are there, all given ones are known and of their type.
+
+    With `conv_id` among the schemas' columns they hold for their conversation, and a conversation without any has null.
+    """
+    own = "conv_id" in schemas.columns
     fits = F.element_at(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv]), F.col("type"))
-    rules = schemas.filter("tool is not null and parameter is not null").select("tool", "parameter", fits.alias("fits"), F.coalesce("required", F.lit(False)).alias("required"))
-    tools = rules.groupBy("tool").agg(
-        F.map_from_entries(F.array_distinct(F.collect_list(F.struct("parameter", F.coalesce("fits", F.lit(".*")))))).alias("known"),
+    keys = [F.col("conv_id").alias("_conv")] * own + [F.col("tool")]
+    rules = schemas.filter("tool is not null").groupBy(*keys, "parameter").agg(
+        F.array_join(F.array_sort(F.collect_set(F.coalesce(fits, F.lit(".*")))), "|").alias("fits"), F.bool_or(F.coalesce("required", F.lit(False))).alias("required")
+    )
+    tools = rules.groupBy(*["_conv"] * own, "tool").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("parameter").isNotNull(), F.struct("parameter", "fits")))).alias("known"),
         F.collect_set(F.when(F.col("required"), F.col("parameter"))).alias("needed"),
     )
     object_only = F.when(F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT"), F.col("arguments"))
     given = calls.withColumn("given", F.from_json(object_only, "map<string,variant>"))
-    joined = given.join(tools, F.col("name") == F.col("tool"), "left")
+    same = F.col("name") == F.col("tool")
+    joined = given.join(tools, same & F.col("conv_id").eqNullSafe(F.col("_conv")) if own else same, "left")
     each = F.forall(F.map_entries("given"), lambda e: F.coalesce(F.regexp_like(F.schema_of_variant(e["value"]), F.concat(F.lit("^("), F.element_at("known", e["key"]), F.lit(")"))), F.lit(False)))
     whole = F.forall("needed", lambda p: F.map_contains_key("given", p))
-    return joined.withColumn("valid", F.coalesce(each & whole, F.lit(False))).drop("given", "tool", "known", "needed")
+    found = joined.withColumn("valid", F.coalesce(each & whole, F.lit(False))).drop("given", "tool", "known", "needed", "_conv")
+    if not own:
+        return found
+    asked = schemas.select(F.col("conv_id").alias("_conv")).distinct().withColumn("_asked", F.lit(True))
+    found = found.join(asked, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return found.withColumn("valid", F.when(F.col("_asked"), F.col("valid"))).drop("_conv", "_asked")
 
 
 def linked(messages: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -103,7 +134,7 @@ def linked(messages: DataFrame, schemas: DataFrame) -> DataFrame:
         "conv_id", "turn", F.lit(0).alias("level"), F.lit(-1).alias("step"), F.lit("message").alias("kind"), none("string").alias("call_id"),
         F.lit("message").alias("status"), none("boolean").alias("valid"), _json(content=content, role=F.col("role")).alias("json"),
     )
-    called = durable(rows.filter("is_call").select("conv_id", "turn", F.posexplode("said.tool_calls").alias("k", "c")).select("conv_id", "turn", "k", F.col("c.id").alias("call_id"), "c.name", "c.arguments", F.coalesce("c.after", F.array().cast("array<string>")).alias("after")))
+    called = durable(rows.filter("is_call").select("conv_id", "turn", F.posexplode("said.tool_calls").alias("k", "c")).select("conv_id", "turn", "k", F.col("c.id").alias("call_id"), F.coalesce("c.name", "c.function.name").alias("name"), F.coalesce("c.arguments", "c.function.arguments").alias("arguments"), F.coalesce("c.after", F.array().cast("array<string>")).alias("after")))
     nth = Window.partitionBy("conv_id", "call_id").orderBy("turn", "k")
     calls = checked(called, schemas).withColumn("nth", F.row_number().over(nth))
     level = levels(called).withColumnsRenamed({"conv_id": "_conv", "call_id": "_call", "level": "_level"})
@@ -130,9 +161,8 @@ def linked(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def chat_format(conversations: DataFrame) -> DataFrame:
-    """Events of the conversations; without tools declared, as here, any call would be invalid."""
-    none = conversations.sparkSession.createDataFrame([], "tool string, parameter string, type string, required boolean")
-    return linked(conversations, none)
+    """Events of the conversations, their calls checked against the tools that their system texts declare."""
+    return linked(conversations, declared(conversations))
 
 
 #: For tables whose texts hold no tool call or result, as the given ones: every row is a message.
