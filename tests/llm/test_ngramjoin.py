@@ -90,6 +90,28 @@ def test_one_hot_group(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_pivots_are_hubs(spark, monkeypatch):
+    """Versions that are linked by way of the original alone: pivots find it, so hardly any pair is left to compare."""
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        text = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 3, 4, 4])):
+            text[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(text)))
+    left, candidates = [], N._candidates
+
+    def counted(*args):
+        found = candidates(*args)
+        left.append(found.count())
+        return found
+
+    monkeypatch.setattr(N, "_candidates", counted)
+    assert run(spark, rows) == brute(rows)
+    assert sum(left) < len(rows) // 10
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     for n in (3, 10, 40, 900, 5000):

@@ -18,11 +18,14 @@ of elements in which the sets differ. Sketches serve twice:
   differ too much. What is left is verified on the sets themselves.
 
 Equal sets are one node from the start. A bucket has a pivot, and each set is first compared
-with one of the pivots it meets, three times over with other pivots; linked ones are joined to
-components each time, and only buckets whose members are still in different ones go on. In what
+with one of the pivots it meets, twice over with other pivots; linked ones are joined to
+components each time, and only buckets whose members are still in different ones go on. The
+first pivot is the member that meets most sets over all its buckets: of the versions of a text the
+one that was changed least, near which nearly all others lie that are linked at all. In what
 remains, members outside a bucket's largest component meet the members of other components, each
 pair tested on its sketches inside the join. Of the pairs that pass, each such member's nearest is
-verified first, then its nearest few, then all that are still in different components. So
+verified first, then its nearest few, then all that are still in different components; few pairs
+are verified at once. So
 copies are never expanded to pairs, and no link is lost.
 Sets are recomputed from the texts for the members of pairs alone, by a sieve of fixed size.
 
@@ -51,8 +54,9 @@ SIZE = 3
 PERCENT = 90
 WORDS = 16  # 64-bit words of the sketch that all pairs are tested on
 THIN = 4  # elements of a block below which its key takes in half of the next
-PIVOTS = 3
+PIVOTS = 2
 NEAREST = (1, 8, None)  # candidates of a set that are verified at a time; None: all that are left
+FEW = 1 << 13  # candidates that are verified at once in any case
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -214,8 +218,9 @@ def set_classes(nodes: DataFrame, rows: DataFrame, size: int, percent: int) -> D
     """(set_id, component) of the distinct sets that are linked to another."""
     check = _Verifier(nodes, rows, size, percent)
     bucket = nodes.select("set_id", F.explode("keys").alias("key"))
-    shared = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
-    bucket = durable(bucket.join(shared, "key")).withColumn("component", F.col("set_id"))
+    shared = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = F.sum("members").over(Window.partitionBy("set_id"))
+    bucket = durable(bucket.join(shared, "key").select("key", "set_id", met.alias("met"))).withColumn("component", F.col("set_id"))
     links = group = None
 
     def joined(found: DataFrame) -> DataFrame:
@@ -240,12 +245,15 @@ def set_classes(nodes: DataFrame, rows: DataFrame, size: int, percent: int) -> D
         apart = F.coalesce("of_x", "x") != F.coalesce("of_y", "y")
         left = durable(left.join(of("x"), "x", "left").join(of("y"), "y", "left").filter(apart).select("x", "y", "apart"))
         best = Window.partitionBy("x").orderBy("apart", "y")
+        if most is not None and left.count() <= FEW:
+            most = None
         picked = left if most is None else durable(left.withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= most).drop("_nth"))
         found = check.linked(picked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if not found.isEmpty():
             joined(found)
-        if most is not None:
-            left = left.join(picked, ["x", "y"], "left_anti")
+        if most is None:
+            break
+        left = left.join(picked, ["x", "y"], "left_anti")
     return group
 
 
@@ -259,7 +267,8 @@ def _still_mixed(bucket: DataFrame, group: DataFrame) -> DataFrame:
 def _with_pivots(bucket: DataFrame, turn: int) -> DataFrame:
     """(a, b): each set with one pivot of another component."""
     order = F.xxhash64("set_id", F.lit(turn))
-    pivot = bucket.groupBy("key").agg(F.min_by("set_id", order).alias("pivot"), F.min_by("component", order).alias("own"))
+    order = order if turn else F.struct(F.col("met"), order)
+    pivot = bucket.groupBy("key").agg(F.max_by("set_id", order).alias("pivot"), F.max_by("component", order).alias("own"))
     met = bucket.join(pivot, "key").filter("own <> component").groupBy("set_id", "pivot").agg(F.count(F.lit(1)).alias("k"))
     # Of the pivots that a member meets, the one met in most buckets is the likeliest to be linked.
     rank = F.shiftleft("k", 32) + F.xxhash64("pivot").bitwiseAND(F.lit(0xFFFFFFFF))
