@@ -203,6 +203,45 @@ def test_changes_in_order_of_event_time(spark, tmp_path):
     assert got == want
 
 
+def replayed(spark, folder, batches, schema):
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_ids_share_a_state(spark, tmp_path, buckets):
+    """Changes and silences of many ids in few states equal those of one id after the other, over several batches."""
+    import random
+
+    rng = random.Random(buckets)
+    pings = sorted(((rng.randrange(60 * 24 * 8), rng.choice([None, *"abcdefghij"]), k) for k in range(160)), key=lambda p: (p[0], p[2]))
+    at = lambda minute: NOW + timedelta(minutes=minute)
+    close = 60 * 24 * 30
+    batches = lambda make, last: [*([make(*p) for p in pings[k : k + 40]] for k in (0, 40, 80, 120)), [last]]
+
+    row = lambda minute, i, k: (i, at(minute), k, 1.0 * (k % 2), 2.0, k % 2, "state", None)
+    stream = replayed(spark, str(tmp_path / "moves"), batches(row, ("end", at(close), 999, 0.0, 0.0, 0, "state", None)), moves(spark, []).schema)
+    got = flows.drain(state.changed_only_stream(stream, late="4 hours", idle_days=2, buckets=buckets)).filter("seq < 999").collect()
+    want, last = [], {}
+    for minute, i, k in pings:
+        if i not in last or last[i][1] != k % 2 or minute - last[i][0] >= 2 * 24 * 60:
+            want.append((i, k))
+        last[i] = (minute, k % 2)
+    assert sorted(((r.id, r.seq) for r in got), key=str) == sorted(want, key=str)
+
+    ping = lambda minute, i, k: (i, at(minute), k, 1.0, None, k % 3 * 0.4)
+    stream = replayed(spark, str(tmp_path / "pings"), batches(ping, ("end", at(close), 999, 0.0, 0.0, 9.0)), "entity_id string, time timestamp, ping_id long, lat double, lng double, velocity_ms double")
+    got = flows.drain(state.silent_vessels_stream(stream, buckets=buckets)).collect()
+    want = []
+    for i in {p[1] for p in pings}:
+        own = [p for p in pings if p[1] == i]
+        for (minute, _, k), after in zip(own, [*(p[0] for p in own[1:]), close]):
+            if after - minute >= 6 * 60 and k % 3 * 0.4 > 0.5:
+                want.append((i, at(minute)))
+    assert sorted(((r.entity_id, r.last_seen.replace(tzinfo=NOW.tzinfo)) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_positions_as_a_log(spark, tmp_path):
     """An epoch writes what it touched; bases fold the log; a retry and a late reader see the same."""
     path = str(tmp_path / "positions")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +15,7 @@ from tidemark.functions.ids import content_hash
 from tidemark.operators.dedup import GreedyWindow
 
 HOUR_MS = 3_600_000
+BUCKETS = 1024  # of ids that share a state; a batch rewrites the buckets that it touches
 
 
 def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -21,12 +23,29 @@ def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
 
 
+def packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one value of a state."""
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(value: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(value)).read_pandas()
+
+
+def bucket_of(ident: str, buckets: int):
+    """Key of a state that many ids share: what Python and the store say to each other is by bucket, not by id."""
+    return F.pmod(F.xxhash64(ident), F.lit(buckets)).cast("int").alias("bucket")
+
+
 class ChangeOnly(StatefulProcessor):
     """Emits an event when its coarse state differs from the last one of the id, in order of event time.
 
-    Rows wait in a buffer until the watermark has passed them, so one that comes late, but within
-    the bound, takes its place before it is compared. An id that has been silent for `idle_ms`
-    leaves the state altogether; its next event counts as new.
+    The ids of a bucket share a state, in which many rows are one value. Rows wait in a buffer until the watermark has passed them,
+    so one that comes late, but within the bound, takes its place before it is compared. An id that
+    has been silent for `idle_ms` leaves the state altogether; its next event counts as new.
     """
 
     COLUMNS = ["id", "event_time", "seq", "severity"]
@@ -36,52 +55,60 @@ class ChangeOnly(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "hash string, at_ms long")
-        self.waiting = handle.getListState("waiting", "at_us long, seq long, severity int, state_hash string")
+        self.last = handle.getValueState("last", "rows binary")  # id, state_hash, at_ms
+        self.waiting = handle.getListState("waiting", "rows binary")  # id, at_us, seq, severity, state_hash
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            part = list(zip(pdf["at_us"].tolist(), pdf["seq"].tolist(), pdf["severity"].tolist(), pdf["state_hash"].tolist(), strict=True))
-            self.waiting.appendList(part)
-            first = min([r[0] for r in part] + ([] if first is None else [first]))
-        if first is not None:
+        parts = [pdf[["id", "at_us", "seq", "severity", "state_hash"]] for pdf in rows]
+        if parts:
+            part = pd.concat(parts)
+            self.waiting.appendValue((packed(part),))
             # One timer more for a row that is due before the others; when one fires, all that is due goes.
-            self.handle.registerTimer(first // 1000)
+            self.handle.registerTimer(int(part["at_us"].min()) // 1000)
         yield pd.DataFrame([], columns=self.COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        ready, later = [r for r in held if r[0] // 1000 <= now], [r for r in held if r[0] // 1000 > now]
-        known = tuple(self.last.get()) if self.last.exists() else None
-        out = []
-        for at_us, seq, severity, state_hash in ready:
-            if known is None or known[0] != state_hash or at_us // 1000 - known[1] >= self.idle_ms:
-                out.append((key[0], pd.Timestamp(at_us, unit="us"), seq, severity))
-            known = (state_hash, at_us // 1000)
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(later[0][0] // 1000)
-        elif self.waiting.exists():
+        known = unpacked(self.last.get()[0]) if self.last.exists() else pd.DataFrame({"id": [], "state_hash": [], "at_ms": []})
+        out = pd.DataFrame([], columns=self.COLUMNS)
+        later = pd.DataFrame({"id": [], "at_us": []})
+        if self.waiting.exists():
+            held = pd.concat([unpacked(r[0]) for r in self.waiting.get()]).sort_values(["at_us", "seq", "severity", "state_hash"])
+            due = held["at_us"] // 1000 <= now
+            ready, later = held[due], held[~due]
+            ready = ready.assign(at_ms=ready["at_us"] // 1000)
+            rows = pd.concat([known.assign(new=False), ready.assign(new=True)])
+            before = rows.groupby("id", dropna=False, sort=False)[["state_hash", "at_ms"]].shift()
+            changed = (rows["state_hash"] != before["state_hash"]) | (rows["at_ms"] - before["at_ms"] >= self.idle_ms)
+            out = rows[changed & rows["new"]]
+            out = pd.DataFrame({"id": out["id"], "event_time": pd.to_datetime(out["at_us"].astype("int64"), unit="us"), "seq": out["seq"].astype("int64"), "severity": out["severity"].astype("int64")})
+            known = rows.drop_duplicates("id", keep="last")[["id", "state_hash", "at_ms"]].astype({"at_ms": "int64"})
             self.waiting.clear()
-        if known is not None and known[1] + self.idle_ms <= now and not later:
+            if len(later):
+                self.waiting.appendValue((packed(later),))
+        waits = known["id"].isin(later["id"])
+        idle = known["at_ms"] + self.idle_ms
+        known, idle = known[waits | (idle > now)], idle[~waits & (idle > now)]
+        if len(known):
+            self.last.update((packed(known),))
+        elif self.last.exists():
             self.last.clear()
-        elif known is not None:
-            self.last.update(known)
-            if not later:
-                self.handle.registerTimer(known[1] + self.idle_ms)
-        yield pd.DataFrame(out, columns=self.COLUMNS)
+        following = [int(later["at_us"].min()) // 1000] if len(later) else []
+        following += [int(idle.min())] if len(idle) else []
+        if following:
+            self.handle.registerTimer(min(following))
+        yield out
 
     def close(self) -> None:
         pass
 
 
-def changed_only_stream(events: DataFrame, late: str = "10 minutes", idle_days: float = 7) -> DataFrame:
+def changed_only_stream(events: DataFrame, late: str = "10 minutes", idle_days: float = 7, buckets: int = BUCKETS) -> DataFrame:
     """State per id is one hash and the rows of the last `late`; ids leave it after `idle_days` of silence."""
     state = content_hash(F.col("lat"), F.col("lng"), F.col("severity"), F.col("kind"), F.col("altitude_m"))
     rows = events.withWatermark("event_time", late).withColumns({"state_hash": state, "at_us": F.unix_micros(F.col("event_time").cast("timestamp")), "severity": F.coalesce("severity", F.lit(0)).cast("int")})
-    return rows.select("id", "event_time", "at_us", F.coalesce("seq", F.lit(0).cast("long")).alias("seq"), "severity", "state_hash").groupBy("id").transformWithStateInPandas(
+    rows = rows.select(bucket_of("id", buckets), "id", "event_time", "at_us", F.coalesce("seq", F.lit(0).cast("long")).alias("seq"), "severity", "state_hash")
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=ChangeOnly(int(idle_days * 24 * HOUR_MS)), outputStructType=StructType.fromDDL("id string, event_time timestamp, seq long, severity int"),
         outputMode="Append", timeMode="EventTime",
     )
@@ -171,7 +198,8 @@ class Silence(StatefulProcessor):
     """Fires for each silence of a number of hours of event time that begins while moving.
 
     A silence shows either as a gap between two pings or, if no ping follows, when the
-    watermark passes the timer. Either way it fires once, however the batches fall.
+    watermark passes the timer. Either way it fires once, however the batches fall. The entities
+    of a bucket share a state and a timer.
     """
 
     COLUMNS = ["entity_id", "last_seen", "lat", "lng", "velocity_ms"]
@@ -181,43 +209,55 @@ class Silence(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at_ms long, lat double, lng double, velocity double")
+        self.last = handle.getValueState("last", "rows binary")  # one row an entity, as they came
+
+    def _known(self) -> pd.DataFrame | None:
+        return unpacked(self.last.get()[0]) if self.last.exists() else None
 
-    def _found(self, key, ping) -> list[tuple]:
-        at, lat, lng, velocity = ping
-        return [(key[0], pd.Timestamp(at, unit="ms"), lat, lng, velocity)] if velocity > self.min_velocity else []
+    def _keep(self, known: pd.DataFrame) -> None:
+        """The new state, and one timer for the entity that is silent first."""
+        if len(known):
+            self.last.update((packed(known),))
+            self.handle.registerTimer(int(known["at_ms"].min()) + self.silent_ms)
+        elif self.last.exists():
+            self.last.clear()
+
+    def _found(self, pings: pd.DataFrame) -> pd.DataFrame:
+        """Those of the pings before a silence that were made while moving."""
+        found = pings[pings["velocity_ms"] > self.min_velocity]
+        return found.assign(last_seen=pd.to_datetime(found["at_ms"], unit="ms"))[self.COLUMNS]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = tuple(self.last.get()) if self.last.exists() else None
-        out = []
-        for row in _rows(rows, ["at_ms", "ping_id"]).itertuples(index=False):
-            ping = (int(row.at_ms), float(row.lat), float(row.lng), float(row.velocity_ms))
-            if known is not None and ping[0] < known[0]:
-                continue
-            if known is not None and ping[0] - known[0] >= self.silent_ms:
-                out += self._found(key, known)
-            known = ping
+        known = self._known()
+        pings = _rows(rows, ["at_ms", "ping_id"])[["entity_id", "at_ms", "lat", "lng", "velocity_ms"]]
+        if known is not None:
+            at = known.set_index("entity_id")["at_ms"]
+            pings = pd.concat([known, pings[~(pings["at_ms"] < pings["entity_id"].map(at))]])
+        follows = pings.groupby("entity_id", dropna=False, sort=False)["at_ms"].shift(-1)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.last.update(known)
-        self.handle.registerTimer(known[0] + self.silent_ms)
-        yield pd.DataFrame(out, columns=self.COLUMNS)
+        self._keep(pings.drop_duplicates("entity_id", keep="last"))
+        yield self._found(pings[follows - pings["at_ms"] >= self.silent_ms])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._found(key, tuple(self.last.get())) if self.last.exists() else []
-        self.last.clear()
-        yield pd.DataFrame(out, columns=self.COLUMNS)
+        known = self._known()
+        if known is None:
+            yield pd.DataFrame([], columns=self.COLUMNS)
+            return
+        silent = known["at_ms"] + self.silent_ms <= timerValues.getCurrentWatermarkInMs()
+        self._keep(known[~silent])
+        yield self._found(known[silent])
 
     def close(self) -> None:
         pass
 
 
-def silent_vessels_stream(track: DataFrame, silent_hours: float = 6, min_velocity: float = 0.5, late: str = "10 minutes") -> DataFrame:
+def silent_vessels_stream(track: DataFrame, silent_hours: float = 6, min_velocity: float = 0.5, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """Candidates of the gone-dark detector as they arise; state is one row per entity."""
     rows = track.withWatermark("time", late).select(
-        "entity_id", "time", F.unix_millis("time").alias("at_ms"), "ping_id", "lat", "lng", F.coalesce("velocity_ms", F.lit(0.0)).alias("velocity_ms")
+        bucket_of("entity_id", buckets), "entity_id", "time", F.unix_millis("time").alias("at_ms"), "ping_id", "lat", "lng", F.coalesce("velocity_ms", F.lit(0.0)).alias("velocity_ms")
     )
-    return rows.groupBy("entity_id").transformWithStateInPandas(
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Silence(silent_hours, min_velocity),
         outputStructType=StructType.fromDDL("entity_id string, last_seen timestamp, lat double, lng double, velocity_ms double"),
         outputMode="Append", timeMode="EventTime",
