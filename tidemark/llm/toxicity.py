@@ -36,9 +36,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytewords as B
-from tidemark.operators.lineage import durable
+from tidemark.operators.lineage import dealt, durable
 
 ORDER = 8
+LOW = 3  # up to this order the shared backoff is a table of its own
 DISCOUNT, SHARED_DISCOUNT = 3.0, 0.75  # of a class's counts, and of the counts of contexts that back them off
 DUST = 0.05  # steps of smaller log ratios are taken as 0
 GATE = 3.5  # as are words
@@ -171,17 +172,17 @@ def _last(g: Column, k: int) -> Column:
     return g.bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long")) if k < 8 else g
 
 
-def shared_backoff(grams: DataFrame, discount: float = SHARED_DISCOUNT) -> DataFrame:
-    """(u, p): the shared probability of the last byte of each ORDER - 1 bytes that occur, after those before it.
+def shared_backoff(grams: DataFrame, discount: float = SHARED_DISCOUNT, order: int = LOW) -> DataFrame:
+    """(u, p): the shared probability of the last byte of each `order` bytes that occur, after those before it.
 
     By Kneser-Ney from single bytes upwards: of an order, a sequence counts once for each byte
     before it. A context has at most 256 sequences, so its window is small.
     """
-    levels = {ORDER: grams.select(F.col("g").alias("u"))}
-    for k in range(ORDER - 1, 0, -1):
+    levels = {order + 1: grams.select(_last(F.col("g"), order + 1).alias("u")).distinct()}
+    for k in range(order, 0, -1):
         levels[k] = levels[k + 1].groupBy(_last(F.col("u"), k).alias("u")).agg(F.count(F.lit(1)).alias("n"))
     p = None
-    for k in range(1, ORDER):
+    for k in range(1, order + 1):
         context = Window.partitionBy(F.shiftrightunsigned("u", 8))
         rows = levels[k].withColumns({"total": F.sum("n").over(context), "kinds": F.count(F.lit(1)).over(context)})
         if p is None:
@@ -193,18 +194,66 @@ def shared_backoff(grams: DataFrame, discount: float = SHARED_DISCOUNT) -> DataF
     return p
 
 
+def higher_orders(g: np.ndarray, plain: np.ndarray, toxic: np.ndarray, low: np.ndarray, discount: float, shared_discount: float) -> np.ndarray:
+    """Log ratio of sequences that hold all those which share their bytes before the last, up to LOW of them; `low` is their shared p of order LOW."""
+    last = lambda u, k: u & np.uint64((1 << 8 * k) - 1)
+
+    def within(of: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+        at = np.unique(of, return_inverse=True)[1]
+        return [np.bincount(at, v)[at] for v in values]
+
+    levels, n = {ORDER: g}, {}
+    for k in range(ORDER - 1, LOW, -1):
+        levels[k], n[k] = np.unique(last(levels[k + 1], k), return_counts=True)
+    p = low[np.unique(last(g, LOW + 1), return_index=True)[1]]
+    for k in range(LOW + 1, ORDER):
+        u = levels[k]
+        if k > LOW + 1:
+            p = p[np.searchsorted(levels[k - 1], last(u, k - 1))]
+        total, kinds = within(u >> np.uint64(8), n[k], np.ones(len(u)))
+        p = (np.maximum(n[k] - shared_discount, 0) + shared_discount * kinds * p) / total
+    back = p[np.searchsorted(levels[ORDER - 1], last(g, ORDER - 1))]
+    own = []
+    for c in (plain, toxic):
+        total, freed = within(g >> np.uint64(8), c, np.minimum(c, discount))
+        own.append(np.where(total > 0, (np.maximum(c - discount, 0) + freed * back) / np.maximum(total, 1), back))
+    return np.log(own[1] / own[0])
+
+
 def log_ratios(grams: DataFrame, discount: float = DISCOUNT, shared_discount: float = SHARED_DISCOUNT) -> DataFrame:
-    """(g, ratio): log of toxic over plain probability of the sequences (g, plain, toxic) that tell the classes apart."""
-    context = Window.partitionBy(F.shiftrightunsigned("g", 8))
-    sides = ("plain", "toxic")
-    for s in sides:
-        freed = F.least(F.col(s).cast("double"), F.lit(discount))
-        grams = grams.withColumns({f"{s}_total": F.sum(s).over(context), f"{s}_freed": F.sum(freed).over(context)})
-    back = shared_backoff(grams.select("g"), shared_discount).select(F.col("u").alias("tail"), F.col("p").alias("back"))
-    grams = grams.withColumn("tail", _last(F.col("g"), ORDER - 1)).join(back, "tail")
-    kept = {s: (F.greatest(F.col(s) - discount, F.lit(0.0)) + F.col(f"{s}_freed") * F.col("back")) / F.col(f"{s}_total") for s in sides}
-    p = {s: F.when(F.col(f"{s}_total") > 0, kept[s]).otherwise(F.col("back")) for s in sides}
-    return grams.select("g", F.log(p["toxic"] / p["plain"]).alias("ratio")).filter(F.abs("ratio") > DUST)
+    """(g, ratio): log of toxic over plain probability of the sequences (g, plain, toxic) that tell the classes apart.
+
+    Beyond the order LOW, the counts and contexts that a sequence needs have the LOW bytes before its last
+    one in common, so sequences are dealt by these once and a task goes through them in order.
+    """
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+
+        def judged() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            g, plain, toxic, low = (t.column(c).to_numpy() for c in ("g", "plain", "toxic", "low"))
+            ratio = higher_orders(g.view(np.uint64), plain, toxic, low, discount, shared_discount)
+            use = np.abs(ratio) > DUST
+            return pa.RecordBatch.from_arrays([pa.array(g[use]), pa.array(ratio[use])], names=["g", "ratio"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            middle = batch.column("middle").to_numpy()
+            cut = int(np.searchsorted(middle, middle[-1]))  # the last run may go on in the next batch
+            if cut or held and held[-1].column("middle")[0].as_py() != middle[0]:
+                held += [batch.slice(0, cut)] if cut else []
+                yield judged()
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield judged()
+
+    low = shared_backoff(grams.select("g"), shared_discount).select(F.col("u").alias("tail"), F.col("p").alias("low"))
+    middle = _last(F.shiftrightunsigned("g", 8), LOW)
+    rows = grams.withColumn("tail", _last(F.col("g"), LOW)).join(low, "tail").select("g", "plain", "toxic", "low", middle.alias("middle"))
+    return dealt(rows, ["middle"]).mapInArrow(ratios, "g long, ratio double")
 
 
 def bounds(model: DataFrame) -> np.ndarray:
