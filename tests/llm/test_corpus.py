@@ -561,6 +561,39 @@ def test_toxicity_of_unseen_sequences(spark):
     assert [(bytes(r.word), r.ratio) for r in toxicity.marked_words(docs, model).collect()] == [(b"scum", 45.0)]
 
 
+def test_toxicity_scores_every_word(spark, monkeypatch):
+    """A text's value is the mean over all its words of both likelihoods, sequences that no label has included, against loops."""
+    docs = spark.createDataFrame([(1, "The scum and the scams, the scum"), (2, "the scope of it"), (3, ""), (4, None), (5, "zzz " * 9)], "key long, text string")
+    grams = collections.defaultdict(lambda: [0, 0])
+    for word, plain, toxic in ((b"the", 60, 20), (b"scum", 1, 30), (b"scope", 9, 1), (b"and", 50, 11), (b"it", 20, 5)):
+        for g in toxicity.steps(pa.array([word]))[0].tolist():
+            grams[g][0] += plain
+            grams[g][1] += toxic
+    ratios = {r.g: r.ratio for r in toxicity.log_ratios(spark.createDataFrame([(g, *c) for g, c in grams.items()], "g long, plain long, toxic long")).collect()}
+
+    def backed(context, side):
+        counts = [c[side] for g, c in grams.items() if g >> 8 == context]
+        return sum(min(c, toxicity.DISCOUNT) for c in counts) / sum(counts) if sum(counts) else 1.0
+
+    def value(word):
+        codes = toxicity.steps(pa.array([word.encode()]))[0].tolist()
+        r = sum(ratios[g] if g in ratios else math.log(backed(g >> 8, 1) / backed(g >> 8, 0)) for g in codes)
+        return math.log(1 - toxicity.SHARE + toxicity.SHARE * math.exp(r))
+
+    assert all(abs(value(w)) > 0 for w in ("the", "scum", "scams", "and", "scope", "it"))  # none is too weak to count
+    want = {}
+    for r in docs.collect():
+        found = re.findall("[a-z]+", (r.text or "").lower())
+        want[r.key] = toxicity.UNIT * sum(map(value, found)) / (sum(len(w) + 1 for w in found) + toxicity.PRIOR_LENGTH)
+    counted = spark.createDataFrame([(g, *c) for g, c in grams.items()], "g long, plain long, toxic long")
+    model = toxicity.log_ratios(counted, summands=True)
+    for held, most in ((1 << 19, 1 << 18), (5, 2), (1, 0)):  # the same result wherever a word or sequence is looked up
+        monkeypatch.setattr(toxicity, "BEGINNINGS", held)
+        monkeypatch.setattr(toxicity, "COMMON", most)
+        got = {r.key: r.raw for r in toxicity.with_raw(docs, model).collect()}
+        assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_sequences():
     code, of = toxicity.sequences(np.frombuffer(b"ab, 1d", np.uint8), np.array([0, 4, 4, 6]))
     assert of.tolist() == [0, 3, 3, 5]
