@@ -196,3 +196,9 @@ def test_the_rest_stands_without_the_corpus_operators(tmp_path, lacking):
     said = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True)
     rest = [n for n in queries() if not n.startswith("op") and n != "pipeline"]
     assert said.stdout.split() == [str(len(rest)), "0"] and ("left out" in said.stderr) == (lacking == "zstandard")
+
+
+def test_pairs_of_radius_joins_are_dealt_and_take_no_json(spark):
+    """Tasks are not merged by what a join of few rows and many pairs reads, and no pair is written as JSON to be read again."""
+    text = plan(queries()["d1_event_proximity"](spark, DATA))
+    assert "REPARTITION_BY_NUM" in text and "to_json" not in text and "get_json_object" not in text
