@@ -140,3 +140,39 @@ def test_watch_stream_keeps_events_and_not_matches(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == out.select("watch_id", "match_id").distinct().count() == 50 * 5
     assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) == 10
+
+
+def joined(df):
+    """The greatest number of rows that a join of an executed plan puts out."""
+    df.collect()
+    nodes, most = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return most
+
+
+def test_subscriptions_that_ask_for_the_same_share_a_rule(spark):
+    """Pairs are made from rules, after the join; rows that differ in a null or a type, and repeated rows, stay apart."""
+    events = spark.range(600).selectExpr(
+        "id", "IF(id % 3 = 0, 't', 'u') AS event_type", "'x' AS event_subtype", "0.5D AS confidence", "CAST(id % 10 AS DOUBLE) AS severity",
+        "IF(id % 2 = 0, NULL, 10D + id % 7) AS lat", "IF(id % 2 = 0, NULL, 20D) AS lng",
+    )
+    names = "sub_id int, categories array<string>, subcategories array<string>, min_confidence double, min_severity double, area string, west double, south double, east double, north double, center_lat double, center_lng double, radius_km double"
+    kinds = [
+        (["t"], [], 0.2, 3.0, "bbox", 0.0, 0.0, 30.0, 12.0, None, None, None), (["t"], [], 0.2, 3.0, "bbox", None, 0.0, 30.0, 12.0, 0.0, None, None),
+        (["t", "u"], None, 0.2, None, "global", *[None] * 7), ([], [], 0.2, 3.0, "circle", *[None] * 4, 10.0, 20.0, 250.0), (["u"], [None], 0.2, 3.0, "global", *[None] * 7),
+    ]
+    subs = spark.createDataFrame([(None if k == 7 else k - k % 11 // 10, *kinds[k % 5]) for k in range(3000)], names)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = watch.subscription_join(events, subs)
+        got = sorted((str(r["sub_sub_id"]), r["id"]) for r in found.select("sub_sub_id", "id").collect())
+        assert joined(found) < len(got) / 50
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    mine = subs.select(*[F.col(c).alias("sub_" + c) for c in subs.columns])
+    assert got == sorted((str(r["sub_sub_id"]), r["id"]) for r in events.join(mine, watch.subscription_matches("", "sub_")).select("sub_sub_id", "id").collect())
+    assert found.columns == [*events.columns, *mine.columns] and watch.rules_of(subs, watch.SUBSCRIPTION_RULE).rules.count() == 5

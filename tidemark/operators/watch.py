@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,45 @@ from tidemark.functions.geo import EARTH_KM, haversine_km, in_bbox
 from tidemark.functions.stats import round_even
 from tidemark.operators import leaves
 from tidemark.operators.latest import top_per_group
-from tidemark.operators.spatial import cell_of, explode_cells, radius_join
+from tidemark.operators.spatial import cell_of, explode_cells, radius_join, spread
 from tidemark.sources.refdata import CATEGORIES, LEVEL_RANK
 
 WATCH_CELL_DEG = 2.0
+CHUNK = 1_024  # sharers of a rule in one list
+FEW_SHARERS = 1_000_000  # lists of so many sharers are broadcast
+LOOSE = 100  # events without place that meet the rules of their type in one go
+TASKS = 8  # of a join by rules for each core: its work is the pairs, which differ between keys
+SUBSCRIPTION_RULE = ["categories", "subcategories", "min_confidence", "min_severity", "area", "west", "south", "east", "north", "center_lat", "center_lng", "radius_km"]
+WATCH_RULE = ["layers", "center_lat", "center_lng", "radius_km", "min_severity"]
+
+
+class Rules(NamedTuple):
+    """Rows that ask for the same share a rule: events are tested once for each rule, not for each of its rows."""
+
+    rules: DataFrame  # `_rule` and the columns that it is made of
+    sharers: DataFrame  # `_rule`, `_sharers`: the other columns of its rows, up to CHUNK or so in a list
+    own: list[str]
+    few: bool
+
+
+def rules_of(rows: DataFrame, by: list[str]) -> Rules:
+    """`by`: columns of numbers, strings and arrays of them, of which `_rule` is a digest of 128 bits."""
+    own = [c for c in rows.columns if c not in by]
+    named = rows.withColumn("_rule", F.unhex(F.md5(F.to_json(F.struct(*by)))))
+    sizes = named.groupBy("_rule").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("_chunks"))
+    chunk = F.pmod(F.xxhash64(*own), F.col("_chunks"))
+    lists = named.join(sizes, "_rule").groupBy("_rule", chunk.alias("_chunk")).agg(F.collect_list(F.struct(*own)).alias("_sharers"))
+    # A list of one column holds bare values, which are cheaper to take apart.
+    values = F.transform("_sharers", lambda r: r[own[0]]) if len(own) == 1 else F.col("_sharers")
+    return Rules(named.select("_rule", *by).dropDuplicates(["_rule"]), lists.select("_rule", values.alias("_sharers")), own, rows.count() <= FEW_SHARERS)
+
+
+def share_out(met: DataFrame, rules: Rules, prefix: str = "") -> DataFrame:
+    """Rows with `_rule` once for each row that shares it, whose own columns they get."""
+    lists = F.broadcast(rules.sharers) if rules.few else rules.sharers
+    rows = met.join(lists, "_rule").withColumn("_sharer", F.explode("_sharers"))
+    value = lambda c: F.col("_sharer") if len(rules.own) == 1 else F.col("_sharer")[c]
+    return rows.select(*[c for c in met.columns if c != "_rule"], *[value(c).alias(prefix + c) for c in rules.own])
 
 
 def subscription_matches(event: str = "", sub: str = "") -> Column:
@@ -49,28 +86,39 @@ def _leaf_join(points: DataFrame, shapes: DataFrame, boxes: Column, most: int, m
     nodes, ends = leaves.tree(points, "lat", "lng", most)
     salt_by = F.xxhash64(*[F.col(f"`{c}`") for c in points.columns if points.schema[c].dataType.typeName() != "map"])
     boxed = shapes.withColumn("_box", F.explode(boxes)).select(*shapes.columns, "_box.*")
-    cut = leaves.shape_leaves(boxed, nodes, ends)
-    met = leaves.point_leaves(points, "lat", "lng", ends, salt_by).join(cut, [*leaves.LEAF, *(more or [])])
+    keys = [*leaves.LEAF, *(more or [])]
+    cut = spread(leaves.shape_leaves(boxed, nodes, ends), keys, TASKS)
+    met = spread(leaves.point_leaves(points, "lat", "lng", ends, salt_by), keys, TASKS).join(cut, keys)
     # A shape across the date line has two boxes, which may share a leaf: a point meets it by the one that holds it.
     return met.filter(F.col("lng").between(F.col("_west"), F.col("_east"))).drop(*leaves.LEAF, "_west", "_south", "_east", "_north")
 
 
+def _loose_join(loose: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Events without place with all rules of their type, dealt over as many salts as they have shares of LOOSE."""
+    salts = loose.groupBy("event_type").agg(F.ceil(F.count(F.lit(1)) / F.lit(LOOSE)).cast("int").alias("_salts"))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in loose.columns if loose.schema[c].dataType.typeName() != "map"]), F.col("_salts")).cast("int")
+    keys = ["event_type", "_salt"]
+    points = loose.join(F.broadcast(salts), "event_type").withColumn("_salt", salt).drop("_salts")
+    asked = wanted.join(F.broadcast(salts), "event_type").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return spread(points, keys, TASKS).join(spread(asked, keys, TASKS), keys).drop("_salt")
+
+
 def subscription_join(events: DataFrame, subscriptions: DataFrame, most: int = leaves.MOST) -> DataFrame:
     """Events × subscriptions as an equi-join on event type and leaf of place, then the remaining predicate.
 
-    A subscription is exploded into the types it names and its area into leaves, which are
+    Subscriptions that ask for the same share a rule, and only what a rule has met goes to each of
+    them. A rule is exploded into the types it names and its area into leaves, which are
     small where events are dense, so neither a common type nor a busy harbour is one key. One
     that names no type takes every type of the events, which are few; one without area takes
-    every leaf. Events without place meet all subscriptions of their type.
+    every leaf. Events without place meet all rules of their type.
     """
+    shared = rules_of(subscriptions, SUBSCRIPTION_RULE)
     types = events.select("event_type").distinct().agg(F.collect_list("event_type")).scalar()
     empty = F.coalesce(F.size("categories"), F.lit(0)) == 0
-    named = subscriptions.filter(~empty).withColumn("event_type", F.explode(F.array_distinct("categories")))
-    every = subscriptions.filter(empty).withColumn("_types", types).withColumn("event_type", F.explode("_types")).drop("_types")
+    named = shared.rules.filter(~empty).withColumn("event_type", F.explode(F.array_distinct("categories")))
+    every = shared.rules.filter(empty).withColumn("_types", types).withColumn("event_type", F.explode("_types")).drop("_types")
     wanted = named.unionByName(every.select(*named.columns))
-    mine = wanted.select(
-        "event_type", *[F.col(c).alias("sub_" + c) for c in subscriptions.columns]
-    )
+    mine = wanted.select("event_type", "_rule", *[F.col(c).alias("sub_" + c) for c in SUBSCRIPTION_RULE])
     s = lambda c: F.col("sub_" + c)
     world = leaves.boxes_of(F.lit(-180.0), F.lit(-90.0), F.lit(180.0), F.lit(90.0))
     boxes = (
@@ -78,40 +126,62 @@ def subscription_join(events: DataFrame, subscriptions: DataFrame, most: int = l
         .when((s("area") == "circle") & s("radius_km").isNotNull(), leaves.circle_box(s("center_lat"), s("center_lng"), s("radius_km")))
         .otherwise(world)
     )
-    placed = events.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    loose = events.filter(F.col("lat").isNull() | F.col("lng").isNull())
+    asked = wanted.select("event_type").distinct().agg(F.collect_list("event_type")).scalar()
+    typed = events.filter(F.array_contains(asked, F.col("event_type")))
+    placed = typed.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    loose = typed.filter(F.col("lat").isNull() | F.col("lng").isNull())
     near = _leaf_join(placed, mine, boxes, most, ["event_type"])
     found = near.select(*events.columns, *[c for c in mine.columns if c != "event_type"])
-    rest = loose.join(mine, "event_type").select(*found.columns)
-    return found.unionByName(rest).filter(subscription_matches("", "sub_"))
+    rest = _loose_join(loose, mine).select(*found.columns)
+    met = found.unionByName(rest).filter(subscription_matches("", "sub_"))
+    return share_out(met, shared, "sub_").select(*events.columns, *["sub_" + c for c in subscriptions.columns])
 
 
-def watch_matches(events: DataFrame, watchlists: DataFrame, most: int = leaves.MOST) -> DataFrame:
-    """Event × watch list: layer, severity and circle.
+def _watch_distance(w) -> Column:
+    return haversine_km(w("center_lat"), w("center_lng"), F.col("lat"), F.col("lng"), EARTH_KM)
+
+
+def _watch_hit(w) -> Column:
+    """A rule's condition on an event; `w` gives its columns. The tests are in the order of their cost."""
+    any_layer = F.coalesce(F.size(w("layers")), F.lit(0)) == 0
+    return (
+        (F.coalesce(F.col("severity"), F.lit(0)) >= w("min_severity")) & (F.abs(F.col("lat") - w("center_lat")) * 110.574 <= w("radius_km") * 1.01 + 1e-6)
+        & (any_layer | F.arrays_overlap(w("layers"), F.col("event_layers"))) & (_watch_distance(w) <= w("radius_km"))
+    )
+
+
+def watch_rules(watchlists: DataFrame, once: bool = False) -> Rules:
+    """Rules of the lists that are enabled; with `once`, an event meets a list of several circles by the first that holds it."""
+    lists = watchlists.filter("enabled")
+    if not once:
+        return rules_of(lists, WATCH_RULE)
+    # The circles of a list in one row for each: those before it go along, so that none repeats a match.
+    circle = F.struct("layers", "center_lat", "center_lng", "radius_km", "min_severity")
+    listed = Window.partitionBy("watch_id").orderBy("center_lat", "center_lng", "radius_km", "min_severity", "layers").rowsBetween(Window.unboundedPreceding, -1)
+    return rules_of(lists.withColumn("_before", F.collect_list(circle).over(listed)), [*WATCH_RULE, "_before"])
+
+
+def rule_matches(events: DataFrame, rules: DataFrame, most: int = leaves.MOST) -> DataFrame:
+    """Event × rule of watch lists: layer, severity and circle.
 
     On tables circles are cut into leaves that follow the density of events; a stream, whose
     events are not known beforehand, joins on fixed cells.
     """
-    any_layer = lambda layers: F.coalesce(F.size(layers), F.lit(0)) == 0
-    distance = lambda w: haversine_km(w("center_lat"), w("center_lng"), F.col("lat"), F.col("lng"), EARTH_KM)
-    hit = lambda w: (
-        (any_layer(w("layers")) | F.arrays_overlap(w("layers"), F.col("event_layers"))) & (F.coalesce(F.col("severity"), F.lit(0)) >= w("min_severity"))
-        & (distance(w) <= w("radius_km"))
-    )
     rows = events.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    lists = watchlists.filter("enabled")
     if events.isStreaming:
-        # The circles of a list in one row for each: those before it go along, so that none repeats a match.
-        circle = F.struct("layers", "center_lat", "center_lng", "radius_km", "min_severity")
-        listed = Window.partitionBy("watch_id").orderBy("center_lat", "center_lng", "radius_km", "min_severity", "layers").rowsBetween(Window.unboundedPreceding, -1)
-        lists = lists.withColumn("_before", F.collect_list(circle).over(listed))
-        cells = explode_cells(lists, ("center_lat", "center_lng"), F.col("radius_km") * 1000, WATCH_CELL_DEG)
+        cells = explode_cells(rules, ("center_lat", "center_lng"), F.col("radius_km") * 1000, WATCH_CELL_DEG)
         met = rows.withColumn("_cell", cell_of(F.col("lat"), F.col("lng"), WATCH_CELL_DEG)).join(cells, "_cell").drop("_cell")
-        repeats = (F.size("_before") > 0) & F.exists("_before", lambda w: F.coalesce(hit(lambda name: w[name]), F.lit(False)))
-        met = met.filter(hit(F.col)).filter(~repeats).drop("_before")
+        repeats = (F.size("_before") > 0) & F.exists("_before", lambda w: F.coalesce(_watch_hit(lambda name: w[name]), F.lit(False)))
+        met = met.filter(_watch_hit(F.col)).filter(~repeats).drop("_before")
     else:
-        met = _leaf_join(rows, lists, leaves.circle_box(F.col("center_lat"), F.col("center_lng"), F.col("radius_km")), most).filter(hit(F.col))
-    return met.withColumn("distance_km", round_even(distance(F.col), 1))
+        met = _leaf_join(rows, rules, leaves.circle_box(F.col("center_lat"), F.col("center_lng"), F.col("radius_km")), most).filter(_watch_hit(F.col))
+    return met.withColumn("distance_km", round_even(_watch_distance(F.col), 1))
+
+
+def watch_matches(events: DataFrame, watchlists: DataFrame, most: int = leaves.MOST) -> DataFrame:
+    """Event × watch list; on a stream, an event meets a list of several circles once."""
+    shared = watch_rules(watchlists, once=events.isStreaming)
+    return share_out(rule_matches(events, shared.rules, most), shared)
 
 
 def watch_sources(events: DataFrame, anomalies: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:

@@ -348,7 +348,7 @@ def subscriptions(t: Tables) -> DataFrame:
     types = F.array(F.lit("usgs_quake"), F.lit("port_call"))
     west, south = (i * 13 % 360 - 180).cast("double"), (i * 7 % 150 - 80).cast("double")
     return t.raw("customer").select(
-        i.cast("string").alias("sub_id"), F.when(i % 2 == 0, types).otherwise(F.array(F.lit("nasa_firms"))).alias("categories"),
+        i.alias("sub_id"), F.when(i % 2 == 0, types).otherwise(F.array(F.lit("nasa_firms"))).alias("categories"),
         F.array().cast("array<string>").alias("subcategories"), F.lit(0.2).alias("min_confidence"), F.when(i % 50 == 0, 9.0).otherwise((i % 9).cast("double")).alias("min_severity"),
         F.when(i % 50 == 0, "global").when(i % 3 == 0, "circle").otherwise("bbox").alias("area"), west.alias("west"), south.alias("south"),
         F.when(west + 20 > 180, west - 340).otherwise(west + 20).alias("east"), (south + 15).alias("north"), (i % 120 - 60).cast("double").alias("center_lat"),
@@ -367,7 +367,7 @@ _WEST = "CAST(s.c_custkey * 13 % 360 - 180 AS DOUBLE)"
         WHEN s.c_custkey % 3 = 0 THEN {haversine_sql('CAST(s.c_custkey % 120 - 60 AS DOUBLE)', 'CAST(s.c_custkey * 11 % 360 - 180 AS DOUBLE)', 'f.lat', 'f.lng')} <= s.c_custkey % 5 * 200 + 300
         ELSE f.lat BETWEEN s.c_custkey * 7 % 150 - 80 AND s.c_custkey * 7 % 150 - 65 AND CASE WHEN {_WEST} + 20 > 180 THEN f.lng >= {_WEST} OR f.lng <= {_WEST} - 340 ELSE f.lng BETWEEN {_WEST} AND {_WEST} + 20 END END)""")
 def p8(t: Tables) -> DataFrame:
-    return subscription_join(t.finding, subscriptions(t)).select(c("sub_sub_id").cast("bigint").alias("sub"), "id")
+    return subscription_join(t.finding, subscriptions(t)).select(c("sub_sub_id").alias("sub"), "id")
 
 
 @query("p9_bbox_filter", ("geo",), """
