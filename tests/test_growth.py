@@ -176,3 +176,32 @@ def test_subscriptions_that_ask_for_the_same_share_a_rule(spark):
     mine = subs.select(*[F.col(c).alias("sub_" + c) for c in subs.columns])
     assert got == sorted((str(r["sub_sub_id"]), r["id"]) for r in events.join(mine, watch.subscription_matches("", "sub_")).select("sub_sub_id", "id").collect())
     assert found.columns == [*events.columns, *mine.columns] and watch.rules_of(subs, watch.SUBSCRIPTION_RULE).rules.count() == 5
+
+
+def test_alerts_are_found_in_few_events(spark, monkeypatch):
+    """Lists look on only while they have too few; pairs that have fired, events dealt with for all, lists of two circles, events without time."""
+    rnd = random.Random(5)
+    at = lambda k: f"2024-01-{1 + k % 20:02d} 00:00:{rnd.randrange(60):02d}" if k % 9 else None
+    rows = [(k, at(k), "abc"[k % 3], rnd.choice([10.0, 10.2, 40.0]), 20.0 + k % 5 / 10, rnd.randrange(9)) for k in range(2000)]
+    rows += [(9000 + k, "2024-03-01 00:00:00", "late", -50.0, 100.0, 9) for k in range(40)] + [(9999, None, "a", None, 3.0, 9)]
+    geo = spark.createDataFrame(rows, "event_id long, at string, layer string, lat double, lng double, severity int").withColumn("event_time", F.col("at").cast("timestamp"))
+    events = watch.watch_sources(geo.drop("at"))
+    cells = spark.createDataFrame([(["a"], 10.0, 20.0, 9), (["b"], 10.0, 21.0, 1)], "layers array<string>, center_lat double, center_lng double, severity int")
+    events = events.unionByName(watch.watch_sources(geo.limit(0).drop("at"), clusters=cells))
+    kinds = [([], 10.0, 20.0, 60.0, 3), (["a", "c"], 10.2, 20.3, 40.0, 0), ([], -50.0, 100.0, 10.0, 5), ([], 40.0, 20.0, 500.0, 8), (["none"], 10.0, 20.0, 900.0, 0), (None, 0.0, 0.0, 25_000.0, 9)]
+    lists = [(f"w{k}", *kinds[k % 6], k % 29 != 3) for k in range(240)] + [("w1", *kinds[3], True)]
+    watchlists = spark.createDataFrame(lists, "watch_id string, layers array<string>, center_lat double, center_lng double, radius_km double, min_severity int, enabled boolean")
+    every = watch.watch_matches(events, watchlists)
+    memory = every.withColumn("n", F.expr("try_cast(split(match_id, ':')[1] AS INT)")).filter("(watch_id = 'w0' AND n % 3 > 0) OR (watch_id IN ('w1', 'w2') AND n < 9035) OR n % 7 = 0")
+    fired = memory.select("watch_id", "match_id").unionByName(events.filter("match_id LIKE 'c:%5'").select(F.lit(None).cast("string").alias("watch_id"), "match_id")).localCheckpoint()
+    done = fired.filter("watch_id IS NULL").select("match_id")
+    left = every.join(fired, ["watch_id", "match_id"], "left_anti").join(done, "match_id", "left_anti")
+    order = [F.asc("kind_order"), F.asc_nulls_last("event_time"), F.asc("match_id")]
+    want = sorted((r.watch_id, r["rank"], r.match_id) for r in watch.top_per_group(left, ["watch_id"], order, 5).collect())
+    seen, plain = [], watch.top_per_group
+    monkeypatch.setattr(watch, "top_per_group", lambda df, *rest: seen.append(df.count()) or plain(df, *rest))
+    monkeypatch.setattr(watch.leaves, "MOST", 20)
+    monkeypatch.setattr(watch, "STRETCH", 4)
+    got = sorted((r.watch_id, r["rank"], r.match_id) for r in watch.watch_alerts(events, watchlists, fired).collect())
+    assert got == want and len(got) > 800 and len(seen) == 5
+    assert max(seen) < every.count() / 5

@@ -5,7 +5,7 @@ The tree is made from counts of points: a node with more than `most` of them is
 leaves that their boxes touch, level by level, so a wide shape over an empty ocean is one row and
 one over a busy coast is many small ones. A leaf of the last level that is still too full (a
 harbour with a third of all points) is dealt over as many salts as it has shares of `most`, and
-shapes visit each. The tree has a node for every few `most` points and never leaves Spark.
+shapes visit each. The tree has a node for every few `most` points and is broadcast only while it is small.
 """
 
 from __future__ import annotations
@@ -13,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import durable
+
 BITS = 12
 LEVELS = (0, 3, 6, 9, 12)
 MOST = 20_000
+FEW_NODES = 100_000  # a tree of so many is broadcast
 
 
 def _step(degrees: Column, least: float, span: float) -> Column:
@@ -28,8 +31,11 @@ def _at(level: int, step: Column) -> Column:
     return F.shiftright(step, BITS - level)
 
 
-def tree(points: DataFrame, lat: str, lng: str, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves): (level, x, y) of nodes with children, and (level, x, y, salts) of leaves with points."""
+def tree(points: DataFrame, lat: str, lng: str, most: int = MOST) -> tuple[DataFrame, DataFrame, bool]:
+    """(nodes, leaves, few): (level, x, y) of nodes with children, and (level, x, y, salts) of leaves with points.
+
+    The points are counted when the tree is made, once for all the levels that meet it.
+    """
     cells = points.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull())
     cells = cells.groupBy(_step(F.col(lng), -180.0, 360.0).alias("_x"), _step(F.col(lat), -90.0, 180.0).alias("_y")).agg(F.count(F.lit(1)).alias("n"))
     node = F.array(*[F.struct(F.lit(level).alias("level"), _at(level, F.col("_x")).alias("x"), _at(level, F.col("_y")).alias("y")) for level in LEVELS])
@@ -39,17 +45,26 @@ def tree(points: DataFrame, lat: str, lng: str, most: int = MOST) -> tuple[DataF
     parents = nodes.select((F.col("level") + 3).alias("level"), F.col("x").alias("px"), F.col("y").alias("py"))
     ends = counts.filter(~full).withColumns({"px": F.shiftright("x", 3), "py": F.shiftright("y", 3)})
     under = ends.join(parents, ["level", "px", "py"], "left_semi").unionByName(ends.filter("level = 0"))
-    return nodes, under.select("level", "x", "y", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("salts"))
+    under = under.select("level", "x", "y", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("salts"))
+    made = durable(nodes.withColumn("salts", F.lit(0)).unionByName(under))
+    few = made.count() <= FEW_NODES
+    hinted = F.broadcast(made) if few else made
+    return hinted.filter("salts = 0").drop("salts"), hinted.filter("salts > 0"), few
 
 
-def point_leaves(points: DataFrame, lat: str, lng: str, leaves: DataFrame, salt_by: Column) -> DataFrame:
+def point_leaves(points: DataFrame, lat: str, lng: str, leaves: DataFrame, salt_by: Column, few: bool = False) -> DataFrame:
     """Points with `_level`, `_leaf_x`, `_leaf_y`, `_salt` of the leaf they are in."""
     placed = points.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull()).withColumns({"_x": _step(F.col(lng), -180.0, 360.0), "_y": _step(F.col(lat), -90.0, 180.0)})
     node = F.array(*[F.struct(F.lit(level).alias("level"), _at(level, F.col("_x")).alias("x"), _at(level, F.col("_y")).alias("y")) for level in LEVELS])
+    salt = F.pmod(salt_by, F.col("salts")).cast("int")
+    names = {"level": "_level", "x": "_leaf_x", "y": "_leaf_y"}
+    if few:
+        met = placed.withColumn("_c", F.explode(node)).withColumns({"level": F.col("_c.level"), "x": F.col("_c.x"), "y": F.col("_c.y")}).join(leaves, ["level", "x", "y"])
+        return met.withColumn("_salt", salt).select(*points.columns, *[F.col(c).alias(n) for c, n in names.items()], "_salt")
     # The leaf is found once for every cell that has points, not for every point.
     cells = placed.select("_x", "_y").distinct().withColumn("c", F.explode(node)).select("_x", "_y", "c.*").join(leaves, ["level", "x", "y"])
-    where = cells.select("_x", "_y", F.col("level").alias("_level"), F.col("x").alias("_leaf_x"), F.col("y").alias("_leaf_y"), "salts")
-    return placed.join(where, ["_x", "_y"]).withColumn("_salt", F.pmod(salt_by, F.col("salts")).cast("int")).drop("_x", "_y", "salts")
+    where = cells.select("_x", "_y", *[F.col(c).alias(n) for c, n in names.items()], "salts")
+    return placed.join(where, ["_x", "_y"]).withColumn("_salt", salt).drop("_x", "_y", "salts")
 
 
 def shape_leaves(shapes: DataFrame, nodes: DataFrame, leaves: DataFrame) -> DataFrame:

@@ -11,11 +11,13 @@ from tidemark.functions.geo import EARTH_KM, haversine_km, in_bbox
 from tidemark.functions.stats import round_even
 from tidemark.operators import leaves
 from tidemark.operators.latest import top_per_group
+from tidemark.operators.lineage import durable
 from tidemark.operators.spatial import cell_of, explode_cells, radius_join, spread
 from tidemark.sources.refdata import CATEGORIES, LEVEL_RANK
 
 WATCH_CELL_DEG = 2.0
 CHUNK = 1_024  # sharers of a rule in one list
+STRETCH = 64  # times all before it: the next stretch of events that watch lists look at for alerts
 FEW_SHARERS = 1_000_000  # lists of so many sharers are broadcast
 LOOSE = 100  # events without place that meet the rules of their type in one go
 TASKS = 8  # of a join by rules for each core: its work is the pairs, which differ between keys
@@ -83,12 +85,12 @@ def subscription_matches(event: str = "", sub: str = "") -> Column:
 
 def _leaf_join(points: DataFrame, shapes: DataFrame, boxes: Column, most: int, more: list[str] | None = None) -> DataFrame:
     """Points with the shapes whose boxes hold their leaf; `more` are further columns to join on."""
-    nodes, ends = leaves.tree(points, "lat", "lng", most)
+    nodes, ends, few = leaves.tree(points, "lat", "lng", most)
     salt_by = F.xxhash64(*[F.col(f"`{c}`") for c in points.columns if points.schema[c].dataType.typeName() != "map"])
     boxed = shapes.withColumn("_box", F.explode(boxes)).select(*shapes.columns, "_box.*")
     keys = [*leaves.LEAF, *(more or [])]
     cut = spread(leaves.shape_leaves(boxed, nodes, ends), keys, TASKS)
-    met = spread(leaves.point_leaves(points, "lat", "lng", ends, salt_by), keys, TASKS).join(cut, keys)
+    met = spread(leaves.point_leaves(points, "lat", "lng", ends, salt_by, few), keys, TASKS).join(cut, keys)
     # A shape across the date line has two boxes, which may share a leaf: a point meets it by the one that holds it.
     return met.filter(F.col("lng").between(F.col("_west"), F.col("_east"))).drop(*leaves.LEAF, "_west", "_south", "_east", "_north")
 
@@ -210,10 +212,46 @@ def watch_sources(events: DataFrame, anomalies: DataFrame | None = None, cluster
     return out
 
 
-def watch_alerts(matches: DataFrame, fired: DataFrame, k: int = 5) -> DataFrame:
-    """The first k matches per list that have not fired before (the alert shows five)."""
-    new = matches.join(fired.select("watch_id", "match_id"), ["watch_id", "match_id"], "left_anti")
-    return top_per_group(new, ["watch_id"], [F.asc("kind_order"), F.asc_nulls_last("event_time"), F.asc("match_id")], k)
+def _stretches(events: DataFrame) -> list[Column]:
+    """Conditions that cut the events, in the order of alerts, into stretches of which each is STRETCH times as long as all before it."""
+    of_time = F.col("kind_order") == 0
+    at = F.when(of_time, F.unix_micros("event_time"))
+    n = events.agg(F.count(at)).first()[0]
+    shares = []
+    while n / STRETCH ** (len(shares) + 1) >= leaves.MOST:
+        shares.insert(0, STRETCH ** -(len(shares) + 1.0))
+    ends = events.agg(F.percentile_approx(at, shares)).first()[0] if shares else []
+    to = [F.coalesce(at <= end, F.lit(False)) for end in ends] + [F.lit(True)]
+    return [upto if k == 0 else upto & ~to[k - 1] for k, upto in enumerate(to)]
+
+
+def watch_alerts(events: DataFrame, watchlists: DataFrame, fired: DataFrame, k: int = 5) -> DataFrame:
+    """The first k matches per list that have not fired before (the alert shows five).
+
+    `fired` has (watch_id, match_id); a row without a list is an event that an earlier run has dealt
+    with for all lists. A list of which f events have fired finds its alerts among its first k + f matches. Rules look for
+    those in ever longer stretches of the events, in their order, and only the rules of lists that
+    still have too few look on, so neither all matches nor their repeats are ever stored or sorted.
+    """
+    order = [F.asc("kind_order"), F.asc_nulls_last("event_time"), F.asc("match_id")]
+    done = fired.filter("watch_id IS NULL").select("match_id")
+    pairs = fired.filter("watch_id IS NOT NULL").select("watch_id", "match_id").distinct()
+    past = pairs.groupBy("watch_id").agg(F.count(F.lit(1)).alias("_fired"))
+    lists = watchlists.filter("enabled").join(past, "watch_id", "left").withColumn("_need", F.coalesce("_fired", F.lit(0)) + k).drop("_fired")
+    lists = durable(lists)
+    most = lists.agg(F.max("_need")).first()[0] or k
+    own, found = watchlists.columns, None
+    for stretch in _stretches(events):
+        rules = rules_of(lists, [*WATCH_RULE, "_need"])
+        rows = events.filter(stretch).join(done, "match_id", "left_anti").select(*events.columns)
+        first = top_per_group(rule_matches(rows, rules.rules), ["_rule"], order, most).filter(F.col("rank") <= F.col("_need")).drop("rank", "_need")
+        new = share_out(first, rules).select(*events.columns, *own, "distance_km").join(pairs, ["watch_id", "match_id"], "left_anti")
+        found = durable(new if found is None else found.unionByName(new))
+        enough = found.groupBy("watch_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+        lists = durable(lists.join(enough, "watch_id", "left_anti"))
+        if lists.isEmpty():
+            break
+    return top_per_group(found, ["watch_id"], order, k)
 
 
 def digest_items(events: DataFrame, categories: DataFrame, per_category: int = 3) -> DataFrame:
