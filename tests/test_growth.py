@@ -205,3 +205,16 @@ def test_alerts_are_found_in_few_events(spark, monkeypatch):
     got = sorted((r.watch_id, r["rank"], r.match_id) for r in watch.watch_alerts(events, watchlists, fired).collect())
     assert got == want and len(got) > 800 and len(seen) == 5
     assert max(seen) < every.count() / 5
+
+
+def test_watch_stream_stores_matches_of_rules(spark, tmp_path, monkeypatch):
+    """Lists that ask for the same (the query's repeat after 4,680) are stored once for each match, and all of them are in the result."""
+    spark.read.parquet(f"{DATA}/events.parquet").write.parquet(str(tmp_path / "events.parquet"))
+    suppliers = spark.read.parquet(f"{DATA}/supplier.parquet")
+    suppliers.join(spark.range(6).withColumnRenamed("id", "k")).withColumn("s_suppkey", F.col("s_suppkey") + 4680 * F.col("k")).drop("k").write.parquet(str(tmp_path / "supplier.parquet"))
+    stored, plain = [], flows.drain
+    monkeypatch.setattr(flows, "drain", lambda stream: stored.append(plain(stream)) or stored[-1])
+    found = {(r["watch_id"], r["match_id"]) for r in queries()["t7_watch_stream"](spark, str(tmp_path)).collect()}
+    few = {(w, m) for w, m in found if int(w) < 4680}
+    assert found == {(str(int(w) + 4680 * k), m) for w, m in few for k in range(6)} and len(few) > 10
+    assert stored[0].count() == len(few)

@@ -157,6 +157,8 @@ def watch_rules(watchlists: DataFrame, once: bool = False) -> Rules:
     lists = watchlists.filter("enabled")
     if not once:
         return rules_of(lists, WATCH_RULE)
+    if lists.groupBy("watch_id").count().filter("count > 1").isEmpty():
+        return rules_of(lists, WATCH_RULE)
     # The circles of a list in one row for each: those before it go along, so that none repeats a match.
     circle = F.struct("layers", "center_lat", "center_lng", "radius_km", "min_severity")
     listed = Window.partitionBy("watch_id").orderBy("center_lat", "center_lng", "radius_km", "min_severity", "layers").rowsBetween(Window.unboundedPreceding, -1)
@@ -173,8 +175,10 @@ def rule_matches(events: DataFrame, rules: DataFrame, most: int = leaves.MOST) -
     if events.isStreaming:
         cells = explode_cells(rules, ("center_lat", "center_lng"), F.col("radius_km") * 1000, WATCH_CELL_DEG)
         met = rows.withColumn("_cell", cell_of(F.col("lat"), F.col("lng"), WATCH_CELL_DEG)).join(cells, "_cell").drop("_cell")
-        repeats = (F.size("_before") > 0) & F.exists("_before", lambda w: F.coalesce(_watch_hit(lambda name: w[name]), F.lit(False)))
-        met = met.filter(_watch_hit(F.col)).filter(~repeats).drop("_before")
+        met = met.filter(_watch_hit(F.col))
+        if "_before" in rules.columns:  # Spark does not compile functions of arrays into the join
+            repeats = (F.size("_before") > 0) & F.exists("_before", lambda w: F.coalesce(_watch_hit(lambda name: w[name]), F.lit(False)))
+            met = met.filter(~repeats).drop("_before")
     else:
         met = _leaf_join(rows, rules, leaves.circle_box(F.col("center_lat"), F.col("center_lng"), F.col("radius_km")), most).filter(_watch_hit(F.col))
     return met.withColumn("distance_km", round_even(_watch_distance(F.col), 1))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geo import region_for
 from tidemark.operators.lineage import shared_folder
+from tidemark.operators.watch import share_out, watch_rules
 from tidemark.plans.cycle import Inputs, run_cycle, totals
 from tidemark.plans.join_queries import _WATCH, FRESH_MIN, watchlists
 from tidemark.plans.registry import query
@@ -117,7 +118,9 @@ def t6(t: Tables) -> DataFrame:
 @query("t7_watch_stream", ("geo",), "SELECT CAST(watch_id AS VARCHAR) AS watch_id, match_id FROM hit WHERE km <= radius", _WATCH)
 def t7(t: Tables) -> DataFrame:
     rows = landed(t, t.geo.select("event_id", "event_time", "layer", "lat", "lng", "severity"))
-    return flows.drain(flows.watch_stream(rows, watchlists(t), late="60 days").select("watch_id", "match_id"))
+    rules = watch_rules(watchlists(t), once=True)
+    stored = flows.drain(flows.watch_rule_stream(rows, rules, late="60 days").select("_rule", "match_id"))
+    return share_out(stored, rules).select("watch_id", "match_id")
 
 
 @query("t8_silence_stream", ("track",), """

@@ -13,7 +13,7 @@ from tidemark.functions.geo import in_bbox
 from tidemark.operators.dedup import near_duplicates
 from tidemark.operators.lineage import durable, shared_folder
 from tidemark.operators.merge import MOTION, upsert_entities, with_event_ids
-from tidemark.operators.watch import watch_matches
+from tidemark.operators.watch import Rules, rule_matches, share_out, watch_rules
 from tidemark.sources.feeds import Feed, conform, read
 from tidemark.sources.sinks import _exists, append_events
 
@@ -174,17 +174,24 @@ def alert_tail(events: DataFrame, types: list[str], box: tuple[float, float, flo
     return rows if box is None else rows.filter(in_bbox(F.col("lat"), F.col("lng"), *box))
 
 
-def watch_stream(events: DataFrame, watchlists: DataFrame, late: str = "1 day") -> DataFrame:
-    """Stream of (list, event) matches: each once while the watermark remembers the event.
+def watch_rule_stream(events: DataFrame, rules: Rules, late: str = "1 day") -> DataFrame:
+    """Stream of (rule, event) matches: each once while the watermark remembers the event.
 
-    Repeats are dropped before lists are met, so the state follows the events and not their
+    Repeats are dropped before rules are met, so the state follows the events and not their
     matches, of which an event has many. A report that comes again with another place or severity
-    is one of its own. A list of several circles gives a match by the first that holds the event.
+    is one of its own. `share_out` gives the lists of a match, also after it has been stored: lists
+    that ask for the same are written once.
     """
     rows = events.withWatermark("event_time", late).withColumns(
         {"event_layers": F.array("layer"), "match_id": F.concat_ws(":", "layer", F.col("event_id").cast("string"))}
     ).dropDuplicatesWithinWatermark(["match_id", "lat", "lng", "severity"])
-    return watch_matches(rows, watchlists).select("watch_id", "match_id", "event_time", "severity", "distance_km")
+    return rule_matches(rows, rules.rules).select("_rule", "match_id", "event_time", "severity", "distance_km")
+
+
+def watch_stream(events: DataFrame, watchlists: DataFrame, late: str = "1 day") -> DataFrame:
+    """Stream of (list, event) matches. A list of several circles gives a match by the first that holds the event."""
+    rules = watch_rules(watchlists, once=True)
+    return share_out(watch_rule_stream(events, rules, late), rules).select("watch_id", "match_id", "event_time", "severity", "distance_km")
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
