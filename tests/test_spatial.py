@@ -84,6 +84,14 @@ def test_shapes_meet_points_on_leaves(spark, most):
     assert got == sorted((r.watch_id, r.id) for r in every.collect())
 
 
+def test_large_trees_and_rules_are_not_broadcast(spark, monkeypatch):
+    from tidemark.operators import leaves, watch
+
+    monkeypatch.setattr(leaves, "FEW_NODES", 0)
+    monkeypatch.setattr(watch, "FEW_SHARERS", 0)
+    test_shapes_meet_points_on_leaves(spark, 25)
+
+
 def test_subscriptions_meet_events_on_leaves(spark):
     import random
 
